@@ -25,7 +25,7 @@ from clausemill.llm.common import WORD, Scratch, numbered
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
 #: Rows of one chunk, about. More rows of one source and size class are split by identifier.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4_000
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is at most this many times its source's size.
 MOST = 3
