@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm import bpe, exact_dedup, fingerprints, jaccard_join, mixing, toxicity, warc
+from clausemill.llm import bpe, exact_dedup, fingerprints, jaccard_join, language_id, licences, mixing, paragraphs, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -41,15 +49,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_mixing": op2_mixing,
+        "op3_licences": op3_licences,
         "op4_bpe": op4_bpe,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_warc": op7_warc,
         "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
+        "op10_paragraphs": op10_paragraphs,
     }
 
 
