@@ -54,7 +54,7 @@ def _metrics(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(F.round(F.avg("l_discount"), 6).alias("f1"), F.round(F.avg("l_tax"), 6).alias("recall"))
 
 
-NOW = "1998-06-01 00:00:00"
+NOW = "2024-01-30 20:00:00"
 
 QUERIES = {
     "w1_latest_run": lambda s, d: w.latest_run(runs(s, d)),
@@ -69,14 +69,14 @@ QUERIES = {
     "w10_domain_rollup": lambda s, d: w.domain_rollup(w.standard_usage(findings(s, d)), _standards(s, d)),
     "w11_readiness_bands": lambda s, d: w.readiness_bands(w.readiness(findings(s, d))),
     "w13_organisation_rollup": lambda s, d: w.organisation_rollup(w.readiness(findings(s, d)), _owners(s, d)),
-    "w14_usage_network": lambda s, d: w.usage_network(findings(s, d)),
+    "w14_usage_network": lambda s, d: w.usage_network(findings(s, d), 300, 200),
     "w15_status_counts": lambda s, d: w.status_counts(findings(s, d)),
     "w16_count_by": lambda s, d: w.count_by(_standards(s, d), "category"),
     "w17_priority_findings": lambda s, d: w.priority_findings(findings(s, d)),
     "w18_alerts": lambda s, d: w.alerts(_changes(s, d), _impact(s, d)),
     "w19_workspace_stats": lambda s, d: w.workspace_stats(w.document_status(runs(s, d), findings(s, d)), w.readiness(findings(s, d))),
     "w20_most_issues": lambda s, d: w.most_issues(w.document_view(runs(s, d), findings(s, d))),
-    "w21_text_filter": lambda s, d: w.text_filter(read(s, d, "part"), ["p_name", "p_type"], "STEEL", p_size=10).select("p_partkey", "p_name"),
+    "w21_text_filter": lambda s, d: w.text_filter(read(s, d, "part"), ["p_name", "p_type"], "WIDGET", p_size=10).select("p_partkey", "p_name"),
     "w22_distinct_values": lambda s, d: read(s, d, "part").select("p_brand").distinct(),
     "w23_corpus_status": lambda s, d: w.count_by(read(s, d, "documents"), "source"),
     "w25_current_decision": lambda s, d: w.current_decision(_decisions(s, d)),
@@ -111,14 +111,14 @@ SQL = {
     "w10_domain_rollup": "SELECT p_type AS category, CAST(sum(coalesce(n, 0)) AS BIGINT) AS requirements, count(n) AS standards_used, count(*) AS standards FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey GROUP BY 1",
     "w11_readiness_bands": ctes("findings", "scores") + "SELECT band, count(run_id) AS documents FROM (VALUES ('strong', 80, 100), ('fair', 50, 79), ('weak', 0, 49)) b(band, low, high) LEFT JOIN scores ON score BETWEEN low AND high GROUP BY band",
     "w13_organisation_rollup": ctes("findings", "scores") + "SELECT n_name AS organisation, count(*) AS documents, CAST(floor(sum(score) / count(*) + 0.5) AS INTEGER) AS readiness FROM scores JOIN orders ON run_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "w14_usage_network": ctes("findings") + ", d AS (SELECT run_id FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), t AS (SELECT standard FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8) SELECT run_id, standard, count(*) AS weight, ['ok','gap','conflict'][max(CASE kind WHEN 'conflicting' THEN 2 WHEN 'missing' THEN 1 ELSE 0 END) + 1] AS tone FROM findings SEMI JOIN d USING (run_id) SEMI JOIN t USING (standard) GROUP BY 1, 2",
+    "w14_usage_network": ctes("findings") + ", d AS (SELECT run_id FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 300), t AS (SELECT standard FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200) SELECT run_id, standard, count(*) AS weight, ['ok','gap','conflict'][max(CASE kind WHEN 'conflicting' THEN 2 WHEN 'missing' THEN 1 ELSE 0 END) + 1] AS tone FROM findings SEMI JOIN d USING (run_id) SEMI JOIN t USING (standard) GROUP BY 1, 2",
     "w15_status_counts": ctes("findings") + "SELECT k.kind, count(f.kind) AS findings FROM (VALUES ('conflicting'), ('missing'), ('outdated'), ('certification'), ('verified')) k(kind) LEFT JOIN findings f USING (kind) GROUP BY 1",
     "w16_count_by": "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1",
     "w17_priority_findings": ctes("findings", "open") + f"SELECT run_id, finding_no, kind, severity FROM open ORDER BY {_RANK}, run_id, finding_no LIMIT 6",
     "w18_alerts": _IMPACT + f"SELECT change_id, severity, affected FROM (SELECT c.change_id, severity, count(i.doc_id) AS affected FROM changes c LEFT JOIN impact i USING (change_id) GROUP BY 1, 2) ORDER BY affected > 0 DESC, {_RANK}, change_id LIMIT 5",
     "w19_workspace_stats": ctes("runs", "findings", "latest", "open", "status", "scores") + "SELECT count(*) AS documents, count(*) FILTER (document_status IN ('Analyzed', 'Review required')) AS done, count(*) FILTER (document_status = 'Processing') AS processing, count(*) FILTER (document_status = 'Failed') AS failed, count(*) FILTER (document_status = 'Review required') AS need_attention, CAST(floor(avg(score) FILTER (document_status IN ('Analyzed', 'Review required')) + 0.5) AS INTEGER) AS average_readiness FROM status LEFT JOIN scores USING (run_id)",
     "w20_most_issues": _VIEW + "SELECT doc_id, open_issues FROM view_ WHERE open_issues > 0 ORDER BY open_issues DESC, doc_id LIMIT 4",
-    "w21_text_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'steel') AND p_size = 10",
+    "w21_text_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'widget') AND p_size = 10",
     "w22_distinct_values": "SELECT DISTINCT p_brand FROM part",
     "w23_corpus_status": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "w25_current_decision": "SELECT conv_id AS entity, d AS decision, CASE d WHEN 'edited' THEN e WHEN 'accepted' THEN r END AS applied FROM (SELECT conv_id, ['pending','accepted','edited','rejected'][CAST(turn % 4 + 1 AS INTEGER)] AS d, substr(text, 1, 40) AS e, role AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
