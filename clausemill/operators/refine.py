@@ -124,7 +124,7 @@ ABBREVIATIONS = "No Nos approx min max Cl cl Fig Sr Rs sq Pt Sec deg hr Ltd Co S
 def segment(rows: DataFrame) -> DataFrame:
     """(doc, line_no, line) -> (doc, line_no, seg_no, segment): list marks stripped, sentences split except after abbreviations."""
     body = F.regexp_replace(F.trim("line"), r"^([0-9]{1,2}(\.[0-9]{1,3}){0,4}[.)]?|\(?[a-z]\)|•|-|\*|–)\s+", "")
-    guarded = F.regexp_replace(body, r"(^|[^A-Za-z])(" + "|".join(ABBREVIATIONS) + r"|[A-Z])\. ", "$1$2.\u0002")
+    guarded = F.regexp_replace(body, r"(?<![A-Za-z])(" + "|".join(ABBREVIATIONS) + r"|[A-Z])\. ", "$1.\u0002")
     cut = F.split(F.regexp_replace(guarded, r"([.!?])\s+(?=[A-Z0-9\"'(•])", "$1\u0001"), "\u0001")
     out = rows.select("doc", "line_no", F.posexplode(cut).alias("seg_no", "segment"))
     return out.select("doc", "line_no", "seg_no", F.trim(F.regexp_replace("segment", "\u0002", " ")).alias("segment")).where("segment <> ''")
