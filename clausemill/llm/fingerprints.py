@@ -75,7 +75,7 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 def fingerprints(texts: list[str], samples: int = SAMPLES, width: int = WIDTH) -> Iterator[np.ndarray]:
     raw = [t.encode() for t in texts]
-    for part in in_blocks(raw):
+    for part in in_blocks(raw, 1 << 18):
         hashes, n = shingle_hashes(*word_hashes(raw[part]), width)
         ends = np.cumsum(n)
         for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
@@ -94,7 +94,7 @@ def _with_neighbour(docs: DataFrame, key: str, text: str) -> DataFrame:
     The one shuffle of texts: partition numbers come from quantiles of the ids, and the first id of
     each partition, one row a partition, is also sent to the partition before.
     """
-    n = partitions(docs.sparkSession)
+    n = 2 * partitions(docs.sparkSession)  # small runs: a task holds one as an Arrow batch
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     cuts = sorted(set(rows.approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     place = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
@@ -142,8 +142,8 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500).to_pydict()
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100).to_pydict()
                 ids, texts, heads = part["id"], part["text"], part["head"]
                 prints = list(fingerprints(texts, samples, width))
                 ready, nexts, own, following = [], [], [], []
