@@ -120,3 +120,33 @@ def extract_relations(sentences: DataFrame, citations: DataFrame) -> DataFrame:
         kind = F.when(window.rlike(cue), name).otherwise(kind)
     typed = ends.join(sentences, "key").withColumn("own", kind)
     return typed.withColumn("type", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("type is not null").select("key", "c_no", "type", "designation")
+
+
+def product_match(standards: DataFrame, forms: DataFrame, text: str) -> DataFrame:
+    """(standard, term): a form of the term is part of the standard's text. Two dimensions of fixed size, joined once."""
+    return standards.join(F.broadcast(forms), F.contains(F.lower(F.col(text)), F.col("form"))).select("standard", "term").distinct()
+
+
+def add_cited_clauses(hits: DataFrame, cited: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Every clause of a cited standard that is not ranked yet joins the hits with score 0."""
+    more = cited.join(clauses, "standard").select("qid", "did").distinct().join(hits, ["qid", "did"], "left_anti")
+    return hits.select("qid", "did", "score").unionByName(more.withColumn("score", F.lit(0.0)))
+
+
+def cited_competitors(candidates: DataFrame, cited: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc, standard): candidates that share kind and product term with another standard that the document cites."""
+    mine = candidates.join(terms, "standard").select("doc", "standard", "kind", "term")
+    theirs = cited.join(terms, "standard").select("doc", F.col("standard").alias("rival"), "kind", "term")
+    return mine.join(theirs, ["doc", "kind", "term"]).where("standard <> rival").select("doc", "standard").distinct()
+
+
+def mapping_basis(requirements: DataFrame, hits: DataFrame) -> DataFrame:
+    """explicit_reference, retrieval or none, by a requirement's hits."""
+    best = hits.groupBy("doc", "req").agg(F.bool_or("explicit").alias("explicit"))
+    return requirements.join(best, ["doc", "req"], "left").select("doc", "req", F.when(F.col("explicit"), "explicit_reference").when(F.col("explicit").isNotNull(), "retrieval").otherwise("none").alias("basis"))
+
+
+def catalogue(standards: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each standard with how many others it is related to, either way."""
+    both = edges.select(F.col("src").alias("standard"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+    return standards.join(both.groupBy("standard").agg(F.count(F.lit(1)).alias("related")), "standard", "left").select("standard", F.coalesce("related", F.lit(0)).alias("related"))

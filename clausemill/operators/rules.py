@@ -159,3 +159,63 @@ def rewrite_guard(rows: DataFrame) -> DataFrame:
 def readiness_score(total: Column, mapped: Column, high: Column, medium: Column, low: Column) -> Column:
     raw = F.lit(100.0) * mapped / F.nullif(total, F.lit(0)) - (high * 8 + medium * 3 + low)
     return half_up(F.least(F.greatest(F.coalesce(raw, F.lit(0.0)), F.lit(0.0)), F.lit(100.0))).cast("int")
+
+
+def in_scope(pairs: DataFrame, doc_terms: DataFrame, standard_terms: DataFrame) -> DataFrame:
+    """(doc, standard) with scope: a term of the document matches the standard; documents without terms are in scope."""
+    match = doc_terms.join(standard_terms, "term").select("doc", "standard", F.lit(True).alias("hit")).distinct()
+    some = doc_terms.select("doc", F.lit(True).alias("has_terms")).distinct()
+    rows = pairs.join(match, ["doc", "standard"], "left").join(some, "doc", "left")
+    return rows.select("doc", "standard", (F.coalesce("hit", F.lit(False)) | F.col("has_terms").isNull()).alias("scope"))
+
+
+def qualifiers(attributes: DataFrame, parameters: list[str]) -> DataFrame:
+    """The values that a document states of each qualifying parameter, in order."""
+    return attributes.where(F.col("parameter").isin(parameters)).groupBy("doc", "parameter").agg(F.array_join(F.array_sort(F.collect_set("text")), ",").alias("stated"))
+
+
+def candidate_standards(cited: DataFrame, top_hits: DataFrame, gate: float = 0.5) -> DataFrame:
+    """(doc, req, standard): cited ones, and the own top hit where sure and in scope; a cited one counts once, as cited."""
+    own = top_hits.where((F.col("confidence") >= gate) & F.col("scope")).select("doc", "req", "standard", F.lit(1).alias("ord"))
+    both = cited.select("doc", "req", "standard", F.lit(0).alias("ord")).unionByName(own)
+    return both.groupBy("doc", "req", "standard").agg(F.min("ord").alias("ord"))
+
+
+def companion_parts(findings: DataFrame, edges: DataFrame) -> DataFrame:
+    """The standards that require a finding's replacement, as one text in order."""
+    needs = edges.where("type = 'REQUIRES'").select(F.col("dst").alias("replacement"), F.col("src").alias("companion"))
+    return findings.join(needs, "replacement").groupBy("doc", "replacement").agg(F.array_join(F.transform(F.array_sort(F.collect_set("companion")), lambda x: x.cast("string")), ",").alias("companions"))
+
+
+def governed_requirements(mapped: DataFrame, matching: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc, standard, req): mapped and product-matching requirements; a code of practice needs at least two."""
+    rows = mapped.unionByName(matching).distinct().join(kinds, "standard")
+    counts = rows.groupBy("doc", "standard").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(counts, ["doc", "standard"]).where((F.col("kind") != "code_of_practice") | (F.col("n") >= 2)).select("doc", "standard", "req")
+
+
+def addressed_standards(cited: DataFrame, supersedes: DataFrame, latest: DataFrame) -> DataFrame:
+    """(doc, standard): cited ones, those that a cited one replaces, and the latest replacement of each."""
+    below = cited.join(supersedes.select(F.col("src").alias("standard"), "dst"), "standard").select("doc", F.col("dst").alias("standard"))
+    above = cited.join(latest.select(F.col("node").alias("standard"), "latest"), "standard").select("doc", F.col("latest").alias("standard"))
+    return cited.select("doc", "standard").unionByName(below).unionByName(above).distinct()
+
+
+def nearest_missing(cited: DataFrame, edges: DataFrame, addressed: DataFrame) -> DataFrame:
+    """Targets of edges from a cited or addressed standard that the document does not address: the frontier of what is missing."""
+    reached = cited.select("doc", "standard").unionByName(addressed.select("doc", "standard")).distinct()
+    ahead = reached.join(edges.select(F.col("src").alias("standard"), F.col("dst").alias("target")), "standard").select("doc", "target").distinct()
+    return ahead.join(reached.select("doc", F.col("standard").alias("target")), ["doc", "target"], "left_anti")
+
+
+def quantity_role(rows: DataFrame) -> DataFrame:
+    """(…, before): observed or limit, by the cue nearest to the value."""
+    tail = F.lower("before")
+    last = lambda cues: F.length(F.regexp_extract(tail, rf"^(.*)({cues})", 1)) + F.when(tail.rlike(cues), 1).otherwise(0)
+    seen, limit = last("observed|measured|found|actual|result"), last("limit|maximum|minimum|permissible|specified|not exceed")
+    return rows.withColumn("role", F.when((seen == 0) & (limit == 0), None).when(seen > limit, "observed").otherwise("limit"))
+
+
+def evidence_rows(findings: DataFrame) -> DataFrame:
+    """(doc, local_id, evidence array) -> one row an item, in order."""
+    return findings.select("doc", "local_id", F.posexplode("evidence").alias("ordinal", "item"))
