@@ -11,14 +11,14 @@ Documents link when intersection over union of their sets of five-word shingles
    two linked classes share a shingle among the first n - ceil(0.75 n) + 1 of each, unshared ones
    counted. These prefix shingles are the only ones that make candidates, and common passages, which
    come last in the order, seldom are among them.
-4. Search. In each list of a prefix shingle one class is the hub; all others of the list that are not
-   yet in its component are candidates of the hub. The hub is the query of a T-occurrence search over
-   its candidates: T is the least overlap that a link needs; short lists are merged by a heap, long
-   ones probed by bisection (DivideSkip), and classes that reach their overlap are linked. Then the
-   hub leaves the list, components are formed anew, and lists with more than one component left have
-   their next hub. So every two classes that share a prefix shingle are compared or already
-   connected, and a group of copies costs about one comparison a class instead of all pairs.
-   The last short lists are compared pair by pair.
+4. Search. In each list of a prefix shingle (one of those with equal members) the most central class
+   is the hub and all others are its candidates. The hub is the query of a T-occurrence search over
+   them: T is the least overlap that a link needs; short lists are merged by a heap, long ones probed
+   by bisection (DivideSkip), and classes that reach their overlap are linked. Components are formed.
+   Lists with several components left are compared pair by pair where short; in long ones the classes
+   outside the largest component are queries that search the others block by block. So every two
+   classes that share a prefix shingle are compared or already connected, and a large group of copies
+   costs a comparison or two a class instead of all pairs.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ from clausemill.llm.shingles import U, shingle_sets
 WIDTH, PERCENT = 5, 75
 #: Shingles that a task packs at a time.
 PACKED = 1 << 20
-#: Lists are compared pair by pair once that makes at most this many pairs a list entry.
-PAIRS_A_ROW = 8
+#: Lists of at most this many classes are compared pair by pair after their hub; classes in a block of a larger one.
+SMALL, BLOCK = 32, 256
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOW = U((1 << 48) - 1)
 
@@ -292,36 +292,78 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(search, "a binary, b binary")
 
 
+def _searched(scratch: Scratch, big: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that lists (gram, class, n, label) of many classes still hide.
+
+    Lists that share classes form a cluster. Of each cluster the classes outside its largest
+    component are queries; all its classes are dealt into blocks, and every block is searched by
+    every query. A task holds one block and one part of the queries, however large the cluster.
+    """
+    leaders = big.groupBy("gram").agg(F.min("class").alias("a"))
+    clusters = components(scratch, big.select("gram", F.col("class").alias("b")).join(leaders, "gram").select("a", "b").distinct())
+    members = big.select("class", "n", "label").distinct().join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
+    members = scratch.keep(members, "members")
+    per = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("out"))
+    dealt = per.select("cluster", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil(F.col("out") / BLOCK).alias("parts"))
+    rows = members.join(dealt, "cluster")
+    own = lambda n: F.pmod(F.xxhash64("class", F.lit(2)), n)
+    searched = rows.select("class", "label", "cluster", own(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"))
+    queries = rows.where("label <> main").select("class", "label", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), own(F.col("parts")).alias("part"), F.lit(True).alias("query"))
+    full = searched.unionByName(queries).join(sets.select("class", "n", "shared"), "class")
+
+    def search(table: pa.Table) -> pa.Table:
+        query = np.asarray(table.column("query").combine_chunks().to_pylist(), bool)
+        keys, labels, n = table.column("class").to_pylist(), table.column("label").to_pylist(), np.asarray(table.column("n").to_pylist())
+        shared = [np.frombuffer(x, "<u8") for x in table.column("shared").to_pylist()]
+        records = np.flatnonzero(~query)
+        links = []
+        for q in np.flatnonzero(query).tolist():
+            # Sizes too far apart can't link; of the rest the smallest says what a link needs at least.
+            near = records[(np.minimum(n[records], n[q]) * 100 >= np.maximum(n[records], n[q]) * percent)]
+            near = [i for i in near.tolist() if labels[i] != labels[q]]
+            if near:
+                least = int(least_overlap(n[q], min(n[i] for i in near), percent))
+                for r, overlap in divide_skip(shared[q], [shared[i] for i in near], least).items():
+                    i = near[r]
+                    if 100 * overlap >= percent * (n[i] + n[q] - overlap):
+                        links.append((keys[q], keys[i]))
+        x, y = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
+
+    return full.groupBy("cluster", "block", "part").applyInArrow(search, "a binary, b binary")
+
+
 def class_components(scratch: Scratch, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for classes with links."""
-    lists = sets.select(F.col("class"), "n", F.explode("prefix").alias("gram"))
-    several = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+    # A class with few shingles of its own is near the middle of its copies: it is the better hub.
+    own = (F.col("n") - F.octet_length("shared") / 8) / F.col("n")
+    lists = sets.select(F.col("class"), "n", F.round(own, 3).alias("own"), F.explode("prefix").alias("gram"))
+    # Of lists with equal members (two 64-bit sums and the length agree) one is enough.
+    members = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("k > 1")
+    several = members.groupBy("k", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "k")
     lists = scratch.keep(lists.join(several, "gram"), "lists")
-    links = labels = None
     fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
-    while True:
-        named = lists.withColumn("label", F.col("class")) if labels is None else lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-        state = named.groupBy("gram").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        # Lists of one component have nothing left to find.
-        open_ = scratch.keep(named.join(state.select("gram", "hub", "k"), "gram"), "open")
-        row = open_.agg(F.count(F.lit(1)), F.sum("k")).first()
-        entries, all_pairs = row[0] or 0, row[1] or 0
-        if not entries:
-            return labels if labels is not None else sets.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
-        last = all_pairs <= PAIRS_A_ROW * entries
-        if last:
-            other = open_.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = open_.select("gram", F.col("class").alias("a"), "n", "label").join(other, "gram").where("a < b and label <> other").where(fits)
-        else:
-            hubs = open_.where(F.col("class") == F.col("hub")).select("gram", F.col("class").alias("a"), "n", "label")
-            other = open_.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = other.join(hubs, "gram").where("a <> b and label <> other").where(fits)
-        found = scratch.keep(_linked(pairs.select("a", "b").distinct(), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(scratch, links)
-        if last:
-            return labels
-        lists = open_.where("class <> hub").select("gram", "class", "n")
+    two = lambda df: df.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+
+    # First every list's hub against the others of the list.
+    hubs = lists.groupBy("gram").agg(F.min_by(F.struct("class", "n"), F.struct("own", "class")).alias("hub")).select("gram", F.col("hub.class").alias("a"), F.col("hub.n").alias("n"))
+    pairs = lists.select("gram", F.col("class").alias("b"), F.col("n").alias("m")).join(hubs, "gram").where("a <> b").where(fits)
+    links = scratch.keep(_linked(pairs.select("a", "b").distinct(), sets, percent), "links")
+    labels = components(scratch, links)
+
+    # Then what is left of lists with several components, the hub taken out.
+    named = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+    named = named.join(hubs.select("gram", F.col("a").alias("hub")), "gram").where("class <> hub")
+    torn = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    left = scratch.keep(named.join(torn, "gram").select("gram", "k", "class", "n", "label"), "left")
+    one = left.where(f"k <= {SMALL}")
+    pairs = one.select("gram", F.col("class").alias("a"), "n", "label").join(two(one), "gram").where("a < b and label <> other").where(fits)
+    more = _linked(pairs.select("a", "b").distinct(), sets, percent)
+    big = left.where(f"k > {SMALL}")
+    if big.limit(1).count():
+        more = more.unionByName(_searched(scratch, big, sets, percent))
+    more = scratch.keep(more, "links")
+    return components(scratch, links.unionByName(more)) if more.limit(1).count() else labels
 
 
 def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -69,11 +69,12 @@ def test_jaccard_join_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
 
 
-def test_rounds_of_hubs_find_what_all_pairs_find(spark, monkeypatch):
+def test_blocks_find_what_pairs_find(spark, monkeypatch):
     rows = families(11)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicate_components(df).collect()}
-    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     assert {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicate_components(df).collect()} == want
 
 
