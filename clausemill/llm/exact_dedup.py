@@ -23,51 +23,56 @@ from clausemill.llm.common import Scratch, fold, numbered
 BLOCK = 4096
 
 
-def _name_blocks(scratch: Scratch, blocks: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """(row key, pos, block) -> (row key, pos, name)."""
-    blocks = blocks.withColumn("digest", digest(F.col("block")))
+def _name_blocks(scratch: Scratch, narrow: DataFrame, blocks: DataFrame) -> DataFrame:
+    """narrow (keys, pos, digest) -> (keys, pos, name); blocks (keys, pos, digest, block) has the texts as well."""
     # The text moves once, after each task has dropped what it has twice; only counts are written.
     sizes = scratch.keep(blocks.groupBy("digest").agg(F.size(F.collect_set("block")).alias("n")), "alphabet")
     slots = sizes.select("digest", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
     named = scratch.keep(numbered(scratch, slots, F.col("digest"), F.col("slot"), name="name"), "names")
-    narrow = blocks.drop("block")
     shared = sizes.where("n > 1").select("digest")
     if not shared.limit(1).count():
         return narrow.join(named.drop("slot"), "digest").drop("digest")
     # Digests with several texts: sort and compare the texts themselves.
-    alone = narrow.join(shared, "digest", "left_anti").join(named.where("slot = 0").drop("slot"), "digest")
+    alone = narrow.join(shared, "digest", "left_anti").join(named.where("slot = 0").drop("slot"), "digest").drop("digest")
     alphabet = blocks.join(shared, "digest", "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set("block")).alias("texts"))
     texts = alphabet.select("digest", F.posexplode("texts").alias("slot", "block")).join(named, ["digest", "slot"]).drop("slot")
-    several = blocks.join(texts, ["digest", "block"]).drop("block")
-    return alone.unionByName(several).drop("digest")
+    several = blocks.join(texts, ["digest", "block"]).drop("block", "digest")
+    return alone.unionByName(several.select(*alone.columns))
+
+
+def _cut(text: str, block: int, digest: Callable[[Column], Column], whole: bool) -> Column:
+    """The blocks of a text as structs (pos, digest) or (pos, digest, block)."""
+    n = F.ceil(F.length(text) / F.lit(block)).cast("int")
+    one = lambda pos, b: F.struct(pos.alias("pos"), digest(b).alias("digest"), *([b.alias("block")] if whole else []))
+    many = F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(i, F.substring(F.col(text), i * block + 1, F.lit(block))))
+    return F.when(F.length(text) <= block, F.array(one(F.lit(0), F.col(text)))).otherwise(many)
 
 
 def identities(scratch: Scratch, rows: DataFrame, keys: list[str], text: str, block: int = BLOCK, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """(keys, text) -> (keys, identity, blocks); rows must be distinct in keys.
+    """(keys, text) -> (keys, identity, blocks, rows): rows says for how many rows of the input one stands.
 
-    identity is equal for two rows exactly when their texts and so their numbers of blocks are equal;
-    (identity, blocks) is the whole identity, as each number of blocks has its own rounds.
+    Two rows have equal (identity, blocks) exactly when their texts are equal: each number of blocks
+    has its own rounds of pairs. Rows that repeat in all keys must have equal texts.
     """
     n = F.greatest(F.ceil(F.length(text) / F.lit(block)), F.lit(1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), F.substring(F.col(text), i * block + 1, F.lit(block)).alias("block")))
-    # One block, the usual case, needs no array.
-    single = rows.where(F.length(text) <= block).select(*keys, F.lit(1).alias("blocks"), F.lit(0).alias("pos"), F.col(text).alias("block"))
-    many = rows.where(F.length(text) > block).select(*keys, n.alias("blocks"), F.inline(cut).alias("pos", "block"))
-    names = scratch.keep(_name_blocks(scratch, single.unionByName(many), digest), "level")
-    done = names.where("blocks = 1").select(*keys, "name", "blocks")
-    level = names.where("blocks > 1").withColumn("left", F.col("blocks"))
+    narrow = scratch.keep(rows.select(*keys, n.alias("blocks"), F.inline(_cut(text, block, digest, False))), "digests")
+    names = scratch.keep(_name_blocks(scratch, narrow, rows.select(*keys, n.alias("blocks"), F.inline(_cut(text, block, digest, True)))), "level")
+    done = names.where("blocks = 1").select(*keys, "name", "blocks", F.lit(1).cast("long").alias("rows"))
+    level = names.where("blocks > 1").withColumn("left", F.col("blocks")).withColumn("rows", F.lit(None).cast("long"))
     while level.limit(1).count():
         # Pairs (2i, 2i + 1); a last one alone pairs with -1. Then one row a pair, at most two rows a group.
         pair = level.groupBy(*keys, "blocks", "left", F.shiftright("pos", 1).alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("first"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("second"),
+            # Rows that repeat become one here; the first round counts them.
+            F.coalesce(F.max("rows"), F.sum(F.when(F.col("pos") % 2 == 0, 1))).alias("rows"),
         )
         pair = scratch.keep(pair, "pairs")
         named = numbered(scratch, pair.select("first", "second").distinct(), F.col("first"), F.col("second"), name="name")
-        level = scratch.keep(pair.join(named, ["first", "second"]).select(*keys, "blocks", ((F.col("left") + 1) / 2).cast("int").alias("left"), "pos", "name"), "level")
-        done = done.unionByName(level.where("left = 1").select(*keys, "name", "blocks"))
+        level = scratch.keep(pair.join(named, ["first", "second"]).select(*keys, "blocks", ((F.col("left") + 1) / 2).cast("int").alias("left"), "pos", "name", "rows"), "level")
+        done = done.unionByName(level.where("left = 1").select(*keys, "name", "blocks", "rows"))
         level = level.where("left > 1")
-    return done.select(*keys, F.col("name").alias("identity"), "blocks")
+    return done.select(*keys, F.col("name").alias("identity"), "blocks", "rows")
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -82,14 +87,10 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     rows = docs.select(F.col(key).alias("k"), fold(F.col(text)).alias("t")).withColumn("h", F.sha2("t", 256))
-    # Rows are told apart by key and digest while blocks travel; repeats come back by the join below.
-    keyed = rows.withColumn("k0", F.coalesce(F.col("k").cast("string"), F.lit("null")))
-    names = identities(scratch, keyed.select("k0", "h", "t"), ["k0", "h"], "t", block, digest)
-    # Repeated rows name the same blocks again: one row of each is enough.
-    names = scratch.keep(names.groupBy("k0", "h").agg(F.max("identity").alias("identity"), F.max("blocks").alias("blocks")), "identities")
-    placed = scratch.keep(keyed.select("k", "k0", "h").join(names, ["k0", "h"]).drop("k0"), "placed")
-    groups = placed.groupBy("identity", "blocks").agg(F.max("k").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = placed.join(groups, ["identity", "blocks"])
+    # Rows are told apart by key and digest while their blocks travel.
+    placed = scratch.keep(identities(scratch, rows, ["k", "h"], "t", block, digest), "placed")
+    groups = placed.groupBy("identity", "blocks").agg(F.max("k").alias("keep_id"), F.sum("rows").alias("group_size"))
+    out = placed.join(groups, ["identity", "blocks"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(F.col("k").alias(key), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("h").alias("text_sha256"))
 
 
