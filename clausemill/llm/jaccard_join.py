@@ -130,8 +130,8 @@ def _rows(batches: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, class, n): class null and n 0 for texts without words."""
+def _classes(docs: DataFrame, key: str, text: str, digest: bool = False) -> DataFrame:
+    """(id, class, n), with digest also h, that of the text: class null and n 0 for texts without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +139,13 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 raw = [t.encode() for t in batch.column(1).slice(at, 500).to_pylist()]
                 n = [len(s) for s in shingle_sets(raw, WIDTH)]
                 keys = [class_key(t) if k else None for t, k in zip(raw, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["id", "class", "n"])
+                own = [batch.column(2).slice(at, 500)] if digest else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), *own], ["id", "class", "n", "h"][: 3 + len(own)])
 
     plain = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    return plain.mapInArrow(rows, "id long, class binary, n long")
+    if digest:
+        plain = plain.withColumn("h", F.sha2("t", 256))
+    return plain.mapInArrow(rows, "id long, class binary, n long" + ", h string" * digest)
 
 
 def _shared(docs: DataFrame, text: str, parts: int, percent: int) -> DataFrame:
@@ -387,11 +390,27 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, that of the smallest key; columns and texts as they were.
+    """docs with one row of each component: that of the smallest key, null keys last; columns and texts as they were.
 
-    Rows without words stay. Rows that share the smallest key of their component stay together.
+    Of rows that share this key the one of the smallest text digest stays, of its repeats (equal key
+    and text) one. Rows without words stay.
     """
     scratch = Scratch(docs.sparkSession, "jaccard-keep")
-    verdict = near_duplicate_components(docs, key, text, percent)
-    gone = scratch.keep(verdict.where(f"not (`{key}` <=> component_id)").select(F.col(key).alias("_k")).distinct(), "gone")
-    return docs.join(gone, docs[key].eqNullSafe(gone["_k"]), "left_anti")
+    marked = docs.withColumn("_own_key", F.col(key).cast("long")).withColumn("_own_digest", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    rows = scratch.keep(_classes(docs, key, text, digest=True).where("class is not null"), "classes")
+    sets = scratch.keep(_shared(docs, text, partitions(docs.sparkSession), percent), "sets")
+    labels = class_components(scratch, sets, percent).withColumnRenamed("node", "class")
+    named = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = scratch.keep(named.groupBy("component", "id", "h").agg(F.count(F.lit(1)).alias("rows")), "named")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    first = named.groupBy("component").agg(F.min(order).alias("first"))
+    placed = named.join(first, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    placed = scratch.keep(placed.select(F.col("id").alias("_id"), F.col("h").alias("_digest"), "rows", "stays"), "placed")
+    same = lambda df, other: df["_own_key"].eqNullSafe(other["_id"]) & (df["_own_digest"] == other["_digest"])
+    gone = placed.where("not stays")
+    left = marked.join(gone, same(marked, gone), "left_anti")
+    again = placed.where("stays and rows > 1")
+    if again.limit(1).count():
+        one = left.join(again, same(left, again), "left_semi").dropDuplicates(["_own_key", "_own_digest"])
+        left = left.join(again, same(left, again), "left_anti").unionByName(one)
+    return left.select(*docs.columns)

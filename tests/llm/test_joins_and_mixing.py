@@ -84,6 +84,15 @@ def test_near_duplicates_dropped(spark):
     assert jaccard_join.near_duplicate_components(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_of_null_and_repeated_keys(spark):
+    near, other, alone = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    rows = [(1, near, "first"), (None, near + " I", "copy"), (None, alone, "alone"), (None, "", "wordless"), (None, None, "wordless"), (2, near + " J", "copy"), (2, "un like any thing else here", "clean"), (None, other, "nulls"), (None, other + " S", "nulls"), (3, "one two", "repeat"), (3, "one two", "repeat"), (4, "Two words", "case"), (4, "two words", "case")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k string")
+    kept = jaccard_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r["_k"] for r in kept.collect()) == ["alone", "case", "clean", "first", "nulls", "repeat", "wordless", "wordless"]
+
+
 def test_divide_skip_counts():
     draw = random.Random(1)
     query = np.unique(np.array([draw.randrange(400) for _ in range(90)], np.uint64))
