@@ -64,10 +64,10 @@ def training_texts(docs: DataFrame, lang: str = "lang", text: str = "text", key:
 
 
 def declared_language(page: Column) -> Column:
-    """The primary subtag that the html element (or a content-language header) declares, or null."""
-    start = F.substring(page, 1, 5000)
-    tag = F.regexp_extract(start, r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
-    meta = F.regexp_extract(start, r"(?is)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
+    """The primary subtag that the html element (or a content-language header) declares, or null; scripts, styles and comments declare nothing."""
+    markup = F.regexp_replace(page, _HIDDEN.pattern, " ")
+    tag = F.regexp_extract(markup, r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
+    meta = F.regexp_extract(markup, r"(?is)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
     return F.lower(F.coalesce(F.nullif(tag, F.lit("")), F.nullif(meta, F.lit(""))))
 
 

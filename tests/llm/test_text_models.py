@@ -107,6 +107,13 @@ def test_toxicity_without_labels(spark):
     assert [r.predicted for r in toxicity.score_documents(docs, none).collect()] == [0]
 
 
+def test_late_declarations_count(spark):
+    late = "x" * 6000
+    pages = [(1, f"<!-- {late} <html lang=fr> --><html lang='de'>"), (2, f"<style>{late}</style><meta http-equiv=content-language content='de'>"), (3, f"<html><script>{late} '<html lang=fr>'</script>"), (4, "<html lang=de>"), (5, None)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    assert {r.page_id: r.d for r in df.select("page_id", language_id.declared_language(F.col("html")).alias("d")).collect()} == {1: "de", 2: "de", 3: None, 4: "de", 5: None}
+
+
 def test_language_evidence(spark):
     texts = {"en": "the cat sat on the mat with this and that for the house", "de": "der hund und die katze mit dem haus auf der strasse nicht", "fr": "le chat est dans la maison avec les enfants pour une"}
     docs = spark.createDataFrame([(i * 3 + k, (t + " ") * 3, g) for i in range(5) for k, (g, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
