@@ -12,6 +12,7 @@ a fixed size and is sent to the tasks, which remember the score of each word.
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -34,21 +35,43 @@ EPOCHS, SHRINK, FLOOR = 80, 0.35, 0.05
 #: Texts that a word of the training vocabulary occurs in, at least.
 LEAST_TEXTS = 10
 EDGE = " \t\n\v\f\r.,;:!?\"'()[]{}|#*%&$<>-_/\\"
+#: Tokens of more characters are cut at Unicode's punctuation, signs and format characters, and what is longer still into windows.
+LONG, WINDOW = 60, 20
+BETWEEN = frozenset("Pc Pd Ps Pe Pi Pf Po Zs Zl Zp Cc Cf Sc Sk Sm".split())
 REMEMBERED = 500_000
 
 
+def _cut(token: str) -> list[str]:
+    """The words of a token of over LONG characters: cut at the punctuation inside, longer ones into windows.
+
+    A window starts with a line feed, which no token holds; windows overlap by as much as the longest
+    n-gram needs to lie whole in one of them.
+    """
+    out = []
+    for word in "".join(" " if unicodedata.category(c) in BETWEEN else c for c in token).split():
+        marked = f"<{word}>"
+        step = WINDOW - max(SIZES) + 1
+        out += [word] if len(word) <= LONG else ["\n" + marked[i : i + WINDOW] for i in range(0, len(marked) - max(SIZES) + 1, step)]
+    return out or [token]
+
+
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    return words if max(map(len, words), default=0) <= LONG else [t for w in words for t in ([w] if len(w) <= LONG else _cut(w))]
 
 
 def buckets(token: str, count: int = BUCKETS) -> list[int]:
     """The hashed n-grams of a token without the punctuation around it; none for punctuation alone."""
-    word = token.strip(EDGE)
-    if not word:
-        return []
-    # A very long token has the n-grams of its first and last parts; its middle is no word.
-    marked = f"<{word}>" if len(word) <= 60 else f"<{word[:30]}{word[-30:]}>"
-    grams = {marked} | {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
+    if token[:1] == "\n":
+        marked = token[1:]
+        grams = set()
+    else:
+        word = token.strip(EDGE)
+        if not word:
+            return []
+        marked = f"<{word}>"
+        grams = {marked}
+    grams |= {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
     return [zlib.crc32(g.encode()) % count for g in sorted(grams)]
 
 

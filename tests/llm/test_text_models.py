@@ -107,6 +107,25 @@ def test_toxicity_without_labels(spark):
     assert [r.predicted for r in toxicity.score_documents(docs, none).collect()] == [0]
 
 
+@pytest.mark.parametrize("join", ["/", "_", "\u200b", ".", "\u3002"])
+def test_toxic_words_in_the_middle_of_long_tokens(join):
+    draw = random.Random(5)
+    plain = [f"word{i}" for i in range(60)]
+    texts = [" ".join(draw.choice(plain) for _ in range(20)) + (" worthless" if i % 4 == 0 else "") for i in range(200)]
+    model = toxicity.train(texts, [int(i % 4 == 0) for i in range(200)]).scorer()
+    words = [plain[i % 60] for i in range(20)]
+    assert model.score(join.join([*words, "worthless", *words])) > 0.5 > model.score(join.join(words + words))
+
+
+def test_long_tokens_lose_no_gram():
+    token = "".join(chr(0x4E00 + i) for i in range(1000))
+    for cut in (token, token[:61], token[:80], token[:81]):
+        marked, pieces = f"<{cut}>", [t[1:] for t in toxicity.tokens(cut)]
+        assert {marked[i : i + n] for n in toxicity.SIZES for i in range(len(marked) - n + 1)} == {p[i : i + n] for p in pieces for n in toxicity.SIZES for i in range(len(p) - n + 1)}
+        assert sum(map(len, pieces)) < 1.5 * len(marked)
+    assert toxicity.tokens("-" * 99) == ["-" * 99] and toxicity.buckets("-" * 99) == []
+
+
 def test_late_declarations_count(spark):
     late = "x" * 6000
     pages = [(1, f"<!-- {late} <html lang=fr> --><html lang='de'>"), (2, f"<style>{late}</style><meta http-equiv=content-language content='de'>"), (3, f"<html><script>{late} '<html lang=fr>'</script>"), (4, "<html lang=de>"), (5, None)]
