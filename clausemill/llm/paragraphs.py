@@ -7,6 +7,12 @@ five-word shingles are cut into bands, tuned for recall at the threshold; classe
 are candidates, compared exactly by their Jaccard similarity, and linked ones form components. Of a
 component's occurrences in all documents the first stays and the others are to be removed.
 
+Words that no whole piece covers are found by parts, which are compared by equal words only: runs of
+whole neighbouring pieces around a piece of fewer words, up to LEAST_WORDS or the whole text, so every
+word is in a piece or a part; and, within pieces of at least twice as many words, stretches between
+anchors (words whose hash is the least near them), for passages that begin or end inside a sentence.
+Anchors depend on the words nearby alone, so copies have them at the same places whatever stands around.
+
 Bands are counted in packed form by ranges of band hashes. Which classes share a band comes back as
 a bitmap of fixed size; a class that it names by chance only costs its own comparison.
 """
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,9 @@ RECALL = 0.99
 #: Bits of the bitmap of candidate classes: 2 MiB, whatever the input.
 BITS = 1 << 24
 PACKED = 1 << 20
+#: An anchor's hash is the least of the words up to so many places away.
+NEAR = 3
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STOP = re.compile(r"(?<=[.!?])[^\S\n]+|\n+")
 
 
@@ -58,14 +68,16 @@ class Pieces:
     """The pieces of some texts that have enough words: owner, number, start, end, words, key and shingles of each."""
 
     def __init__(self, texts: list[str], least: int):
+        self.texts, self.least = texts, least
         spans = [pieces(t) for t in texts]
         raw = [t[a:b].encode() for t, own in zip(texts, spans, strict=True) for a, b in own]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
         number = np.concatenate([np.arange(len(s)) for s in spans]) if spans else owner
         flat = np.array([x for own in spans for x in own], np.int64).reshape(-1, 2)
-        keys, grams, counts, sizes = [], [], [], []
+        keys, grams, counts, sizes, every = [], [], [], [], []
         for part in in_blocks(raw):
             hashes, n = word_hashes(raw[part])
+            every.append(hashes)
             first = np.cumsum(n) - n
             place = np.arange(len(hashes)) - np.repeat(first, n)
             sums = [np.zeros(len(n), U), np.zeros(len(n), U)]
@@ -81,6 +93,7 @@ class Pieces:
             sizes.append(m[keep])
             counts.append(n)
         n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.all = (owner, flat, n, np.concatenate(every) if every else np.zeros(0, U))
         keep = n >= least
         self.keys = (np.concatenate(keys) if keys else np.zeros((0, 2), U))[keep]
         self.owner, self.number, self.words, self.spans = owner[keep], number[keep], n[keep], flat[keep]
@@ -110,6 +123,85 @@ class Pieces:
         return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
+class Parts:
+    """The parts of the texts of some Pieces: owner, number (after those of all pieces), spans, words, key, and the span of the piece around each or (-1, -1)."""
+
+    def __init__(self, p: Pieces):
+        owner, flat, n, hashes = p.all
+        last = np.cumsum(n)
+        first = last - n
+        # (owner, first word, last word + 1, start, end, start and end of the piece around) of each.
+        rows = self._runs(p, owner, flat, n, first, last) + self._stretches(p, owner, flat, n, first, hashes)
+        table = np.unique(np.array(rows, np.int64).reshape(-1, 7), axis=0)
+        size = table[:, 2] - table[:, 1]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(begin, size)
+        words = hashes[np.repeat(table[:, 1], size) + place]
+        sums = []
+        for k, step in enumerate((0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)):
+            value = mix(words ^ U(step)) * mix(place.astype(U) * U(step) + U(k + 1))
+            sums.append(np.add.reduceat(value, begin) if len(table) else np.zeros(0, U))
+        self.keys = np.stack([mix(sums[0] + size.astype(U)), mix(sums[1])], 1)
+        # Of equal parts of one text that overlap the first stands for all.
+        keep, until = np.ones(len(table), bool), {}
+        for i, (k, o, a, b) in enumerate(zip(self.keys[:, 0].tolist(), table[:, 0].tolist(), table[:, 1].tolist(), table[:, 2].tolist())):
+            if until.get((o, k), 0) > a:
+                keep[i] = False
+            else:
+                until[o, k] = b
+        self._select(table, size, np.flatnonzero(keep))
+        pieces_of = np.bincount(owner, minlength=len(p.texts)) if len(p.texts) else np.zeros(0, np.int64)
+        started = np.searchsorted(self.owner, np.arange(len(p.texts)))
+        self.number = np.arange(len(self.owner)) - started[self.owner] + pieces_of[self.owner]
+
+    def _select(self, table: np.ndarray, size: np.ndarray, at: np.ndarray) -> None:
+        self.keys, self.owner, self.words = self.keys[at], table[at, 0], size[at]
+        self.spans, self.around = table[at, 3:5], table[at, 5:7]
+
+    @staticmethod
+    def _runs(p: Pieces, owner: np.ndarray, flat: np.ndarray, n: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, ...]]:
+        short = np.flatnonzero((n < p.least) & (n > 0))
+        low, high = np.searchsorted(owner, owner[short]), np.searchsorted(owner, owner[short], "right") - 1
+        # The nearest pieces that end or begin LEAST_WORDS away; at an edge of the text the run goes on at its other side.
+        to = np.minimum(np.searchsorted(last, first[short] + p.least), high)
+        back = np.maximum(np.searchsorted(first, last[short] - p.least, "right") - 1, low)
+        since = np.minimum(short, np.maximum(np.searchsorted(first, last[to] - p.least, "right") - 1, low))
+        until = np.maximum(short, np.minimum(np.searchsorted(last, first[back] + p.least), high))
+        return [(o, first[a], last[b], flat[a, 0], flat[b, 1], -1, -1) for o, *ab in zip(owner[short].tolist(), since, to, back, until) for a, b in (ab[:2], ab[2:])]
+
+    @staticmethod
+    def _stretches(p: Pieces, owner: np.ndarray, flat: np.ndarray, n: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> list[tuple[int, ...]]:
+        piece = np.repeat(np.arange(len(n)), n)
+        anchor = np.ones(len(hashes), bool)
+        value = mix(hashes + U(0x632BE59BD9B4E019))
+        for k in range(1, min(NEAR + 1, len(hashes))):
+            same = piece[k:] == piece[:-k]
+            anchor[k:] &= ~same | (value[k:] <= value[:-k])
+            anchor[:-k] &= ~same | (value[:-k] <= value[k:])
+        out = []
+        for i in np.flatnonzero(n >= 2 * p.least).tolist():
+            o, a, b, at, words = int(owner[i]), int(flat[i, 0]), int(flat[i, 1]), int(first[i]), int(n[i])
+            bounds = [(m.start() + a, m.end() + a) for m in _WORD.finditer(p.texts[o][a:b])]
+            cuts = sorted({0, words, *np.flatnonzero(anchor[at : at + words]).tolist()})
+            j = 0
+            for s in cuts:
+                while j < len(cuts) and cuts[j] < s + p.least:
+                    j += 1
+                if j == len(cuts):
+                    break
+                out.append((o, at + s, at + cuts[j], bounds[s][0], bounds[cuts[j] - 1][1], a, b))
+            # The last stretch also ends where the piece does.
+            s = max((c for c in cuts if c <= words - p.least), default=0)
+            out.append((o, at + s, at + words, bounds[s][0], bounds[-1][1], a, b))
+        return out
+
+    def take(self, at: np.ndarray) -> None:
+        self.keys, self.owner, self.words, self.number, self.spans, self.around = (x[at] for x in (self.keys, self.owner, self.words, self.number, self.spans, self.around))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[pa.RecordBatch, Pieces]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 400):
@@ -117,6 +209,24 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iter
             yield part, Pieces(part.column(column).to_pylist(), least)
 
 
+def part_occurrences(docs: DataFrame, bitmap: bytes, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """(id, piece, start, end, words, class, around_start, around_end) of the parts of every row that the bitmap names."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
+        for part, p in _batches(batches, 1, least):
+            q = Parts(p)
+            q.take(np.flatnonzero(_bit(bits, (q.keys[:, 0] % U(BITS)).astype(np.int64))))
+            if len(q):
+                ints = [pa.array(x.astype(np.int32)) for x in (q.number, q.spans[:, 0], q.spans[:, 1], q.words)]
+                around = [pa.array(q.around[:, k].astype(np.int32)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q.owner)), *ints, Pieces.packed_keys(q), *around], ["id", "piece", "start", "end", "words", "class", "around_start", "around_end"])
+
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    return plain.mapInArrow(rows, "id long, piece int, start int, end int, words int, class binary, around_start int, around_end int")
+
+
 def _new(seen: set[int], found: Pieces) -> np.ndarray:
     """The pieces whose key this task meets for the first time; forgets when it has seen very many."""
     if len(seen) > 2_000_000:
@@ -144,17 +254,19 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     return plain.mapInArrow(rows, "id long, piece int, start int, end int, words int, class binary")
 
 
-def _candidates(docs: DataFrame, text: str, least: int, bands: int, rows: int, parts: int) -> bytes:
-    """The bitmap of the classes that share a band with another class."""
+def _candidates(docs: DataFrame, text: str, least: int, bands: int, rows: int, parts: int) -> tuple[bytes, bytes]:
+    """Bitmaps of the classes that share a band with another class, and of the parts that occur more than once."""
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        later: list[np.ndarray] = []  # 1 for parts: their ranges come after those of bands
 
         def flush() -> Iterator[pa.RecordBatch]:
             band, key = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            part = ((band >> U(48)) % U(parts)).astype(np.uint16)
+            part = ((band >> U(48)) % U(parts)).astype(np.int64) + parts * np.concatenate(later)
+            later.clear()
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist() + [len(order)]
             for a, b in zip(cuts, cuts[1:]):
@@ -162,40 +274,54 @@ def _candidates(docs: DataFrame, text: str, least: int, bands: int, rows: int, p
                 blob = np.stack([band[mine], key[mine]], 1).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[mine[0]])], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
 
-        n = 0
+        n = met = 0
+        task = TaskContext.get().partitionId()
         for _, p in _batches(batches, 0, least):
             fresh = _new(seen, p)
             if len(fresh):
                 held.append((p.bands(bands, rows)[fresh].ravel(), np.repeat(p.keys[fresh, 0], bands)))
+                later.append(np.zeros(len(fresh) * bands, np.int64))
                 n += len(fresh) * bands
-                if n >= PACKED:
-                    yield from flush()
-                    n = 0
+            own = Parts(p).keys[:, 0]
+            if len(own):
+                # Each occurrence has a number of its own above the bits that name the part.
+                number = mix(U(task << 40) + np.arange(met, met + len(own), dtype=U))
+                held.append((own, number // U(BITS) * U(BITS) + own % U(BITS)))
+                later.append(np.ones(len(own), np.int64))
+                met += len(own)
+                n += len(own)
+            if n >= PACKED:
+                yield from flush()
+                n = 0
         if held:
             yield from flush()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(b, U).reshape(-1, 2) for batch in batches for b in batch.column(1).to_pylist()]
-        if not blobs:
-            return
-        both = np.concatenate(blobs)
-        order = np.argsort(both[:, 0], kind="stable")
-        band, key = both[order, 0], both[order, 1]
-        starts = np.flatnonzero(np.diff(band, prepend=~band[:1]))
-        several = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
-        runs = np.diff(np.append(starts, len(band)))
-        at = np.unique(key[np.repeat(several, runs)] % U(BITS)).astype(np.int64)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at + 1)], ["at"])  # bitmap positions count from 1
+        blobs: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        for batch in batches:
+            for part, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blobs[part >= parts].append(np.frombuffer(b, U).reshape(-1, 2))
+        for later, mine in enumerate(blobs):
+            if not mine:
+                continue
+            both = np.concatenate(mine)
+            order = np.argsort(both[:, 0], kind="stable")
+            band, key = both[order, 0], both[order, 1]
+            starts = np.flatnonzero(np.diff(band, prepend=~band[:1]))
+            several = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
+            runs = np.diff(np.append(starts, len(band)))
+            at = np.unique(key[np.repeat(several, runs)] % U(BITS)).astype(np.int64) + later * BITS
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at + 1)], ["at"])  # bitmap positions count from 1
 
     plain = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    dealt = plain.mapInArrow(to_ranges, "part int, blob binary").repartitionById(parts, F.col("part"))
+    dealt = plain.mapInArrow(to_ranges, "part int, blob binary").repartitionById(2 * parts, F.col("part"))
     at = dealt.mapInArrow(shared, "at long")
     grouped = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bitmap = bytearray(BITS // 8)
-    for row in grouped.collect():  # at most BITS / 32768 rows of 4 KiB
+    bitmap = bytearray(2 * BITS // 8)
+    for row in grouped.collect():  # at most 2 * BITS / 32768 rows of 4 KiB
         bitmap[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = row["bits"]
-    return bytes(bitmap)
+    return bytes(bitmap[: BITS // 8]), bytes(bitmap[BITS // 8 :])
 
 
 def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -230,7 +356,10 @@ def _sets(docs: DataFrame, text: str, least: int, bands: int, rows: int, bitmap:
 
 
 def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """One row per occurrence of a paragraph that occurs, nearly, more than once: key, piece, start, end, words, copies, kept_id, kept_piece, removed.
+    """One row per occurrence of a paragraph or part that occurs more than once, paragraphs also nearly: key, piece, start, end, words, copies, kept_id, kept_piece, removed.
+
+    Parts are numbered after the paragraphs of their row. One has no row where it adds nothing: within
+    a repeated paragraph that is removed, or that stays as the part does.
 
     start and end are character offsets. The first occurrence by (key, piece) stays, null keys last;
     kept_id and kept_piece name it. Repeats within one row count. Rows of a repeated key are taken
@@ -241,7 +370,7 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     scratch = Scratch(spark, "paragraphs")
     bands, rows = tuned_bands(percent, recall)
     found = scratch.keep(occurrences(docs, key, text, least), "pieces")
-    bitmap = _candidates(docs, text, least, bands, rows, partitions(spark))
+    bitmap, several = _candidates(docs, text, least, bands, rows, partitions(spark))
     sets = scratch.keep(_sets(docs, text, least, bands, rows, bitmap), "sets")
     labels = class_components(scratch, sets, percent).withColumnRenamed("node", "class")
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("piece").alias("piece"))
@@ -249,15 +378,25 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     placed = scratch.keep(classes.join(labels, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "copies", "first"), "placed")
     groups = placed.groupBy("component").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).where("copies > 1")
     repeated = placed.select("class", "component").join(groups, "component").drop("component")
-    out = found.join(repeated, "class")
     removed = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("piece") == F.col("first.piece")))
-    return out.select(F.col("id").alias(key), "piece", "start", "end", "words", "copies", F.col("first.id").alias("kept_id"), F.col("first.piece").alias("kept_piece"), removed.alias("removed"))
+    whole = scratch.keep(found.join(repeated, "class").withColumn("removed", removed), "whole")
+    parts = scratch.keep(part_occurrences(docs, several, key, text, least), "parts")
+    firsts = parts.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")).where("copies > 1")
+    parts = parts.join(firsts, "class").withColumn("removed", removed)
+    around = whole.groupBy(F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end")).agg(F.min("removed").alias("_gone"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("around_start") == F.col("_start")) & (F.col("around_end") == F.col("_end"))
+    parts = parts.join(around, same, "left").where("_gone is null or not _gone and removed")
+    columns = [F.col("id").alias(key), "piece", "start", "end", "words", "copies", F.col("first.id").alias("kept_id"), F.col("first.piece").alias("kept_piece"), "removed"]
+    return whole.select(*columns).unionByName(parts.select(*columns))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the paragraphs that repeated_paragraphs() removes cut out of their texts; other columns as they were."""
     gone = repeated_paragraphs(docs, key, text, **options).where("removed")
     cuts = gone.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
+    # Parts overlap: cuts that meet become one.
+    grow = lambda a, c: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= c["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], c["end"]).alias("end"))))).otherwise(F.concat(a, F.array(c)))
+    cuts = cuts.withColumn("_cuts", F.aggregate("_cuts", F.slice("_cuts", 1, 1), grow))
     # From the last cut to the first, so that offsets stay right.
     cut = lambda t, c: F.concat(F.substring(t, F.lit(1), c["start"]), F.expr("''"), t.substr(c["end"] + 1, F.length(t)))
     joined = docs.join(cuts, docs[key] == F.col("_k"), "left")

@@ -139,6 +139,46 @@ def test_repeated_paragraphs_equal_brute_force(spark):
     assert kept[0] == rows[0][1] and passage not in kept[5] and kept[52] is None and kept[54].strip() == ""
 
 
+@pytest.mark.parametrize("lengths", [(3, 7), (5, 5), (60, 70)])
+def test_passages_of_short_sentences_or_inside_a_sentence(spark, lengths):
+    draw = random.Random(12)
+    fresh = iter(range(10**6))
+    sentence = lambda a, b: [f"v{next(fresh)}" for _ in range(draw.randint(a, b))]
+    passage = []
+    while len(passage) < 60:
+        passage += sentence(*lengths)
+        passage[-1] += "."
+    passage[-1] = passage[-1].rstrip(".")
+    rows = []
+    for i in range(12):
+        before, after = sentence(12, 20), sentence(12, 20)
+        rows.append((i, " ".join(["Own", *before, *passage, *after]) + "."))
+    rows += [(20, "One two"), (21, "one TWO"), (22, None), (23, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = defaultdict(set)
+    for r in paragraphs.repeated_paragraphs(df).where("removed").collect():
+        hit[r.doc_id] |= set(range(r.start, r.end))
+    assert set(hit) == {*range(1, 12), 21}
+    for k, t in rows[1:12]:
+        words = [(m[0], m.start() in hit[k]) for m in WORD.finditer(t)]
+        assert sum(x for w, x in words if w in passage) >= 0.7 * len(passage)
+        assert not any(x for w, x in words if w not in passage)
+    kept = {r.doc_id: r.text for r in paragraphs.remove_repeats(df).collect()}
+    assert kept[0] == rows[0][1] and kept[21] == ""
+    for k, t in rows[1:12]:
+        assert kept[k] == "".join(c for i, c in enumerate(t) if i not in hit[k])
+
+
+def test_every_word_is_in_a_piece_or_a_part():
+    draw = random.Random(3)
+    texts = [" ".join(" ".join(f"é{draw.randrange(500)}" for _ in range(draw.choice([1, 2, 3, 5, 7, 12, 30]))) + draw.choice([".", "!", "", ".\n"]) for _ in range(draw.randint(0, 12))) for _ in range(50)]
+    p = paragraphs.Pieces([*texts, "", " ", "one two", "that " * 50], 8)
+    q = paragraphs.Parts(p)
+    for o, t in enumerate(p.texts):
+        spans = [tuple(s) for u in (p, q) for s, own in zip(u.spans.tolist(), u.owner) if own == o]
+        assert all(any(a <= m.start() and m.end() <= b for a, b in spans) for m in WORD.finditer(t))
+
+
 @pytest.mark.parametrize("threshold", [0.75, 0.9])
 def test_tuned_bands_reach_recall(threshold):
     b, r = paragraphs.tuned_bands(int(threshold * 100), 0.99)
