@@ -31,7 +31,7 @@ def _edges(s, d):
 
 
 def _labelled(s, d):
-    return read(s, d, "documents").join(read(s, d, "labels"), "doc_id").select("doc_id", F.substring("text", 1, 2000).alias("text"), F.col("toxic").alias("label"))
+    return read(s, d, "documents").join(read(s, d, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
 
 
 QUERIES = {

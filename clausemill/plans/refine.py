@@ -59,7 +59,7 @@ QUERIES = {
     "t19_validate_types": lambda s, d: r.validate_types(read(s, d, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("type")), s.createDataFrame([("red_bolt",), ("blue_bolt",), ("hot_gear",), ("red_widget",)], "type string")),
     "s2_decode_text": lambda s, d: r.decode_text(_docs(s, d).select("doc", F.encode("text", "UTF-8").alias("content"))).select("doc", "text"),
     "s3_html_to_lines": lambda s, d: r.html_to_lines(read(s, d, "pages"), "page_id", "html"),
-    "s15_content_fingerprint": lambda s, d: _docs(s, d).select("doc", F.sha2("text", 256).alias("sha"), t.fnv1a(F.substring("text", 1, 60)).alias("fnv")),
+    "s15_content_fingerprint": lambda s, d: _docs(s, d).select("doc", F.sha2("text", 256).alias("sha"), t.fnv1a(F.col("text")).alias("fnv")),
     "s17_upload_title": lambda s, d: read(s, d, "documents").select("doc_id", t.title_of(F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Doc "), "doc_id")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("spec_file-"), "doc_id", F.lit(".pdf"))), F.col("text")).alias("title")),
 }
 

@@ -75,3 +75,23 @@ def test_fnv(spark):
 def test_segment(spark):
     rows = refine.segment(spark.createDataFrame([(1, 0, "a) Refer to Cl. No. 5 here. The pump shall run. Next!")], "doc int, line_no int, line string")).orderBy("seg_no").collect()
     assert [r.segment for r in rows] == ["Refer to Cl. No. 5 here.", "The pump shall run.", "Next!"]
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from clausemill import plans
+    from clausemill.plans import more
+
+    long = "same words " * 300
+    rows = [(1, long + "a"), (2, long + "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(r.text for r in more._labelled(spark, str(tmp_path)).collect()) == [t for _, t in rows]
+
+    def fnv(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        return h
+
+    got = {r.doc: r.fnv for r in plans.queries()["s15_content_fingerprint"](spark, str(tmp_path)).collect()}
+    assert got == {k: fnv(t) for k, t in rows}
