@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -32,8 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
-            import tempfile
-
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
@@ -85,6 +86,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(docs: DataFrame) -> int:
+    """How many ranges to deal packed hashes of docs into: the session's shuffle partitions, or the splits that docs are read in if those are more."""
+    return max(partitions(docs.sparkSession), docs.rdd.getNumPartitions())
+
+
 def numbered(scratch: Scratch, df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
     """Dense integers 0, 1, ... in the given total order, without one task seeing all rows.
 

@@ -12,10 +12,11 @@ Documents link when intersection over union of their sets of five-word shingles
    counted. These prefix shingles are the only ones that make candidates, and common passages, which
    come last in the order, seldom are among them.
 4. Search. In each list of a prefix shingle (one of those with equal members) the most central class
-   is the hub and all others are its candidates. The hub is the query of a T-occurrence search over
-   them: T is the least overlap that a link needs; short lists are merged by a heap, long ones probed
-   by bisection (DivideSkip), and classes that reach their overlap are linked. Components are formed.
-   Lists with several components left are compared pair by pair where short; in long ones the classes
+   is the hub. A hub is the query of a T-occurrence search over candidates: T is the least overlap
+   that a link needs; short lists are merged by a heap, long ones probed by bisection (DivideSkip),
+   and classes that reach their overlap are linked. Each class is first a candidate of the hub of its
+   largest list, then, where a list still has several components, of that list's hub. Lists with
+   several components left are compared pair by pair where short; in long ones the classes
    outside the largest component are queries that search the others block by block. So every two
    classes that share a prefix shingle are compared or already connected, and a large group of copies
    costs a comparison or two a class instead of all pairs.
@@ -298,13 +299,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _searched(scratch: Scratch, big: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links that lists (gram, class, n, label) of many classes still hide.
 
-    Lists that share classes form a cluster. Of each cluster the classes outside its largest
+    Lists that share components form a cluster. Of each cluster the classes outside its largest
     component are queries; all its classes are dealt into blocks, and every block is searched by
     every query. A task holds one block and one part of the queries, however large the cluster.
     """
-    leaders = big.groupBy("gram").agg(F.min("class").alias("a"))
-    clusters = components(scratch, big.select("gram", F.col("class").alias("b")).join(leaders, "gram").select("a", "b").distinct())
-    members = big.select("class", "n", "label").distinct().join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
+    shares = big.select("gram", F.col("label").alias("b")).distinct()
+    leaders = shares.groupBy("gram").agg(F.min("b").alias("a"))
+    clusters = components(scratch, shares.join(leaders, "gram").select("a", "b").where("a <> b").distinct())
+    members = big.select("class", "n", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster")), "label")
     members = scratch.keep(members, "members")
     per = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("out"))
     dealt = per.select("cluster", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil(F.col("out") / BLOCK).alias("parts"))
@@ -348,25 +350,47 @@ def class_components(scratch: Scratch, sets: DataFrame, percent: int = PERCENT)
     fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
     two = lambda df: df.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
 
-    # First every list's hub against the others of the list.
+    # First each class against one hub: that of its largest list. A large group of copies gets one link a class.
     hubs = lists.groupBy("gram").agg(F.min_by(F.struct("class", "n"), F.struct("own", "class")).alias("hub")).select("gram", F.col("hub.class").alias("a"), F.col("hub.n").alias("n"))
-    pairs = lists.select("gram", F.col("class").alias("b"), F.col("n").alias("m")).join(hubs, "gram").where("a <> b").where(fits)
-    links = scratch.keep(_linked(pairs.select("a", "b").distinct(), sets, percent), "links")
-    labels = components(scratch, links)
-
-    # Then what is left of lists with several components, the hub taken out.
-    named = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-    named = named.join(hubs.select("gram", F.col("a").alias("hub")), "gram").where("class <> hub")
-    torn = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    left = scratch.keep(named.join(torn, "gram").select("gram", "k", "class", "n", "label"), "left")
+    pairs = lists.select("gram", "k", F.col("class").alias("b"), F.col("n").alias("m")).join(hubs, "gram").where("a <> b").where(fits)
+    nearest = pairs.groupBy("b").agg(F.min(F.struct((-F.col("k")).alias("k"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    labels = components(scratch, scratch.keep(_linked(nearest, sets, percent), "links"))
+
+    # Then the hubs of lists that still have several components against the others of the list.
+    left = _torn(scratch, lists, labels)
+    hub = left.join(hubs.select("gram", "a"), "gram").where(F.col("class") == F.col("a")).select("gram", "a", "n", "label")
+    pairs = two(left).join(hub, "gram").where("label <> other").where(fits)
+    labels = _merged(scratch, labels, _linked(pairs.select("a", "b").distinct(), sets, percent))
+
+    # Then what is left of them, the hub taken out.
+    left = _torn(scratch, left.drop("label"), labels, hubs.select("gram", F.col("a").alias("hub")))
     one = left.where(f"k <= {SMALL}")
     pairs = one.select("gram", F.col("class").alias("a"), "n", "label").join(two(one), "gram").where("a < b and label <> other").where(fits)
     more = _linked(pairs.select("a", "b").distinct(), sets, percent)
     big = left.where(f"k > {SMALL}")
     if big.limit(1).count():
         more = more.unionByName(_searched(scratch, big, sets, percent))
-    more = scratch.keep(more, "links")
-    return components(scratch, links.unionByName(more)) if more.limit(1).count() else labels
+    return _merged(scratch, labels, more)
+
+
+def _torn(scratch: Scratch, lists: DataFrame, labels: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """The lists (gram, k, class, n) whose classes, hubs left out, have several components, with label."""
+    named = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+    if hubs is not None:
+        named = named.join(hubs, "gram").where("class <> hub")
+    torn = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    return scratch.keep(named.join(torn, "gram").select("gram", "k", "class", "n", "label"), "left")
+
+
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: an edge for each class and each two components that links join, however many do."""
+    links = scratch.keep(links, "links")
+    if not links.limit(1).count():
+        return labels
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    both = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    joined = both.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
+    return components(scratch, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
 
 
 def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -107,3 +107,43 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
         ends = np.cumsum(n)
         for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
             yield np.unique(hashes[a:b])
+
+
+class Words:
+    """The words of a block of texts, with their places.
+
+    hashes, owner (text), starts and ends (characters from the beginning of the text), line and stop
+    (whether a word is the first of its line, whether it ends a sentence), of every word; begin (first
+    word of each text that has words) and text_end (the word after the last, of each text).
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.hashes, counts = word_hashes(texts)
+        _, white = _tables()
+        raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        blank = white[raw]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edge[0::2], edge[1::2]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_at = 1 + np.cumsum(lengths + 1) - lengths - 1
+        self.owner = np.repeat(np.arange(len(texts)), counts)
+        self.text_end = np.cumsum(counts)
+        self.begin = (self.text_end - counts)[counts > 0]
+        chars = np.cumsum((raw & 0xC0) != 0x80)  # characters up to each byte, it included
+        before = chars[text_at - 1][self.owner] if len(self.owner) else np.zeros(0, np.int64)
+        self.starts, self.ends = chars[starts - 1] - before, chars[ends - 1] - before
+        breaks = np.cumsum(raw == 10)
+        self.line = np.zeros(len(starts), bool)
+        self.line[1:] = breaks[starts[1:]] > breaks[ends[:-1] - 1]
+        self.line[self.begin] = True
+        self.stop = np.isin(raw[ends - 1], np.frombuffer(b".!?", np.uint8))
+
+
+def window_sums(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the words of each window [first, end): polynomials over word hashes, by prefix sums."""
+    power, inverse = _power(len(hashes) + 1)
+    out = []
+    for seed in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5):
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes ^ U(seed)) * power[: len(hashes)])])
+        out.append(mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(U)))
+    return out
