@@ -95,17 +95,18 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates() drops; columns and texts as they were.
+    """docs without the rows that exact_duplicates() drops; columns and texts as they were, whatever their names.
 
-    Of repeats of the kept row (equal key and text) one stays.
+    Null and empty texts are equal texts. A null key is smaller than any other. Of repeats of the kept
+    row (equal key and text) one stays, whichever. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup-keep")
-    key_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    kept = exact_duplicates(docs, key, text).where("kept").select(key_text.alias("_k"), F.col("text_sha256").alias("_h"))
-    kept = scratch.keep(kept.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    marked = docs.withColumn("_k", key_text).withColumn("_h", F.sha2(fold(F.col(text)), 256))
-    joined = marked.join(kept, ["_k", "_h"])
-    if kept.where("_rows > 1").limit(1).count():
-        same = Window.partitionBy("_k", "_h").orderBy(F.lit(1))  # the join has brought them together
-        joined = joined.withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    return joined.select(*docs.columns)
+    key_text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = exact_duplicates(docs, key, text).where("kept").select(key_text(F.col(key)).alias("k"), F.col("text_sha256").alias("h"))
+    kept = scratch.keep(kept.groupBy("k", "h").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), key_text(docs[f"`{key}`"]).alias("k"), F.sha2(fold(docs[f"`{text}`"]), 256).alias("h"))
+    joined = packed.join(kept, ["k", "h"])
+    if kept.where("rows > 1").limit(1).count():
+        same = Window.partitionBy("k", "h").orderBy(F.lit(1))  # the join has brought them together
+        joined = joined.withColumn("n", F.row_number().over(same)).where("n = 1")
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

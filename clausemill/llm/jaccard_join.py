@@ -14,9 +14,8 @@ Documents link when intersection over union of their sets of five-word shingles
 4. Search. In each list of a prefix shingle (one of those with equal members) the most central class
    is the hub. A hub is the query of a T-occurrence search over candidates: T is the least overlap
    that a link needs; short lists are merged by a heap, long ones probed by bisection (DivideSkip),
-   and classes that reach their overlap are linked. Each class is first a candidate of the hub of its
-   largest list, then, where a list still has several components, of that list's hub. Lists with
-   several components left are compared pair by pair where short; in long ones the classes
+   and classes that reach their overlap are linked. All classes of a list are candidates of its hub.
+   Lists with several components left are compared pair by pair where short; in long ones the classes
    outside the largest component are queries that search the others block by block. So every two
    classes that share a prefix shingle are compared or already connected, and a large group of copies
    costs a comparison or two a class instead of all pairs.
@@ -35,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import Scratch, components, partitions
+from clausemill.llm.common import Scratch, components, ranges
 from clausemill.llm.shingles import U, shingle_sets
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 5, 75
 #: Shingles that a task packs at a time.
-PACKED = 1 << 20
+PACKED = 1 << 19
 #: Lists of at most this many classes are compared pair by pair after their hub; classes in a block of a larger one.
 SMALL, BLOCK = 32, 256
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -338,8 +337,12 @@ def _searched(scratch: Scratch, big: DataFrame, sets: DataFrame, percent: int) -
     return full.groupBy("cluster", "block", "part").applyInArrow(search, "a binary, b binary")
 
 
-def class_components(scratch: Scratch, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) for classes with links."""
+def class_components(scratch: Scratch, sets: DataFrame, percent: int = PERCENT, nearest: bool = False) -> DataFrame:
+    """(node, component) for classes with links.
+
+    With nearest, each class first meets one hub only, that of its largest list: fewer links where
+    copies share many lists, as they do the bands of a signature.
+    """
     # A class with few shingles of its own is near the middle of its copies: it is the better hub.
     own = (F.col("n") - F.octet_length("shared") / 8) / F.col("n")
     lists = sets.select(F.col("class"), "n", F.round(own, 3).alias("own"), F.explode("prefix").alias("gram"))
@@ -350,20 +353,23 @@ def class_components(scratch: Scratch, sets: DataFrame, percent: int = PERCENT)
     fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
     two = lambda df: df.select("gram", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
 
-    # First each class against one hub: that of its largest list. A large group of copies gets one link a class.
+    # The hub of each list against its other classes.
     hubs = lists.groupBy("gram").agg(F.min_by(F.struct("class", "n"), F.struct("own", "class")).alias("hub")).select("gram", F.col("hub.class").alias("a"), F.col("hub.n").alias("n"))
     pairs = lists.select("gram", "k", F.col("class").alias("b"), F.col("n").alias("m")).join(hubs, "gram").where("a <> b").where(fits)
-    nearest = pairs.groupBy("b").agg(F.min(F.struct((-F.col("k")).alias("k"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    labels = components(scratch, scratch.keep(_linked(nearest, sets, percent), "links"))
-
-    # Then the hubs of lists that still have several components against the others of the list.
-    left = _torn(scratch, lists, labels)
-    hub = left.join(hubs.select("gram", "a"), "gram").where(F.col("class") == F.col("a")).select("gram", "a", "n", "label")
-    pairs = two(left).join(hub, "gram").where("label <> other").where(fits)
-    labels = _merged(scratch, labels, _linked(pairs.select("a", "b").distinct(), sets, percent))
-
-    # Then what is left of them, the hub taken out.
-    left = _torn(scratch, left.drop("label"), labels, hubs.select("gram", F.col("a").alias("hub")))
+    if nearest:
+        best = pairs.groupBy("b").agg(F.min(F.struct((-F.col("k")).alias("k"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        labels = components(scratch, scratch.keep(_linked(best, sets, percent), "links"))
+        # Then only in lists that still have several components.
+        lists = _torn(scratch, lists, labels)
+        hub = lists.join(hubs.select("gram", "a"), "gram").where(F.col("class") == F.col("a")).select("gram", "a", "n", "label")
+        pairs = two(lists).join(hub, "gram").where("label <> other").where(fits)
+        labels = _merged(scratch, labels, _linked(pairs.select("a", "b").distinct(), sets, percent))
+        lists = lists.drop("label")
+    else:
+        labels = components(scratch, scratch.keep(_linked(pairs.select("a", "b").distinct(), sets, percent), "links"))
+
+    # Then what is left of lists with several components, the hub taken out.
+    left = _torn(scratch, lists, labels, hubs.select("gram", F.col("a").alias("hub")))
     one = left.where(f"k <= {SMALL}")
     pairs = one.select("gram", F.col("class").alias("a"), "n", "label").join(two(one), "gram").where("a < b and label <> other").where(fits)
     more = _linked(pairs.select("a", "b").distinct(), sets, percent)
@@ -404,7 +410,7 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     """
     scratch = Scratch(docs.sparkSession, "jaccard-join")
     rows = scratch.keep(_classes(docs, key, text), "classes")
-    sets = scratch.keep(_shared(docs, text, partitions(docs.sparkSession), percent), "sets")
+    sets = scratch.keep(_shared(docs, text, ranges(docs), percent), "sets")
     labels = class_components(scratch, sets, percent)
     placed = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = scratch.keep(placed.select("id", "n", "component"), "placed")
@@ -414,27 +420,28 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: that of the smallest key, null keys last; columns and texts as they were.
+    """docs with one row of each component: that of the smallest key, null keys last; columns and texts as they were, whatever their names.
 
     Of rows that share this key the one of the smallest text digest stays, of its repeats (equal key
-    and text) one. Rows without words stay.
+    and text) one. Rows without words stay. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "jaccard-keep")
-    marked = docs.withColumn("_own_key", F.col(key).cast("long")).withColumn("_own_digest", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
     rows = scratch.keep(_classes(docs, key, text, digest=True).where("class is not null"), "classes")
-    sets = scratch.keep(_shared(docs, text, partitions(docs.sparkSession), percent), "sets")
+    sets = scratch.keep(_shared(docs, text, ranges(docs), percent), "sets")
     labels = class_components(scratch, sets, percent).withColumnRenamed("node", "class")
     named = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = scratch.keep(named.groupBy("component", "id", "h").agg(F.count(F.lit(1)).alias("rows")), "named")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     first = named.groupBy("component").agg(F.min(order).alias("first"))
     placed = named.join(first, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
-    placed = scratch.keep(placed.select(F.col("id").alias("_id"), F.col("h").alias("_digest"), "rows", "stays"), "placed")
-    same = lambda df, other: df["_own_key"].eqNullSafe(other["_id"]) & (df["_own_digest"] == other["_digest"])
+    placed = scratch.keep(placed.select("id", "h", "rows", "stays"), "placed")
+    whole = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[f"`{key}`"].cast("long").alias("k"), F.sha2(whole, 256).alias("d"))
+    same = lambda df, other: df["k"].eqNullSafe(other["id"]) & (df["d"] == other["h"])
     gone = placed.where("not stays")
-    left = marked.join(gone, same(marked, gone), "left_anti")
+    left = packed.join(gone, same(packed, gone), "left_anti")
     again = placed.where("stays and rows > 1")
     if again.limit(1).count():
-        one = left.join(again, same(left, again), "left_semi").dropDuplicates(["_own_key", "_own_digest"])
+        one = left.join(again, same(left, again), "left_semi").dropDuplicates(["k", "d"])
         left = left.join(again, same(left, again), "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

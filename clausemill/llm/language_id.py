@@ -23,12 +23,15 @@ from clausemill.llm.common import Scratch
 SLOTS = 1 << 16
 #: Bounds of the training sample: texts of each language, and characters of one of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
+#: Languages of the model at most: those with the most labelled texts (it holds a table of SLOTS numbers for each).
+MOST_LANGUAGES = 64
 #: A trigram counts as this much of an independent observation, and a text as at most so many trigrams.
 WEIGHT, MOST = 0.25, 400.0
 #: Pages that a parent's prior weighs as.
 STRENGTH = 5.0
-_HIDDEN = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
+# What is never closed hides the rest of the page, as in a browser; each alternative always matches, so a page is read once.
+_HIDDEN = re.compile(r"(?is)<(script|style)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<!--.*?(?:-->|\Z)")
+_TAG = re.compile(r"<[^<>]*>")
 
 
 def visible(page: str) -> str:
@@ -58,6 +61,8 @@ def train(texts: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 def training_texts(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> list[tuple[str, str]]:
     """Of each language the texts of least hash of their key, up to the bounds above."""
     rows = docs.select(F.col(lang).alias("g"), F.col(key).alias("k"), F.length(text).alias("n")).where(f"g is not null and k is not null and n between 20 and {SAMPLE_CHARS}")
+    common = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(MOST_LANGUAGES).select("g")
+    rows = rows.join(F.broadcast(common), "g")  # at most MOST_LANGUAGES rows
     picked = rows.select("g", "k").withColumn("h", F.xxhash64("k")).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))).where(f"n <= {SAMPLE_TEXTS}").select("k")
     found = docs.select(F.col(lang).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(20, SAMPLE_CHARS)).join(F.broadcast(picked.distinct()), "k")
     return [(r["g"], r["t"]) for r in found.orderBy("k").collect()]
@@ -66,8 +71,8 @@ def training_texts(docs: DataFrame, lang: str = "lang", text: str = "text", key:
 def declared_language(page: Column) -> Column:
     """The primary subtag that the html element (or a content-language header) declares, or null; scripts, styles and comments declare nothing."""
     markup = F.regexp_replace(page, _HIDDEN.pattern, " ")
-    tag = F.regexp_extract(markup, r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
-    meta = F.regexp_extract(markup, r"(?is)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
+    tag = F.regexp_extract(markup, r"(?is)<html\b[^<>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
+    meta = F.regexp_extract(markup, r"(?is)<meta\b[^<>]*content-language[^<>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
     return F.lower(F.coalesce(F.nullif(tag, F.lit("")), F.nullif(meta, F.lit(""))))
 
 
@@ -116,7 +121,8 @@ def _vector(column: str, n: int) -> list[Column]:
 def identify_languages(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: key, language, probability, text_language, declared, suffix, host.
 
-    docs (doc_id, text, lang) trains the text model. A page without text has the posterior of its
+    docs (doc_id, text, lang) trains the text model on a bounded sample; a page's evidence from its
+    text is tempered to that of MOST trigrams, all of which count. A page without text has the posterior of its
     other evidence; one without any has the corpus's most frequent language. Ties go to the first
     language in order of name. Null addresses have null host and suffix and the corpus prior. Without
     labelled docs the language is null. An empty table gives an empty result; other columns are

@@ -7,9 +7,10 @@ size, so every size is taken in proportion, and a source's taken words differ fr
 about one document.
 
 Expected copies are whole multiples of 1 / UNIT, so their sums are exact and the same in any order
-of addition, and reruns agree. A source is not summed in one task: it is cut into chunks, each chunk
-is summed, the few chunk sums of a source are summed in order, and the running sum within a chunk
-starts from there.
+of addition, and reruns agree. A source is not summed in one task: all rows are sorted by source, size
+and key into ranges of about equal numbers of rows, so a large source spans many; each range is summed
+by source, the running sums over the ranges of a source (a row a range) say where each begins, and
+the running sum within a range goes on from there.
 """
 
 from __future__ import annotations
@@ -19,13 +20,11 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import WORD, Scratch, numbered
+from clausemill.llm.common import WORD, Scratch, numbered, partitions
 
 #: One expected copy in fixed point.
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
-#: Rows of one chunk, about. More rows of one source and size class are split by identifier.
-CHUNK_ROWS = 4_000
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is at most this many times its source's size.
 MOST = 3
@@ -64,31 +63,28 @@ def source_targets(scratch: Scratch, sources: DataFrame, weights: tuple[float, .
     return state.select("source", "source_size", F.round(F.least(cap, F.col("weight") * F.lit(max(level, 0.0))), 6).alias("target"))
 
 
-def systematic_copies(scratch: Scratch, rows: DataFrame, offset: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def systematic_copies(scratch: Scratch, rows: DataFrame, offset: int) -> DataFrame:
     """Adds copies to rows (id, tie, source, size, units): how often each is taken.
 
     units are expected copies times UNIT, offset is below UNIT. Rows with equal id and tie are
     interchangeable.
     """
-    rows = rows.withColumn("klass", F.length(F.bin("size")))
-    spread = rows.groupBy("source", "klass").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    most, low, high = spread.agg(F.max("n"), F.min("low"), F.max("high")).first()
-    ranges = max(1, -(-(most or 0) // chunk_rows))
-    width = ((high or 0) - (low or 0)) // ranges + 1
-    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("long"))
-    # A null source is a source like others: joined and windowed by a key that is never null.
+    # A null source is a source like others: sorted and joined by a key that is never null.
     rows = rows.withColumn("src", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
-    chunk = ["src", "klass", "range"]
-    sums = scratch.keep(rows.groupBy(*chunk).agg(F.sum("units").alias("sum")), "chunks")
-    before = Window.partitionBy("src").orderBy("klass", "range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*chunk, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    upto = Window.partitionBy(*chunk).orderBy("size", F.col("id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col("src"), F.col("size"), F.col("id").asc_nulls_first(), F.col("tie")]
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    # Number of the range in the upper bits, place within it in the lower 33.
+    placed = scratch.keep(ranged.withColumn("at", F.monotonically_increasing_id()), "sorted").withColumn("part", F.shiftright("at", 33))
+    sums = placed.groupBy("part", "src").agg(F.sum("units").alias("sum"))
+    before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", "src", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    upto = Window.partitionBy("part", "src").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("start") + F.col("upto") + F.lit(offset)
     crossed = F.shiftright(end, UNIT_BITS) - F.shiftright(end - F.col("units"), UNIT_BITS)
-    return rows.withColumn("upto", F.sum("units").over(upto)).join(starts, chunk).withColumn("copies", crossed).drop("klass", "range", "src", "start", "upto")
+    return placed.withColumn("upto", F.sum("units").over(upto)).join(starts, ["part", "src"]).withColumn("copies", crossed).drop("part", "src", "at", "start", "upto")
 
 
-def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 42) -> DataFrame:
     """One row per row of docs: id, tie, source, size, source_size, target, copies.
 
     Null texts have size 0. A null source is a source of its own, the last one. Empty documents have
@@ -103,18 +99,28 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     units = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("long")
     wanted = wanted.withColumn("units", units).withColumnRenamed("source", "_source")
     placed = sized.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return systematic_copies(scratch, placed, offset_units(seed), chunk_rows).drop("units")
+    return systematic_copies(scratch, placed, offset_units(seed)).drop("units")
+
+
+def _row_name(key: Column, source: Column, tie: Column) -> Column:
+    """What tells rows apart: key, source and text, nulls included."""
+    return F.concat_ws("/", F.coalesce(key.cast("long").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")), tie)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of docs, each as often as mix_plan() takes it; columns as they were."""
+    """The mix itself: rows of docs, each as often as mix_plan() takes it; columns as they were, whatever their names.
+
+    Nulls and empty texts count as in mix_plan(). Of repeats (equal key, source and text) the copies
+    are all of one of them, as nothing but other columns tells them apart. An empty table gives an
+    empty result.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     plan = mix_plan(docs, key, text, source, **options)
-    name = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.col("tie"))
-    taken = scratch.keep(plan.groupBy(name.alias("_name")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "taken")
-    own = F.concat_ws("/", F.coalesce(F.col(key).cast("long").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), F.xxhash64(F.col(text)))
-    out = docs.withColumn("_name", own).join(taken.where("_copies > 0"), "_name")
-    if taken.where("_rows > 1").limit(1).count():  # repeats of one row: the first stands for all
-        first = Window.partitionBy("_name").orderBy(F.lit(1))
-        out = out.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    named = plan.groupBy(_row_name(F.col("id"), F.col("source"), F.col("tie")).alias("name"))
+    taken = scratch.keep(named.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "taken")
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), _row_name(docs[f"`{key}`"], docs[f"`{source}`"], F.xxhash64(docs[f"`{text}`"])).alias("name"))
+    out = packed.join(taken.where("copies > 0"), "name")
+    if taken.where("rows > 1").limit(1).count():  # repeats of one row: the first stands for all
+        out = out.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(F.lit(1)))).where("n = 1")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

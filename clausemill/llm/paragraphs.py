@@ -301,7 +301,7 @@ def _paragraph_labels(scratch: Scratch, texts: DataFrame, classes: DataFrame, le
     named = scratch.keep(banded.join(several, "band").groupBy("class").agg(F.collect_list("band").alias("prefix"), F.first("key").alias("key")), "candidates")
     bitmap = _bitmap(named.select("key"))
     sets = scratch.keep(_sets(texts, least, bitmap).join(named.drop("key"), "class"), "sets")
-    labels = class_components(scratch, sets, percent).withColumnRenamed("node", "class")
+    labels = class_components(scratch, sets, percent, nearest=True).withColumnRenamed("node", "class")
     scratch.drop(named, sets)
     return labels
 

@@ -89,17 +89,12 @@ def oracle_sql() -> dict[str, str]:
                      round(least(source_size * 3.0::DOUBLE, w * (SELECT level FROM filled WHERE level < ratio ORDER BY ratio, source NULLS LAST LIMIT 1)), 6) AS target
               FROM filled),
             placed AS (
-              SELECT s.doc_id, s.source, s.size, t.source_size, t.target, length(bin(s.size)) AS klass,
+              SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
                      CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size * {mixing.UNIT} + 0.5) AS BIGINT) ELSE 0 END AS units
               FROM sized s JOIN wanted t ON s.source IS NOT DISTINCT FROM t.source),
-            spread AS (
-              SELECT greatest(1, CAST(ceil(max(n) / {mixing.CHUNK_ROWS}.0) AS BIGINT)) AS ranges, min(low) AS low, max(high) AS high
-              FROM (SELECT count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM placed GROUP BY source, klass)),
             laid AS (
-              SELECT p.*, CAST(sum(units) OVER (PARTITION BY source ORDER BY klass,
-                       coalesce((doc_id - low) // ((high - low) // ranges + 1), 0), size, doc_id NULLS FIRST
-                       ROWS UNBOUNDED PRECEDING) AS BIGINT) + {mixing.offset_units(42)} AS upto
-              FROM placed p CROSS JOIN spread)
+              SELECT *, CAST(sum(units) OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) + {mixing.offset_units(42)} AS upto
+              FROM placed)
             SELECT doc_id, size, source_size, target, ((upto >> {mixing.UNIT_BITS}) - ((upto - units) >> {mixing.UNIT_BITS})) * size AS taken FROM laid""",
         "op5_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {folded} AS body FROM documents)

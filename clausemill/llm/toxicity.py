@@ -1,7 +1,9 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained in numpy.
 
 A word is the bag of its character n-grams (with word bounds) and itself, hashed into BUCKETS; its
-vector is the mean of theirs, a text's vector the mean of its words'. Embeddings and softmax are
+vector is the mean of theirs. A text is read in passages of PASSAGE words; a passage's vector is the
+mean of its words', so that a few words of abuse count in a long text as they do in a short one. The
+text's logits are those of its passages, pooled by how toxic they are. Embeddings and softmax are
 trained jointly on a bounded sample of labelled texts, so a misspelling that was never seen still
 shares most of its n-grams with the word it stands for.
 
@@ -13,8 +15,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.llm.shingles import U, mix
+
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
 #: Bounds of the training sample: labelled texts of each label, and the characters of one of them.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1800, 4000, 20_000
-#: Scale of the averaged vector before the softmax: a text is seldom toxic in more than a few words of a hundred.
-SCALE = 64.0
+#: Words of a passage; scale of its vector before the softmax; how sharply the most toxic passage prevails.
+PASSAGE, SCALE, SHARP = 24, 12.0, 2.0
 #: Steps of training; how far a row that says nothing is drawn to zero; how far small gradients stay small steps.
-EPOCHS, SHRINK, FLOOR = 80, 0.35, 0.05
+EPOCHS, SHRINK, FLOOR = 80, 0.2, 0.05
 #: Texts that a word of the training vocabulary occurs in, at least.
-LEAST_TEXTS = 10
+LEAST_TEXTS = 6
 EDGE = " \t\n\v\f\r.,;:!?\"'()[]{}|#*%&$<>-_/\\"
 #: Tokens of more characters are cut at Unicode's punctuation, signs and format characters, and what is longer still into windows.
 LONG, WINDOW = 60, 20
@@ -60,19 +62,38 @@ def tokens(text: str) -> list[str]:
     return words if max(map(len, words), default=0) <= LONG else [t for w in words for t in ([w] if len(w) <= LONG else _cut(w))]
 
 
-def buckets(token: str, count: int = BUCKETS) -> list[int]:
-    """The hashed n-grams of a token without the punctuation around it; none for punctuation alone."""
-    if token[:1] == "\n":
-        marked = token[1:]
-        grams = set()
-    else:
-        word = token.strip(EDGE)
-        if not word:
-            return []
-        marked = f"<{word}>"
-        grams = {marked}
-    grams |= {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode()) % count for g in sorted(grams)]
+def bags(words: list[str], count: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, number of n-grams of each word), the punctuation around words left out; none for punctuation alone."""
+    marked = [w[1:] if w[:1] == "\n" else f"<{x}>" if (x := w.strip(EDGE)) else "" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(U)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters from here to the end of the word
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    padded = np.concatenate([codes, np.zeros(max(SIZES), U)])
+    total = np.zeros(len(codes), U)
+    owners, hashes = [], []
+    for n in range(1, max(SIZES) + 1):
+        total = total * U(0x9E3779B97F4A7C15) + padded[n - 1 : n - 1 + len(codes)] + U(1)
+        if n in SIZES:
+            at = np.flatnonzero(left >= n)
+            owners.append(owner[at])
+            hashes.append(mix(total[at] + U(n)))
+    # The word itself: a polynomial by prefix sums.
+    place = np.cumsum(mix(codes + U(7)) * _powers(len(codes)))
+    whole = np.flatnonzero(lengths > 0)
+    first = ends[whole] - lengths[whole]
+    sums = place[ends[whole] - 1] - np.where(first > 0, place[first - 1], U(0))
+    owners.append(whole)
+    hashes.append(mix(sums * _powers(len(codes), True)[first] + lengths[whole].astype(U)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(hashes)[order] % U(count)).astype(np.int64), np.bincount(owner, minlength=len(words))
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    base = 0xD6E8FEB86659FD93
+    return np.cumprod(np.full(n, U(pow(base, -1, 1 << 64) if inverse else base)))
 
 
 class Model:
@@ -85,24 +106,48 @@ class Model:
         return Scorer(self)
 
 
-class Scorer(dict):
-    """Remembers each token's part in the log odds."""
+class Scorer:
+    """Scores texts; remembers each word's part in the log odds."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.weights, self.bias = model.weights.tolist(), model.bias
-
-    def __missing__(self, token: str) -> float:
-        found = buckets(token, len(self.weights))
-        value = self[token] = sum(self.weights[b] for b in found) / len(found) if found else 0.0
-        return value
+        self.weights, self.bias, self.known = model.weights.astype(np.float64), model.bias, {}
+
+    def learn(self, words: set[str]) -> None:
+        """The parts of words that are not known yet, all at once."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = sorted(words - self.known.keys())
+        if new:
+            found, counts = bags(new, len(self.weights))
+            values = np.zeros(len(new))
+            some = np.flatnonzero(counts)
+            if len(some):
+                values[some] = np.add.reduceat(self.weights[found], (np.cumsum(counts) - counts)[some]) / counts[some]
+            self.known.update(zip(new, values.tolist()))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        split = [tokens(t) for t in texts]
+        self.learn(set().union(*split))
+        part = self.known.__getitem__
+        out = []
+        for words in split:
+            parts = list(map(part, words))
+            z = [self.bias + sum(parts[a:b]) / (b - a) for a, b in passages(len(parts))]
+            top = max(z, default=self.bias)
+            pooled = top + math.log(sum(math.exp(SHARP * (x - top)) for x in z)) / SHARP if len(z) > 1 else top
+            out.append(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, pooled)))))
+        return out
 
     def score(self, text: str) -> float:
-        words = tokens(text)
-        if len(self) > REMEMBERED:
-            self.clear()
-        z = self.bias + (math.fsum(map(self.__getitem__, words)) / len(words) if words else 0.0)
-        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
+        return self.scores([text])[0]
+
+
+def passages(n: int) -> list[tuple[int, int]]:
+    """The passages of n words: a last one of less than half the words goes to the one before."""
+    starts = list(range(0, n, PASSAGE))
+    if len(starts) > 1 and 2 * (n - starts[-1]) < PASSAGE:
+        starts.pop()
+    return list(zip(starts, [*starts[1:], n]))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -120,53 +165,69 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     if not len(y) or y.min() == y.max():
         odds = (y.sum() + 1) / (len(y) - y.sum() + 1) if len(y) else 1e-3
         return Model(np.zeros(BUCKETS), math.log(odds))
+    split = [tokens(t) for t in texts]
     spread: Counter[str] = Counter()
-    for t in texts:
-        spread.update(set(tokens(t)))
-    grams, vocabulary = [], {}
-    for w, n in spread.items():
-        if n >= min(least, len(y) // 50 + 1) and (g := buckets(w)):
-            vocabulary[w] = len(grams)
-            grams.append(g)
-    if not grams:
-        return Model(np.zeros(BUCKETS), math.log(y.mean() / (1 - y.mean())))
+    for words in split:
+        spread.update(set(words))
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= min(least, len(y) // 50 + 1)))}
     del spread
-    at: tuple[array, array, array] = (array("q"), array("q"), array("f"))
-    for d, t in enumerate(texts):
-        words = tokens(t)
-        for w, n in Counter(w for w in words if w in vocabulary).items():
-            for column, x in zip(at, (d, vocabulary[w], n / len(words))):
-                column.append(x)
-    doc_at, word_at, share = (np.asarray(x) for x in at)
-    used, gram_at = np.unique(np.concatenate([np.asarray(g) for g in grams]), return_inverse=True)
-    per_word = np.fromiter(map(len, grams), np.int64, len(grams))
-    owner, word_starts = np.repeat(np.arange(len(grams)), per_word), np.cumsum(per_word) - per_word
-    part = (1.0 / per_word).astype(np.float32)[:, None]
-    docs_with, doc_starts = np.unique(doc_at, return_index=True)
+    gram, per_word = bags(list(vocabulary))
+    # (passage, word, share of the passage) of each word of the vocabulary.
+    at, share, owner_of = [], [], []
+    n_passages = 0
+    for d, words in enumerate(split):
+        for a, b in passages(len(words)) or [(0, 0)]:
+            for w, n in Counter(vocabulary[w] for w in words[a:b] if w in vocabulary).items():
+                at.append((n_passages, w))
+                share.append(n / (b - a))
+            owner_of.append(d)
+            n_passages += 1
+    del split
+    if not at:
+        return Model(np.zeros(BUCKETS), math.log(y.mean() / (1 - y.mean())))
+    passage_at, word_at = np.asarray(at, np.int32).T
+    share = (np.asarray(share, np.float32) * np.float32(SCALE))[:, None]
+    of = np.asarray(owner_of)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    # Words without n-grams (punctuation) have none of the sums below.
+    used, gram_at = np.unique(gram, return_inverse=True)
+    with_grams = np.flatnonzero(per_word)
+    word_starts = (np.cumsum(per_word) - per_word)[with_grams]
+    owner = np.repeat(np.arange(len(per_word)), per_word)
+    part = (1.0 / np.maximum(per_word, 1)).astype(np.float32)[:, None]
+    seen, seen_starts = np.unique(passage_at, return_index=True)
     by_word = np.argsort(word_at, kind="stable")
-    words_starts = np.unique(word_at[by_word], return_index=True)[1]  # every word of the vocabulary occurs
+    of_words, words_starts = np.unique(word_at[by_word], return_index=True)
     by_gram = np.argsort(gram_at, kind="stable")
     gram_starts = np.unique(gram_at[by_gram], return_index=True)[1]
-    share = share[:, None] * np.float32(SCALE)
 
     random = np.random.default_rng(seed)
     embed = random.normal(0, 0.05, (len(used), DIMENSIONS)).astype(np.float32)
     top = random.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log([1 - y.mean(), y.mean()]).astype(np.float32)
     state = [np.zeros_like(p) for p in (embed, top, bias) for _ in range(2)]
-    target = np.stack([1 - y, y], 1)
     for step in range(1, epochs + 1):
-        words = _sums(embed[gram_at], word_starts) * part
-        docs = np.zeros((len(y), DIMENSIONS), np.float32)
-        docs[docs_with] = _sums(words[word_at] * share, doc_starts)
-        logits = docs @ top + bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - target) / len(y)
-        d_docs = g @ top.T
-        d_words = _sums((d_docs[doc_at] * share)[by_word], words_starts) * part
+        words = np.zeros((len(per_word), DIMENSIONS), np.float32)
+        words[with_grams] = _sums(embed[gram_at], word_starts)
+        words *= part
+        vectors = np.zeros((n_passages, DIMENSIONS), np.float32)
+        vectors[seen] = _sums(words[word_at] * share, seen_starts)
+        logits = vectors @ top + bias
+        z = logits[:, 1] - logits[:, 0]
+        # Pooled over the passages of a text; weight: a passage's part in the pooled value.
+        high = np.maximum.reduceat(z, first)
+        e = np.exp(SHARP * (z - high[of]))
+        total = np.add.reduceat(e, first)
+        pooled, weight = high + np.log(total) / SHARP, e / total[of]
+        p = 1 / (1 + np.exp(-np.clip(pooled, -60, 60)))
+        g1 = ((p - y) / len(y))[of] * weight
+        g = np.stack([-g1, g1], 1).astype(np.float32)
+        d_vectors = g @ top.T
+        d_words = np.zeros_like(words)
+        d_words[of_words] = _sums((d_vectors[passage_at] * share)[by_word], words_starts)
+        d_words *= part
         d_embed = _sums(d_words[owner[by_gram]], gram_starts)
-        for k, (value, grad) in enumerate(((embed, d_embed), (top, docs.T @ g), (bias, g.sum(0)))):
+        for k, (value, grad) in enumerate(((embed, d_embed), (top, vectors.T @ g), (bias, g.sum(0)))):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -211,7 +272,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
             own = batch.columns[:-1]
             scores = []
             for at in range(0, batch.num_rows, 256):
-                scores += [scorer.score(t or "") for t in batch.column(batch.num_columns - 1).slice(at, 256).to_pylist()]
+                scores += scorer.scores([t or "" for t in batch.column(batch.num_columns - 1).slice(at, 256).to_pylist()])
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t"))

@@ -1,7 +1,8 @@
 """WARC archives with revisit records for repeated payloads.
 
-Headers, not payloads, are grouped by payload digest; the least page of each digest is the original.
-Each page's row then meets its digest's original and becomes a WARC record: a response with its
+Headers are grouped by payload digest; the least page of each digest is the original. Short payloads
+are never revisits and go straight to the writer; the others meet their digest's original in one join
+(which moves their payloads once) and become WARC records: a response with its
 payload, or a revisit that only refers to the response. Records are written by Spark's own text
 writer (so by its committer: a lost executor leaves no half archive) into gzip files in a shared
 folder, and read back by their Content-Length.
@@ -22,6 +23,8 @@ from clausemill.llm.common import Scratch
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
+#: Records of one file at most: archives are read back file by file.
+MOST_RECORDS = 10_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -36,13 +39,21 @@ def resolve_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", p
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.groupBy("digest").agg(F.min("page").alias("first"))
-    revisit = (F.col("bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "digest").select("page", "url", "payload", "digest", "bytes", F.when(revisit, F.col("first")).alias("original"))
+    long_enough = F.col("bytes") >= least_bytes
+    # Only digests that several pages have need the join's other side: a header each.
+    firsts = rows.where(long_enough).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    joined = rows.where(long_enough).join(firsts, "digest", "left")
+    original = F.when(F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
+    columns = ["page", "url", "payload", "digest", "bytes"]
+    return joined.select(*columns, original.alias("original")).unionByName(rows.where(~long_enough).select(*columns, F.lit(None).cast("long").alias("original")))
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes resolved rows as gzip WARC files, with fresh headers and record identifiers."""
+    """Writes resolved rows as gzip WARC files, with fresh headers and record identifiers.
+
+    A null page is written as such; repeated rows give repeated records with one identifier; an empty
+    table leaves no archive. Each file is compressed as a whole and holds at most MOST_RECORDS.
+    """
     page = F.coalesce(F.col("page").cast("string"), F.lit("null"))
     # Identifiers are UUIDs of a digest, the same on every run; repeated rows get equal ones.
     name = lambda of: F.regexp_replace(F.substring(F.sha2(F.concat(F.lit("record "), of), 256), 1, 32), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-5$3-8$4-$5")
@@ -52,7 +63,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
     common = [F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), name(page), F.lit(">")), F.concat(F.lit("WARC-Page-ID: "), page), F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), target), F.concat(F.lit("WARC-Payload-Digest: sha256:"), "digest")]
     response = F.concat_ws("\r\n", F.lit("WARC/1.1"), F.lit("WARC-Type: response"), *common, F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), "bytes"), F.lit(""), F.col("payload"))
     refers = F.concat_ws("\r\n", F.lit("WARC/1.1"), F.lit("WARC-Type: revisit"), *common, F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), name(F.col("original").cast("string")), F.lit(">")), F.concat(F.lit("WARC-Refers-To-Page: "), "original"), F.lit("Content-Length: 0"), F.lit(""), F.lit(""))
-    resolved.select(F.when(revisit, refers).otherwise(response).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    resolved.select(F.when(revisit, refers).otherwise(response).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(path)
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -77,7 +88,7 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page, record_type, url, refers_to, declared, payload) of each record of the archives under path."""
+    """(page, record_type, url, refers_to, declared, payload) of each record of the archives under path; none of an empty folder."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -254,7 +254,7 @@ def test_mixing_targets_and_bounds(spark):
     draw = random.Random(8)
     rows = [(i, " ".join("w" for _ in range(draw.randint(0, 60))), draw.choice(["a", "a", "a", "b", "ä", None])) for i in range(600)] + [(700, None, "zero"), (701, "", "zero"), (3, "w w w", "b"), (3, "w w w", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    plan = mixing.mix_plan(df, chunk_rows=50).collect()
+    plan = mixing.mix_plan(df).collect()
     assert len(plan) == len(rows)
     size, taken, target = defaultdict(int), defaultdict(int), {}
     for r in plan:
@@ -269,9 +269,9 @@ def test_mixing_targets_and_bounds(spark):
         assert target[s] <= 3 * size[s] + 1e-6 and abs(taken[s] - target[s]) <= 200
     free = [s for s in size if target[s] < 3 * size[s] - 1e-6]
     assert len({round(target[s] / weight[s], 4) for s in free}) == 1
-    again = mixing.mix_plan(df.repartition(7), chunk_rows=50)
+    again = mixing.mix_plan(df.repartition(7))
     assert sorted(map(str, again.collect())) == sorted(map(str, plan))
-    mixed = mixing.mix(df, chunk_rows=50)
+    mixed = mixing.mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in plan)
     assert mixing.mix_plan(df.limit(0)).collect() == []
 

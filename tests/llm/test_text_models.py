@@ -123,7 +123,54 @@ def test_long_tokens_lose_no_gram():
         marked, pieces = f"<{cut}>", [t[1:] for t in toxicity.tokens(cut)]
         assert {marked[i : i + n] for n in toxicity.SIZES for i in range(len(marked) - n + 1)} == {p[i : i + n] for p in pieces for n in toxicity.SIZES for i in range(len(p) - n + 1)}
         assert sum(map(len, pieces)) < 1.5 * len(marked)
-    assert toxicity.tokens("-" * 99) == ["-" * 99] and toxicity.buckets("-" * 99) == []
+    assert toxicity.tokens("-" * 99) == ["-" * 99] and toxicity.bags(["-" * 99])[1].tolist() == [0]
+
+
+def test_bags_share_what_words_share():
+    words = ["stupid", "stupidd", "Ab", "a", "...", "é漢字x", "stupid!"]
+    found, counts = toxicity.bags(words)
+    cut = np.split(found, np.cumsum(counts)[:-1])
+    bag = dict(zip(words, map(Counter, map(np.ndarray.tolist, cut))))
+    for w, x in zip(words, cut):
+        n = len(w.strip(toxicity.EDGE)) + 2
+        assert len(x) == (sum(max(0, n - k + 1) for k in toxicity.SIZES) + 1 if n > 2 else 0)
+    assert bag["stupid"] == bag["stupid!"]
+    grams = lambda w: {f"<{w}>"[i : i + k] for k in toxicity.SIZES for i in range(len(w) + 3 - k)}
+    assert sum((bag["stupid"] & bag["stupidd"]).values()) == len(grams("stupid") & grams("stupidd"))
+
+
+def test_scores_equal_plain_python(spark):
+    """Scores recomputed from the table of weights, word by word and passage by passage."""
+    draw = random.Random(3)
+    weights = np.random.default_rng(1).normal(0, 3, toxicity.BUCKETS)
+    model = toxicity.Model(weights, -1.5)
+
+    def part(word):
+        found, counts = toxicity.bags([word])
+        return float(np.mean(model.weights[found].astype(np.float64))) if counts[0] else 0.0
+
+    texts = ["", None, "one", "... !"] + [" ".join(f"w{draw.randrange(300)}" for _ in range(n)) for n in (1, 20, 23, 24, 25, 35, 36, 37, 48, 700)]
+    for text in texts:
+        words = (text or "").lower().split()
+        cuts, rest = [], words
+        while len(rest) >= 24 + 12:
+            cuts.append(rest[:24])
+            rest = rest[24:]
+        cuts += [rest] if rest else []
+        z = [-1.5 + sum(map(part, c)) / len(c) for c in cuts] or [-1.5]
+        pooled = np.log(np.sum(np.exp(2.0 * np.asarray(z)))) / 2.0
+        assert abs(model.scorer().score(text or "") - 1 / (1 + np.exp(-pooled))) < 1e-6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: round(r.score, 9) for r in toxicity.score_texts(df, model).collect()} == {i: round(model.scorer().score(t or ""), 9) for i, t in enumerate(texts)}
+
+
+def test_long_texts_are_judged_by_their_passages():
+    draw = random.Random(5)
+    plain = [f"word{i}" for i in range(60)]
+    texts = [" ".join(draw.choice(plain) for _ in range(40)) + (" worthless idiotic" if i % 4 == 0 else "") for i in range(300)]
+    model = toxicity.train(texts, [int(i % 4 == 0) for i in range(300)]).scorer()
+    long = [draw.choice(plain) for _ in range(20_000)]
+    assert model.score(" ".join(long)) < 0.5 < model.score(" ".join([*long[:9000], "worthless", "idiotic", *long[9000:]]))
 
 
 def test_late_declarations_count(spark):
