@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -165,29 +166,27 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     if not len(y) or y.min() == y.max():
         odds = (y.sum() + 1) / (len(y) - y.sum() + 1) if len(y) else 1e-3
         return Model(np.zeros(BUCKETS), math.log(odds))
-    split = [tokens(t) for t in texts]
     spread: Counter[str] = Counter()
-    for words in split:
-        spread.update(set(words))
+    for t in texts:
+        spread.update(set(tokens(t)))
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= min(least, len(y) // 50 + 1)))}
     del spread
     gram, per_word = bags(list(vocabulary))
-    # (passage, word, share of the passage) of each word of the vocabulary.
-    at, share, owner_of = [], [], []
-    n_passages = 0
-    for d, words in enumerate(split):
+    # (passage, word, share of the passage) of each word of the vocabulary, packed: the driver holds nothing else of the texts.
+    at: tuple[array, array, array] = (array("i"), array("i"), array("f"))
+    owner_of = array("i")
+    for d, t in enumerate(texts):
+        words = tokens(t)
         for a, b in passages(len(words)) or [(0, 0)]:
             for w, n in Counter(vocabulary[w] for w in words[a:b] if w in vocabulary).items():
-                at.append((n_passages, w))
-                share.append(n / (b - a))
+                for column, x in zip(at, (len(owner_of), w, n / (b - a))):
+                    column.append(x)
             owner_of.append(d)
-            n_passages += 1
-    del split
-    if not at:
+    if not at[0]:
         return Model(np.zeros(BUCKETS), math.log(y.mean() / (1 - y.mean())))
-    passage_at, word_at = np.asarray(at, np.int32).T
-    share = (np.asarray(share, np.float32) * np.float32(SCALE))[:, None]
-    of = np.asarray(owner_of)
+    passage_at, word_at, share = (np.asarray(x) for x in at)
+    share = share * np.float32(SCALE)
+    n_passages, of = len(owner_of), np.asarray(owner_of)
     first = np.flatnonzero(np.diff(of, prepend=-1))
     # Words without n-grams (punctuation) have none of the sums below.
     used, gram_at = np.unique(gram, return_inverse=True)
@@ -198,6 +197,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     seen, seen_starts = np.unique(passage_at, return_index=True)
     by_word = np.argsort(word_at, kind="stable")
     of_words, words_starts = np.unique(word_at[by_word], return_index=True)
+    passage_of, share_of = passage_at[by_word], share[by_word]
     by_gram = np.argsort(gram_at, kind="stable")
     gram_starts = np.unique(gram_at[by_gram], return_index=True)[1]
 
@@ -211,7 +211,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         words[with_grams] = _sums(embed[gram_at], word_starts)
         words *= part
         vectors = np.zeros((n_passages, DIMENSIONS), np.float32)
-        vectors[seen] = _sums(words[word_at] * share, seen_starts)
+        for k in range(DIMENSIONS):
+            vectors[seen, k] = np.add.reduceat(words[:, k][word_at] * share, seen_starts)
         logits = vectors @ top + bias
         z = logits[:, 1] - logits[:, 0]
         # Pooled over the passages of a text; weight: a passage's part in the pooled value.
@@ -224,7 +225,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         g = np.stack([-g1, g1], 1).astype(np.float32)
         d_vectors = g @ top.T
         d_words = np.zeros_like(words)
-        d_words[of_words] = _sums((d_vectors[passage_at] * share)[by_word], words_starts)
+        for k in range(DIMENSIONS):
+            d_words[of_words, k] = np.add.reduceat(d_vectors[:, k][passage_of] * share_of, words_starts)
         d_words *= part
         d_embed = _sums(d_words[owner[by_gram]], gram_starts)
         for k, (value, grad) in enumerate(((embed, d_embed), (top, vectors.T @ g), (bias, g.sum(0)))):
