@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.functions.scratch import keep
+
 
 def prf(tp: Column, fp: Column, fn: Column) -> Column:
     """Precision, recall and F1; nothing to find or found counts as 1."""
@@ -51,25 +52,28 @@ def finding_group(kind: Column, rule: Column) -> Column:
     return F.when(rule == "dependency_gap", "dependency").when(kind == "conflicting", "conflict").when(kind == "missing", "gap").otherwise(kind)
 
 
-def _draw(b: Column, slot: Column, n: Column) -> Column:
-    """A pseudo-random index below n for each replicate and slot, from a hash that other engines have too."""
-    return F.conv(F.substring(F.md5(F.concat(b.cast("string"), F.lit(":"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % n
+#: Cumulative chances of a Poisson number with mean 1, in millionths: so often an item is drawn in a replicate.
+TIMES = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406, 999_917)
+
 
+def _times(b: Column, slot: Column) -> Column:
+    """How often an item is drawn in a replicate: a Poisson number from a hash that other engines have too."""
+    x = F.conv(F.substring(F.md5(F.concat(b.cast("string"), F.lit(":"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % 1_000_000
+    return sum((F.when(x >= limit, 1).otherwise(0) for limit in TIMES), F.lit(0))
 
-def bootstrap_ci(items: DataFrame, value: str, samples: int = 200) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean over replicates; items (slot 0 .. n - 1, value).
 
-    Draws are counted by item and replicate before the join, so that it moves one row for each pair.
+def bootstrap_ci(items: DataFrame, value: str, samples: int = 1000) -> DataFrame:
+    """2.5 and 97.5 percentiles of the mean over replicates; items (slot, value).
+
+    Draws are Poisson: each item decides by itself how often it is in each replicate, so items meet
+    their replicates in an array and only sums by replicate are shuffled, added up in each task first.
     """
-    n = items.select(F.count(F.lit(1)).alias("n"))
-    replicates = items.sparkSession.range(samples).select(F.col("id").alias("b"))
-    slots = items.select(F.col("slot").alias("draw_no")).join(F.broadcast(replicates)).join(F.broadcast(n))
-    draws = slots.select("b", _draw(F.col("b"), F.col("draw_no"), F.col("n")).alias("slot")).groupBy("b", "slot").agg(F.count(F.lit(1)).alias("times"))
-    means = draws.join(items, "slot").groupBy("b").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
+    drawn = items.select(F.col(value).alias("v"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda b: _times(b, F.col("slot")))).alias("b", "times")).where("times > 0")
+    means = drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def paired_bootstrap(items: DataFrame, a: str, b: str, samples: int = 200) -> DataFrame:
+def paired_bootstrap(items: DataFrame, a: str, b: str, samples: int = 1000) -> DataFrame:
     """The interval of the difference of two means under the same draws."""
     return bootstrap_ci(items.select("slot", (F.col(b) - F.col(a)).alias("difference")), "difference", samples)
 
@@ -150,3 +154,76 @@ def text_match_candidates(gold: DataFrame, predicted: DataFrame, least: float =
     return common.where((jaccard >= least) | (F.col("k") == F.least("n", "m"))).select("doc", "gid", "pid", F.round(jaccard, 6).alias("jaccard"))
 
 
+
+
+def _paired(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc, gid, pid): the nth gold of each key with its nth prediction."""
+    number = lambda by, one: F.row_number().over(Window.partitionBy(*by).orderBy(one))
+    g = gold.withColumn("_n", number(keys, "gid")).select(*keys, "_n", "gid")
+    return g.join(predicted.withColumn("_n", number(keys, "pid")).select(*keys, "_n", "pid"), [*keys, "_n"]).select("doc", "gid", "pid")
+
+
+def match_findings(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(doc, gid, pid) one to one: gold items that name standard and parameter first, then only one of them, then neither.
+
+    gold (doc, gid, grp, standard, parameter; the last two may be null), predicted (doc, pid, grp,
+    standard, parameter). So a generic gold item takes no finding that belongs to a specific one.
+    """
+    named = {"standard": F.col("standard").isNotNull(), "parameter": F.col("parameter").isNotNull()}
+    found, left = None, predicted
+    for keys in (["standard", "parameter"], ["standard"], ["parameter"], []):
+        mine = gold
+        for c, condition in named.items():
+            mine = mine.where(condition if c in keys else ~condition)
+        hit = keep(_paired(mine, left, ["doc", "grp", *keys]))
+        found = hit if found is None else found.union(hit)
+        left = left.join(hit.select("doc", "pid"), ["doc", "pid"], "left_anti")
+    return found
+
+
+def ablation_grid(features: DataFrame, options: DataFrame, weights: list[str], threshold: float = 0.35) -> DataFrame:
+    """One row an option set: its kept hits and mean score, of the same hits under each row of options (option, weights).
+
+    Options are a table of fixed, small size; hits are read once and scored under each of them.
+    """
+    each = features.join(F.broadcast(options.select("option", *[F.col(w).alias(f"_{w}") for w in weights])))
+    raw = sum((F.col(w).cast("double") * F.col(f"_{w}") for w in weights), F.lit(0.0)) / sum((F.col(f"_{w}") for w in weights), F.lit(0.0))
+    return each.groupBy("option").agg(F.count_if(raw >= threshold).alias("kept"), F.avg(raw).alias("mean_score"))
+
+
+def resolution_accuracy(cases: DataFrame, resolved: DataFrame) -> DataFrame:
+    """cases (cid, expected, edition) against resolved (cid, sid, edition): the shares of right records and right editions."""
+    both = cases.select("cid", "expected", F.col("edition").alias("wanted")).join(resolved.select("cid", "sid", "edition"), "cid", "left")
+    ok = lambda a, b: F.avg(F.col(a).eqNullSafe(F.col(b)).cast("double"))
+    return both.agg(ok("expected", "sid").alias("record_accuracy"), ok("wanted", "edition").alias("edition_accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def graph_prf(mined: DataFrame, curated: DataFrame) -> DataFrame:
+    """Per source of an edge: typed matches, spurious and missed edges, untyped matches. curated (type, src, dst, supported): only edges that a text supports can be missed."""
+    keys = ["type", "src", "dst"]
+    pairs = curated.select("src", "dst").distinct().withColumn("_pair", F.lit(True))
+    ours = mined.select(*keys).distinct().join(curated.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left").join(pairs, ["src", "dst"], "left")
+    hits = ours.groupBy("src").agg(F.count("_hit").alias("edge_tp"), F.count_if(F.col("_hit").isNull()).alias("edge_fp"), F.count("_pair").alias("pair_tp"), F.count_if(F.col("_pair").isNull()).alias("pair_fp"))
+    missed = curated.where("supported").select(*keys).distinct().join(mined.select(*keys).distinct(), keys, "left_anti").groupBy("src").agg(F.count(F.lit(1)).alias("edge_fn"))
+    names = ["edge_tp", "edge_fp", "edge_fn", "pair_tp", "pair_fp"]
+    return hits.join(missed, "src", "full").select("src", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+
+def run_index(metrics: DataFrame, chosen: list[str]) -> DataFrame:
+    """(run, metric, value) -> one row a run with the chosen metrics as columns."""
+    return metrics.groupBy("run").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in chosen])
+
+
+def split_filter(items: DataFrame, splits: DataFrame, role: str | None = None) -> DataFrame:
+    """Items of the splits (split, role) with the role asked for; without one, all but blind ones."""
+    wanted = splits.where(F.col("role") == role) if role is not None else splits.where("role <> 'blind'")
+    return items.join(wanted.select("split").distinct(), "split", "left_semi")
+
+
+def detail_lists(gold: DataFrame, predicted: DataFrame, matches: DataFrame, most: int = 140) -> DataFrame:
+    """(doc, missed, spurious): texts without a partner, in order, each cut for review at `most` characters."""
+    cut = F.substring("text", 1, most)
+    listed = lambda df, one, name: df.join(matches.select("doc", one), ["doc", one], "left_anti").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct(one, cut.alias("t")))), lambda x: x["t"]).alias(name))
+    both = listed(gold, "gid", "missed").join(listed(predicted, "pid", "spurious"), "doc", "full")
+    empty = F.array().cast("array<string>")
+    return both.select("doc", F.coalesce("missed", empty).alias("missed"), F.coalesce("spurious", empty).alias("spurious"))

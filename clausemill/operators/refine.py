@@ -81,9 +81,12 @@ def sparse_page_report(pages: DataFrame, least: int = 40) -> DataFrame:
 
 def assemble_documents(pages: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Pages in order, joined by a blank line; documents that are empty or too long get a code instead of text."""
-    joined = pages.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
-    code = F.when(F.trim("text") == "", "empty").when(F.length("text") > most, "too_long")
-    return joined.select("doc", code.alias("code"), F.when(code.isNull(), F.col("text")).alias("text"))
+    # Lengths decide before any text is gathered.
+    sizes = pages.groupBy("doc").agg((F.sum(F.coalesce(F.length("text"), F.lit(0))) + 2 * (F.count("text") - 1)).alias("size"))
+    fits = pages.join(sizes.where(F.col("size") <= most).select("doc"), "doc", "left_semi")
+    joined = fits.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
+    code = F.when(F.col("size") > most, "too_long").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty")
+    return sizes.join(joined, "doc", "left").select("doc", code.alias("code"), F.when(code.isNull(), F.col("text")).alias("text"))
 
 
 def page_of(pages: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -154,9 +157,9 @@ def identify(rows: DataFrame) -> DataFrame:
 def dedupe_requirements(rows: DataFrame) -> DataFrame:
     """(doc, at, segment): the first occurrence of each text, spaces and case aside, numbered in order."""
     norm = F.lower(F.trim(F.regexp_replace("segment", r"\s+", " ")))
-    first = Window.partitionBy("doc", "norm").orderBy("at")
+    first = Window.partitionBy("doc", "norm").orderBy("at", "segment")
     kept = rows.withColumn("norm", norm).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "norm")
-    return kept.withColumn("req_no", F.row_number().over(Window.partitionBy("doc").orderBy("at")))
+    return kept.withColumn("req_no", F.row_number().over(Window.partitionBy("doc").orderBy("at", "segment")))
 
 
 #: Words of quality without a measure.
@@ -174,7 +177,7 @@ def flag_vague(rows: DataFrame) -> DataFrame:
 def validate_types(documents: DataFrame, types: DataFrame) -> DataFrame:
     """(doc, type) against the dimension (type, ...): the normalised key and an error code."""
     key = F.regexp_replace(F.lower(F.trim("type")), r"[\s-]+", "_")
-    known = F.broadcast(types.select(F.col("type").alias("key"), F.lit(True).alias("known")).distinct())
+    known = types.select(F.col("type").alias("key"), F.lit(True).alias("known")).distinct()
     return documents.withColumn("key", key).join(known, "key", "left").select("doc", "key", F.when(F.coalesce("key", F.lit("")) == "", "missing").when(F.col("known").isNull(), "unknown").alias("code"))
 
 

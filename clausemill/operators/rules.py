@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.numeric import half_up
+from clausemill.functions.scratch import keep
 
 SEVERITIES = ("high", "medium", "low")
 KIND_ORDER = ("conflicting", "missing", "outdated", "certification", "verified")
@@ -202,10 +203,25 @@ def addressed_standards(cited: DataFrame, supersedes: DataFrame, latest: DataFra
 
 
 def nearest_missing(cited: DataFrame, edges: DataFrame, addressed: DataFrame) -> DataFrame:
-    """Targets of edges from a cited or addressed standard that the document does not address: the frontier of what is missing."""
-    reached = cited.select("doc", "standard").unionByName(addressed.select("doc", "standard")).distinct()
-    ahead = reached.join(edges.select(F.col("src").alias("standard"), F.col("dst").alias("target")), "standard").select("doc", "target").distinct()
-    return ahead.join(reached.select("doc", F.col("standard").alias("target")), ["doc", "target"], "left_anti")
+    """(doc, target): standards that a document does not address, reached from a cited one over addressed ones only.
+
+    Each round takes a step from what the last one newly reached; the rounds are as many as the
+    longest such path.
+    """
+    known = keep(cited.select("doc", "standard").union(addressed.select("doc", "standard")).distinct())
+    steps = edges.select(F.col("src").alias("standard"), F.col("dst").alias("target")).distinct()
+    seen = front = keep(cited.select("doc", "standard").distinct())
+    missing = None
+    while True:
+        ahead = keep(front.join(steps, "standard").select("doc", F.col("target").alias("standard")).distinct().join(seen, ["doc", "standard"], "left_anti"))
+        if not ahead.limit(1).count():
+            break
+        gone = ahead.join(known, ["doc", "standard"], "left_anti")
+        missing = gone if missing is None else missing.union(gone)
+        front = ahead.join(known, ["doc", "standard"], "left_semi")
+        seen = keep(seen.union(ahead))
+    empty = known.where("false") if missing is None else missing
+    return empty.select("doc", F.col("standard").alias("target")).distinct()
 
 
 def quantity_role(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> (spark, sf_dir) -> DataFrame) and SQL (name -> text).
-MODULES = ("flagship", "workspace", "graph", "refine", "facts", "rules", "stores", "more")
+MODULES = ("flagship", "workspace", "graph", "refine", "facts", "rules", "stores", "more", "further")
 
 
 def _all(attribute: str) -> dict:

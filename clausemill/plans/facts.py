@@ -43,12 +43,12 @@ def _citations(s, d):
 
 
 def _standards(s, d):
-    p = read(s, d, "part").where("p_partkey % 3 = 0")
+    p = read(s, d, "part")
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("IS "), 100 + F.col("p_partkey") % 400)).otherwise(F.concat(F.lit("IS "), 100 + F.col("p_partkey") % 400, F.lit(" (Part "), F.col("p_size") % 5 + 1, F.lit(")")))
     return p.select(F.col("p_partkey").alias("sid"), name.alias("designation"), (1980 + F.col("p_size")).alias("year"), F.when(F.col("p_size") % 4 == 0, "superseded").otherwise("current").alias("status"))
 
 
-STANDARDS = "standards AS (SELECT p_partkey AS sid, CASE WHEN p_partkey % 2 = 0 THEN concat('IS ', 100 + p_partkey % 400) ELSE concat('IS ', 100 + p_partkey % 400, ' (Part ', p_size % 5 + 1, ')') END AS designation, 1980 + p_size AS own, p_size % 4 = 0 AS old FROM part WHERE p_partkey % 3 = 0)"
+STANDARDS = "standards AS (SELECT p_partkey AS sid, CASE WHEN p_partkey % 2 = 0 THEN concat('IS ', 100 + p_partkey % 400) ELSE concat('IS ', 100 + p_partkey % 400, ' (Part ', p_size % 5 + 1, ')') END AS designation, 1980 + p_size AS own, p_size % 4 = 0 AS old FROM part)"
 
 
 def _resolved(s, d):
@@ -56,7 +56,7 @@ def _resolved(s, d):
 
 
 def _clauses(s, d):
-    return read(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("did"), "text", "source")
+    return read(s, d, "documents").select(F.col("doc_id").alias("did"), "text", "source")
 
 
 def _index(s, d):
@@ -76,6 +76,7 @@ def _features(s, d):
     return li.select(F.col("l_orderkey").alias("qid"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("did"), F.col("l_discount").alias("bm25"), (F.col("l_partkey") % 2 == 0).alias("clause_parameter"), (F.col("l_suppkey") % 3 == 0).alias("product"), (F.col("l_linenumber") == 1).alias("explicit"), (F.col("l_partkey") % 7 == 0).alias("superseded"), (F.col("l_partkey") % 5 == 0).alias("off_topic"), (F.col("l_suppkey") % 4 == 0).alias("competitor"))
 
 
+TERMS = {"fastener": ["bolt", "ring"], "drive": ["gear"], "device": ["widget"], "red fastener": ["red bolt", "red-ring"]}
 WEIGHTS = {"bm25": 0.45, "clause_parameter": 0.2, "product": 0.2}
 
 QUERIES = {
@@ -86,7 +87,7 @@ QUERIES = {
     "x6_infer_parameter": lambda s, d: x.infer_parameter(_canonical(s, d), KEYS, "segment").select(*KEYS, "dimension", "parameter"),
     "x9_extract_citations": lambda s, d: _citations(s, d).select("key", "c_no", "raw", "designation", "year"),
     "x10_extract_entities": lambda s, d: x.extract_entities(read(s, d, "part").select("p_partkey", F.concat(F.lit("Grade M"), F.col("p_size") % 40 + 10, F.lit(" with Fe 500D and IP"), F.col("p_size") % 60 + 10, F.lit(", copper "), "p_name").alias("text")), ["p_partkey"], "text"),
-    "x12_product_terms": lambda s, d: x.product_terms(read(s, d, "part"), ["p_partkey"], "p_name", s.createDataFrame([("bolt", "fastener"), ("gear", "drive"), ("widget", "device"), ("ring", "fastener")], "form string, term string")),
+    "x12_product_terms": lambda s, d: x.product_terms(read(s, d, "part"), ["p_partkey"], "p_name", terms=TERMS),
     "x15_classify": lambda s, d: x.classify(_sentences(s, d), KEYS, "segment"),
     "x20_gated_category": lambda s, d: x.gated_category(x.classify(_sentences(s, d), KEYS, "segment").withColumnRenamed("category", "lexicon").withColumn("model", F.concat(F.lit("m"), F.col("part") % 3)), 0.8).select(*KEYS, "category"),
     "x21_format_quantity": lambda s, d: _canonical(s, d).select(*KEYS, x.format_quantity(F.round("canonical", 3), F.col("unit")).alias("readable")),
@@ -109,27 +110,34 @@ _PAT = v.unit_pattern().replace("'", "''")
 _D = f"WITH {RENDERED}, base AS (SELECT doc, \"at\", part, min(segment) AS segment FROM rendered GROUP BY ALL), q AS (SELECT *, regexp_extract(segment, '([0-9]+ ({_PAT}))', 1) AS raw FROM base), p AS (SELECT *, strpos(segment, raw) - 1 AS start, CAST(string_split(raw, ' ')[1] AS DOUBLE) AS value, string_split(raw, ' ')[2] AS form FROM q), u AS (SELECT *, CASE form WHEN 'kV' THEN 'V' WHEN 'mA' THEN 'A' WHEN 'km' THEN 'mm' WHEN 'degC' THEN 'degC' WHEN 'l/s' THEN 'm3/h' ELSE 'h' END AS unit, CASE form WHEN 'kV' THEN 'voltage' WHEN 'mA' THEN 'current' WHEN 'km' THEN 'length' WHEN 'degC' THEN 'temperature' WHEN 'l/s' THEN 'flow' ELSE 'time' END AS dimension, value * CASE form WHEN 'kV' THEN 1000.0 WHEN 'mA' THEN 0.001 WHEN 'km' THEN 1000000.0 WHEN 'l/s' THEN 3.6 ELSE 1.0 END::DOUBLE AS canonical FROM p) "
 _STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
 _TOK = lambda c: f"list_transform(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ({_STOP})), lambda w: CASE WHEN length(w) <= 3 OR regexp_matches(w, '[0-9]') THEN w WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN w LIKE '%sses' THEN w[:-3] WHEN w LIKE '%ing' AND length(w) > 5 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) > 4 AND w NOT LIKE '%eed' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' THEN w[:-2] ELSE w END)"
-_IDX = f"cl AS (SELECT doc_id AS did, text, source FROM documents WHERE lang = 'en'), w AS (SELECT did, unnest({_TOK('text')}) AS token, 1.0::DOUBLE AS w FROM cl UNION ALL SELECT did, unnest({_TOK('source')}), 2.0 FROM cl), tf AS (SELECT did, token, sum(w) AS tf FROM w GROUP BY 1, 2), idx AS (SELECT did, token, tf, sum(tf) OVER (PARTITION BY did) AS length FROM tf)"
+_IDX = f"cl AS (SELECT doc_id AS did, text, source FROM documents), w AS (SELECT did, unnest({_TOK('text')}) AS token, 1.0::DOUBLE AS w FROM cl UNION ALL SELECT did, unnest({_TOK('source')}), 2.0 FROM cl), tf AS (SELECT did, token, sum(w) AS tf FROM w GROUP BY 1, 2), idx AS (SELECT did, token, tf, sum(tf) OVER (PARTITION BY did) AS length FROM tf)"
 _BM = f"WITH {_IDX}, qq AS (SELECT DISTINCT item_id AS qid, unnest({_TOK('text')}) AS token FROM benchmark), n AS (SELECT count(*) AS n, avg(length) AS ml FROM (SELECT DISTINCT did, length FROM idx)), idf AS (SELECT token, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT token, count(*) AS df FROM idx GROUP BY 1), n), bm AS (SELECT qid, did, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / ml))) AS score FROM qq JOIN idf USING (token) JOIN idx USING (token), n GROUP BY 1, 2), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, did) AS rank FROM bm) WHERE rank <= 40) "
 _KEY = "regexp_replace(regexp_replace(replace(upper({0}), 'PART', 'PT'), 'SECTION|SEC\\.?', 'SEC', 'g'), '[^A-Z0-9/]', '', 'g')"
 _RR = "WITH raw1 AS (SELECT l_orderkey AS qid, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS did, (0.45 * l_discount + 0.2 * (l_partkey % 2 = 0)::INT + 0.2 * (l_suppkey % 3 = 0)::INT)::DOUBLE / 0.85::DOUBLE + 0.6::DOUBLE * (l_linenumber = 1)::INT AS r, l_linenumber = 1 AS explicit, l_partkey, l_suppkey FROM lineitem), rr AS (SELECT qid, did, explicit, round(r * CASE WHEN l_partkey % 7 = 0 THEN 0.5 ELSE 1 END::DOUBLE * CASE WHEN l_partkey % 5 = 0 THEN 0.6 ELSE 1 END::DOUBLE * CASE WHEN l_suppkey % 4 = 0 THEN 0.75 ELSE 1 END::DOUBLE, 9) AS raw FROM raw1) "
-_CLS = "WITH " + RENDERED + ", b AS (SELECT doc, \"at\", part, min(segment) AS segment FROM rendered GROUP BY ALL), sc AS (SELECT doc, \"at\", part, unnest([" + ", ".join(f"{{'score': {w}::DOUBLE * least(2, len(regexp_extract_all(lower(segment), '\\b({'|'.join(words)})\\b'))), 'ord': {i}, 'category': '{c}'}}" for i, (c, (w, words)) in enumerate(v.CATEGORY_CUES.items())) + "]) AS s FROM b), rk AS (SELECT doc, \"at\", part, s.score AS score, s.category AS category, row_number() OVER (PARTITION BY doc, \"at\", part ORDER BY s.score DESC, s.ord) AS n, lead(s.score) OVER (PARTITION BY doc, \"at\", part ORDER BY s.score DESC, s.ord) AS second FROM sc), cls AS (SELECT doc, \"at\", part, CASE WHEN score > 0 THEN category ELSE 'general' END AS category, round(score, 6) AS score, round(CASE WHEN score > 0 THEN 0.5 + 0.5 * (score - second) / score ELSE 0.4 END, 6) AS confidence FROM rk WHERE n = 1) "
+_NAMES = list(dict.fromkeys(c for c, *_ in v.CATEGORY_CUES))
+_SCORE = lambda c: " + ".join(f"{w}::DOUBLE * least(2, len(regexp_extract_all(segment, '(?i){p}')))" for name, w, p in v.category_patterns() if name == c)
+_CLS = "WITH " + RENDERED + ", b AS (SELECT doc, \"at\", part, min(segment) AS segment FROM rendered GROUP BY ALL), sc AS (SELECT doc, \"at\", part, unnest([" + ", ".join(f"{{'score': round({_SCORE(c)}, 9), 'ord': {i}, 'category': '{c}'}}" for i, c in enumerate(_NAMES)) + "]) AS s FROM b), rk AS (SELECT doc, \"at\", part, s.score AS score, s.category AS category, row_number() OVER (PARTITION BY doc, \"at\", part ORDER BY s.score DESC, s.ord) AS n, lead(s.score) OVER (PARTITION BY doc, \"at\", part ORDER BY s.score DESC, s.ord) AS second FROM sc), cls AS (SELECT doc, \"at\", part, CASE WHEN score > 0 THEN category ELSE 'general' END AS category, round(score, 6) AS score, round(CASE WHEN score > 0 THEN 0.5 + 0.5 * (score - second) / score ELSE 0.4 END, 6) AS confidence FROM rk WHERE n = 1) "
+_CUES = "cues(parameter, dimension, cue, ord) AS (VALUES " + ", ".join(f"('{p}', '{dim}', '{c}', {i})" for p, dim, c, i in v.cue_rows()) + ")"
+_DEFAULT = "CASE dimension " + " ".join(f"WHEN '{dim}' THEN '{p}'" for dim, p in v.DEFAULTS.items()) + " END"
 SQL = {
     "x1_extract_quantities": _D + "SELECT doc, \"at\", part, 0 AS q_no, CAST(start AS INTEGER) AS start, CAST(start + length(raw) AS INTEGER) AS \"end\", raw, value, form FROM p",
     "x2_canonicalise_units": _D + "SELECT doc, \"at\", part, form, unit, dimension, round(canonical, 6) AS canonical FROM u",
     "x3_comparator": _D + ", c AS (SELECT *, CASE WHEN segment LIKE '%not more than%' THEN 'max' WHEN segment LIKE '%not less than%' OR segment LIKE '%at least%' OR segment LIKE '%or more%' THEN 'min' END AS comparator FROM u) SELECT doc, \"at\", part, comparator, CASE WHEN comparator IS DISTINCT FROM 'max' THEN round(canonical, 6) END AS lo, CASE WHEN comparator IS DISTINCT FROM 'min' THEN round(canonical, 6) END AS hi FROM c",
-    "x4_tolerance_bounds": "SELECT l_orderkey, l_linenumber, round(l_quantity - d, 6) + 0.0::DOUBLE AS lo, round(l_quantity + d, 6) + 0.0::DOUBLE AS hi FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN abs(l_quantity) * (l_discount * 100) / 100 ELSE l_discount * 100 END AS d FROM lineitem)",
-    "x6_infer_parameter": _D + "SELECT doc, \"at\", part, dimension, CASE dimension WHEN 'voltage' THEN 'rated_voltage' WHEN 'current' THEN CASE WHEN segment LIKE 'Fault current%' THEN 'short_circuit_current' ELSE 'rated_current' END WHEN 'length' THEN CASE WHEN segment LIKE 'Cable length%' THEN 'cable_length' ELSE 'thickness' END WHEN 'temperature' THEN 'ambient_temperature' WHEN 'flow' THEN 'discharge' ELSE 'duration' END AS parameter FROM u",
+    "x4_tolerance_bounds": "SELECT l_orderkey, l_linenumber, CAST(printf('%.9e', l_quantity - d) AS DOUBLE) + 0.0::DOUBLE AS lo, CAST(printf('%.9e', l_quantity + d) AS DOUBLE) + 0.0::DOUBLE AS hi FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN abs(l_quantity) * (l_discount * 100) / 100 ELSE l_discount * 100 END AS d FROM lineitem)",
+    "x6_infer_parameter": _D + f""", {_CUES}, w AS (SELECT u.*, start + length(raw) AS fin, parameter, cue, ord, strpos(reverse(lower(substr(segment, 1, start))), reverse(cue)) AS back, strpos(lower(substr(segment, start + length(raw) + 1)), cue) AS fore FROM u JOIN cues USING (dimension)),
+        g AS (SELECT *, CASE WHEN back > 0 THEN back - 1 WHEN fore > 0 THEN fore - 1 END AS gap FROM w),
+        b AS (SELECT doc, "at", part, arg_min(parameter, gap * CASE WHEN back > 0 THEN 1 ELSE 2 END + CASE WHEN back > 0 THEN 0 ELSE 10 END - length(cue) * 0.5 + ord / 1000000.0::DOUBLE) AS cued FROM g WHERE gap BETWEEN 0 AND 90 GROUP BY 1, 2, 3)
+        SELECT u.doc, u."at", u.part, dimension, coalesce(cued, {_DEFAULT}) AS parameter FROM u LEFT JOIN b ON u.doc = b.doc AND u."at" = b."at" AND u.part = b.part""",
     "x9_extract_citations": f"WITH {CITE_TEXT}, {CITED} SELECT key, c_no, raw, designation, year FROM cited",
-    "x10_extract_entities": "SELECT p_partkey, kind, value FROM (SELECT p_partkey, 'ip_code' AS kind, CAST(p_size % 60 + 10 AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'concrete_grade', CAST(p_size % 40 + 10 AS VARCHAR) FROM part UNION ALL SELECT p_partkey, 'steel_grade', '500d' FROM part UNION ALL SELECT p_partkey, 'material', 'copper' FROM part)",
-    "x12_product_terms": "SELECT DISTINCT p_partkey, term FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS form FROM part) JOIN (VALUES ('bolt', 'fastener'), ('gear', 'drive'), ('widget', 'device'), ('ring', 'fastener')) f(form, term) USING (form)",
+    "x10_extract_entities": "SELECT p_partkey, kind, value FROM (SELECT p_partkey, 'ip_rating' AS kind, concat('IP', p_size % 60 + 10) AS value FROM part UNION ALL SELECT p_partkey, 'concrete_grade', concat('M', p_size % 40 + 10) FROM part WHERE (p_size % 40 + 10) % 5 = 0 UNION ALL SELECT p_partkey, 'steel_grade', 'Fe 500D' FROM part UNION ALL SELECT p_partkey, 'material', 'copper' FROM part)",
+    "x12_product_terms": "SELECT DISTINCT p_partkey, term FROM part JOIN (VALUES ('bolt', 'fastener'), ('gear', 'drive'), ('widget', 'device'), ('ring', 'fastener'), ('red bolt', 'red fastener'), ('red ring', 'red fastener'), ('red-ring', 'red fastener'), ('redring', 'red fastener')) f(form, term) ON regexp_matches(' ' || lower(p_name) || ' ', '[^a-z]' || form || '[^a-z]')",
     "x15_classify": _CLS + "SELECT * FROM cls",
     "x20_gated_category": _CLS + "SELECT doc, \"at\", part, CASE WHEN confidence >= 0.8 THEN category ELSE concat('m', part % 3) END AS category FROM cls",
     "x21_format_quantity": _D + ", f AS (SELECT doc, \"at\", part, CASE WHEN unit IN ('V', 'mm', 'A') AND canonical >= 1000 THEN canonical / 1000 ELSE canonical END AS n, CASE WHEN unit = 'V' AND canonical >= 1000 THEN 'kV' WHEN unit = 'mm' AND canonical >= 1000 THEN 'm' WHEN unit = 'A' AND canonical >= 1000 THEN 'kA' ELSE unit END AS un FROM u) SELECT doc, \"at\", part, concat(regexp_replace(regexp_replace(printf('%.3f', round(n, 3)), '0+$', ''), '\\.$', ''), ' ', un) AS readable FROM f",
     "x23_tokenize": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOK('text')}) AS token FROM documents) GROUP BY 1, 2",
     "x24_expand_synonyms": "WITH t AS (SELECT p_partkey, string_split(p_name, ' ')[2] AS token, 1.0 AS weight FROM part) SELECT p_partkey, token, max(weight)::DOUBLE AS weight FROM (SELECT * FROM t UNION ALL SELECT p_partkey, synonym, weight * 0.5 FROM t JOIN (VALUES ('bolt', 'screw'), ('gear', 'cog'), ('ring', 'bolt')) s(token, synonym) USING (token)) GROUP BY 1, 2",
     "r1_designation_key": f"WITH {CITE_TEXT}, {CITED} SELECT key, c_no, {_KEY.format('designation')} AS designation_key FROM cited",
-    "r2_resolve_citations": f"WITH {CITE_TEXT}, {CITED}, {STANDARDS}, c AS (SELECT concat_ws('/', key, c_no) AS cid, designation, year FROM cited), k AS (SELECT cid, year, 1 AS rank, 0.98 AS confidence, designation AS want FROM c UNION ALL SELECT cid, year, 2, 0.9, 'IS/' || designation FROM c WHERE designation LIKE 'IEC%' UNION ALL SELECT cid, year, 4, 0.6, regexp_replace(designation, ' \\(Part [^)]+\\)|-[0-9]+$', '') FROM c WHERE regexp_matches(designation, '\\(Part|-[0-9]+$')), m AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY rank, CASE WHEN own = year THEN 0 ELSE 1 END, old, sid) AS n FROM k JOIN standards s ON k.want = s.designation) SELECT c.cid, sid, coalesce(confidence, 0)::DOUBLE AS confidence, CASE WHEN sid IS NULL THEN 'unknown' WHEN c.year IS NULL THEN 'unspecified' WHEN c.year = own THEN 'current' WHEN c.year < own THEN 'older' ELSE 'newer' END AS edition FROM c LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON c.cid = m.cid",
+    "r2_resolve_citations": f"WITH {CITE_TEXT}, {CITED}, {STANDARDS}, c AS (SELECT concat_ws('/', key, c_no) AS cid, designation, year FROM cited), k AS (SELECT cid, year, 1 AS rank, 0.98 AS confidence, designation AS want FROM c UNION ALL SELECT cid, year, 2, 0.9, 'IS/' || designation FROM c WHERE designation LIKE 'IEC%' UNION ALL SELECT cid, year, 4, 0.6, regexp_replace(designation, ' \\(Part [^)]+\\)|-[0-9]+$', '') FROM c WHERE regexp_matches(designation, '\\(Part|-[0-9]+$') UNION ALL SELECT cid, year, 5, 0.8, designation || '#only' FROM c WHERE NOT regexp_matches(designation, '\\(Part|-[0-9]+$') UNION ALL SELECT cid, year, 6, 0.6, designation || '#first' FROM c WHERE NOT regexp_matches(designation, '\\(Part|-[0-9]+$')), pts AS (SELECT sid, regexp_replace(designation, ' \\(Part.*', '') AS base, regexp_extract(designation, 'Part ([0-9]+)', 1) AS pt, own, old FROM standards WHERE contains(designation, '(Part')), recs AS (SELECT sid, designation, own, old FROM standards UNION ALL SELECT sid, base || '#only', own, old FROM pts WHERE base IN (SELECT base FROM pts GROUP BY 1 HAVING count(DISTINCT pt) = 1) UNION ALL SELECT sid, base || '#first', own, old FROM pts WHERE pt = '1'), m AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY rank, CASE WHEN own = year THEN 0 ELSE 1 END, old, sid) AS n FROM k JOIN recs s ON k.want = s.designation) SELECT c.cid, sid, coalesce(confidence, 0)::DOUBLE AS confidence, CASE WHEN sid IS NULL THEN 'unknown' WHEN c.year IS NULL THEN 'unspecified' WHEN c.year = own THEN 'current' WHEN c.year < own THEN 'older' ELSE 'newer' END AS edition FROM c LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON c.cid = m.cid",
     "r5_build_index": f"WITH {_IDX} SELECT did, token, tf, length FROM idx",
     "r6_build_query": f"SELECT DISTINCT item_id AS qid, unnest({_TOK('text')}) AS token, 1.0::DOUBLE AS weight FROM benchmark",
     "r7_bm25": _BM + "SELECT qid, did, round(score, 5) AS score FROM bm",
@@ -138,5 +146,5 @@ SQL = {
     "r14_best_per_standard": _BM + "SELECT qid, did, source, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM (SELECT qid, t.did, source, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS n FROM top t JOIN cl USING (did)) WHERE n = 1",
     "r15_cutoff": _RR + "SELECT * FROM (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, did) AS rank FROM rr WHERE least(greatest(raw, 0), 1) >= 0.35 OR explicit) WHERE rank <= 5",
     "r16_context_terms": "WITH c AS (SELECT l_orderkey AS doc, p_type AS term, count(DISTINCT l_linenumber) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), r AS (SELECT *, max(n) OVER (PARTITION BY doc) AS top, row_number() OVER (PARTITION BY doc ORDER BY n DESC, term) AS rank FROM c) SELECT doc, term, n FROM r WHERE (top >= 2 AND n >= 2 AND rank <= 4) OR (top < 2 AND rank <= 2)",
-    "r21_extract_relations": f"WITH {CITE_TEXT}, {CITED} SELECT c.key, c.c_no, CASE form WHEN 0 THEN 'REQUIRES' WHEN 1 THEN 'REFERENCES' ELSE CASE c.c_no WHEN 0 THEN 'SUPERSEDES' ELSE 'TESTED_BY' END END AS type, designation FROM cited c JOIN cite USING (key)",
+    "r21_extract_relations": f"WITH {CITE_TEXT}, {CITED} SELECT c.key, c.c_no, CASE form WHEN 0 THEN 'REQUIRES' WHEN 1 THEN 'REFERENCES' ELSE CASE c.c_no WHEN 0 THEN 'SUPERSEDES' ELSE 'TESTED_BY' END END AS type, designation, CASE WHEN form <> 1 THEN 0.8 WHEN c.c_no = 0 THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM cited c JOIN cite USING (key)",
 }

@@ -23,11 +23,12 @@ def _supersedes(s, d):
 
 
 def _cyclic(s, d):
-    return read(s, d, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % 50).alias("dst"))
+    block = F.floor(F.col("p_partkey") / 50).cast("long") * 50
+    return read(s, d, "part").select(F.col("p_partkey").alias("src"), (block + (F.col("p_partkey") * 7 + 3) % 50).alias("dst"))
 
 
 def _few(s, d):
-    return read(s, d, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("node"))
+    return read(s, d, "part").select(F.col("p_partkey").alias("node"))
 
 
 def _paths(s, d):
@@ -61,17 +62,17 @@ _H = "h AS (SELECT dst AS node, src AS latest, 1 AS hops FROM s UNION ALL SELECT
 _N = "lay AS (SELECT n.node, CAST(coalesce(max(r.depth), 0) AS INTEGER) AS layer FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n LEFT JOIN r ON n.node = r.src GROUP BY 1)"
 _T = "red AS (SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN c ON x.dst = c.src WHERE x.src = e.src AND c.dst = e.dst AND x.dst <> e.dst))"
 SQL = {
-    "g1_neighbors": f"WITH {_E} SELECT dst AS node, src AS neighbor, type FROM edges WHERE dst % 97 = 5 AND type IN ('REQUIRES', 'TESTED_BY')",
+    "g1_neighbors": f"WITH {_E} SELECT dst AS node, src AS neighbor, type FROM edges WHERE dst IN (SELECT p_partkey FROM part) AND type IN ('REQUIRES', 'TESTED_BY')",
     "g2_latest_replacement": f"WITH RECURSIVE {_S}, {_H}, {_L} SELECT node, latest, CAST(hops AS BIGINT) AS hops FROM l",
     "g3_dependencies": "WITH e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1) SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src",
     "g5_contract_supersession": f"WITH RECURSIVE {_E}, {_S}, {_H}, {_L} SELECT DISTINCT * FROM (SELECT coalesce(a.latest, src) AS src, coalesce(b.latest, dst) AS dst FROM edges LEFT JOIN l a ON src = a.node LEFT JOIN l b ON dst = b.node WHERE confidence >= 0.7) WHERE src <> dst",
-    "g6_find_cycles": "WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 50 AS dst FROM part WHERE p_partkey < 50), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src WHERE e.src <> e.dst) SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1 HAVING min(a.dst) <> a.src OR max(a.dst) <> a.src",
+    "g6_find_cycles": "WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 50 * 50 + (p_partkey * 7 + 3) % 50 AS dst FROM part), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src WHERE e.src <> e.dst) SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1 HAVING min(a.dst) <> a.src OR max(a.dst) <> a.src",
     "g7_layers": f"WITH RECURSIVE {_E}, {_R}, {_N} SELECT node, layer FROM lay",
     "g8_closure": f"WITH RECURSIVE {_E}, {_R}, {_C} SELECT * FROM c",
     "g9_ancestors": "WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), r AS (SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src) SELECT dst AS node, src AS ancestor, depth FROM r",
     "g10_transitive_reduction": f"WITH RECURSIVE {_E}, {_R}, {_C}, {_T} SELECT * FROM red",
     "g11_graph_stats": f"WITH RECURSIVE {_E}, {_R}, {_C}, {_N}, {_T} SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM c) AS closure_pairs, (SELECT count(*) FROM c WHERE depth > 1) AS transitive_only, (SELECT count(*) FROM lay) AS nodes, (SELECT max(layer) FROM lay) AS deepest, (SELECT count(*) FROM red) AS reduced_edges",
     "g12_dag_export": f"WITH RECURSIVE {_E}, {_R}, {_C}, {_N}, {_T} SELECT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM red JOIN lay a ON src = a.node JOIN lay b ON dst = b.node",
-    "g13_neighborhood": f"WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), n AS (SELECT p_partkey AS center, p_partkey AS node, 0 AS distance FROM part WHERE p_partkey % 97 = 5 UNION SELECT center, b, distance + 1 FROM n JOIN u ON node = a WHERE distance < 2) SELECT center, node, min(distance) AS distance FROM n GROUP BY 1, 2",
+    "g13_neighborhood": f"WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), n AS (SELECT p_partkey AS center, p_partkey AS node, 0 AS distance FROM part UNION SELECT center, b, distance + 1 FROM n JOIN u ON node = a WHERE distance < 2) SELECT center, node, min(distance) AS distance FROM n GROUP BY 1, 2",
     "g16_evidence_paths": "SELECT l_orderkey AS doc, l_linenumber AS req, CASE WHEN l_partkey % 2 = 0 THEN 3 ELSE 2 END AS steps, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 3 <> 0 DESC, CASE WHEN l_partkey % 2 = 0 THEN 3 ELSE 2 END, l_discount DESC, l_linenumber) AS path_no FROM lineitem",
 }

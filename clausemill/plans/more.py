@@ -52,7 +52,7 @@ QUERIES = {
     "v4_finding_group": lambda s, d: _li(s, d).select("doc", "req", "standard", e.finding_group(F.element_at(F.array(F.lit("conflicting"), F.lit("missing"), F.lit("outdated")), (F.col("req") % 3 + 1).cast("int")), F.when(F.col("l_suppkey") % 5 == 0, "dependency_gap").otherwise("other")).alias("grp")),
     "w12_daily_activity": lambda s, d: w.daily_activity(read(s, d, "events"), "2024-02-02"),
     "w24_audit_trail": lambda s, d: w.audit_trail(read(s, d, "events"), read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))),
-    "x18_text_classifier": lambda s, d: m.predict(m.text_classifier(_labelled(s, d)), _labelled(s, d), ["doc_id"]),
+    "x18_text_classifier": lambda s, d: m.predict(m.text_classifier(_labelled(s, d)), m.word_grams(_labelled(s, d)), ["doc_id"]),
     "x19_embedding_classifier": lambda s, d: m.predict(m.embedding_classifier(read(s, d, "embeddings")), read(s, d, "embeddings"), ["vec_id"], True),
 }
 
@@ -67,7 +67,7 @@ SQL = {
     "a13_companion_parts": _W + " SELECT doc, standard AS replacement, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS companions FROM c JOIN part ON p_partkey // 2 = standard AND p_partkey > 1 AND p_size % 2 = 0 GROUP BY 1, 2",
     "a14_governed_requirements": _W + ", u AS (SELECT doc, standard, req FROM li WHERE confidence >= 0.5 UNION SELECT doc, standard, req FROM li WHERE l_tax < 0.02) SELECT doc, standard, req FROM (SELECT u.*, kind, count(*) OVER (PARTITION BY doc, u.standard) AS n FROM u JOIN t USING (standard)) WHERE kind <> 'code_of_practice' OR n >= 2",
     "a18_addressed_standards": f"WITH RECURSIVE {_LI}, {_C}, {_S}, {_H}, {_L} SELECT doc, standard FROM c UNION SELECT doc, dst FROM c JOIN s ON standard = src UNION SELECT doc, latest FROM c JOIN l ON standard = node",
-    "a20_nearest_missing": _W + ", re AS (SELECT doc, standard FROM c UNION SELECT doc, standard // 2 FROM li WHERE l_tax < 0.02) SELECT DISTINCT re.doc, p_partkey // 2 AS target FROM re JOIN part ON standard = p_partkey WHERE p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM re x WHERE x.doc = re.doc AND x.standard = p_partkey // 2)",
+    "a20_nearest_missing": _W.replace("WITH", "WITH RECURSIVE", 1) + ", re AS (SELECT doc, standard FROM c UNION SELECT doc, standard // 2 FROM li WHERE l_tax < 0.02), f AS (SELECT doc, standard FROM c UNION SELECT f.doc, p_partkey // 2 FROM f JOIN part ON f.standard = p_partkey JOIN re x ON x.doc = f.doc AND x.standard = p_partkey // 2 WHERE p_partkey > 1) SELECT DISTINCT f.doc, p_partkey // 2 AS target FROM f JOIN part ON f.standard = p_partkey WHERE p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM re x WHERE x.doc = f.doc AND x.standard = p_partkey // 2)",
     "a22_quantity_role": f"WITH {_LI} SELECT doc, req, standard, concat(CASE WHEN req % 2 = 0 THEN 'observed value ' ELSE 'as noted ' END, CASE l_suppkey % 3 WHEN 0 THEN 'limit ' WHEN 1 THEN 'then measured ' ELSE '' END) AS before, CASE l_suppkey % 3 WHEN 0 THEN 'limit' WHEN 1 THEN 'observed' ELSE CASE WHEN req % 2 = 0 THEN 'observed' END END AS role FROM li",
     "a33_evidence_rows": "SELECT p_partkey AS doc, 'f-1' AS local_id, generate_subscripts(x, 1) - 1 AS ordinal, unnest(x) AS item FROM (SELECT p_partkey, string_split(p_name, ' ') AS x FROM part)",
     "r9_add_cited_clauses": _W + ", h AS (SELECT doc AS qid, standard AS did, max(confidence) AS score FROM li WHERE l_tax < 0.02 GROUP BY 1, 2) SELECT * FROM h UNION ALL SELECT DISTINCT doc, p_partkey, 0.0::DOUBLE FROM c JOIN part ON p_partkey // 2 = standard WHERE NOT EXISTS (SELECT 1 FROM h WHERE qid = doc AND did = p_partkey)",

@@ -18,7 +18,8 @@ def _lines(s, d):
 
 
 def _pages(s, d):
-    return read(s, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    # A document of up to eight pages: groups stay as they are when the table grows.
+    return read(s, d, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("doc"), F.col("doc_id").alias("page"), "text")
 
 
 def _page_lines(s, d):
@@ -46,7 +47,7 @@ QUERIES = {
     "t1_normalize_text": lambda s, d: r.normalize_text(_docs(s, d), nfkc=False),
     "t1_normalize_nfkc": lambda s, d: r.normalize_text(_docs(s, d)),
     "t2_drop_page_counters": lambda s, d: r.drop_page_counters(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Page "), "l_linenumber", F.lit(" of 9"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("- page "), "l_linenumber", F.lit(" -"))).otherwise(F.concat(F.lit("Item "), "l_linenumber")).alias("line"))),
-    "t3_strip_repeated_lines": lambda s, d: r.strip_repeated_lines(_page_lines(s, d), share=0.1),
+    "t3_strip_repeated_lines": lambda s, d: r.strip_repeated_lines(_page_lines(s, d), share=0.3),
     "t4_reflow_lines": lambda s, d: r.reflow_lines(_lines(s, d)),
     "t6_sparse_page_report": lambda s, d: r.sparse_page_report(_pages(s, d)).withColumn("mean_chars", F.round("mean_chars", 4)),
     "t7_assemble_documents": lambda s, d: r.assemble_documents(_pages(s, d)).select("doc", "code", F.sha2("text", 256).alias("digest")),
@@ -54,7 +55,7 @@ QUERIES = {
     "t9_detect_sections": lambda s, d: r.detect_sections(_lines(s, d).withColumn("start", F.col("line_no"))),
     "t10_locate": lambda s, d: r.locate(r.detect_sections(_lines(s, d).withColumn("start", F.col("line_no"))), _lines(s, d).select("doc", F.col("line_no").alias("at"))),
     "t14_identify": lambda s, d: r.identify(_flagged(s, d)),
-    "t15_dedupe_requirements": lambda s, d: r.dedupe_requirements(rendered(s, d).select("doc", (F.col("at") * 1000000 + F.col("part")).alias("at"), F.substring("segment", 1, 12).alias("segment"))),
+    "t15_dedupe_requirements": lambda s, d: r.dedupe_requirements(rendered(s, d).select("doc", (F.col("at") * 1000000 + F.col("part")).alias("at"), "segment")),
     "t17_flag_vague": lambda s, d: r.flag_vague(_flagged(s, d)),
     "t19_validate_types": lambda s, d: r.validate_types(read(s, d, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("type")), s.createDataFrame([("red_bolt",), ("blue_bolt",), ("hot_gear",), ("red_widget",)], "type string")),
     "s2_decode_text": lambda s, d: r.decode_text(_docs(s, d).select("doc", F.encode("text", "UTF-8").alias("content"))).select("doc", "text"),
@@ -67,7 +68,7 @@ _LINES = r"lines AS (SELECT doc, generate_subscripts(parts, 1) - 1 AS line_no, u
 _keep = {k: v for k, v in t.CHARACTERS.items() if v}
 _FROM, _TO = "".join(_keep) + "­", "".join(_keep.values())
 _Q = lambda x: x.replace("'", "''")
-_PLINES = "plines AS (SELECT doc, page, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line FROM (SELECT source AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents))"
+_PLINES = "plines AS (SELECT doc, page, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line FROM (SELECT doc_id // 8 AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents))"
 _SEC = r"""h AS (SELECT doc, line_no, line_no AS start, trim(line) AS heading, regexp_extract(trim(line), '^([0-9]{1,2}(\.[0-9]{1,3}){0,4})[.)]?\s+[A-Z]', 1) AS num, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS caps FROM lines),
  sec AS (SELECT doc, line_no, start, nullif(num, '') AS number, heading, CAST(CASE WHEN num <> '' AND length(heading) <= 100 AND NOT regexp_matches(heading, '[.;]$') THEN length(regexp_replace(num, '[^.]', '', 'g')) + 1 ELSE 1 END AS INTEGER) AS level FROM h WHERE (num <> '' AND length(heading) <= 100 AND NOT regexp_matches(heading, '[.;]$')) OR (regexp_matches(lower(heading), '^(section|chapter|part|annex|appendix|schedule)\s+[0-9a-z]{1,4}\b') AND length(heading) <= 100) OR (letters >= 4 AND caps > letters * 0.8::DOUBLE AND length(heading) <= 80))"""
 _W = lambda a: rf"regexp_matches(lower(segment), '(^|[^a-z0-9_])({a})([^a-z0-9_]|$)')"
@@ -76,19 +77,19 @@ _ENUM = r.ENUMERATOR
 SQL = {
     "t1_normalize_text": f"SELECT doc_id AS doc, translate(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '{_Q(_FROM)}', '{_Q(_TO)}') AS text FROM documents",
     "t2_drop_page_counters": "SELECT l_orderkey, l_linenumber, concat('Item ', l_linenumber) AS line FROM lineitem WHERE l_linenumber % 3 = 2",
-    "t3_strip_repeated_lines": f"WITH {_PLINES}, sh AS (SELECT *, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS shape FROM plines), rep AS (SELECT doc, shape FROM (SELECT doc, shape, count(DISTINCT page) AS n FROM sh WHERE shape <> '' GROUP BY 1, 2) JOIN (SELECT doc, count(DISTINCT page) AS pages FROM sh GROUP BY 1) USING (doc) WHERE pages >= 3 AND n >= ceil(pages * 0.1::DOUBLE) AND length(shape) < 120) SELECT doc, page, line_no, line FROM sh ANTI JOIN rep USING (doc, shape)",
+    "t3_strip_repeated_lines": f"WITH {_PLINES}, sh AS (SELECT *, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS shape FROM plines), rep AS (SELECT doc, shape FROM (SELECT doc, shape, count(DISTINCT page) AS n FROM sh WHERE shape <> '' GROUP BY 1, 2) JOIN (SELECT doc, count(DISTINCT page) AS pages FROM sh GROUP BY 1) USING (doc) WHERE pages >= 3 AND n >= ceil(pages * 0.3::DOUBLE) AND length(shape) < 120) SELECT doc, page, line_no, line FROM sh ANTI JOIN rep USING (doc, shape)",
     "t4_reflow_lines": rf"""WITH {_LINES}, a AS (SELECT doc, line_no, trim(regexp_replace(line, ' {{2,}}', ' ', 'g'), ' ') AS line FROM lines), b AS (SELECT *, lag(line) OVER w AS prev FROM a WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
  c AS (SELECT *, line <> '' AND prev <> '' AND regexp_matches(prev, '[a-z]-$') AND regexp_matches(line, '^[a-z]') AS hy, line <> '' AND prev <> '' AND ((regexp_matches(prev, '[a-z]-$') AND regexp_matches(line, '^[a-z]')) OR (NOT regexp_matches(lower(line), '{_ENUM}') AND (regexp_matches(line, '^[a-z(]') OR (regexp_matches(lower(prev), '([,(–-]|(^|[^a-z0-9_])({"|".join(r.OPEN_WORDS)}))$') AND NOT regexp_matches(prev, '[0-9]\s*[Aa]$'))))) AS cont FROM b),
  e AS (SELECT *, coalesce(hy, false) AS hyphen, CASE WHEN coalesce(cont, false) THEN 0 ELSE 1 END AS new FROM c), i AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY line_no) AS island, coalesce(lead(hyphen) OVER (PARTITION BY doc ORDER BY line_no), false) AS nh FROM e)
  SELECT doc, min(line_no) AS line_no, string_agg(CASE WHEN hyphen OR new = 1 THEN '' ELSE ' ' END || CASE WHEN nh THEN regexp_replace(line, '-$', '') ELSE line END, '' ORDER BY line_no) AS line FROM i GROUP BY doc, island""",
-    "t6_sparse_page_report": "SELECT doc, pages, round(mean_chars, 4) AS mean_chars, sparse, CASE WHEN mean_chars < 40 THEN 'no_text_layer' WHEN sparse > 0 THEN 'sparse_pages' END AS code FROM (SELECT source AS doc, count(*) AS pages, avg(length(trim(text, ' '))) AS mean_chars, count(*) FILTER (length(trim(text, ' ')) < 40) AS sparse FROM documents GROUP BY 1)",
-    "t7_assemble_documents": "SELECT source AS doc, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN length(x) > 1000000 THEN 'too_long' END AS code, CASE WHEN trim(x, ' ') <> '' AND length(x) <= 1000000 THEN sha256(x) END AS digest FROM (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS x FROM documents GROUP BY 1)",
-    "t8_page_of": "WITH p AS (SELECT source AS doc, doc_id AS page, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM documents) SELECT q.source AS doc, q.doc_id * 37 % 20000 AS \"at\", (SELECT max(page) FROM p WHERE p.doc = q.source AND p.st <= q.doc_id * 37 % 20000) AS page FROM documents q",
+    "t6_sparse_page_report": "SELECT doc, pages, round(mean_chars, 4) AS mean_chars, sparse, CASE WHEN mean_chars < 40 THEN 'no_text_layer' WHEN sparse > 0 THEN 'sparse_pages' END AS code FROM (SELECT doc_id // 8 AS doc, count(*) AS pages, avg(length(trim(text, ' '))) AS mean_chars, count(*) FILTER (length(trim(text, ' ')) < 40) AS sparse FROM documents GROUP BY 1)",
+    "t7_assemble_documents": "SELECT doc, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN length(x) > 1000000 THEN 'too_long' END AS code, CASE WHEN trim(x, ' ') <> '' AND length(x) <= 1000000 THEN sha256(x) END AS digest FROM (SELECT doc_id // 8 AS doc, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS x FROM documents GROUP BY 1)",
+    "t8_page_of": "WITH p AS (SELECT doc_id // 8 AS doc, doc_id AS page, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id // 8 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM documents) SELECT q.doc_id // 8 AS doc, q.doc_id * 37 % 20000 AS \"at\", (SELECT max(page) FROM p WHERE p.doc = q.doc_id // 8 AND p.st <= q.doc_id * 37 % 20000) AS page FROM documents q",
     "t9_detect_sections": f"WITH {_LINES}, {_SEC} SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS section_no FROM sec",
     "t10_locate": f"WITH {_LINES}, {_SEC} SELECT l.doc, l.line_no AS \"at\", (SELECT arg_max(heading, line_no) FROM sec s WHERE s.doc = l.doc AND s.line_no <= l.line_no) AS heading FROM lines l",
     "t14_identify": _FLAGGED + rf"""SELECT * FROM (SELECT *, CASE WHEN {_W('shall|must|is required to|are required to|required|mandatory')} THEN 'mandatory' WHEN {_W('is to be|are to be|will be')} THEN 'mandatory' WHEN {_W('should|recommended|preferably|desirable')} THEN 'recommended' WHEN has_value OR has_reference THEN CASE WHEN regexp_matches(segment, '^[A-Za-z][A-Za-z0-9 ()/&.,''-]{{1,60}}\s*(:|=|–)\s+\S') THEN 'declarative' WHEN has_reference AND {_W('as per|according to')} THEN 'declarative' WHEN {_W('may|optional')} AND has_value THEN 'permitted' WHEN has_value AND len(string_split_regex(trim(segment), '\s+')) <= 16 THEN 'declarative' END END AS modality,
  CASE WHEN {_W('shall|must|is required to|are required to|required|mandatory')} THEN CASE WHEN has_value OR has_reference THEN 0.95 ELSE 0.85 END WHEN {_W('is to be|are to be|will be')} THEN CASE WHEN has_value OR has_reference THEN 0.9 ELSE 0.8 END WHEN {_W('should|recommended|preferably|desirable')} THEN 0.75 WHEN (has_value OR has_reference) AND regexp_matches(segment, '^[A-Za-z][A-Za-z0-9 ()/&.,''-]{{1,60}}\s*(:|=|–)\s+\S') THEN 0.8 WHEN has_reference AND {_W('as per|according to')} THEN 0.75 WHEN {_W('may|optional')} AND has_value THEN 0.55 ELSE 0.6 END::DOUBLE AS confidence FROM f) WHERE modality IS NOT NULL""",
-    "t15_dedupe_requirements": f"WITH {RENDERED}, n AS (SELECT doc, \"at\" * 1000000 + part AS \"at\", substr(segment, 1, 12) AS segment FROM rendered), o AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(trim(segment)) ORDER BY \"at\") AS k FROM n) SELECT doc, \"at\", segment, row_number() OVER (PARTITION BY doc ORDER BY \"at\") AS req_no FROM o WHERE k = 1",
+    "t15_dedupe_requirements": f"WITH {RENDERED}, n AS (SELECT doc, \"at\" * 1000000 + part AS \"at\", segment FROM rendered), o AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(trim(segment)) ORDER BY \"at\", segment) AS k FROM n) SELECT doc, \"at\", segment, row_number() OVER (PARTITION BY doc ORDER BY \"at\", segment) AS req_no FROM o WHERE k = 1",
     "t17_flag_vague": _FLAGGED + f"SELECT *, ({_W('|'.join(r.VAGUE_WORDS) + '|good quality|best quality|as required|heavy duty')} AND NOT contains(lower(segment), 'suitable for ') AND NOT contains(lower(segment), 'approved make') AND NOT has_value AND NOT has_reference) AS vague FROM f",
     "t19_validate_types": "SELECT p_partkey AS doc, replace(lower(trim(p_name)), ' ', '_') AS key, CASE WHEN replace(lower(trim(p_name)), ' ', '_') NOT IN ('red_bolt','blue_bolt','hot_gear','red_widget') THEN 'unknown' END AS code FROM part",
     "s2_decode_text": "SELECT doc_id AS doc, text FROM documents",

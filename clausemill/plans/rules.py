@@ -43,17 +43,17 @@ HITS = "hits AS (SELECT l_orderkey AS doc, l_linenumber AS req, l_partkey AS sta
 
 
 def _cited(s, d):
-    return _li(s, d).select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("req"), (F.col("l_partkey") % 50).alias("standard"), (1980 + F.col("l_suppkey") % 40).cast("int").alias("year"), F.when(F.col("l_linenumber") % 2 == 0, 0.98).otherwise(0.9).alias("resolution"))
+    return _li(s, d).select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("req"), F.col("l_partkey").alias("standard"), (1980 + F.col("l_suppkey") % 40).cast("int").alias("year"), F.when(F.col("l_linenumber") % 2 == 0, 0.98).otherwise(0.9).alias("resolution"))
 
 
-CITED = "cited AS (SELECT l_orderkey AS doc, l_linenumber * 1000000 + l_partkey AS req, l_partkey % 50 AS standard, CAST(1980 + l_suppkey % 40 AS INTEGER) AS year, CASE WHEN l_linenumber % 2 = 0 THEN 0.98 ELSE 0.9 END AS resolution FROM lineitem)"
+CITED = "cited AS (SELECT l_orderkey AS doc, l_linenumber * 1000000 + l_partkey AS req, l_partkey AS standard, CAST(1980 + l_suppkey % 40 AS INTEGER) AS year, CASE WHEN l_linenumber % 2 = 0 THEN 0.98 ELSE 0.9 END AS resolution FROM lineitem)"
 
 
 def _records(s, d):
-    return read(s, d, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("standard"), (1980 + F.col("p_size") % 40).alias("own_year"), F.when(F.col("p_partkey") % 7 == 0, "superseded").otherwise("current").alias("status"), (F.col("p_partkey") % 3 == 0).alias("amended"))
+    return read(s, d, "part").select(F.col("p_partkey").alias("standard"), (1980 + F.col("p_size") % 40).alias("own_year"), F.when(F.col("p_partkey") % 7 == 0, "superseded").otherwise("current").alias("status"), (F.col("p_partkey") % 3 == 0).alias("amended"))
 
 
-VERSIONS = CITED + ", recs AS (SELECT p_partkey AS standard, 1980 + p_size % 40 AS own_year, p_partkey % 7 = 0 AS gone, p_partkey % 3 = 0 AS amended FROM part WHERE p_partkey < 50), ver AS (SELECT doc, req, standard, CASE WHEN gone THEN 'superseded_reference' WHEN year < own_year THEN 'superseded_edition' WHEN year > own_year THEN 'newer_edition' WHEN amended THEN 'amendment_check' END AS rule, CASE WHEN gone THEN 'high' WHEN year < own_year THEN 'medium' ELSE 'low' END AS severity, round(CASE WHEN gone OR year < own_year THEN resolution * 0.85 ELSE 0.6 END, 6)::DOUBLE AS confidence FROM cited JOIN recs USING (standard))"
+VERSIONS = CITED + ", recs AS (SELECT p_partkey AS standard, 1980 + p_size % 40 AS own_year, p_partkey % 7 = 0 AS gone, p_partkey % 3 = 0 AS amended FROM part), ver AS (SELECT doc, req, standard, CASE WHEN gone THEN 'superseded_reference' WHEN year < own_year THEN 'superseded_edition' WHEN year > own_year THEN 'newer_edition' WHEN amended THEN 'amendment_check' END AS rule, CASE WHEN gone THEN 'high' WHEN year < own_year THEN 'medium' ELSE 'low' END AS severity, round(CASE WHEN gone OR year < own_year THEN resolution * 0.85 ELSE 0.6 END, 6)::DOUBLE AS confidence FROM cited JOIN recs USING (standard))"
 
 
 def _versions(s, d):
@@ -65,7 +65,7 @@ def _checklist(s, d):
 
 
 def _edges(s, d):
-    return read(s, d, "part").where("p_partkey between 2 and 400").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"), F.element_at(F.array(F.lit("TESTED_BY"), F.lit("REQUIRES"), F.lit("REFERENCES")), (F.col("p_size") % 3 + 1).cast("int")).alias("type"), (F.col("p_size") / 50).alias("confidence"))
+    return read(s, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"), F.element_at(F.array(F.lit("TESTED_BY"), F.lit("REQUIRES"), F.lit("REFERENCES")), (F.col("p_size") % 3 + 1).cast("int")).alias("type"), (F.col("p_size") / 50).alias("confidence"))
 
 
 def _small(s, d):
@@ -82,8 +82,8 @@ def _items(s, d):
 
 
 def _ranked(s, d):
-    hits = _li(s, d).where("l_linenumber <= 5").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("did"), F.col("l_linenumber").alias("rank")).groupBy("qid", "did").agg(F.min("rank").alias("rank"))
-    gold = _li(s, d).where("l_suppkey % 3 = 0").groupBy(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("did")).agg((F.max("l_suppkey") % 3 + F.max("l_linenumber") % 3).cast("int").alias("grade"))
+    hits = _li(s, d).select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("did"), F.col("l_linenumber").alias("rank")).groupBy("qid", "did").agg(F.min("rank").alias("rank"))
+    gold = _li(s, d).groupBy(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("did")).agg((F.max("l_suppkey") % 3 + F.max("l_linenumber") % 3).cast("int").alias("grade"))
     return hits, gold
 
 
@@ -92,11 +92,11 @@ def _runs(s, d, m):
 
 
 def _tokens(s, d, name):
-    return read(s, d, "part").select((F.col("p_partkey") % 200).alias("doc"), F.col("p_partkey").alias(name), F.array_distinct(t.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("tokens"))
+    return read(s, d, "part").select(F.floor(F.col("p_partkey") / 100).cast("long").alias("doc"), F.col("p_partkey").alias(name), F.array_distinct(t.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("tokens"))
 
 
 def _matches(s, d):
-    return e.text_match_candidates(_tokens(s, d, "gid"), _tokens(s, d, "pid").where("pid % 2 = 0"))
+    return e.text_match_candidates(_tokens(s, d, "gid"), _tokens(s, d, "pid"))
 
 
 QUERIES = {
@@ -109,7 +109,7 @@ QUERIES = {
     "a11_version_findings": _versions,
     "a12_amendment_dedupe": lambda s, d: r.amendment_dedupe(_versions(s, d)),
     "a15_checklist_gaps": lambda s, d: r.checklist_gaps(_small(s, d), _checklist(s, d), _li(s, d).select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("p"), F.col("l_suppkey") % 7).alias("parameter")).distinct(), _li(s, d).select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("p"), F.col("l_linenumber") % 3).alias("parameter"))),
-    "a19_dependency_gaps": lambda s, d: r.dependency_gaps(_li(s, d).select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 400).alias("standard")).distinct(), _edges(s, d), _li(s, d).where("l_quantity > 10").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 200).alias("standard")).distinct()),
+    "a19_dependency_gaps": lambda s, d: r.dependency_gaps(_li(s, d).select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("standard")).distinct(), _edges(s, d), _li(s, d).where("l_quantity > 25").select(F.col("l_orderkey").alias("doc"), F.floor(F.col("l_partkey") / 2).cast("long").alias("standard")).distinct()),
     "a21_certification_gaps": lambda s, d: r.certification_gaps(_small(s, d), _small(s, d).where("standard % 4 = 1").select("standard").distinct(), _li(s, d).where("l_tax > 0.05").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 25).alias("standard")).distinct()),
     "a24_result_nonconformity": lambda s, d: r.result_nonconformity(_li(s, d).select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") % 2).alias("parameter"), F.col("l_quantity").alias("value")), read(s, d, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 2).alias("parameter"), (F.col("o_custkey") % 10).cast("double").alias("low"), (F.col("o_custkey") % 30 + 15).cast("double").alias("high"))),
     "a27_verified_constraints": lambda s, d: r.verified_constraints(_checks(s, d)),
@@ -135,7 +135,7 @@ QUERIES = {
 }
 
 _M = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS recall, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) WHEN tp + fp = 0 AND tp + fn = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS f1"
-_BOOT = "WITH it AS (SELECT p_partkey AS slot, {0} AS v FROM part), dr AS (SELECT b, CAST('0x' || substr(md5(concat(b, ':', slot)), 1, 8) AS BIGINT) % (SELECT count(*) FROM it) AS slot FROM it, range(200) t(b)), m AS (SELECT b, avg(v) AS m FROM dr JOIN it USING (slot) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m"
+_BOOT = "WITH it AS (SELECT p_partkey AS slot, {0} AS v FROM part), x AS (SELECT b, v, CAST('0x' || substr(md5(concat(b, ':', slot)), 1, 8) AS BIGINT) % 1000000 AS x FROM it, range(1000) t(b)), dr AS (SELECT b, v, len(list_filter([" + ", ".join(map(str, e.TIMES)) + "], lambda l: x >= l)) AS times FROM x), m AS (SELECT b, sum(v * times) / sum(times) AS m FROM dr WHERE times > 0 GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m"
 _CC = f"WITH {VALUES}, {LIMITS}, {CHECKS}"
 _CONF = "conf AS (SELECT doc, req, standard, parameter, side, CASE overlap WHEN 'disjoint' THEN 'high' ELSE 'medium' END AS severity, CASE overlap WHEN 'disjoint' THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc, req, parameter, standard ORDER BY cmin NULLS FIRST, cmax NULLS FIRST, lo NULLS FIRST, hi NULLS FIRST) AS n FROM checks WHERE overlap <> 'none') WHERE n = 1)"
 SQL = {
@@ -148,7 +148,7 @@ SQL = {
     "a11_version_findings": f"WITH {VERSIONS} SELECT * FROM ver WHERE rule IS NOT NULL",
     "a12_amendment_dedupe": f"WITH {VERSIONS} SELECT doc, standard, min(req) AS req, count(*) AS citations, rule FROM ver WHERE rule = 'amendment_check' GROUP BY doc, standard, rule UNION ALL SELECT doc, standard, req, 1, rule FROM ver WHERE rule <> 'amendment_check'",
     "a15_checklist_gaps": "WITH a AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 25 AS standard FROM lineitem), w AS (SELECT doc, n_nationkey AS standard, concat('p', n_regionkey) AS parameter, CASE WHEN n_nationkey % 2 = 0 THEN 'medium' ELSE 'high' END AS sev FROM a JOIN nation ON standard = n_nationkey), st AS (SELECT DISTINCT l_orderkey AS doc, concat('p', l_suppkey % 7) AS parameter FROM lineitem), me AS (SELECT DISTINCT l_orderkey AS doc, concat('p', l_linenumber % 3) AS parameter FROM lineitem), m AS (SELECT w.*, me.doc IS NOT NULL AS said FROM w ANTI JOIN st ON w.doc = st.doc AND w.parameter = st.parameter LEFT JOIN me ON w.doc = me.doc AND w.parameter = me.parameter) SELECT doc, parameter, CAST(min(standard) AS BIGINT) AS standard, CASE WHEN bool_or(said) THEN 'insufficient_specification' ELSE 'checklist_gap' END AS rule, CASE WHEN bool_or(said) THEN 'low' ELSE arg_min(sev, standard) END AS severity, CASE WHEN bool_or(said) THEN 0.75 ELSE 0.7 END::DOUBLE AS confidence FROM m GROUP BY 1, 2",
-    "a19_dependency_gaps": "WITH c AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 400 AS standard FROM lineitem), e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_size / 50.0::DOUBLE AS conf FROM part WHERE p_partkey BETWEEN 2 AND 400 AND p_size % 3 < 2 AND p_size / 50.0::DOUBLE >= 0.7), ad AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 200 AS standard FROM lineitem WHERE l_quantity > 10) SELECT c.doc, dst AS target, min(c.standard) AS standard, round(least(0.85, max(conf)), 6) AS confidence FROM c JOIN e ON c.standard = src WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.doc = c.doc AND ad.standard = dst) GROUP BY 1, 2",
+    "a19_dependency_gaps": "WITH c AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS standard FROM lineitem), e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_size / 50.0::DOUBLE AS conf FROM part WHERE p_partkey > 1 AND p_size % 3 < 2 AND p_size / 50.0::DOUBLE >= 0.7), ad AS (SELECT DISTINCT l_orderkey AS doc, l_partkey // 2 AS standard FROM lineitem WHERE l_quantity > 25) SELECT c.doc, dst AS target, min(c.standard) AS standard, round(least(0.85, max(conf)), 6) AS confidence FROM c JOIN e ON c.standard = src WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.doc = c.doc AND ad.standard = dst) GROUP BY 1, 2",
     "a21_certification_gaps": "WITH a AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 25 AS standard FROM lineitem WHERE l_partkey % 25 % 4 = 1), ev AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 25 AS standard FROM lineitem WHERE l_tax > 0.05) SELECT doc, string_agg(CAST(standard AS VARCHAR), ',' ORDER BY CAST(standard AS VARCHAR)) AS standards, count(*) AS n FROM a ANTI JOIN ev USING (doc, standard) GROUP BY 1",
     "a24_result_nonconformity": "WITH b AS (SELECT l_orderkey AS doc, l_suppkey % 2 AS parameter, l_quantity AS value, (o_custkey % 10)::DOUBLE AS low, (o_custkey % 30 + 15)::DOUBLE AS high FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_suppkey % 2 = o_custkey % 2), o AS (SELECT *, greatest(value - high, low - value) AS over FROM b) SELECT doc, parameter, value, any_value(CASE WHEN over / greatest(abs(CASE WHEN value > high THEN high ELSE low END), 1e-9) > 0.1 THEN 'high' WHEN over / greatest(abs(CASE WHEN value > high THEN high ELSE low END), 1e-9) <= 0.02 THEN 'low' ELSE 'medium' END) AS severity FROM o WHERE over > 1e-9 GROUP BY 1, 2, 3",
     "a27_verified_constraints": _CC + " SELECT doc, req, min(standard) AS standard FROM checks c WHERE overlap = 'none' AND NOT EXISTS (SELECT 1 FROM checks b WHERE b.doc = c.doc AND b.req = c.req AND b.overlap <> 'none') GROUP BY 1, 2",
@@ -156,14 +156,14 @@ SQL = {
     "a30_report_cap": _CC + f", {_CONF}, cap AS (SELECT doc, min(CASE severity WHEN 'high' THEN 40 WHEN 'medium' THEN 70 ELSE 90 END) AS cap FROM conf GROUP BY 1) SELECT o_orderkey AS doc, CAST(least(o_custkey % 101, coalesce(cap, 100)) AS INTEGER) AS score FROM orders LEFT JOIN cap ON o_orderkey = doc",
     "a31_repairs": _CC + " SELECT doc, req, parameter, concat('rated ', CAST(CASE WHEN side = 'above' THEN cmax ELSE cmin END AS BIGINT), ' units') AS repaired FROM (SELECT doc, req, parameter, side, trunc(cmax) AS cmax, trunc(cmin) AS cmin FROM checks WHERE overlap = 'disjoint' AND lo > 0)",
     "a32_rewrite_guard": "SELECT p_partkey, p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AS ok, CASE WHEN p_partkey % 3 = 0 THEN 'numbers' WHEN p_partkey % 2 <> 0 THEN 'placeholders' END AS reason FROM part",
-    "v1_text_match_candidates": "WITH tk AS (SELECT p_partkey, p_partkey % 200 AS doc, list_distinct(list_transform(string_split(lower(concat_ws(' ', p_name, p_type)), ' '), lambda w: CASE WHEN length(w) <= 3 THEN w WHEN w LIKE '%ing' AND length(w) > 5 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) > 4 AND w NOT LIKE '%eed' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' THEN w[:-2] ELSE w END)) AS t FROM part), j AS (SELECT a.doc, a.p_partkey AS gid, b.p_partkey AS pid, len(a.t) AS n, len(b.t) AS m, len(list_intersect(a.t, b.t)) AS k FROM tk a JOIN tk b ON a.doc = b.doc WHERE b.p_partkey % 2 = 0) SELECT doc, gid, pid, round(k / (n + m - k), 6) AS jaccard FROM j WHERE k > 0 AND (k / (n + m - k) >= 0.6 OR k = least(n, m))",
+    "v1_text_match_candidates": "WITH tk AS (SELECT p_partkey, p_partkey // 100 AS doc, list_distinct(list_transform(string_split(lower(concat_ws(' ', p_name, p_type)), ' '), lambda w: CASE WHEN length(w) <= 3 THEN w WHEN w LIKE '%ing' AND length(w) > 5 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) > 4 AND w NOT LIKE '%eed' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' THEN w[:-2] ELSE w END)) AS t FROM part), j AS (SELECT a.doc, a.p_partkey AS gid, b.p_partkey AS pid, len(a.t) AS n, len(b.t) AS m, len(list_intersect(a.t, b.t)) AS k FROM tk a JOIN tk b ON a.doc = b.doc) SELECT doc, gid, pid, round(k / (n + m - k), 6) AS jaccard FROM j WHERE k > 0 AND (k / (n + m - k) >= 0.6 OR k = least(n, m))",
     "v3_score_attributes": "WITH g AS (SELECT l_orderkey AS req, l_suppkey % 5 AS p, max(l_quantity) AS v FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2), b AS (SELECT g.req, g.p, coalesce(bool_or(abs(v - l_quantity) <= abs(v) * 0.01), false) AS found, count(l_quantity) AS c FROM g LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber % 3 <> 0) l ON l_orderkey = req AND l_suppkey % 5 = p GROUP BY 1, 2) SELECT req, count(*) FILTER (found) AS tp, CAST(greatest(sum(c) - count(*) FILTER (found), 0) AS BIGINT) AS fp, count(*) FILTER (NOT found) AS fn FROM b GROUP BY 1",
     "v6_micro_prf": f"SELECT *, {_M} FROM (SELECT l_returnflag, CAST(sum(l_linenumber % 3) AS BIGINT) AS tp, CAST(sum(l_partkey % 2) AS BIGINT) AS fp, CAST(sum(l_suppkey % 2) AS BIGINT) AS fn FROM lineitem GROUP BY 1)",
     "v7_classification_metrics": "WITH p AS (SELECT CAST(quality AS VARCHAR) AS g, CASE WHEN length(text) > 600 THEN '1' WHEN length(text) > 200 THEN '0' ELSE '2' END AS p FROM labels JOIN documents USING (doc_id)), l AS (SELECT g AS label FROM p UNION SELECT p FROM p), c AS (SELECT label, count(*) FILTER (g = label AND p = label) AS tp, count(*) FILTER (g <> label AND p = label) AS fp, count(*) FILTER (g = label AND p <> label) AS fn FROM l, p GROUP BY 1) SELECT round((SELECT count(*) FILTER (g = p) / count(*) FROM p), 6) AS accuracy, round(avg(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END), 6)::DOUBLE AS macro_f1 FROM c",
     "v8_mean_fields": f"WITH {VALUES} SELECT round(sum(coalesce(lo, 0)) / count(*), 5) AS lo, round(sum(coalesce(hi, 0)) / count(*), 5) AS hi FROM vals",
-    "v9_bootstrap_ci": _BOOT.format("p_retailprice"),
-    "v10_paired_bootstrap": _BOOT.format("p_size - p_retailprice"),
-    "v11_retrieval_metrics": "WITH h AS (SELECT l_orderkey AS qid, l_partkey AS did, min(l_linenumber) AS rank FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2), g AS (SELECT l_orderkey AS qid, l_partkey AS did, max(l_suppkey) % 3 + max(l_linenumber) % 3 AS grade FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1, 2), j AS (SELECT g.*, rank, pow(2, grade) - 1 AS gain, row_number() OVER (PARTITION BY g.qid ORDER BY grade DESC) AS i FROM g LEFT JOIN h ON g.qid = h.qid AND g.did = h.did), b AS (SELECT qid, min(CASE WHEN grade >= 2 THEN rank END) AS first, sum(CASE WHEN rank <= 5 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 5 THEN gain / log2(i + 1) ELSE 0 END) AS ideal FROM j GROUP BY 1) SELECT round(avg(coalesce((first <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS recall_3, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg_5 FROM b",
+    "v9_bootstrap_ci": _BOOT.replace("{0}", "p_retailprice"),
+    "v10_paired_bootstrap": _BOOT.replace("{0}", "p_size - p_retailprice"),
+    "v11_retrieval_metrics": "WITH h AS (SELECT l_orderkey AS qid, l_partkey AS did, min(l_linenumber) AS rank FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey AS qid, l_partkey AS did, max(l_suppkey) % 3 + max(l_linenumber) % 3 AS grade FROM lineitem GROUP BY 1, 2), j AS (SELECT g.*, rank, pow(2, grade) - 1 AS gain, row_number() OVER (PARTITION BY g.qid ORDER BY grade DESC) AS i FROM g LEFT JOIN h ON g.qid = h.qid AND g.did = h.did), b AS (SELECT qid, min(CASE WHEN grade >= 2 THEN rank END) AS first, sum(CASE WHEN rank <= 5 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 5 THEN gain / log2(i + 1) ELSE 0 END) AS ideal FROM j GROUP BY 1) SELECT round(avg(coalesce((first <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS recall_3, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg_5 FROM b",
     "v14_multiset_prf": f"WITH g AS (SELECT l_partkey % 500 AS k, l_returnflag, count(*) AS g FROM lineitem GROUP BY 1, 2), p AS (SELECT l_suppkey * 3 % 500 AS k, l_returnflag, count(*) AS p FROM lineitem WHERE l_linenumber < 4 GROUP BY 1, 2), b AS (SELECT coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p USING (k, l_returnflag)), x AS (SELECT CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(p - least(g, p)) AS BIGINT) AS fp, CAST(sum(g - least(g, p)) AS BIGINT) AS fn FROM b) SELECT tp, fp, fn, {_M} FROM x",
     "v16_mapping_accuracy": "SELECT count(*) FILTER (l_partkey % 7 = l_suppkey % 7) / nullif(count(*), 0) AS accuracy, count(*) AS n FROM lineitem WHERE l_tax > 0.02",
     "v18_compare_runs": "SELECT CASE WHEN a.i IS NULL THEN 'new' WHEN b.i IS NULL THEN 'removed' WHEN a.ok = b.ok THEN 'same' WHEN b.ok THEN 'gained' ELSE 'lost' END AS flip, count(*) AS items FROM (SELECT o_orderkey AS i, o_custkey % 5 < 2 AS ok FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey AS i, o_custkey % 7 < 2 AS ok FROM orders WHERE o_orderkey % 7 <> 0) b ON a.i = b.i GROUP BY 1",

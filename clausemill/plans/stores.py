@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from clausemill.functions.scratch import shared_folder
 from clausemill.operators import workspace as w
 from clausemill.plans.tables import ctes, findings, read, runs
 from clausemill.sources import results, uploads
+from clausemill.streaming import runs as streams
 from clausemill.streaming.runs import session_gaps
 
 
@@ -28,7 +32,62 @@ def _manifest(s, d):
     return read(s, d, "documents").where("doc_id % 7 <> 0").select(F.concat(F.lit("d/"), F.col("doc_id") + F.when(F.col("doc_id") % 11 == 0, 1000000).otherwise(0)).alias("path"), sha.alias("sha"))
 
 
+def _folder(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _corpus(s, d):
+    """Parts as the standards of knowledge base files of a hundred each, written as JSON and read back."""
+    p = read(s, d, "part")
+    clause = F.struct(F.concat(F.lit("c-"), "p_partkey").alias("id"), F.concat(F.lit("s-"), "p_partkey").alias("standardId"), F.lit("1").alias("ref"), F.col("p_type").alias("heading"), F.col("p_name").alias("text"))
+    second = F.struct(F.concat(F.lit("d-"), "p_partkey").alias("id"), F.concat(F.lit("s-"), "p_partkey").alias("standardId"), F.lit("2").alias("ref"), F.col("p_brand").alias("heading"), F.lit(None).cast("string").alias("text"))
+    standard = F.struct(F.concat(F.lit("s-"), "p_partkey").alias("id"), F.col("p_name").alias("title"), (1980 + F.col("p_size")).alias("year"), F.array(clause, second).alias("clauses"))
+    files = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("block")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", standard.alias("s")))).alias("x"))
+    path = _folder(s, "corpus")
+    files.select("block", F.transform("x", lambda y: y["s"]).alias("standards")).repartition("block").write.partitionBy("block").json(path)
+    return uploads.read_corpus(s, f"{path}/*")
+
+
+def _published(s, d):
+    """Two versions published one after the other: the second is the active one."""
+    path, p = _folder(s, "published"), read(s, d, "part").select("p_partkey", "p_name")
+    results.publish_corpus({"standards": p.where("p_partkey % 2 = 0")}, path, "1")
+    results.publish_corpus({"standards": p.withColumn("p_name", F.upper("p_name"))}, path, "2")
+    return results.active_corpus(s, path, "standards")
+
+
+def _rewritten(s, d):
+    """Runs written, then some written again with fewer rows: only these change."""
+    path = _folder(s, "results")
+    rows = read(s, d, "lineitem").select((F.col("l_suppkey") % 25).alias("run_id"), "l_orderkey", "l_linenumber", "l_partkey")
+    results.write_results({"findings": rows}, path)
+    results.write_results({"findings": rows.where("run_id % 3 = 0 and l_linenumber = 1")}, path)
+    return s.read.schema("l_orderkey long, l_linenumber long, l_partkey long, run_id long").parquet(f"{path}/findings")
+
+
+def _eval_runs(s, d):
+    path = _folder(s, "eval")
+    items = read(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    for run, keep in (("base", "true"), ("strict", "quality = 1")):
+        results.write_eval_run(items.where(keep), path, run)
+    return results.read_eval_runs(s, f"{path}/*", "doc_id long, quality int")
+
+
+def _ingested(s, d):
+    """Documents as they arrive in a stream, each analysed once."""
+    out, table = _folder(s, "ingested"), read(s, d, "documents")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    analyse = lambda batch: batch.select("doc_id", F.size(F.split("text", "\n")).alias("lines"))
+    streams.ingest_stream(s, f"{d}/documents.parque[t]", schema, analyse, out, _folder(s, "checkpoint")).awaitTermination()
+    return s.read.schema("doc_id long, lines int").parquet(out)
+
+
 QUERIES = {
+    "s4_read_corpus": lambda s, d: _corpus(s, d)["clauses"].select("standard_id", "clause_no", "id", "heading", "text"),
+    "s6_publish_corpus": _published,
+    "s9_write_results": _rewritten,
+    "s11_eval_runs": _eval_runs,
+    "st1_ingest_stream": _ingested,
     "s1_scan_uploads": lambda s, d: _files(s, d).select("path", F.inline(F.array(uploads.file_format(F.concat("path", F.when(F.length("path") % 2 == 0, ".txt").otherwise(".pdf")), F.col("content"), F.length("content").cast("long"))))),
     "s5_load_corpus": lambda s, d: uploads.load_corpus(read(s, d, "region").select(F.col("r_regionkey").alias("standard"), "r_name"), read(s, d, "nation").select(F.col("n_regionkey").alias("standard"), F.col("n_nationkey").alias("clause_no"), F.col("n_name").alias("heading"))).select("standard", "r_name", F.array_join("headings", ",").alias("headings")),
     "s7_validate_corpus": lambda s, d: uploads.validate_corpus(read(s, d, "part").select(F.col("p_partkey").alias("standard")), _references(s, d)),
@@ -41,6 +100,11 @@ QUERIES = {
 
 _UF = "uf AS (SELECT run_id, finding_no, min(kind) AS kind, min(severity) AS severity FROM findings GROUP BY 1, 2)"
 SQL = {
+    "s4_read_corpus": "SELECT concat('s-', p_partkey) AS standard_id, 0 AS clause_no, concat('c-', p_partkey) AS id, p_type AS heading, p_name AS text FROM part UNION ALL SELECT concat('s-', p_partkey), 1, concat('d-', p_partkey), p_brand, NULL FROM part",
+    "s6_publish_corpus": "SELECT p_partkey, upper(p_name) AS p_name FROM part",
+    "s9_write_results": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 25 AS run_id FROM lineitem WHERE l_suppkey % 25 % 3 <> 0 OR l_linenumber = 1",
+    "s11_eval_runs": "SELECT doc_id, CAST(quality AS INTEGER) AS quality, 'base' AS run FROM labels UNION ALL SELECT doc_id, CAST(quality AS INTEGER), 'strict' FROM labels WHERE quality = 1",
+    "st1_ingest_stream": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents",
     "s1_scan_uploads": "SELECT concat('d/', doc_id) AS path, CASE WHEN length(concat('d/', doc_id)) % 2 = 0 AND length(text) > 0 THEN 'txt' END AS format, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(concat('d/', doc_id)) % 2 = 1 THEN 'corrupt' END AS error_code FROM documents",
     "s5_load_corpus": "SELECT r_regionkey AS standard, r_name, string_agg(n_name, ',' ORDER BY n_nationkey) AS headings FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "s7_validate_corpus": "SELECT 'lineitem' AS source, CAST(l_orderkey AS VARCHAR) AS id, CAST(l_partkey + 3 AS VARCHAR) AS missing FROM lineitem WHERE l_partkey + 3 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT p_partkey FROM part)",

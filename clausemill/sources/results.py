@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_results(tables: dict[str, DataFrame], folder: str) -> None:
-    """Idempotent by run: each table replaces only the partitions of the runs that it holds."""
+    """Idempotent by run: each table (run_id, …) replaces only the runs that it holds; a run written again leaves no old rows."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/{name}")
 
 
 def publish_corpus(tables: dict[str, DataFrame], folder: str, version: str) -> None:
-    """A version's tables first, then the one-row pointer that makes it the active one."""
+    """A version's tables first, then a one-row pointer; the newest pointer names the active version.
+
+    Pointers are only added, each with a number after the last, so a reader never finds none.
+    """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/corpus_version={version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").write.mode("overwrite").parquet(f"{folder}/active")
+    try:
+        last = spark.read.parquet(f"{folder}/active").agg(F.max("number")).first()[0]
+    except AnalysisException:  # nothing was published yet
+        last = 0
+    spark.createDataFrame([(version, last + 1)], "version string, number long").write.mode("append").parquet(f"{folder}/active")
 
 
 def active_corpus(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/active").first()["version"]
+    version = spark.read.parquet(f"{folder}/active").agg(F.max_by("version", "number")).first()[0]
     return spark.read.parquet(f"{folder}/corpus_version={version}/{name}")
 
 

@@ -30,7 +30,7 @@ def file_format(path: Column, content: Column, length: Column) -> Column:
 
 
 def scan_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, format, error_code, content); the content of files too large is left unread in later steps."""
+    """(path, length, format, error_code, content); the content of files too large is left unread in later steps. Spark lists no files of length 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.withColumn("f", file_format(F.col("path"), F.col("content"), F.col("length"))).select("path", "length", "f.format", "f.error_code", "content")
 
@@ -73,3 +73,11 @@ def load_corpus(standards: DataFrame, clauses: DataFrame) -> DataFrame:
     """Clauses grouped under their standards in order."""
     grouped = clauses.groupBy("standard").agg(F.array_sort(F.collect_list(F.struct("clause_no", "heading"))).alias("c"))
     return standards.join(grouped, "standard", "left").select(*standards.columns, F.coalesce(F.transform("c", lambda x: x["heading"]), F.array().cast("array<string>")).alias("headings"))
+
+
+def read_gold(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(stem, gold columns, text): one gold JSON and the text file of the same stem for each document; text null where there is none."""
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.gold\.json|\.txt)$", 1)
+    gold = spark.read.schema(schema).json(f"{folder}/*.gold.json", multiLine=True).withColumn("stem", stem)
+    texts = spark.read.text(f"{folder}/*.txt", wholetext=True).select(stem.alias("stem"), F.col("value").alias("text"))
+    return gold.join(texts, "stem", "left")

@@ -14,10 +14,19 @@ STALE_MS, ATTEMPTS = 90_000, 3
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: str, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Each new file's rows go through analyse once; a micro-batch that is run again overwrites its own output."""
+    """Each new file's rows go through analyse once; a micro-batch that is run again overwrites its own output.
+
+    A batch whose analysis can't be planned leaves a row (batch, error) under out-errors; the stream goes on.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        analyse(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        try:
+            done = analyse(batch)
+        except Exception as e:  # a batch whose analysis can't be planned becomes a row and stops no other
+            done = batch.limit(0).sparkSession.createDataFrame([(str(e)[:500],)], "error string")
+            done.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}-errors")
+            return
+        done.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     source = spark.readStream.schema(schema).format("parquet").option("maxFilesPerTrigger", 16).load(folder)
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -26,7 +35,7 @@ def ingest_stream(spark: SparkSession, folder: str, schema: str, analyse: Callab
 def stalled_runs(heartbeats: DataFrame, stale_ms: int = STALE_MS, attempts: int = ATTEMPTS, delay: str = "1 minute") -> DataFrame:
     """(run_id, ts) stream -> (run_id, at, action): a run silent for stale_ms of event time is put back, and fails after so many times.
 
-    The state of a run is its last heartbeat and how often it was put back.
+    The state of a run is its last heartbeat and how often it was put back since.
     """
 
     def watch(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,12 +46,13 @@ def stalled_runs(heartbeats: DataFrame, stale_ms: int = STALE_MS, attempts: int
             yield pd.DataFrame({"run_id": [key[0]], "at": [pd.Timestamp(last, unit="ms")], "action": [action]})
             if action == "fail":
                 state.remove()
-            else:
+            else:  # silent for as long again: the next time out
                 state.update((last, tried))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + stale_ms)
             return
         for part in rows:
             last = max(last, int(part["ts"].max().timestamp() * 1000))
-        state.update((last, tried))
+        state.update((last, 0))  # a heartbeat: the run is alive again
         state.setTimeoutTimestamp(max(last + stale_ms, state.getCurrentWatermarkMs() + 1))
 
     return heartbeats.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(watch, "run_id long, at timestamp, action string", "last long, tried int", "append", GroupStateTimeout.EventTimeTimeout)
