@@ -199,3 +199,29 @@ def test_licences(spark):
     assert sorted((r.doc_id, r.licence) for r in got) == sorted([(1, "apache"), (2, "mit"), (2, "mit"), (3, "gpl"), (4, "cc-by-nc"), (5, "none"), (6, "none"), (7, "none"), (8, "none"), (9, next(r.licence for r in got if r.doc_id == 9))])
     assert next(list(r.families) for r in got if r.doc_id == 9) == ["cc-by-nc", "mit"]
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_licence_paragraphs_that_wrap(spark):
+    mit = licences.PASSAGES["mit"][0]
+    words = mit.split()
+    wrapped = "Intro ends here.\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + ".\nOther text."
+    rows = [(1, wrapped), (2, "GNU Affero General Public License v3"), (3, "Licensed under the Eclipse Public License 2.0"), (4, "Licensed under the Sleepycat License."), (5, "SPDX-License-Identifier: LGPL-2.1-or-later"), (6, "This is free and unencumbered software released into the public domain."), (7, "Copyright 2020 Foo Inc. All rights reserved."), (8, "Licensed under CC BY 4.0."), (9, "Use is governed by the Reciprocal Public License.")]
+    got = {r.doc_id: r.licence for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "agpl", 3: "epl", 4: "none", 5: "lgpl", 6: "unlicense", 7: "proprietary", 8: "cc-by", 9: "none"}
+
+
+def test_licences_in_unseen_frames_and_unknown_ones(spark):
+    """Statements in frames, and licences, that the training has not seen; and probabilities recomputed in plain Python."""
+    unseen = licences.statements(licences.UNSEEN_FRAMES, licences.UNSEEN_UNKNOWN)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(unseen)], "doc_id long, text string")
+    found = {r.doc_id: r for r in licences.scan_licences(df).collect()}
+    known = [(i, f) for i, (_, f) in enumerate(unseen) if f != "none"]
+    assert sum(found[i].licence == f for i, f in known) >= 0.97 * len(known)
+    assert all(found[i].licence == "none" for i, (_, f) in enumerate(unseen) if f == "none")
+    families, weights, biases, temperature = licences.trained()
+    for i, (text, _) in list(enumerate(unseen))[::17]:
+        own = [weights[g] for g in licences._features(text) if g in weights]
+        z = (np.sum(own, 0) / max(1.0, len(own) ** 0.5) + np.asarray(biases)) / temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if found[i].paragraphs:
+            assert abs(found[i].probability - p.max()) < 1e-5
