@@ -79,7 +79,7 @@ def _ingested(s, d):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
     analyse = lambda batch: batch.select("doc_id", F.size(F.split("text", "\n")).alias("lines"))
     streams.ingest_stream(s, f"{d}/documents.parque[t]", schema, analyse, out, _folder(s, "checkpoint")).awaitTermination()
-    return s.read.schema("doc_id long, lines int").parquet(out)
+    return s.read.schema("doc_id long, lines int, batch long").parquet(out).select("doc_id", "lines")
 
 
 QUERIES = {
