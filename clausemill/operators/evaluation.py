@@ -126,7 +126,7 @@ def tune_gate(rows: DataFrame, steps: int = 21) -> DataFrame:
 
 def quality_gate(metrics: DataFrame, floors: DataFrame) -> DataFrame:
     """(dataset, metric, value) below their floor (metric, floor)."""
-    return metrics.join(F.broadcast(floors), "metric").where("value < floor")
+    return metrics.join(floors, "metric").where("value < floor")
 
 
 def greedy_match(candidates: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def extract_relations(sentences: DataFrame, citations: DataFrame) -> DataFrame:
 
 def product_match(standards: DataFrame, forms: DataFrame, text: str) -> DataFrame:
     """(standard, term): a form of the term is part of the standard's text. Two dimensions of fixed size, joined once."""
-    return standards.join(F.broadcast(forms), F.contains(F.lower(F.col(text)), F.col("form"))).select("standard", "term").distinct()
+    return standards.join(forms, F.contains(F.lower(F.col(text)), F.col("form"))).select("standard", "term").distinct()
 
 
 def add_cited_clauses(hits: DataFrame, cited: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -21,10 +21,14 @@ def rerank_features(hits: DataFrame, parameters: DataFrame, clause_parameters: D
     """
     best = Window.partitionBy("qid")
     out = hits.withColumn("bm25", F.col("score") / F.greatest(F.max("score").over(best), F.lit(1e-12)))
-    own = parameters.join(clause_parameters.select("did", "parameter").distinct(), "parameter").groupBy("qid", "did").agg(F.array_sort(F.collect_set("parameter")).alias("governed"))
-    wide = parameters.join(clause_parameters.select("standard", "parameter").distinct(), "parameter").select("qid", "standard", F.lit(1.0).alias("standard_parameter")).distinct()
-    product = terms.join(products, "term").groupBy("qid", "standard").agg(F.min("term").alias("product_term"))
-    about = context.join(products, "term").select("qid", "standard", F.lit(1.0).alias("context_product")).distinct()
+    # Every flag starts from the hits: a parameter or a term alone would pair each query with each clause that has it.
+    pairs = hits.select("qid", "standard").distinct()
+    stated = parameters.select("qid", "parameter").distinct()
+    own = hits.select("qid", "did").distinct().join(clause_parameters.select("did", "parameter").distinct(), "did").join(stated, ["qid", "parameter"], "left_semi").groupBy("qid", "did").agg(F.array_sort(F.collect_set("parameter")).alias("governed"))
+    wide = pairs.join(clause_parameters.select("standard", "parameter").distinct(), "standard").join(stated, ["qid", "parameter"], "left_semi").select("qid", "standard", F.lit(1.0).alias("standard_parameter")).distinct()
+    covered = pairs.join(products.select("standard", "term").distinct(), "standard")
+    product = covered.join(terms.select("qid", "term").distinct(), ["qid", "term"], "left_semi").groupBy("qid", "standard").agg(F.min("term").alias("product_term"))
+    about = covered.join(context.select("qid", "term").distinct(), ["qid", "term"], "left_semi").select("qid", "standard", F.lit(1.0).alias("context_product")).distinct()
     out = out.join(own, ["qid", "did"], "left").join(wide, ["qid", "standard"], "left").join(product, ["qid", "standard"], "left").join(about, ["qid", "standard"], "left")
     out = out.join(explicit.select("qid", "standard").distinct().withColumn("explicit", F.lit(True)), ["qid", "standard"], "left").join(cited.select("qid", "standard").distinct().withColumn("_cited", F.lit(True)), ["qid", "standard"], "left")
     gate = F.least(F.lit(1.0), F.col("bm25") / GATE)

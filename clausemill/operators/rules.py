@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clausemill.functions.numeric import half_up
 from clausemill.functions.scratch import keep
+from clausemill.functions.text import designation_key
+from clausemill.operators import facts
 
 SEVERITIES = ("high", "medium", "low")
 KIND_ORDER = ("conflicting", "missing", "outdated", "certification", "verified")
@@ -40,6 +42,22 @@ def check_constraints(values: DataFrame, limits: DataFrame) -> DataFrame:
     return both.withColumn("c", interval_compare(F.col("lo"), F.col("hi"), F.col("cmin"), F.col("cmax"))).select("doc", "req", "standard", "parameter", "lo", "hi", "cmin", "cmax", "c.overlap", "c.side")
 
 
+def drop_ambiguous(checks: DataFrame, hits: DataFrame, explicit: DataFrame, window: float = 0.15) -> DataFrame:
+    """checks without violations that a close runner-up accepts: another hit of the requirement within `window` of its best one, whose limit of the parameter holds.
+
+    checks (doc, req, standard, parameter, overlap …) over all hits (doc, req, standard, confidence);
+    what a requirement cites itself (doc, req, standard) stays.
+    """
+    best = hits.groupBy("doc", "req").agg(F.max("confidence").alias("best"))
+    close = hits.join(best, ["doc", "req"]).where(F.col("confidence") >= F.col("best") - window).select("doc", "req", F.col("standard").alias("rival")).distinct()
+    accepts = checks.where("overlap = 'none'").select("doc", "req", "parameter", F.col("standard").alias("rival")).distinct().join(close, ["doc", "req", "rival"])
+    keys = ["doc", "req", "standard", "parameter"]
+    open_ = checks.where("overlap <> 'none'").select(*keys).distinct().join(explicit.select("doc", "req", "standard").distinct(), ["doc", "req", "standard"], "left_anti")
+    doubtful = open_.join(accepts, ["doc", "req", "parameter"]).where("standard <> rival").select(*keys, F.lit("x").alias("_x")).distinct()
+    marked = checks.join(doubtful, keys, "left")
+    return marked.where("_x is null or overlap = 'none'").select(*checks.columns)
+
+
 def constraint_conflicts(checks: DataFrame) -> DataFrame:
     """The first violation of each (doc, req, parameter, standard): high at .9 if disjoint, else medium at .75."""
     first = Window.partitionBy("doc", "req", "parameter", "standard").orderBy("cmin", "cmax", "lo", "hi")
@@ -91,7 +109,7 @@ def checklist_gaps(applicable: DataFrame, checklist: DataFrame, stated: DataFram
 
     Mentioned without a value: insufficient_specification at .75, low; never mentioned: checklist_gap at .7.
     """
-    wanted = applicable.select("doc", "standard").join(F.broadcast(checklist), "standard")
+    wanted = applicable.select("doc", "standard").join(checklist, "standard")
     missing = wanted.join(stated, ["doc", "parameter"], "left_anti").join(mentioned.select("doc", "parameter", F.lit(True).alias("mentioned")).distinct(), ["doc", "parameter"], "left")
     first = missing.groupBy("doc", "parameter").agg(F.min_by(F.struct("standard", "severity", "mentioned"), "standard").alias("m"))
     said = F.coalesce(F.col("m.mentioned"), F.lit(False))
@@ -109,7 +127,7 @@ def dependency_gaps(cited: DataFrame, edges: DataFrame, addressed: DataFrame, fl
 
 def certification_gaps(applicable: DataFrame, schemes: DataFrame, evidence: DataFrame) -> DataFrame:
     """One finding a document: its applicable standards with a scheme and without covering evidence, in order."""
-    open_ = applicable.select("doc", "standard").join(F.broadcast(schemes), "standard", "left_semi").join(evidence, ["doc", "standard"], "left_anti")
+    open_ = applicable.select("doc", "standard").join(schemes, "standard", "left_semi").join(evidence, ["doc", "standard"], "left_anti")
     return open_.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set(F.col("standard").cast("string"))), ",").alias("standards"), F.countDistinct("standard").alias("n"))
 
 
@@ -149,11 +167,46 @@ def repairs(conflicts: DataFrame) -> DataFrame:
     return conflicts.withColumn("repaired", F.when(at > 0, F.overlay("text", new, at, F.length(old))).otherwise(F.col("text")))
 
 
+# The wording of repairs.
+TESTS_CLAUSE = ("Tests shall be carried out in accordance with ", ", and the test certificates shall be submitted for acceptance.")
+CONFORM_CLAUSE = ("The equipment shall also conform to ", " where applicable.")
+EVIDENCE_CLAUSE = ("The supplier shall furnish evidence of conformity to ", ": a valid BIS licence (Standard Mark) for each offered product and/or type-test reports from an accredited laboratory, as decided by the purchaser.")
+VAGUE_CLAUSE = (" — [state the measurable value or acceptance criterion", "].")
+
+
+def repair_texts(findings: DataFrame) -> DataFrame:
+    """Adds recommended: the wording that mends a finding, by its rule; null where none is known.
+
+    findings (…, rule, text, raw, target, number, template, is_test, companions, heading): a limit
+    puts target for raw and cites the standard, a gap takes its checklist item's template, a missing
+    dependency or conformity evidence a clause, an old citation its replacement with companions, a
+    vague requirement a placeholder. Only the first occurrence of raw is replaced.
+    """
+    at = F.instr("text", F.coalesce("raw", F.lit("\u0000")))
+    put = lambda new: F.when(at > 0, F.overlay("text", new, at, F.length("raw"))).otherwise(F.col("text"))
+    limited = F.regexp_replace(F.trim(put(F.col("target"))), r"\.$", "")
+    cited = F.when(F.contains(limited, "number"), F.concat(limited, F.lit("."))).otherwise(F.concat(limited, F.lit(", in accordance with "), "number", F.lit(".")))
+    around = lambda parts: F.concat(F.lit(parts[0]), F.col("number"), F.lit(parts[1]))
+    replaced = put(F.when(F.coalesce("companions", F.lit("")) != "", F.concat("number", F.lit(" and "), "companions")).otherwise(F.col("number")))
+    per = F.when(F.col("number").isNotNull(), F.concat(F.lit(" per "), "number", F.coalesce(F.concat(F.lit(" ("), "heading", F.lit(")")), F.lit("")))).otherwise("")
+    rule = F.col("rule")
+    text = (
+        F.when((rule == "constraint_conflict") & F.col("target").isNotNull(), cited)
+        .when(rule.isin("checklist_gap", "insufficient_specification"), F.replace("template", F.lit("{standard}"), "number"))
+        .when(rule == "dependency_gap", F.when(F.col("is_test"), around(TESTS_CLAUSE)).otherwise(around(CONFORM_CLAUSE)))
+        .when(rule.isin("superseded_reference", "superseded_edition") & (at > 0), replaced)
+        .when(rule == "conformity_evidence_missing", around(EVIDENCE_CLAUSE))
+        .when(rule == "vague_requirement", F.concat(F.regexp_replace("text", r"\.$", ""), F.lit(VAGUE_CLAUSE[0]), per, F.lit(VAGUE_CLAUSE[1])))
+    )
+    return findings.withColumn("recommended", F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def rewrite_guard(rows: DataFrame) -> DataFrame:
-    """(…, original, rewrite) -> ok and reason: same numbers as often, same placeholders, at most half longer plus 40 characters."""
+    """(…, original, rewrite) -> ok and reason: same numbers as often, same citations, same placeholders, at most half longer plus 40 characters."""
     numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"([0-9]+(\.[0-9]+)?)"), F.lit(1)))
     holes = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(\[[^\]]*\])"), F.lit(1)))
-    reason = F.when(numbers(F.col("original")) != numbers(F.col("rewrite")), "numbers").when(holes("original") != holes("rewrite"), "placeholders").when(F.length("rewrite") > F.length("original") * 1.5 + 40, "length")
+    cites = lambda c: F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(f"({facts.CITATION})"), F.lit(1)), lambda x: designation_key(x)))
+    reason = F.when(numbers(F.col("original")) != numbers(F.col("rewrite")), "numbers").when(cites("original") != cites("rewrite"), "citations").when(holes("original") != holes("rewrite"), "placeholders").when(F.length("rewrite") > F.length("original") * 1.5 + 40, "length")
     return rows.withColumn("reason", reason).withColumn("ok", reason.isNull())
 
 

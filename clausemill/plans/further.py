@@ -15,6 +15,7 @@ from clausemill.operators import quantities as q
 from clausemill.operators import refine as r
 from clausemill.operators import reports as rp
 from clausemill.operators import retrieval as rt
+from clausemill.operators import rules as r_
 from clausemill.operators import tables as tb
 from clausemill.plans import facts as pf
 from clausemill.plans import graph as pg
@@ -258,7 +259,29 @@ def _list_text(c: str) -> Column:
     return F.array_join(c, ";").alias(c)
 
 
+RULES = ["constraint_conflict", "checklist_gap", "dependency_gap", "superseded_edition", "conformity_evidence_missing", "vague_requirement", "newer_edition"]
+
+
+def _repairable(s, d):
+    rows = _rows(s, d)
+    rule = pick(RULES, F.col("part"))
+    text = F.when(rule == "superseded_edition", F.concat(F.lit("Cables to IS "), "line", F.lit(":1990 and IS "), "line", F.lit(":1990."))).otherwise(F.concat(F.lit("Rated "), "qty", F.lit(" V,  or "), "qty", F.lit(" V.")))
+    raw = F.when(rule == "superseded_edition", F.concat(F.lit("IS "), "line", F.lit(":1990"))).otherwise(F.concat("qty", F.lit(" V")))
+    number = F.when((rule != "vague_requirement") | (F.col("supp") % 2 == 0), F.concat(F.lit("IS "), "part"))
+    return rows.select(*KEYS, rule.alias("rule"), text.alias("text"), raw.alias("raw"), F.concat(F.col("supp"), F.lit(" kV")).alias("target"), number.alias("number"), F.lit("State it per {standard}.").alias("template"), (F.col("qty") % 2 == 0).alias("is_test"), F.when(F.col("supp") % 3 == 0, "IS 9").alias("companions"), F.lit("Limits").alias("heading"))
+
+
+def _doubted(s, d):
+    rows = _rows(s, d)
+    hits = rows.select("doc", F.col("line").alias("req"), F.col("part").alias("standard"), F.col("discount").alias("confidence")).union(rows.select("doc", "line", F.col("part") + 1, F.col("discount") - F.when(F.col("supp") % 2 == 0, 0.1).otherwise(0.3)))
+    checks = hits.select("doc", "req", "standard", F.lit("p").alias("parameter"), F.when(F.col("standard") % 3 == 0, "none").when(F.col("standard") % 3 == 1, "partial").otherwise("disjoint").alias("overlap"))
+    return r_.drop_ambiguous(checks, hits, rows.where("qty % 4 = 0").select("doc", F.col("line").alias("req"), F.col("part").alias("standard")))
+
+
 QUERIES = {
+    "a7_drop_ambiguous": _doubted,
+    "a31_repair_texts": lambda s, d: r_.repair_texts(_repairable(s, d)).where("recommended is not null").select(*KEYS, "rule", "recommended"),
+    "a32_guard_citations": lambda s, d: r_.rewrite_guard(read(s, d, "part").select("p_partkey", F.concat(F.lit("As per IS "), "p_size", F.lit(".")).alias("original"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "To IS ").otherwise("To clause "), "p_size").alias("rewrite"))).select("p_partkey", "ok", "reason"),
     "t5_linearize_tables": lambda s, d: tb.linearize_tables(_table_lines(s, d)),
     "t12_drop_headings": lambda s, d: rp.drop_headings(r.lines(read(s, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc").withColumnRenamed("line", "segment"), r.detect_sections(r.lines(read(s, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc"))).select("doc", "start", "segment"),
     "t13_zone_filter": lambda s, d: rp.zone_filter(_rows(s, d).select(*KEYS, pick(ZONED, F.col("part")).alias("segment"), pick(HEADINGS, F.col("supp")).alias("heading"))),
@@ -296,7 +319,14 @@ QUERIES = {
     "v23_detail_lists": lambda s, d: e.detail_lists(_golds(s, d)[0], _golds(s, d)[1], e.match_findings(*[df.drop("text") for df in _golds(s, d)])).select("doc", _list_text("missed"), _list_text("spurious")),
 }
 _R = f"WITH {ROWS} "
+_T = r_.TESTS_CLAUSE, r_.CONFORM_CLAUSE, r_.EVIDENCE_CLAUSE, r_.VAGUE_CLAUSE
 SQL = {
+    "a7_drop_ambiguous": _R + """, h AS (SELECT doc, line AS req, part AS standard, discount AS c, supp, qty, part AS own FROM rows_ UNION ALL SELECT doc, line, part + 1, discount - CASE WHEN supp % 2 = 0 THEN 0.1 ELSE 0.3 END, supp, qty, part FROM rows_)
+      SELECT doc, req, standard, 'p' AS parameter, CASE standard % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'disjoint' END AS overlap FROM h
+      WHERE standard % 3 = 0 OR (standard = own AND qty % 4 = 0) OR NOT ((standard = own AND (own + 1) % 3 = 0 AND supp % 2 = 0) OR (standard = own + 1 AND own % 3 = 0))""",
+    "a31_repair_texts": _R + f""", f AS (SELECT *, {sql_pick(RULES, 'part')} AS rule FROM rows_) SELECT doc, line, rule, CASE rule WHEN 'constraint_conflict' THEN concat('Rated ', supp, ' kV, or ', qty, ' V, in accordance with IS ', part, '.') WHEN 'checklist_gap' THEN concat('State it per IS ', part, '.') WHEN 'dependency_gap' THEN CASE WHEN qty % 2 = 0 THEN concat('{_T[0][0]}IS ', part, '{_T[0][1]}') ELSE concat('{_T[1][0]}IS ', part, '{_T[1][1]}') END
+      WHEN 'superseded_edition' THEN concat('Cables to IS ', part, CASE WHEN supp % 3 = 0 THEN ' and IS 9' ELSE '' END, ' and IS ', line, ':1990.') WHEN 'conformity_evidence_missing' THEN concat('{_T[2][0]}IS ', part, '{_T[2][1]}') ELSE concat('Rated ', qty, ' V, or ', qty, ' V{_T[3][0]}', CASE WHEN supp % 2 = 0 THEN concat(' per IS ', part, ' (Limits)') ELSE '' END, '{_T[3][1]}') END AS recommended FROM f WHERE rule <> 'newer_edition'""",
+    "a32_guard_citations": "SELECT p_partkey, p_partkey % 2 = 0 OR p_size < 10 AS ok, CASE WHEN p_partkey % 2 <> 0 AND p_size >= 10 THEN 'citations' END AS reason FROM part",
     "t5_linearize_tables": _R + "SELECT doc, CAST(line AS INTEGER) AS line_no, CASE doc % 3 WHEN 0 THEN concat('Item p', part, ': ', qty, ' kVA.') WHEN 1 THEN concat('Turbidity ', part, ': acceptable limit ', line, ' NTU; result ', qty, ' NTU.') ELSE concat('Test ', part, ': requirement Min ', line, ' V; observed ', qty, ' V; ', CASE WHEN supp % 2 = 0 THEN 'Pass' ELSE 'Fail' END, '.') END AS line FROM rows_ UNION ALL SELECT DISTINCT doc, 0, '' FROM rows_ UNION ALL SELECT DISTINCT doc, 100, concat('Notes on ', doc) FROM rows_",
     "t12_drop_headings": r"""WITH li AS (SELECT doc_id AS doc, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)), lo AS (SELECT doc, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, trim(line) AS t FROM li),
       h AS (SELECT *, regexp_extract(t, '^([0-9]{1,2}(\.[0-9]{1,3}){0,4})[.)]?\s+[A-Z]', 1) <> '' AND length(t) <= 100 AND NOT regexp_matches(t, '[.;]$') OR regexp_matches(lower(t), '^(section|chapter|part|annex|appendix|schedule)\s+[0-9a-z]{1,4}\b') AND length(t) <= 100 OR (length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) > length(regexp_replace(line, '[^A-Za-z]', '', 'g')) * 0.8::DOUBLE AND length(t) <= 80) AS head FROM lo)
