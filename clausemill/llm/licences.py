@@ -9,8 +9,7 @@ frames, and to unknown licences, that the training had not seen. A prediction is
 paragraph holds most word pairs of one template of its family.
 
 Only n-grams with a key word (a word of a template that is not a common one) are features; so a
-paragraph without key words has none, gets the bias alone and is of no family. It is passed by with a
-pattern of the key words. The tables of weights and of template pairs have the size of the
+paragraph without key words has none, gets the bias alone and is of no family, and is passed by. The tables of weights and of template pairs have the size of the
 vocabulary, whatever the input, and go to every task.
 """
 
@@ -78,7 +77,7 @@ UNSEEN_UNKNOWN = ["european union public licence", "cecill license", "ruby licen
 #: Sentences with words of licences that license nothing.
 NEAR_MISSES = ["you need a driving license to rent a car", "the license plate was found in the river", "copyright law is taught in the second year", "the apache helicopter landed at noon", "she studied at mit for three years", "he asked for permission to leave the room", "a new version of the program was released", "all rights are explained in the annex", "the public library is free of charge", "the software runs on any source of power", "the terms of the contract are general", "version 2.0 of the form is available", "the file was copied without modification", "a person obtaining work may use the form", "the license fee of the public broadcaster rose", "general public opinion was against the terms", "the commons were open to all", "a creative mind needs attribution and credit", "an artistic work of great value", "the eclipse was public and free to watch", "a boost for the software industry", "the lesser library of the foundation", "no warranties were given by the seller", "the notice was published in the public domain of the town", "redistribution of income is a matter of conditions"]
 #: Words too common to be key words.
-COMMON = set("the a an of to in is are be this that it its and or for with you may any no as at by can not on from your part all use work file form terms version person free charge copy code program document source available made under http https www which if one was will shall must into who what when their there other following above provided use used using purpose purposes even long give given most more material same original law legal either see should have received along them these those also only than then such each had has he she we our us name names list set out up new old author authors holder event held through including include included without within prior written law required".split())
+COMMON = set("the a an of to in is are be this that it its and or for with you may any no as at by can not on from your part all use work file form terms version person free charge copy code program document source available made under http https www mit which if one was will shall must into who what when their there other following above provided use used using purpose purposes even long give given most more material same original law legal either see should have received along them these those also only than then such each had has he she we our us name names list set out up new old author authors holder event held through including include included without within prior written law required".split())
 UNKNOWN = "none"
 TOKEN = r"[a-z0-9][a-z0-9.+-]*"
 #: A family needs this probability, and this share of a template's word pairs confirms it.
@@ -182,12 +181,13 @@ def scan_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     families, weights, biases, temperature = trained()
-    keys = "|".join(k.replace(".", "[.]").replace("+", "[+]") for k in key_words())
-    pattern = rf"(?i)(?<![a-z0-9])(?:{keys})(?![a-z0-9])"
+    # A key word's longest piece of letters and digits stands in every text that has the word: texts and lines without one have no feature.
+    pieces = sorted({max(re.findall("[a-z0-9]+", k), key=len) for k in key_words()})
+    may = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(p) for p in pieces]))
     # A line that ends without a stop goes on in the next one.
     unwrapped = F.regexp_replace(text, r"(?<![.!?:;\s])[ \t]*\r?\n(?=[^\s])", " ")
-    rows = docs.where(F.col(text).rlike(pattern)).select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(unwrapped, "\n")).alias("paragraph", "line"))
-    lines = rows.where(F.col("line").rlike(pattern)).withColumn("gram", _grams(_words(F.col("line")))).drop("line")
+    rows = docs.where(may(F.col(text))).select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(unwrapped, "\n")).alias("paragraph", "line"))
+    lines = rows.where(may(F.col("line"))).withColumn("gram", _grams(_words(F.col("line")))).drop("line")
     vocabulary = spark.createDataFrame([(g, [float(x) for x in w]) for g, w in weights.items()], "gram string, weights array<double>")
     # Features by line: joined with the vocabulary, a table of fixed size.
     one = ["id", "digest", "paragraph"]
