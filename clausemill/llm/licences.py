@@ -187,7 +187,7 @@ def scan_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # A line that ends without a stop goes on in the next one.
     unwrapped = F.regexp_replace(text, r"(?<![.!?:;\s])[ \t]*\r?\n(?=[^\s])", " ")
     rows = docs.where(may(F.col(text))).select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(unwrapped, "\n")).alias("paragraph", "line"))
-    lines = rows.where(may(F.col("line"))).withColumn("gram", _grams(_words(F.col("line")))).drop("line")
+    lines = rows.where(may(F.col("line"))).select("id", "digest", "paragraph", F.explode(F.array(_words(F.col("line")))).alias("words")).withColumn("gram", _grams(F.col("words"))).drop("words")
     vocabulary = spark.createDataFrame([(g, [float(x) for x in w]) for g, w in weights.items()], "gram string, weights array<double>")
     # Features by line: joined with the vocabulary, a table of fixed size.
     one = ["id", "digest", "paragraph"]
