@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm import bpe, exact_dedup, fingerprints, jaccard_join, language_id, licences, mixing, paragraphs, toxicity, warc
+from clausemill.llm import alignment, bpe, exact_dedup, fingerprints, jaccard_join, language_id, licences, mixing, paragraphs, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_read(spark, sf_dir, "documents"), columns=("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
         "op10_paragraphs": op10_paragraphs,
+        "op13_alignment": op13_alignment,
     }
 
 
