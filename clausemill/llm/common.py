@@ -111,6 +111,13 @@ def numbered(scratch: Scratch, df: DataFrame, *order: Column, name: str = "numbe
     return placed.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn(name, F.col("_start") + low).drop("_part", "_start", "_at")
 
 
+def laid_out(scratch: Scratch, rows: DataFrame, *order: Column) -> DataFrame:
+    """rows, written in the given order, with a long `at` that grows along it; rows that are equal in all of order may lie in several ranges."""
+    salted = rows.withColumn("_salt", F.monotonically_increasing_id())
+    sorted_ = salted.repartitionByRange(partitions(rows.sparkSession), *order, F.col("_salt")).sortWithinPartitions(*order, F.col("_salt"))
+    return scratch.keep(sorted_.drop("_salt").withColumn("at", F.monotonically_increasing_id()), "laid-out")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the least node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm import alignment, bpe, exact_dedup, fingerprints, jaccard_join, language_id, licences, mixing, paragraphs, toxicity, warc
+from clausemill.llm import alignment, bpe, chat, exact_dedup, fingerprints, jaccard_join, language_id, licences, mixing, paragraphs, repair, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,24 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    conversations, edits = repair.repair_conversations(repair.damage(turns))
+    ids = turns.select(F.col("conv_id").alias("_id")).distinct()
+    out = ids.join(conversations, ids["_id"].eqNullSafe(conversations["conv_id"]), "left").drop("conv_id")
+    digests = repair.repaired_digests(edits)
+    out = out.join(digests, out["_id"].eqNullSafe(digests["conv_id"]), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    return chat.read_back(chat.format_conversations(chat.event_log(turns.unionByName(own))))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_read(spark, sf_dir, "documents"), columns=("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))
 
@@ -69,6 +87,8 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
         "op10_paragraphs": op10_paragraphs,
+        "op11_repair": op11_repair,
+        "op12_chat": op12_chat,
         "op13_alignment": op13_alignment,
     }
 
