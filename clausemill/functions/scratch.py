@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,4 +26,26 @@ def keep(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and reread: a lost executor costs a reread."""
     path = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes kept tables that no later step reads."""
+    for df in frames:
+        path = getattr(df, "_kept_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def none_left(df: DataFrame) -> bool:
+    return not df.limit(1).count()
+
+
+def laid_out(df: DataFrame, *order: Column) -> DataFrame:
+    """df, kept in the given order, with a long `at` that grows along it: a range shuffle sorts, no task sees all rows."""
+    sorted_ = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return keep(sorted_.withColumn("at", F.monotonically_increasing_id()))

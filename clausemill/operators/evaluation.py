@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.functions.scratch import keep
+from clausemill.functions.scratch import drop, keep, none_left
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> Column:
@@ -56,19 +55,23 @@ def finding_group(kind: Column, rule: Column) -> Column:
 TIMES = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406, 999_917)
 
 
-def _times(b: Column, slot: Column) -> Column:
-    """How often an item is drawn in a replicate: a Poisson number from a hash that other engines have too."""
-    x = F.conv(F.substring(F.md5(F.concat(b.cast("string"), F.lit(":"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % 1_000_000
+def _times(x: Column) -> Column:
+    """How often an item is drawn in a replicate: a Poisson number from a number below a million."""
     return sum((F.when(x >= limit, 1).otherwise(0) for limit in TIMES), F.lit(0))
 
 
 def bootstrap_ci(items: DataFrame, value: str, samples: int = 1000) -> DataFrame:
     """2.5 and 97.5 percentiles of the mean over replicates; items (slot, value).
 
-    Draws are Poisson: each item decides by itself how often it is in each replicate, so items meet
-    their replicates in an array and only sums by replicate are shuffled, added up in each task first.
+    Draws are Poisson: each item decides by itself how often it is in each replicate, by a hash of both
+    that other engines have too. Items are dealt over tasks and meet their replicates in an array; only
+    sums by replicate are shuffled, added up in each task first.
     """
-    drawn = items.select(F.col(value).alias("v"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda b: _times(b, F.col("slot")))).alias("b", "times")).where("times > 0")
+    dealt = items.select("slot", F.col(value).alias("v")).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot")
+    each = dealt.select("v", "slot", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    # The hash is a column of its own, behind another explode, so that it is taken once and not once a limit.
+    hashed = F.conv(F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % 1_000_000
+    drawn = each.select("v", "b", F.explode(F.array(hashed)).alias("x")).select("v", "b", _times(F.col("x")).alias("times")).where("times > 0")
     means = drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
@@ -130,30 +133,68 @@ def quality_gate(metrics: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def greedy_match(candidates: DataFrame) -> DataFrame:
-    """(doc, gold, predicted) candidate pairs -> one-to-one: golds in order take their first free prediction, document by document."""
+    """(doc, gold, predicted) candidate pairs -> one-to-one: golds in order take their first free prediction, document by document.
 
-    def match(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for gold, group in table.sort_values(["gold", "predicted"]).groupby("gold"):
-            for p in group["predicted"]:
-                if p not in used:
-                    used.add(p)
-                    out.append((key[0], gold, p))
-                    break
-        return pd.DataFrame(out, columns=["doc", "gold", "predicted"])
-
-    return candidates.groupBy("doc").applyInPandas(match, "doc long, gold long, predicted long")
+    In rounds: a pair that is the first of both its gold and its prediction, among the pairs left, is
+    what the golds one after the other would take; it is taken, and all pairs of its two ends go.
+    Each round takes at least one pair of every document that has any left; rounds are as many as golds
+    of one document wait for each other. Repeated pairs count once; pairs with a null are left out.
+    """
+    left = keep(candidates.select("doc", "gold", "predicted").where("doc is not null and gold is not null and predicted is not null").distinct())
+    taken = [left.limit(0)]
+    while not none_left(left):
+        first = left.groupBy("doc", "gold").agg(F.min("predicted").alias("predicted"))
+        suitor = left.groupBy("doc", "predicted").agg(F.min("gold").alias("gold"))
+        pairs = keep(first.join(suitor, ["doc", "gold", "predicted"]).select("doc", "gold", "predicted"))
+        taken.append(pairs)
+        rest = keep(left.join(pairs.select("doc", "gold"), ["doc", "gold"], "left_anti").join(pairs.select("doc", "predicted"), ["doc", "predicted"], "left_anti").select("doc", "gold", "predicted"))
+        drop(left)
+        left = rest
+    out = taken[0]
+    for pairs in taken[1:]:
+        out = out.unionByName(pairs)
+    return out
+
+
+def _ranked_tokens(sides: list[DataFrame]) -> list[DataFrame]:
+    """Adds sorted: the tokens of each row from the rarest of its document to the commonest, ties by token; repeats go."""
+    used = sides[0].select("doc", F.explode(F.array_distinct("tokens")).alias("token"))
+    for side in sides[1:]:
+        used = used.unionByName(side.select("doc", F.explode(F.array_distinct("tokens")).alias("token")))
+    counts = used.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("df"))
+    out = []
+    for side in sides:
+        one = side.withColumn("_row", F.monotonically_increasing_id())
+        one = keep(one)
+        each = one.select("doc", "_row", F.explode(F.array_distinct("tokens")).alias("token")).join(counts, ["doc", "token"])
+        order = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("sorted"))
+        out.append(one.join(order, "_row").drop("_row", "tokens"))
+    return out
 
 
 def text_match_candidates(gold: DataFrame, predicted: DataFrame, least: float = 0.6) -> DataFrame:
-    """(doc, gid, tokens array), (doc, pid, tokens array): pairs within a document of enough token Jaccard, or containment."""
-    g = gold.select("doc", "gid", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    p = predicted.select("doc", "pid", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    common = g.join(p, ["doc", "token"]).groupBy("doc", "gid", "pid", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    jaccard = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return common.where((jaccard >= least) | (F.col("k") == F.least("n", "m"))).select("doc", "gid", "pid", F.round(jaccard, 6).alias("jaccard"))
-
+    """(doc, gid, tokens array), (doc, pid, tokens array): pairs within a document of enough token Jaccard, or where one set of tokens contains the other.
 
+    Tokens are ordered by how few texts of the document have them. Of two sets of enough Jaccard the
+    first n - ceil(least * n) + 1 tokens of each have one in common; a contained set has its first token
+    in the other. Only pairs that meet so are counted, so a token of all texts brings none together
+    unless a text has no other. Sizes that rule out both are dropped before tokens are compared.
+    Rows without tokens match nothing; repeated rows of equal ids and tokens count once.
+    """
+    g, p = (keep(side) for side in _ranked_tokens([gold.select("doc", F.col("gid").alias("id"), "tokens").distinct(), predicted.select("doc", F.col("pid").alias("id"), "tokens").distinct()]))
+    n = F.size("sorted")
+    prefix = F.slice("sorted", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    first, whole, met = F.slice("sorted", 1, 1), F.col("sorted"), None
+    near = (F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)
+    for own, other, fits in ((prefix, prefix, near), (first, whole, F.col("n") <= F.col("m")), (whole, first, F.col("m") <= F.col("n"))):
+        a = g.select("doc", F.col("id").alias("gid"), n.alias("n"), F.explode(own).alias("token"))
+        b = p.select("doc", F.col("id").alias("pid"), n.alias("m"), F.explode(other).alias("token"))
+        pairs = a.join(b, ["doc", "token"]).where(fits).select("doc", "gid", "pid")
+        met = pairs if met is None else met.unionByName(pairs)
+    both = met.distinct().join(g.select("doc", F.col("id").alias("gid"), F.col("sorted").alias("a")), ["doc", "gid"]).join(p.select("doc", F.col("id").alias("pid"), F.col("sorted").alias("b")), ["doc", "pid"])
+    counted = both.withColumn("k", F.size(F.array_intersect("a", "b"))).withColumn("n", F.size("a")).withColumn("m", F.size("b"))
+    jaccard = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
+    return counted.where((jaccard >= least) | (F.col("k") == F.least("n", "m"))).select("doc", "gid", "pid", F.round(jaccard, 6).alias("jaccard")).distinct()
 
 
 def _paired(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.functions.scratch import keep
+from clausemill.functions.scratch import drop, keep, none_left
 
 CONFIDENCE_FLOOR = 0.7
 
@@ -67,11 +67,107 @@ def contract_supersession(edges: DataFrame, supersedes: DataFrame, floor: float
     return out.where("src <> dst").select("src", "dst").distinct()
 
 
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Chains of nodes with one edge in and one out become one edge each: (edges, chains, rings), or None where there are no such nodes.
+
+    chains (node, src, dst): the inner nodes of a chain and its two ends. rings (node, component): nodes
+    of cycles without any other edge. Ends are found by pointer doubling, in rounds that grow with the
+    logarithm of the longest chain.
+    """
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("next"))
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("src").alias("before"))
+    inner = keep(outs.join(ins, "node").where("outs = 1 and ins = 1").select("node", "next", "before"))
+    n = inner.count()
+    if not n:
+        return None
+    known = inner.select(F.col("node").alias("next"), F.lit(True).alias("_inner"))
+    # last: the last inner node of the chain, once ended; low: the least node on the way there.
+    state = keep(inner.join(known, "next", "left").select("node", F.when(F.col("_inner"), F.col("next")).otherwise(F.col("node")).alias("last"), F.col("_inner").isNull().alias("ended"), F.col("node").alias("low")))
+    reached = 1
+    while reached <= 2 * n and not none_left(state.where("not ended")):
+        jump = state.select(F.col("node").alias("last"), F.col("last").alias("_last"), F.col("ended").alias("_ended"), F.col("low").alias("_low"))
+        moved = state.where("not ended").join(jump, "last").select("node", F.col("_last").alias("last"), F.col("_ended").alias("ended"), F.least("low", "_low").alias("low"))
+        new = keep(state.where("ended").unionByName(moved))
+        drop(state)
+        state, reached = new, 2 * reached
+    rings = state.where("not ended").select("node", F.col("low").alias("component"))
+    chains = state.where("ended").select("node", F.col("last").alias("chain"))
+    heads = inner.join(inner.select(F.col("node").alias("before")), "before", "left_anti").select("node", "before").join(chains, "node").select("chain", F.col("before").alias("src"))
+    tails = inner.select(F.col("node").alias("chain"), F.col("next").alias("dst")).join(heads, "chain").select("chain", "src", "dst")
+    chains = keep(chains.join(tails, "chain").select("node", "src", "dst"))
+    rings = keep(rings)
+    nodes = inner.select("node")
+    rest = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_anti").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    left = keep(rest.unionByName(chains.select("src", "dst").where("src <> dst")).distinct())
+    drop(inner, state)
+    return left, chains, rings
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    """(node, low, high): the least node that reaches a node, and the least that it reaches, along edges, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    state = keep(nodes.select("node", F.col("node").alias("low"), F.col("node").alias("high")))
+    while True:
+        low = edges.join(state.select(F.col("node").alias("src"), "low"), "src").select(F.col("dst").alias("node"), F.col("low").alias("_low"), F.lit(None).cast(state.schema["high"].dataType).alias("_high"))
+        high = edges.join(state.select(F.col("node").alias("dst"), "high"), "dst").select(F.col("src").alias("node"), F.lit(None).cast(state.schema["low"].dataType).alias("_low"), F.col("high").alias("_high"))
+        heard = low.unionByName(high).groupBy("node").agg(F.min("_low").alias("_low"), F.min("_high").alias("_high"))
+        less = state.join(heard, "node", "left").select("node", F.least("low", "_low").alias("low"), F.least("high", "_high").alias("high"), (F.least("low", "_low") < F.col("low")).alias("_a"), (F.least("high", "_high") < F.col("high")).alias("_b"))
+        new = keep(less)
+        drop(state)
+        state = new
+        if none_left(state.where("_a or _b")):
+            return state.drop("_a", "_b")
+
+
 def find_cycles(edges: DataFrame) -> DataFrame:
-    """(node, component) of strongly connected components with more than one node; component is the least node."""
-    reach = closure(edges.where("src <> dst")).select("src", "dst")
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"), F.max("dst").alias("far")).where("node <> component or node <> far").select("node", F.least("node", "component").alias("component"))
+    """(node, component) of strongly connected components with more than one node; component is the least node.
+
+    In rounds: chains are contracted, edges at nodes without an edge in or out are dropped, and where
+    that changes nothing more, each node is coloured by the least node that reaches it and the least
+    that it reaches. Nodes whose two colours are one node are its component; edges between different
+    colours lie on no cycle. No closure is built: all tables are as large as the edges at most. Rounds
+    grow with the longest way of the contracted graph. Null ends and loops on one node are left out.
+    """
+    left = keep(edges.select("src", "dst").where("src <> dst").distinct())
+    nothing = left.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    found, levels = [nothing], []
+    while not none_left(left):
+        made = _contracted(left)
+        if made is not None:
+            drop(left)
+            left, chains, rings = made
+            levels.append(chains)
+            found.append(rings)
+        trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        trimmed = keep(trimmed.select("src", "dst"))
+        changed = made is not None or trimmed.count() < left.count()
+        drop(left)
+        left = trimmed
+        if changed or none_left(left):
+            continue
+        colours = _labelled(left)
+        whole = keep(colours.where("low = high").select("node", F.col("low").alias("component")))
+        found.append(whole)
+        ends = colours.where("low <> high")
+        a, b = ends.select(F.col("node").alias("src"), "low", "high"), ends.select(F.col("node").alias("dst"), "low", "high")
+        kept = keep(left.join(a, "src").join(b, ["dst", "low", "high"]).select("src", "dst"))
+        drop(left, colours)
+        left = kept
+    drop(left)
+    known = found[0]
+    for f in found[1:]:
+        known = known.unionByName(f)
+    known = keep(known)
+    # The inner nodes of a chain belong to the component of its ends, if they have one; last contractions first.
+    for chains in reversed(levels):
+        src, dst = known.select(F.col("node").alias("src"), F.col("component").alias("_a")), known.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+        closed = chains.join(src, "src", "left").join(dst, "dst", "left").where(F.coalesce("_a", "src") == F.coalesce("_b", "dst"))
+        more = closed.select("node", F.coalesce("_a", "src").alias("component")).unionByName(closed.where("_a is null").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())
+        new = keep(known.unionByName(more))
+        drop(known, chains)
+        known = new
+    groups = known.distinct().groupBy("component").agg(F.min("node").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return known.distinct().join(groups, "component").select("node", F.col("_least").alias("component"))
 
 
 def layers(edges: DataFrame) -> DataFrame:
@@ -136,6 +232,31 @@ def standard_family(supersedes: DataFrame, related: DataFrame) -> DataFrame:
     return same.union(chain).union(related.select("src", "dst")).union(closure(related).select("src", "dst")).where("node <> relative").distinct()
 
 
-def evidence_paths(chains: DataFrame, order: list[Column]) -> DataFrame:
-    """Paths (doc, nodes array, current, confidence) numbered by document: current first, shorter, surer."""
-    return chains.withColumn("path_no", F.row_number().over(Window.partitionBy("doc").orderBy(*order)))
+def evidence_paths(starts: DataFrame, hops: list[tuple[str, str, DataFrame, bool]], most: int = 5) -> DataFrame:
+    """(doc, nodes, current, confidence, path_no): typed paths from the rows of starts, enumerated hop by hop.
+
+    starts (doc, kind, node). A hop (kind, after, edges, needed) leads from the path's node of the kind
+    `after` along edges (src, dst, confidence, current) to a node of its own kind; a path without such
+    an edge ends there, or is dropped where the hop is needed. A path is current if all its edges are;
+    its confidence is the product of theirs. After each hop the `most` best paths of each document and
+    end go on: current ones first, then longer (they say more), then surer ones, then by their nodes.
+    So the frontier grows with documents and the nodes they reach and not with the number of paths.
+    nodes: an array of (kind, node), nodes as strings. Null nodes have no edges.
+    """
+    step = lambda kind, node: F.struct(kind.alias("kind"), node.cast("string").alias("node"))
+    front = starts.select("doc", F.array(step(F.col("kind"), F.col("node"))).alias("nodes"), F.lit(True).alias("current"), F.lit(1.0).alias("confidence"))
+    best = [F.desc("current"), F.size("nodes").desc(), F.round("confidence", 9).desc(), F.col("nodes")]
+    for kind, after, edges, needed in hops:
+        to = edges.select(F.col("src").cast("string").alias("_at"), F.col("dst").alias("_dst"), F.col("current").alias("_current"), F.col("confidence").alias("_confidence"))
+        here = F.get(F.filter("nodes", lambda x: x["kind"] == after), F.lit(0))["node"]
+        moved = front.withColumn("_at", here).join(to, "_at", "inner" if needed else "left")
+        stays = F.col("_dst").isNull()
+        front = moved.select(
+            "doc",
+            F.when(stays, F.col("nodes")).otherwise(F.concat("nodes", F.array(step(F.lit(kind), F.col("_dst"))))).alias("nodes"),
+            (F.col("current") & F.coalesce("_current", F.lit(True))).alias("current"),
+            (F.col("confidence") * F.coalesce("_confidence", F.lit(1.0))).alias("confidence"),
+        )
+        end = F.element_at("nodes", -1)
+        front = front.withColumn("_n", F.row_number().over(Window.partitionBy("doc", end).orderBy(*best))).where(F.col("_n") <= most).drop("_n")
+    return front.withColumn("path_no", F.row_number().over(Window.partitionBy("doc").orderBy(*best)))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import vocabulary as v
-from clausemill.functions.scratch import keep
+from clausemill.functions.scratch import keep, shared_folder
 from clausemill.operators import facts, quantities
 
 
@@ -22,6 +24,13 @@ def word_grams(rows: DataFrame, text: str = "text") -> DataFrame:
     return with_words.withColumn("grams", F.concat("words", pairs)).drop("words")
 
 
+def _stored(model, kind):
+    """The model, saved to the shared folder and loaded: its coefficients alone, without the tables and summaries of its training, which tasks can't be sent."""
+    path = f"{shared_folder(SparkSession.active())}/model-{uuid.uuid4().hex}"
+    model.save(path)
+    return kind.load(path)
+
+
 def text_classifier(rows: DataFrame, slots: int = 1 << 14, rounds: int = 15):
     """(text, label) -> a fitted pipeline over grams: TF-IDF of words and word pairs, multinomial logistic regression with balanced weights.
 
@@ -34,12 +43,13 @@ def text_classifier(rows: DataFrame, slots: int = 1 << 14, rounds: int = 15):
         weight = F.when(F.col("label") == label, float(total / (len(counts) * k))).otherwise(weight)
     weighted = keep(word_grams(rows).select(F.col("label").cast("double").alias("label"), weight.alias("weight"), "grams"))
     stages = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=slots), IDF(inputCol="tf", outputCol="features"), LogisticRegression(weightCol="weight", maxIter=rounds, regParam=0.01)]
-    return Pipeline(stages=stages).fit(weighted)
+    return _stored(Pipeline(stages=stages).fit(weighted), PipelineModel)
 
 
 def embedding_classifier(rows: DataFrame, rounds: int = 20):
     """(embedding array, label) -> a fitted logistic regression."""
-    return LogisticRegression(maxIter=rounds, regParam=0.01).fit(rows.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    model = LogisticRegression(maxIter=rounds, regParam=0.01).fit(rows.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    return _stored(model, LogisticRegressionModel)
 
 
 def predict(model, rows: DataFrame, columns: list[str], features: bool = False) -> DataFrame:

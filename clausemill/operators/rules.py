@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.numeric import half_up
-from clausemill.functions.scratch import keep
+from clausemill.functions.scratch import keep, laid_out, none_left
 from clausemill.functions.text import designation_key
 from clausemill.operators import facts
 
@@ -66,18 +66,59 @@ def constraint_conflicts(checks: DataFrame) -> DataFrame:
     return bad.select("doc", "req", "standard", "parameter", "side", F.when(disjoint, "high").otherwise("medium").alias("severity"), F.when(disjoint, 0.9).otherwise(0.75).alias("confidence"))
 
 
+#: Rows, or blocks of the level below, in one block of the search for the first later disagreement, as a power of two.
+BLOCK_BITS = 7
+
+
+def _first_later(rows: DataFrame, group: list[str]) -> DataFrame:
+    """rows (group, req, lo, hi) -> (group, req, other): the first later requirement whose interval does not overlap.
+
+    Rows lie in order of group and req. Blocks of 2**BLOCK_BITS neighbours of a group keep their largest
+    lower and least upper bound, blocks of blocks likewise. A row looks behind itself in its block, then
+    behind the block among its neighbours, and so on up; where bounds show a disagreement it goes down
+    again to the first row that disagrees. Each step is an equi-join with one block, so the work grows
+    with the rows times the number of levels, and a group of any size is spread over tasks.
+    """
+    laid = laid_out(rows.select(*group, "req", "lo", "hi"), *[F.col(c) for c in group], F.col("req"))
+    parent = F.shiftright("idx", BLOCK_BITS).alias("parent")
+    nodes, levels = laid.select(*group, F.col("at").alias("idx"), "lo", "hi", "req"), []
+    while True:
+        kid = F.struct("idx", "lo", "hi", *(["req"] if not levels else []))
+        blocks = keep(nodes.groupBy(*group, parent).agg(F.array_sort(F.collect_list(kid)).alias("kids")))
+        levels.append(blocks)
+        nodes = blocks.select(*group, F.col("parent").alias("idx"), F.array_max(F.transform("kids", lambda x: x["lo"])).alias("lo"), F.array_min(F.transform("kids", lambda x: x["hi"])).alias("hi"))
+        if none_left(nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")):
+            break
+    apart = lambda x: (x["lo"] > F.col("hi")) | (x["hi"] < F.col("lo"))
+    # Up: pos is the row or block that the search has come from.
+    climbing, turned = laid.select(*group, "req", "lo", "hi", F.col("at").alias("idx")), []
+    for blocks in levels:
+        looked = climbing.withColumn("parent", parent).join(blocks, [*group, "parent"])
+        looked = keep(looked.select(*group, "req", "lo", "hi", "parent", F.get(F.filter("kids", lambda x: (x["idx"] > F.col("idx")) & apart(x)), F.lit(0)).alias("kid")))
+        turned.append(looked.where("kid is not null").drop("parent"))
+        climbing = looked.where("kid is null").select(*group, "req", "lo", "hi", F.col("parent").alias("idx"))
+    # Down: from the highest level, to the first kid that disagrees.
+    down = None
+    for level in range(len(levels) - 1, 0, -1):
+        here = turned[level].select(*group, "req", "lo", "hi", F.col("kid.idx").alias("parent"))
+        if down is not None:
+            here = here.unionByName(down.select(*group, "req", "lo", "hi", F.col("kid.idx").alias("parent")))
+        down = here.join(levels[level - 1], [*group, "parent"]).select(*group, "req", "lo", "hi", F.get(F.filter("kids", apart), F.lit(0)).alias("kid"))
+    found = turned[0] if down is None else turned[0].unionByName(down)
+    return found.select(*group, "req", F.col("kid.req").alias("other"))
+
+
 def internal_inconsistency(values: DataFrame) -> DataFrame:
-    """(doc, req, parameter, lo, hi): pairs of requirements whose intervals of one parameter do not overlap; open bounds are infinite.
+    """(doc, req, parameter, lo, hi) -> (doc, parameter, req, other): a requirement and the first later one whose interval of the parameter does not overlap; open bounds are infinite.
 
     A group can only hold such a pair if its largest lower bound exceeds its least upper bound; other
-    groups are not expanded. Each requirement's pair is the first later one that disagrees.
+    groups are left out. Rows without document, parameter or number disagree with nothing.
     """
     open_ = values.withColumn("lo", F.coalesce("lo", F.lit(float("-inf")))).withColumn("hi", F.coalesce("hi", F.lit(float("inf"))))
     torn = open_.groupBy("doc", "parameter").agg(F.max("lo").alias("a"), F.min("hi").alias("b")).where("a > b").select("doc", "parameter")
-    rows = open_.join(torn, ["doc", "parameter"], "left_semi")
-    other = rows.select("doc", "parameter", F.col("req").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = rows.join(other, ["doc", "parameter"]).where("req < other and (lo > hi2 or lo2 > hi)")
-    return pairs.groupBy("doc", "parameter", "req").agg(F.min("other").alias("other"))
+    rows = open_.where("req is not null").join(torn, ["doc", "parameter"], "left_semi")
+    # Two requirements disagree by some values of theirs if and only if these extremes do.
+    return _first_later(rows.groupBy("doc", "parameter", "req").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")), ["doc", "parameter"])
 
 
 def edition_conflicts(citations: DataFrame) -> DataFrame:

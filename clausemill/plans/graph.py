@@ -32,9 +32,18 @@ def _few(s, d):
 
 
 def _paths(s, d):
-    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("req"), F.col("l_partkey").alias("standard"), (F.col("l_partkey") % 3 != 0).alias("current"), F.col("l_discount").alias("confidence"))
-    steps = F.when(F.col("standard") % 2 == 0, F.array(F.col("req").cast("long"), "standard", F.floor(F.col("standard") / 2).cast("long"))).otherwise(F.array(F.col("req").cast("long"), "standard"))
-    return rows.withColumn("nodes", steps)
+    """Requirements (line items) -> standards (parts) -> clauses (suppliers of a part), the part's test method, its certification (size)."""
+    li = read(s, d, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("req"), "l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_tax")
+    part = read(s, d, "part")
+    mapped = li.groupBy("req", "l_partkey").agg(F.max("l_discount").alias("c"))
+    mapped = mapped.join(part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 7 != 0).alias("current")), "l_partkey")
+    mapped = mapped.select(F.col("req").alias("src"), F.col("l_partkey").alias("dst"), (1 - F.col("c")).alias("confidence"), "current")
+    clauses = li.groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg((1 - F.max("l_tax")).alias("confidence")).withColumn("current", F.lit(True))
+    tests = part.where("p_partkey > 1 and p_size % 2 = 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"), F.lit(1.0).alias("confidence"), F.lit(True).alias("current"))
+    schemes = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("src"), F.col("p_size").alias("dst"), F.lit(1.0).alias("confidence"), F.lit(True).alias("current"))
+    starts = li.select(F.col("l_orderkey").alias("doc"), F.lit("requirement").alias("kind"), F.col("req").alias("node")).distinct()
+    hops = [("standard", "requirement", mapped, True), ("clause", "standard", clauses, True), ("test", "standard", tests, False), ("certification", "standard", schemes, False)]
+    return g.evidence_paths(starts, hops, most=3).select("doc", F.array_join(F.transform("nodes", lambda x: F.concat_ws("=", x["kind"], x["node"])), ">").alias("path"), "current", F.round("confidence", 6).alias("confidence"), "path_no")
 
 
 QUERIES = {
@@ -50,7 +59,7 @@ QUERIES = {
     "g11_graph_stats": lambda s, d: g.graph_stats(_normative(s, d)),
     "g12_dag_export": lambda s, d: g.dag_export(_normative(s, d)),
     "g13_neighborhood": lambda s, d: g.neighborhood(_normative(s, d), _few(s, d), 2),
-    "g16_evidence_paths": lambda s, d: g.evidence_paths(_paths(s, d), [F.desc("current"), F.size("nodes"), F.desc("confidence"), F.col("req")]).select("doc", "req", F.size("nodes").alias("steps"), "path_no"),
+    "g16_evidence_paths": _paths,
 }
 
 _E = "edges AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, CASE WHEN p_size % 2 = 0 THEN 'REQUIRES' ELSE 'TESTED_BY' END AS type, p_size / 50.0::DOUBLE AS confidence FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 4, 'REFERENCES', p_size / 50.0::DOUBLE FROM part WHERE p_partkey > 3 AND p_size % 3 = 0), e AS (SELECT DISTINCT src, dst FROM edges)"
@@ -61,6 +70,25 @@ _L = "l AS (SELECT node, max(hops) AS hops, arg_max(latest, hops) AS latest FROM
 _H = "h AS (SELECT dst AS node, src AS latest, 1 AS hops FROM s UNION ALL SELECT h.node, s.src, h.hops + 1 FROM h JOIN s ON h.latest = s.dst)"
 _N = "lay AS (SELECT n.node, CAST(coalesce(max(r.depth), 0) AS INTEGER) AS layer FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n LEFT JOIN r ON n.node = r.src GROUP BY 1)"
 _T = "red AS (SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN c ON x.dst = c.src WHERE x.src = e.src AND c.dst = e.dst AND x.dst <> e.dst))"
+#: The hops one after the other; after each the three best paths of a document and end stay.
+_BEST = "current DESC, len(nodes) DESC, round(confidence, 9) DESC, nodes"
+_PRUNED = f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, nodes[-1] ORDER BY {_BEST}) AS n FROM (%s)) WHERE n <= 3"
+_PATHS_SQL = (
+    """WITH RECURSIVE li AS (SELECT concat_ws('/', l_orderkey, l_linenumber) AS req, l_orderkey, l_partkey, l_suppkey, l_discount, l_tax FROM lineitem),
+    hops AS (
+      SELECT 1 AS hop, 'standard' AS kind, 1 AS after, req AS src, CAST(l_partkey AS VARCHAR) AS dst, 1 - max(l_discount) AS confidence, l_partkey % 7 <> 0 AS current FROM li JOIN part ON p_partkey = l_partkey GROUP BY req, l_partkey
+      UNION ALL SELECT 2, 'clause', 2, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), 1 - max(l_tax), true FROM li GROUP BY l_partkey, l_suppkey
+      UNION ALL SELECT 3, 'test', 2, CAST(p_partkey AS VARCHAR), CAST(p_partkey // 2 AS VARCHAR), 1.0, true FROM part WHERE p_partkey > 1 AND p_size % 2 = 0
+      UNION ALL SELECT 4, 'certification', 2, CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), 1.0, true FROM part WHERE p_size % 3 = 0),
+    f(hop, doc, nodes, current, confidence) AS (
+      SELECT 0, l_orderkey, [{'kind': 'requirement', 'node': req}], true, 1.0::DOUBLE FROM (SELECT DISTINCT l_orderkey, req FROM li)
+      UNION ALL """
+    + _PRUNED
+    % """SELECT f.hop + 1 AS hop, doc, CASE WHEN dst IS NULL THEN nodes ELSE list_append(nodes, {'kind': h.kind, 'node': dst}) END AS nodes, f.current AND coalesce(h.current, true) AS current, f.confidence * coalesce(h.confidence, 1.0)::DOUBLE AS confidence
+         FROM f LEFT JOIN hops h ON h.hop = f.hop + 1 AND h.src = f.nodes[h.after].node WHERE f.hop < 4 AND (f.hop >= 2 OR dst IS NOT NULL)"""
+    + f""")
+    SELECT doc, array_to_string(list_transform(nodes, lambda x: concat(x.kind, '=', x.node)), '>') AS path, current, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY doc ORDER BY {_BEST}) AS path_no FROM f WHERE hop = 4"""
+)
 SQL = {
     "g1_neighbors": f"WITH {_E} SELECT dst AS node, src AS neighbor, type FROM edges WHERE dst IN (SELECT p_partkey FROM part) AND type IN ('REQUIRES', 'TESTED_BY')",
     "g2_latest_replacement": f"WITH RECURSIVE {_S}, {_H}, {_L} SELECT node, latest, CAST(hops AS BIGINT) AS hops FROM l",
@@ -74,5 +102,5 @@ SQL = {
     "g11_graph_stats": f"WITH RECURSIVE {_E}, {_R}, {_C}, {_N}, {_T} SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM c) AS closure_pairs, (SELECT count(*) FROM c WHERE depth > 1) AS transitive_only, (SELECT count(*) FROM lay) AS nodes, (SELECT max(layer) FROM lay) AS deepest, (SELECT count(*) FROM red) AS reduced_edges",
     "g12_dag_export": f"WITH RECURSIVE {_E}, {_R}, {_C}, {_N}, {_T} SELECT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM red JOIN lay a ON src = a.node JOIN lay b ON dst = b.node",
     "g13_neighborhood": f"WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), n AS (SELECT p_partkey AS center, p_partkey AS node, 0 AS distance FROM part UNION SELECT center, b, distance + 1 FROM n JOIN u ON node = a WHERE distance < 2) SELECT center, node, min(distance) AS distance FROM n GROUP BY 1, 2",
-    "g16_evidence_paths": "SELECT l_orderkey AS doc, l_linenumber AS req, CASE WHEN l_partkey % 2 = 0 THEN 3 ELSE 2 END AS steps, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 3 <> 0 DESC, CASE WHEN l_partkey % 2 = 0 THEN 3 ELSE 2 END, l_discount DESC, l_linenumber) AS path_no FROM lineitem",
+    "g16_evidence_paths": _PATHS_SQL,
 }
