@@ -8,6 +8,7 @@ from clausemill.functions import text as t
 from clausemill.functions import vocabulary as v
 from clausemill.operators import facts as x
 from clausemill.operators import knowledge as k
+from clausemill.operators import stored_index
 from clausemill.plans.refine import RENDERED, rendered
 from clausemill.plans.tables import read
 
@@ -55,12 +56,16 @@ def _resolved(s, d):
     return k.resolve_citations(_citations(s, d).select(F.concat_ws("/", "key", "c_no").alias("cid"), "designation", "year"), _standards(s, d))
 
 
+#: Weights of the clauses' fields.
+FIELDS = {"text": 1.0, "source": 2.0}
+
+
 def _clauses(s, d):
     return read(s, d, "documents").select(F.col("doc_id").alias("did"), "text", "source")
 
 
 def _index(s, d):
-    return k.build_index(_clauses(s, d), {"text": 1.0, "source": 2.0})
+    return k.build_index(_clauses(s, d), FIELDS)
 
 
 def _query(s, d):
@@ -99,6 +104,7 @@ QUERIES = {
     "r6_build_query": _query,
     "r7_bm25": lambda s, d: k.bm25(_query(s, d), _index(s, d)).withColumn("score", F.round("score", 5)),
     "r8_top_n": lambda s, d: _top(s, d).select("qid", "did", "rank"),
+    "r8_stored_top_n": lambda s, d: stored_index.top_n(stored_index.write_index(_clauses(s, d), FIELDS), _query(s, d)).select("qid", "did", "rank"),
     "r12_rerank_score": lambda s, d: k.rerank(_features(s, d), WEIGHTS).select("qid", "did", F.round("raw", 6).alias("raw"), F.round("confidence", 6).alias("confidence")),
     "r14_best_per_standard": lambda s, d: k.best_per_group(_top(s, d).join(_clauses(s, d).select("did", "source"), "did"), "source").select("qid", "did", "source", "rank"),
     "r15_cutoff": lambda s, d: k.cutoff(k.rerank(_features(s, d), WEIGHTS), 0.35, 5).select("qid", "did", "rank"),
@@ -142,6 +148,7 @@ SQL = {
     "r6_build_query": f"SELECT DISTINCT item_id AS qid, unnest({_TOK('text')}) AS token, 1.0::DOUBLE AS weight FROM benchmark",
     "r7_bm25": _BM + "SELECT qid, did, round(score, 5) AS score FROM bm",
     "r8_top_n": _BM + "SELECT qid, did, rank FROM top",
+    "r8_stored_top_n": _BM + "SELECT qid, did, rank FROM top",
     "r12_rerank_score": _RR + "SELECT qid, did, round(raw, 6) AS raw, round(least(greatest(raw, 0), 1), 6) AS confidence FROM rr",
     "r14_best_per_standard": _BM + "SELECT qid, did, source, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM (SELECT qid, t.did, source, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS n FROM top t JOIN cl USING (did)) WHERE n = 1",
     "r15_cutoff": _RR + "SELECT * FROM (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, did) AS rank FROM rr WHERE least(greatest(raw, 0), 1) >= 0.35 OR explicit) WHERE rank <= 5",

@@ -79,10 +79,35 @@ def _ingested(s, d):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
     analyse = lambda batch: batch.select("doc_id", F.size(F.split("text", "\n")).alias("lines"))
     streams.ingest_stream(s, f"{d}/documents.parque[t]", schema, analyse, out, _folder(s, "checkpoint")).awaitTermination()
-    return s.read.schema("doc_id long, lines int, batch long").parquet(out).select("doc_id", "lines")
+    return s.read.schema("doc_id long, lines int, batch long, part int").parquet(out).select("doc_id", "lines")
+
+
+def _stalled(s, d):
+    """Users as runs and their events as heartbeats, hours apart: what a watch over the stream does about silent ones."""
+    out = _folder(s, "stalled")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read(s, d, "events").schema)
+    beats = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").alias("run_id"), "ts")
+    streams.watch(streams.stalled_runs(beats, stale_ms=6 * 3_600_000), out, _folder(s, "checkpoint")).awaitTermination()
+    return s.read.schema("run_id long, at timestamp, action string").parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def _ingested_bad(s, d):
+    """Documents that arrive in several files, some twice, some with a bad source: each is analysed once or has a code."""
+    folder, out, docs = _folder(s, "arriving"), _folder(s, "ingested"), read(s, d, "documents").select("doc_id", "text", "source")
+    half = docs.where("doc_id % 2 = 0")
+    for part in (half, docs.where("doc_id % 2 = 1").unionByName(half.where("doc_id % 3 = 0"))):
+        part.write.mode("append").parquet(folder)
+    n = F.size(F.split("text", "\n"))
+    analyse = lambda b: b.select("doc_id", F.when(F.col("doc_id").isin(21, 42), F.raise_error(F.lit("broken"))).otherwise(n).cast("int").alias("lines"))
+    streams.ingest_stream(s, folder, "doc_id long, text string, source string", analyse, out, _folder(s, "checkpoint"), checks={"other_source": F.col("doc_id") % 5 == 4}).awaitTermination()
+    done = s.read.schema("doc_id long, lines int, batch long, part int").parquet(out)
+    errors = s.read.schema("key string, code string, error string, batch long, part int").parquet(f"{out}-errors")
+    return done.select("doc_id", "lines", F.lit(None).cast("string").alias("code")).unionByName(errors.select(F.col("key").cast("long").alias("doc_id"), F.lit(None).cast("int").alias("lines"), "code"))
 
 
 QUERIES = {
+    "st1_ingest_bad_rows": _ingested_bad,
+    "st2_stalled_runs": _stalled,
     "s4_read_corpus": lambda s, d: _corpus(s, d)["clauses"].select("standard_id", "clause_no", "id", "heading", "text"),
     "s6_publish_corpus": _published,
     "s9_write_results": _rewritten,
@@ -112,5 +137,10 @@ SQL = {
     "s13_compliance_report": ctes("runs", "findings", "latest", "open", "status", "view") + f", {_UF} SELECT doc_id, concat('# Document ', doc_id, chr(10), chr(10), 'Open issues: ', open_issues, chr(10), chr(10), '| No | Kind | Severity |', chr(10), '| --- | --- | --- |', chr(10), coalesce(t, '')) AS report FROM view_ v LEFT JOIN (SELECT run_id, string_agg(concat('| ', finding_no, ' | ', kind, ' | ', severity, ' |'), chr(10) ORDER BY finding_no) AS t FROM uf GROUP BY 1) u ON v.run_id = u.run_id",
     "s14_verify_dataset": "WITH m AS (SELECT concat('d/', doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000 ELSE 0 END) AS path, CASE WHEN doc_id % 10 = 0 THEN '0' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 7 <> 0), f AS (SELECT concat('d/', doc_id) AS path, sha256(text) AS own FROM documents) SELECT path, state FROM (SELECT path, CASE WHEN own IS NULL THEN 'missing' WHEN sha IS NULL THEN 'unlisted' WHEN sha <> own THEN 'changed' END AS state FROM m FULL JOIN f USING (path)) WHERE state IS NOT NULL",
     "s16_wire_view": ctes("runs") + "SELECT CASE WHEN status = 'failed' THEN concat('{\"runId\":', run_id, ',\"docId\":', doc_id, '}') ELSE concat('{\"runId\":', run_id, ',\"docId\":', doc_id, ',\"status\":\"', status, '\"}') END AS json FROM runs",
+    "st1_ingest_bad_rows": "SELECT doc_id, CASE WHEN doc_id % 5 <> 4 AND doc_id NOT IN (21, 42) THEN CAST(len(string_split(text, chr(10))) AS INTEGER) END AS lines, CASE WHEN doc_id % 5 = 4 THEN 'other_source' WHEN doc_id IN (21, 42) THEN 'USER_RAISED_EXCEPTION' END AS code FROM documents",
+    "st2_stalled_runs": """WITH e AS (SELECT user_id AS run_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts IS NOT NULL), w AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS now FROM events),
+      g AS (SELECT run_id, ms, lead(ms) OVER (PARTITION BY run_id ORDER BY ms) AS next FROM e),
+      d AS (SELECT run_id, ms + k * 21600000 AS due, k, next FROM g, (SELECT unnest([1, 2, 3]) AS k))
+      SELECT run_id, epoch_ms(due) AS at, CASE WHEN k = 3 THEN 'fail' ELSE 'requeue' END AS action FROM d, w WHERE due <= now AND (next IS NULL OR due < next)""",
     "st2_session_gaps": "WITH e AS (SELECT user_id AS run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY ts) AS i FROM e) SELECT run_id, min(ts) AS start, count(*) AS beats FROM g GROUP BY run_id, i",
 }

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.operators import evaluation, graph, rules
+from clausemill.operators import evaluation, graph, knowledge, rules, stored_index
 
 
 def components(edges):
@@ -139,3 +139,26 @@ def test_paths_take_the_best_of_each_end(spark):
     tests = spark.createDataFrame([("s1", "t1", 1.0, True), ("s3", "t1", 1.0, True)], edge)
     got = graph.evidence_paths(starts, [("standard", "requirement", mapped, True), ("test", "standard", tests, False)], most=1).orderBy("path_no").collect()
     assert [([x.node for x in r.nodes], r.current, r.confidence) for r in got] == [(["r1", "s1", "t1"], True, 0.9), (["r1", "s2"], False, 0.8)]
+
+
+def test_stored_index_equals_all_scores(spark):
+    draw = random.Random(11)
+    words = [f"word{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = [(i, "common " + " ".join(draw.choices(words, weights, k=draw.randint(0, 30))), draw.choice(["alpha", "beta", None])) for i in range(900)] + [(900, None, None), (901, "", "x")]
+    df = spark.createDataFrame(docs, "did long, text string, source string")
+    asked = spark.createDataFrame([(i, "common " + " ".join(draw.choices(words, k=draw.randint(0, 8)))) for i in range(40)] + [(99, None), (98, "unknown")], "qid long, text string")
+    fields = {"text": 1.0, "source": 2.0}
+    query = knowledge.build_query(asked, {"text": 1.0})
+    want = knowledge.top_n(knowledge.bm25(query, knowledge.build_index(df, fields)), 10)
+    index = stored_index.write_index(df, fields)
+    got = stored_index.top_n(index, query, 10)
+    as_rows = lambda t: sorted((r.qid, r.rank, r.did, round(r.score, 6)) for r in t.collect())
+    assert as_rows(got) == as_rows(want)
+    # Blocks stay where they are: the scan is bucketed, and the query comes to it.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = stored_index._needed(index, query, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(token") == 1  # the query's
