@@ -1,7 +1,8 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained in numpy.
 
 A word is the bag of its character n-grams (with word bounds) and itself, hashed into BUCKETS; its
-vector is the mean of theirs. A text is read in passages of PASSAGE words; a passage's vector is the
+vector is the mean of theirs. Only n-grams whose texts differ in label by more than chance have one,
+so that bystanders of a few toxic texts are not learned. A text is read in passages of PASSAGE words; a passage's vector is the
 mean of its words', so that a few words of abuse count in a long text as they do in a short one. The
 text's logits are those of its passages, pooled by how toxic they are. Embeddings and softmax are
 trained jointly on a bounded sample of labelled texts, so a misspelling that was never seen still
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.shingles import U, mix
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 21
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
 #: Bounds of the training sample: labelled texts of each label, and the characters of one of them.
@@ -34,9 +35,9 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1800, 4000, 20_000
 #: Words of a passage; scale of its vector before the softmax; how sharply the most toxic passage prevails.
 PASSAGE, SCALE, SHARP = 24, 12.0, 2.0
 #: Steps of training; how far a row that says nothing is drawn to zero; how far small gradients stay small steps.
-EPOCHS, SHRINK, FLOOR = 80, 0.2, 0.05
-#: Texts that a word of the training vocabulary occurs in, at least.
-LEAST_TEXTS = 6
+EPOCHS, SHRINK, FLOOR = 80, 0.2, 0.02
+#: Texts that an n-gram with a vector occurs in, at least; and how far from chance its labels are (about 4 in a million by chance).
+LEAST_TEXTS, TELLING = 3, 21.0
 EDGE = " \t\n\v\f\r.,;:!?\"'()[]{}|#*%&$<>-_/\\"
 #: Tokens of more characters are cut at Unicode's punctuation, signs and format characters, and what is longer still into windows.
 LONG, WINDOW = 60, 20
@@ -111,7 +112,7 @@ class Scorer:
     """Scores texts; remembers each word's part in the log odds."""
 
     def __init__(self, model: Model):
-        self.weights, self.bias, self.known = model.weights.astype(np.float64), model.bias, {}
+        self.weights, self.bias, self.known = model.weights, model.bias, {}
 
     def learn(self, words: set[str]) -> None:
         """The parts of words that are not known yet, all at once."""
@@ -156,22 +157,49 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 0.1, shrink: float = SHRINK, floor: float = FLOOR, least: int = LEAST_TEXTS, seed: int = 9) -> Model:
+def _telling(texts: list[str], y: np.ndarray, least: int, telling: float) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(words that have telling n-grams, (word, bucket) of each telling n-gram, number of all n-grams of each word)."""
+    place: dict[str, int] = {}
+    held = [np.unique(np.fromiter((place.setdefault(w, len(place)) for w in tokens(t)), np.int32)) for t in texts]
+    names = list(place)
+    del place
+    grams, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(names), 20_000):
+        some, n = bags(names[i : i + 20_000])
+        grams.append(some.astype(np.int32))
+        counts.append(n)
+    gram, per_word = np.concatenate(grams), np.concatenate(counts)
+    del grams, counts
+    starts = np.cumsum(per_word) - per_word
+    seen = np.zeros((2, BUCKETS), np.int32)
+    for own, label in zip(held, y):
+        n = per_word[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        seen[int(label), np.unique(gram[at])] += 1
+    del held
+    # Likelihood ratio of two by two tables: texts with and without the n-gram, by label.
+    with_, totals = seen.astype(np.float64), np.array([[(y == 0).sum()], [(y == 1).sum()]], np.float64)
+    rate, overall = with_ / totals, with_.sum(0) / totals.sum()
+    some = lambda n, p, q: np.where(n > 0, n * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0.0)
+    ratio = 2 * (some(with_, rate, overall) + some(totals - with_, 1 - rate, 1 - overall)).sum(0)
+    tells = (ratio >= telling) & (with_.sum(0) >= least)
+    kept = np.flatnonzero(tells[gram])
+    words, at = np.unique(np.searchsorted(np.cumsum(per_word), kept, side="right"), return_inverse=True)
+    return {names[w]: i for i, w in enumerate(words)}, (at, gram[kept].astype(np.int64)), per_word[words]
+
+
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 0.1, shrink: float = SHRINK, floor: float = FLOOR, least: int = LEAST_TEXTS, telling: float = TELLING, seed: int = 9) -> Model:
     """Gradient steps over the whole sample; embeddings and softmax together, and rows that say nothing shrink to zero. One label only, or none: its rate alone.
 
-    Words of fewer than `least` texts count as words without n-grams: they are names and noise, and
-    are learned only through their share of the text.
+    Only telling n-grams are embedded: those of at least `least` texts whose texts differ in label by
+    more than chance, at `telling` of the likelihood ratio statistic. Others have no vector, and count
+    in the mean of their word.
     """
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         odds = (y.sum() + 1) / (len(y) - y.sum() + 1) if len(y) else 1e-3
         return Model(np.zeros(BUCKETS), math.log(odds))
-    spread: Counter[str] = Counter()
-    for t in texts:
-        spread.update(set(tokens(t)))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= min(least, len(y) // 50 + 1)))}
-    del spread
-    gram, per_word = bags(list(vocabulary))
+    vocabulary, gram, per_word = _telling(texts, y, least, telling)
     # (passage, word, share of the passage) of each word of the vocabulary, packed: the driver holds nothing else of the texts.
     at: tuple[array, array, array] = (array("i"), array("i"), array("f"))
     owner_of = array("i")
@@ -188,11 +216,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     share = share * np.float32(SCALE)
     n_passages, of = len(owner_of), np.asarray(owner_of)
     first = np.flatnonzero(np.diff(of, prepend=-1))
-    # Words without n-grams (punctuation) have none of the sums below.
+    # gram (word, bucket): the telling n-grams of each word; per_word: all of its n-grams, which share its vector.
+    owner, gram = gram
     used, gram_at = np.unique(gram, return_inverse=True)
-    with_grams = np.flatnonzero(per_word)
-    word_starts = (np.cumsum(per_word) - per_word)[with_grams]
-    owner = np.repeat(np.arange(len(per_word)), per_word)
+    with_grams, word_starts = np.unique(owner, return_index=True)
     part = (1.0 / np.maximum(per_word, 1)).astype(np.float32)[:, None]
     seen, seen_starts = np.unique(passage_at, return_index=True)
     by_word = np.argsort(word_at, kind="stable")
@@ -277,7 +304,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
                 scores += scorer.scores([t or "" for t in batch.column(batch.num_columns - 1).slice(at, 256).to_pylist()])
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t"))
+    plain = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], docs[f"`{text}`"].cast("string").alias("t"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
     out = plain.mapInArrow(rows, f"{schema}, score double")
     named = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
@@ -285,13 +312,21 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. An empty table gives an empty result."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Whole texts count, however long; null texts are empty, and an empty text has the score of the bias.
+    A score of 0.5 or more predicts 1. Repeated rows each have a row of equal score; equal texts have
+    equal scores. Rows of a null doc_id are scored and not held out. Of several labels of one doc_id
+    the larger counts, of several texts the least is learned from. Without labels of both kinds every
+    text has the rate of the labels. An empty table gives an empty result; other columns are ignored,
+    whatever their names.
+    """
     model = train(*training_sample(docs, labels))
     scored = score_texts(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose score is 0.5 or more; columns and texts as they were."""
+    """docs without the rows whose score is 0.5 or more, scored as score_documents() does; columns and texts as they were, whatever their names. An empty table gives an empty result."""
     model = train(*training_sample(docs, labels))
     return score_texts(docs, model, keep=tuple(docs.columns), below=0.5)

@@ -51,7 +51,7 @@ def test_mix_with_clashing_columns(spark):
 
 
 def test_toxic_rows_with_clashing_columns(spark):
-    df = table(spark, [(1, "fine words here", "s"), (None, None, None), (2, "", "s"), (1, "fine words here", "s")])
+    df = table(spark, [(1, "fine words here", "s"), (None, None, None), (2, "", "s"), (1, "fine words here", "s")]).withColumn("a.b", F.lit(1))
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert whole(df, toxicity.drop_toxic(df, labels)) == [0, 1, 2, 3]
     assert toxicity.drop_toxic(df.limit(0), labels).collect() == []
