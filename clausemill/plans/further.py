@@ -65,31 +65,73 @@ DIMENSIONS = ["voltage", "resistance", "temperature", "power", "current"]
 CUED = ["The measured value is ", "limit not more than ", "observed against the limit of ", "the specified and the recorded ", "plain "]
 REPORTS = ["The sample failed in turbidity", "All tests passed", "Rated voltage does not comply", "Found unsatisfactory", "It exceeds the permissible"]
 
-#: Sentences, and what they hold, worked out by hand: terms, parameters ('?' for a bare mention), category, references.
-SENTENCES = [
-    ("Motors of 415 V with class F insulation, IE3, duty S1, IP55, to IS 325.", "induction motor", "?insulation_material,duty_type,efficiency_class,insulation_class,ip_rating,rated_voltage", "electrical", "IS 325"),
-    ("Exposure shall be taken as very severe; concrete M 30 with OPC 43 grade cement", "concrete,cement", "cement_type,concrete_grade,exposure_condition", "material", ""),
-    ("The earthing arrangement of the supply is TN-S", "earthing", "earthing_system", "safety", ""),
-    ("Cables of copper conductor XLPE insulated shall be tested to IS 7098 (Part 1)", "cable", "conductor_material,insulation_material,test_method", "material", "IS 7098 (Part 1)"),
-    ("total coliforms shall be absent; 5 star rated", "", "bacteriological_quality,efficiency_class", "performance", ""),
-    ("Suitable enclosure with dust protection", "", "?ip_rating", "environmental", ""),
-    ("Submersible pump with flow 10 l/s and 3 phase motor at total head 40 m", "submersible pump,pump,induction motor", "flow_rate,pump_head", "performance", ""),
-    ("Fault current 50 kA for 1 s at 11 kV power frequency withstand", "", "rated_voltage,short_circuit_rating", "electrical", ""),
-]
-#: Of each sentence the parameters and values that its wording states.
-WORDED = [("insulation_class=Class F", "efficiency_class=IE3", "duty_type=S1"), ("exposure_condition=very severe", "cement_type=OPC 43 grade"), ("earthing_system=TN-S",), (), ("bacteriological_quality=total coliforms not detectable", "efficiency_class=5 star"), (), (), ()]
+#: Choices that sentences are built from, by columns of the parts.
+INSULATION, EXPOSURE, EARTHING = ["B", "F", "H"], ["mild", "moderate", "severe", "very severe", "extreme"], ["TN-S", "TN-C", "TT", "IT"]
+CEMENT, GRADE, CONDUCTOR, SHEATH, GERM = ["OPC", "PPC", "PSC"], ["33", "43", "53"], ["copper", "aluminium"], ["XLPE", "PVC"], ["total", "thermotolerant"]
+#: The eight forms of a sentence: terms, category (germs without a star rating are a matter of quality).
+FORMS = [("induction motor", "electrical"), ("concrete,cement", "material"), ("earthing", "safety"), ("cable", "material"), ("", "performance"), ("", "environmental"), ("submersible pump,pump,induction motor", "performance"), ("", "electrical")]
 
 
 def _sentences(s, d):
-    return read(s, d, "part").select(F.col("p_partkey").alias("key"), pick([t for t, *_ in SENTENCES], F.col("p_partkey")).alias("text"))
+    """A sentence a part: its form by key, its values, classes, grades and references by key and size; some pieces are only there for some sizes."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    when = lambda condition, *parts: F.when(condition, F.concat(*parts)).otherwise("")
+    lit = F.lit
+    forms = [
+        F.concat(lit("Motors of "), 100 + size, lit(" V with class "), pick(INSULATION, key), lit(" insulation, IE"), size % 5 + 1, when(key % 3 != 0, lit(", duty S"), key % 9 + 1), when(size % 2 == 0, lit(", IP"), 54 + size % 3), when(size % 3 == 0, lit(", to IS "), 100 + key % 400), lit(".")),
+        F.concat(lit("Exposure shall be taken as "), pick(EXPOSURE, size), lit("; concrete M "), 20 + 5 * (key % 5), lit(" with "), pick(CEMENT, size), when(key % 3 != 0, lit(" "), pick(GRADE, key), lit(" grade")), lit(" cement")),
+        F.concat(lit("The earthing arrangement of the supply is "), pick(EARTHING, size)),
+        F.concat(lit("Cables of "), pick(CONDUCTOR, size), lit(" conductor "), pick(SHEATH, key + size), lit(" insulated shall be tested to IS "), 7000 + size, when(size % 3 == 0, lit(" (Part "), key % 4 + 1, lit(")"))),
+        F.concat(pick(GERM, size), lit(" coliforms shall be absent"), when(key % 3 != 0, lit("; "), key % 5 + 1, lit(" star rated"))),
+        F.concat(lit("Suitable enclosure with dust protection of item "), key),
+        F.concat(lit("Submersible pump with flow "), 5 + size, lit(" l/s and 3 phase motor"), when(key % 3 != 0, lit(" at total head "), 10 + size, lit(" m"))),
+        F.concat(lit("Fault current "), 10 + size, lit(" kA for 1 s"), when(key % 3 != 0, lit(" at "), 1 + size, lit(" kV power frequency withstand"))),
+    ]
+    text = F.when(key % 8 == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        text = text.when(key % 8 == i, form)
+    # Behind an explode, so that the text is made once and not again wherever it is read.
+    return read(s, d, "part").select(key.alias("key"), F.explode(F.array(text)).alias("text"))
+
+
+def _sql_pick(items: list[str], by: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + f"][CAST(({by}) % {len(items)} + 1 AS INTEGER)]"
+
+
+#: What the pieces of a sentence state: its form, when the piece is there, parameter ('?' for a bare mention), the wording's value.
+STATED = [
+    (0, "true", "?insulation_material", None),
+    (0, "true", "rated_voltage", None),
+    (0, "true", "insulation_class", "'Class ' || " + _sql_pick(INSULATION, "k")),
+    (0, "true", "efficiency_class", "'IE' || (z % 5 + 1)"),
+    (0, "k % 3 <> 0", "duty_type", "'S' || (k % 9 + 1)"),
+    (0, "z % 2 = 0", "ip_rating", None),
+    (1, "true", "exposure_condition", _sql_pick(EXPOSURE, "z")),
+    (1, "true", "concrete_grade", None),
+    (1, "true", "cement_type", _sql_pick(CEMENT, "z") + " || CASE WHEN k % 3 <> 0 THEN ' ' || " + _sql_pick(GRADE, "k") + " || ' grade' ELSE '' END"),
+    (2, "true", "earthing_system", _sql_pick(EARTHING, "z")),
+    (3, "true", "conductor_material", None),
+    (3, "true", "insulation_material", None),
+    (3, "true", "test_method", None),
+    (4, "true", "bacteriological_quality", _sql_pick(GERM, "z") + " || ' coliforms not detectable'"),
+    (4, "k % 3 <> 0", "efficiency_class", "(k % 5 + 1) || ' star'"),
+    (5, "true", "?ip_rating", None),
+    (6, "true", "flow_rate", None),
+    (6, "k % 3 <> 0", "pump_head", None),
+    (7, "true", "short_circuit_rating", None),
+    (7, "k % 3 <> 0", "rated_voltage", None),
+]
+_PARTS = "p AS (SELECT p_partkey AS k, p_size AS z FROM part)"
+_STATED = "st AS (" + " UNION ALL ".join(f"SELECT k, '{name}' AS parameter, {value or 'NULL'} AS value FROM p WHERE k % 8 = {form} AND {there}" for form, there, name, value in STATED) + ")"
+_CITED = "CASE WHEN k % 8 = 0 AND z % 3 = 0 THEN 'IS ' || (100 + k % 400) WHEN k % 8 = 3 THEN 'IS ' || (7000 + z) || CASE WHEN z % 3 = 0 THEN ' (Part ' || (k % 4 + 1) || ')' ELSE '' END ELSE '' END"
 
 
-def _fragments(s, d):
-    return at.structure_fragments(_sentences(s, d), ["key"], "text")
+def _listed(condition: str, name: str) -> str:
+    return f"WITH {_PARTS}, {_STATED} SELECT k AS key, coalesce(string_agg(parameter, ',' ORDER BY parameter) FILTER ({condition}), '') AS {name} FROM p LEFT JOIN st USING (k) GROUP BY 1"
 
 
-def _sentence_values(columns: list[int]) -> str:
-    return "v(i, " + ", ".join("abcde"[c] for c in columns) + ") AS (VALUES " + ", ".join(f"({i}, " + ", ".join("'" + row[c] + "'" for c in columns) + ")" for i, row in enumerate(SENTENCES)) + ")"
+def _fragments(s, d):
+    return at.structure_fragments(_sentences(s, d), ["key"], "text")
 
 
 def _interval_text(s, d):
@@ -337,10 +379,10 @@ SQL = {
     "x5_special_quantities": f"WITH {INTERVALS} SELECT doc, line, unit, round(lo, 6)::DOUBLE AS lo, round(hi, 6)::DOUBLE AS hi FROM qs WHERE unit IN ('pH', 'ratio')",
     "x7_report_guards": _R + f", b AS (SELECT doc, line, {sql_pick(DIMENSIONS, 'supp')} AS dimension, part % 6 AS i, qty FROM rows_) SELECT doc, line, dimension, CASE WHEN (dimension = 'voltage' AND i = 0) OR (dimension = 'resistance' AND i = 2) OR (dimension = 'temperature' AND i = 3) OR (dimension = 'power' AND i = 4) THEN NULL WHEN dimension = 'current' AND qty % 2 = 0 THEN 'short_circuit_rating' ELSE 'given' END AS parameter FROM b",
     "x8_derive_variation": _R + "SELECT doc, line, 'voltage_variation' AS parameter, 10.0::DOUBLE AS value FROM rows_ WHERE part % 6 = 1",
-    "x11_text_parameters": "WITH v(i, said) AS (VALUES " + ", ".join(f"({i}, '{w}')" for i, words in enumerate(WORDED) for w in words) + ") SELECT p_partkey AS key, string_split(said, '=')[1] AS parameter, string_split(said, '=')[2] AS value FROM part JOIN v ON p_partkey % 8 = i",
-    "x13_build_attributes": f"WITH {_sentence_values([2])} SELECT p_partkey AS key, array_to_string(list_filter(string_split(c, ','), lambda x: NOT starts_with(x, '?')), ',') AS parameters FROM part JOIN v ON p_partkey % 8 = i",
-    "x14_unvalued_mentions": f"WITH {_sentence_values([2])} SELECT p_partkey AS key, array_to_string(list_filter(string_split(c, ','), lambda x: starts_with(x, '?')), ',') AS mentions FROM part JOIN v ON p_partkey % 8 = i",
-    "x22_structure_fragments": f"WITH {_sentence_values([1, 3, 4])} SELECT p_partkey AS key, b AS terms, d AS category, e AS \"references\" FROM part JOIN v ON p_partkey % 8 = i",
+    "x11_text_parameters": f"WITH {_PARTS}, {_STATED} SELECT k AS key, parameter, value FROM st WHERE value IS NOT NULL",
+    "x13_build_attributes": _listed("NOT starts_with(parameter, '?')", "parameters"),
+    "x14_unvalued_mentions": _listed("starts_with(parameter, '?')", "mentions"),
+    "x22_structure_fragments": f"WITH {_PARTS} SELECT k AS key, {_sql_pick([t for t, _ in FORMS], 'k')} AS terms, CASE WHEN k % 8 = 4 AND k % 3 = 0 THEN 'quality' ELSE {_sql_pick([c for _, c in FORMS], 'k')} END AS category, {_CITED} AS \"references\" FROM p",
     "r11_rerank_features": f"WITH {FEATURES} SELECT qid, did, standard, round(bm25, 6) AS bm25, round(clause_parameter, 6)::DOUBLE AS clause_parameter, round(standard_parameter, 6)::DOUBLE AS standard_parameter, product, context_product, document_cited, explicit, governed, product_term FROM ft",
     "r12_rerank_full": f"WITH {SCORED} SELECT qid, did, round(round(raw, 9), 6) AS raw, round(least(greatest(round(raw, 9), 0), 1), 6)::DOUBLE AS confidence FROM k4",
     "r18_explain_hits": f"WITH {FEATURES} SELECT qid, did, CASE WHEN NOT explicit AND product_term IS NULL AND governed = '' AND did % 2 = 1 THEN concat('Lexical similarity with IS ', standard, '.') ELSE concat_ws(' ', CASE WHEN explicit THEN concat('The requirement cites IS ', standard, ' directly.') END, CASE WHEN product_term IS NOT NULL THEN concat('The ', product_term, ' described in the requirement falls within the scope of IS ', standard, '.') END, CASE WHEN governed <> '' THEN concat('The clause \"Clause ', did, '\" governs ', replace(replace(governed, ',', ' and '), '_', ' '), ', which the requirement specifies.') END, CASE WHEN did % 2 = 0 THEN 'Shared technical terms: cable, rated, volt.' END) END AS explanation FROM ft",

@@ -73,6 +73,19 @@ def _eval_runs(s, d):
     return results.read_eval_runs(s, f"{path}/*", "doc_id long, quality int")
 
 
+def _records(s, d):
+    """A run a customer, its tasks nested as they come: open and finished orders, with other metrics each; written and read back."""
+    orders = read(s, d, "orders").select(F.concat(F.lit("r"), "o_custkey").alias("run"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    item = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("key"))
+    task = F.when(F.col("o_orderstatus") == "O", "open").otherwise("done")
+    each = orders.groupBy("run", task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"), F.array_sort(F.collect_list(item)).alias("items"))
+    metrics = F.when(F.col("task") == "open", F.create_map(F.lit("n"), F.col("n").cast("double"))).otherwise(F.create_map(F.lit("n"), F.col("n").cast("double"), F.lit("partial"), F.col("partial").cast("double")))
+    records = each.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("task", F.struct(metrics.alias("metrics"), "items")))).alias("tasks"))
+    path = _folder(s, "records")
+    results.write_run_records(records, path)
+    return results.run_records(s, path)
+
+
 def _ingested(s, d):
     """Documents as they arrive in a stream, each analysed once."""
     out, table = _folder(s, "ingested"), read(s, d, "documents")
@@ -112,6 +125,8 @@ QUERIES = {
     "s6_publish_corpus": _published,
     "s9_write_results": _rewritten,
     "s11_eval_runs": _eval_runs,
+    "s12_run_metrics": lambda s, d: results.run_metrics(_records(s, d)),
+    "s12_run_items": lambda s, d: results.run_items(_records(s, d)).select("run", "task", "key", F.array_join("items", ";").alias("items")),
     "st1_ingest_stream": _ingested,
     "s1_scan_uploads": lambda s, d: _files(s, d).select("path", F.inline(F.array(uploads.file_format(F.concat("path", F.when(F.length("path") % 2 == 0, ".txt").otherwise(".pdf")), F.col("content"), F.length("content").cast("long"))))),
     "s5_load_corpus": lambda s, d: uploads.load_corpus(read(s, d, "region").select(F.col("r_regionkey").alias("standard"), "r_name"), read(s, d, "nation").select(F.col("n_regionkey").alias("standard"), F.col("n_nationkey").alias("clause_no"), F.col("n_name").alias("heading"))).select("standard", "r_name", F.array_join("headings", ",").alias("headings")),
@@ -129,6 +144,8 @@ SQL = {
     "s6_publish_corpus": "SELECT p_partkey, upper(p_name) AS p_name FROM part",
     "s9_write_results": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 25 AS run_id FROM lineitem WHERE l_suppkey % 25 % 3 <> 0 OR l_linenumber = 1",
     "s11_eval_runs": "SELECT doc_id, CAST(quality AS INTEGER) AS quality, 'base' AS run FROM labels UNION ALL SELECT doc_id, CAST(quality AS INTEGER), 'strict' FROM labels WHERE quality = 1",
+    "s12_run_metrics": "WITH o AS (SELECT 'r' || o_custkey AS run, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'done' END AS task, count(*)::DOUBLE AS n, count(*) FILTER (o_orderstatus = 'P')::DOUBLE AS p FROM orders GROUP BY 1, 2) SELECT run, task, 'n' AS metric, n AS value FROM o UNION ALL SELECT run, task, 'partial', p FROM o WHERE task = 'done'",
+    "s12_run_items": """SELECT 'r' || o_custkey AS run, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'done' END AS task, o_orderstatus AS key, string_agg(concat('{"id":', o_orderkey, ',"key":"', o_orderstatus, '"}'), ';' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1, 2, 3""",
     "st1_ingest_stream": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents",
     "s1_scan_uploads": "SELECT concat('d/', doc_id) AS path, CASE WHEN length(concat('d/', doc_id)) % 2 = 0 AND length(text) > 0 THEN 'txt' END AS format, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(concat('d/', doc_id)) % 2 = 1 THEN 'corrupt' END AS error_code FROM documents",
     "s5_load_corpus": "SELECT r_regionkey AS standard, r_name, string_agg(n_name, ',' ORDER BY n_nationkey) AS headings FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2",

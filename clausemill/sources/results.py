@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +15,86 @@ def write_results(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/{name}")
 
 
-def publish_corpus(tables: dict[str, DataFrame], folder: str, version: str) -> None:
-    """A version's tables first, then a one-row pointer; the newest pointer names the active version.
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, version) of all pointers, the newest first; one that is still being written has no version yet and is left out."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/active")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    out = []
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        if name.isdigit() and status.getLen():
+            stream = fs.open(status.getPath())
+            try:
+                out.append((int(name), bytes(stream.readAllBytes()).decode()))
+            finally:
+                stream.close()
+    return sorted(out, reverse=True)
+
+
+def _claim(spark: SparkSession, folder: str, number: int, version: str) -> bool:
+    """Makes the pointer of a number, if it does not exist: of several that try, one succeeds."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/active/{number:012d}")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    content = bytearray(version.encode())
+    if fs.getUri().getScheme() == "file":  # its create() looks first and creates then; a link is one step
+        target = jvm.java.nio.file.Path.of(where.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+        draft = target.resolveSibling(f".{number:012d}-{uuid.uuid4().hex}")
+        options = spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 0)
+        jvm.java.nio.file.Files.write(draft, content, options)
+        try:
+            jvm.java.nio.file.Files.createLink(target, draft)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        finally:
+            jvm.java.nio.file.Files.delete(draft)
+        return True
+    try:
+        stream = fs.create(where, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    try:
+        stream.write(content)
+    finally:
+        stream.close()
+    return True
+
+
+def publish_corpus(tables: dict[str, DataFrame], folder: str, version: str) -> int:
+    """A version's tables first, then its pointer; the pointer of the largest number names the active version. Returns the number.
 
-    Pointers are only added, each with a number after the last, so a reader never finds none.
+    Numbers are claimed one by one: a pointer is created only if there is none of its number, else the
+    next number is tried. So of publishers at the same time each gets a number of its own, and a reader
+    finds the whole version before or the whole version after.
     """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/corpus_version={version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    try:
-        last = spark.read.parquet(f"{folder}/active").agg(F.max("number")).first()[0]
-    except AnalysisException:  # nothing was published yet
-        last = 0
-    spark.createDataFrame([(version, last + 1)], "version string, number long").write.mode("append").parquet(f"{folder}/active")
+    number = max([n for n, _ in _pointers(spark, folder)], default=0) + 1
+    while not _claim(spark, folder, number, version):
+        number += 1
+    return number
 
 
 def active_corpus(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/active").agg(F.max_by("version", "number")).first()[0]
-    return spark.read.parquet(f"{folder}/corpus_version={version}/{name}")
+    pointers = _pointers(spark, folder)
+    if not pointers:
+        raise ValueError(f"nothing is published in {folder}")
+    return spark.read.parquet(f"{folder}/corpus_version={pointers[0][1]}/{name}")
+
+
+def corpus_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """(number, version, active): what was published, one row a publication."""
+    pointers = _pointers(spark, folder)
+    return spark.createDataFrame([(n, v, i == 0) for i, (n, v) in enumerate(pointers)], "number long, version string, active boolean")
 
 
 def write_eval_run(items: DataFrame, folder: str, run: str) -> None:
@@ -43,6 +107,35 @@ def read_eval_runs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(pattern).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
 
 
+def write_run_records(records: DataFrame, folder: str) -> None:
+    """(run, …, tasks): one JSON text a run, whose tasks are nested as they come; append-only, each run a line of its own."""
+    records.write.mode("append").json(folder)
+
+
+def run_records(spark: SparkSession, pattern: str) -> DataFrame:
+    """(run, record): the records of all files that a glob names, each parsed as a variant, as their tasks differ from run to run. Lines that are no JSON have a null record."""
+    text = spark.read.text(pattern)
+    record = F.try_parse_json("value")
+    return text.select(F.try_variant_get(record, "$.run", "string").alias("run"), record.alias("record"))
+
+
+def run_metrics(records: DataFrame) -> DataFrame:
+    """(run, task, metric, value) of records: every number that a task gives under metrics, whatever its name."""
+    tasks = records.lateralJoin(records.sparkSession.tvf.variant_explode(F.try_variant_get(F.col("record").outer(), "$.tasks", "variant")).select(F.col("key").alias("task"), F.col("value").alias("body")))
+    metrics = tasks.lateralJoin(records.sparkSession.tvf.variant_explode(F.try_variant_get(F.col("body").outer(), "$.metrics", "variant")).select(F.col("key").alias("metric"), F.col("value").alias("number")))
+    return metrics.select("run", "task", "metric", F.try_variant_get("number", "$", "double").alias("value"))
+
+
+def run_items(records: DataFrame) -> DataFrame:
+    """(run, task, items): the items of each task grouped by their key, as a map from key to JSON texts in order."""
+    spark = records.sparkSession
+    tasks = records.lateralJoin(spark.tvf.variant_explode(F.try_variant_get(F.col("record").outer(), "$.tasks", "variant")).select(F.col("key").alias("task"), F.col("value").alias("body")))
+    items = tasks.lateralJoin(spark.tvf.variant_explode(F.try_variant_get(F.col("body").outer(), "$.items", "variant")).select(F.col("pos"), F.col("value").alias("item")))
+    each = items.select("run", "task", F.coalesce(F.try_variant_get("item", "$.key", "string"), F.lit("")).alias("key"), "pos", F.to_json("item").alias("item"))
+    grouped = each.groupBy("run", "task", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("x"))
+    return grouped.select("run", "task", "key", F.transform("x", lambda x: x["item"]).alias("items"))
+
+
 def load_snapshots(latest: DataFrame, findings: DataFrame) -> DataFrame:
     """The latest run of each document with its findings in order of number."""
     children = findings.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("finding_no", "kind", "severity"))).alias("f"))

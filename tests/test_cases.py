@@ -1,6 +1,7 @@
 """Literal cases of quantities, tables, attributes, stores, streams and models, one row each."""
 
 import json
+import threading
 import unicodedata
 from datetime import datetime, timedelta
 
@@ -104,6 +105,40 @@ def test_newest_version_is_active(spark, tmp_path):
     assert results.active_corpus(spark, str(tmp_path), "t").first().x == 2
 
 
+def test_publishers_at_once_get_numbers_of_their_own(spark, tmp_path):
+    numbers, rows = [], spark.range(3)
+    publish = lambda v: numbers.append((results.publish_corpus({"t": rows}, str(tmp_path), v), v))
+    threads = [threading.Thread(target=publish, args=(f"v{i}",)) for i in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(n for n, _ in numbers) == list(range(1, 7))
+    found = {(r.number, r.version): r.active for r in results.corpus_versions(spark, str(tmp_path)).collect()}
+    assert found == {x: x[0] == 6 for x in numbers}
+    with pytest.raises(ValueError):
+        results.active_corpus(spark, str(tmp_path / "nothing"), "t")
+
+
+def test_records_of_any_tasks(spark, tmp_path):
+    one = {"run": "a", "tasks": {"id": {"metrics": {"f1": 0.5, "n": 2, "note": "x"}, "items": [{"key": "k", "ok": True}, {"x": 1}, {"key": "k", "ok": False}]}}}
+    (tmp_path / "r.json").write_text("\n".join([json.dumps(one), json.dumps({"run": "b", "tasks": {"other": {"metrics": {"acc": 0.25}}}}), "no json", json.dumps({"run": "c"})]))
+    records = results.run_records(spark, str(tmp_path))
+    assert sorted(r.run or "-" for r in records.collect()) == ["-", "a", "b", "c"]
+    assert {(r.run, r.task, r.metric): r.value for r in results.run_metrics(records).collect()} == {("a", "id", "f1"): 0.5, ("a", "id", "n"): 2.0, ("a", "id", "note"): None, ("b", "other", "acc"): 0.25}
+    assert {(r.run, r.task, r.key): len(r["items"]) for r in results.run_items(records).collect()} == {("a", "id", "k"): 2, ("a", "id", ""): 1}
+
+
+def test_a_row_that_fails_stops_no_other(spark, tmp_path):
+    for part in ([(i, "a") for i in range(40)], [(3, "a"), (50, "b")]):
+        spark.createDataFrame(part, "k int, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    analyse = lambda df: df.withColumn("t", F.when(F.col("k") == 17, F.raise_error(F.lit("bad"))).otherwise(F.col("t")))
+    out = str(tmp_path / "out")
+    runs.ingest_stream(spark, str(tmp_path / "in"), "k int, t string", analyse, out, str(tmp_path / "c"), checks={"five": F.col("k") == 5}).awaitTermination()
+    assert sorted(r.k for r in spark.read.schema("k int, t string").parquet(out).collect()) == [*[i for i in range(40) if i not in (5, 17)], 50]
+    assert {(r.key, r.code) for r in spark.read.parquet(f"{out}-errors").collect()} == {("5", "five"), ("17", "USER_RAISED_EXCEPTION")}
+
+
 def test_a_run_is_written_once(spark, tmp_path):
     items = spark.createDataFrame([(1, 0.5)], "item int, value double")
     results.write_eval_run(items, str(tmp_path), "r1")
