@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.operators import attributes, evaluation, facts, knowledge, models, quantities, refine, tables
+from clausemill.operators import analysis, attributes, evaluation, facts, knowledge, models, quantities, refine, tables
 from clausemill.sources import results, uploads
 from clausemill.streaming import runs
 
@@ -215,3 +215,38 @@ def test_symbolic_features_have_one_length(spark):
     df = spark.createDataFrame([(1, "415 V to IS 325, IP55"), (2, None), (3, "")], "k int, text string")
     got = {r.k: list(r.features) for r in models.symbolic_features(df, ["k"], "text").collect()}
     assert len({len(f) for f in got.values()}) == 1 and sum(got[2]) == sum(got[3]) == 0 and got[1][-1] == 1.0 and sum(got[1]) >= 4
+
+
+def test_presets_and_unknown_names():
+    assert len(analysis.CHANGES) == 20
+    assert analysis.preset("legacy-2.1").relations_version == 1 and analysis.preset("v3.1-dag").dependency_mode == "dag"
+    one = json.loads(analysis.preset("v3.1-gated", units_v3=False).record())
+    assert one["classifier"] == "gated" and not one["units_v3"] and one["text_attrs_v2"] and one["retrieval"]["top_k"] == 5
+    with pytest.raises(ValueError, match="v3-tfidf"):
+        analysis.preset("v9")
+
+
+def test_stages_of_an_analysis(spark):
+    rows = [(1, 1, "Motors of 415 V ± 10 % shall be used", 7), (1, 2, None, 7), (2, 1, "Supply at least 50 kV", 7), (2, 2, "Paint it blue", 8)]
+    df = spark.createDataFrame(rows, "doc long, req long, text string, standard long")
+    limits = spark.createDataFrame([(7, "rated_voltage", 100.0, 1000.0)], "standard long, parameter string, cmin double, cmax double")
+    heard = []
+    done = analysis.analyse(df, ["doc", "req"], "text", limits, "standard", on_stage=lambda *x: heard.append(x[:3]))
+    assert [x[0] for x in heard] == ["requirements", "values", "categories", "conflicts"] and heard[0][1:] == (4, 1)
+    assert [tuple(r) for r in done.stages.select("stage", "rows", "errors").collect()] == heard
+    for name, table in done.tables.items():
+        assert table.count() == dict((x[0], x[1]) for x in heard)[name]
+    assert {(r.doc, r.severity) for r in done.tables["conflicts"].collect()} == {(2, "high")}
+    assert {json.loads(r.settings)["name"] for r in done.record().collect()} == {"v3.1"}
+    own = {"mine": lambda rows, keys, text: rows.select(*keys, F.lit("x").alias("category"), F.lit(1.0).alias("confidence"))}
+    mine = analysis.analyse(df, ["doc", "req"], "text", limits, "standard", analysis.preset(classifier="mine"), own)
+    assert {r.category for r in mine.tables["categories"].collect()} == {"x"}
+    with pytest.raises(ValueError, match="lexicon"):
+        analysis.analyse(df, ["doc", "req"], "text", limits, "standard", analysis.preset(classifier="none"))
+
+
+def test_combinators(spark):
+    items = spark.createDataFrame([("a", 1, 1, 0, 0.5), ("a", 1, 0, 1, None), ("b", 0, 0, 0, 1.0)], "run string, x_tp int, x_fp int, x_fn int, v double")
+    got = {r.run: r for r in analysis.headline(items, analysis.sums("x_tp") | analysis.means("v") | analysis.rates("x") | analysis.ratios(hit=("x_tp", "x_fp")), ["run"]).collect()}
+    assert (got["a"].x_tp, got["a"].v, round(got["a"].x_f1, 6), got["a"].hit) == (2, 0.25, round(2 / 3, 6), 2.0)
+    assert (got["b"].x_precision, got["b"].x_recall, got["b"].hit) == (1.0, 1.0, None)
