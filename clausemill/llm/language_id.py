@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import Scratch
+from clausemill.llm.common import Scratch, partitions
 
 SLOTS = 1 << 16
 #: Bounds of the training sample: texts of each language, and characters of one of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
-#: Languages of the model at most: those with the most labelled texts (it holds a table of SLOTS numbers for each).
-MOST_LANGUAGES = 64
+#: Suffixes up to which their table is sent to the tasks; more are joined.
+FEW_SUFFIXES = 20_000
 #: A trigram counts as this much of an independent observation, and a text as at most so many trigrams.
 WEIGHT, MOST = 0.25, 400.0
 #: Pages that a parent's prior weighs as.
@@ -49,23 +49,39 @@ def _plain(text: str) -> bytes:
     return f" {words} ".encode() if words else b""
 
 
-def train(texts: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of trigram slots by language) from (language, text)."""
-    languages = sorted({g for g, _ in texts})
-    counts = np.full((len(languages), SLOTS), 0.5)
-    for g, t in texts:
-        counts[languages.index(g)] += np.bincount(_slots(_plain(t)), minlength=SLOTS)
-    return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+def _sampled(docs: DataFrame, lang: str, text: str, key: str) -> DataFrame:
+    """(g, t): of each language the SAMPLE_TEXTS texts of least hash of their key; texts of 20 to SAMPLE_CHARS characters count."""
+    rows = docs.select(F.col(lang).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("g").isNotNull() & F.col("k").isNotNull() & F.length("t").between(20, SAMPLE_CHARS))
+    # Ranks are limited before the shuffle too, so that each task sends SAMPLE_TEXTS keys of a language at most.
+    picked = rows.select("g", "k", F.xxhash64("t").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("k"), "k", "h"))).where(f"n <= {SAMPLE_TEXTS}")
+    return rows.withColumn("h", F.xxhash64("t")).join(picked.select("g", "k", "h").distinct(), ["g", "k", "h"], "left_semi").select("g", "t")
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities of trigram slots by language) from a bounded sample of labelled texts of every language.
 
+    Tasks count the slots of their texts; a vector of SLOTS counts for each language comes to the driver
+    from each of them, and no text.
+    """
 
-def training_texts(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> list[tuple[str, str]]:
-    """Of each language the texts of least hash of their key, up to the bounds above."""
-    rows = docs.select(F.col(lang).alias("g"), F.col(key).alias("k"), F.length(text).alias("n")).where(f"g is not null and k is not null and n between 20 and {SAMPLE_CHARS}")
-    common = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(MOST_LANGUAGES).select("g")
-    rows = rows.join(F.broadcast(common), "g")  # at most MOST_LANGUAGES rows
-    picked = rows.select("g", "k").withColumn("h", F.xxhash64("k")).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))).where(f"n <= {SAMPLE_TEXTS}").select("k")
-    found = docs.select(F.col(lang).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(20, SAMPLE_CHARS)).join(F.broadcast(picked.distinct()), "k")
-    return [(r["g"], r["t"]) for r in found.orderBy("k").collect()]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if g not in counts:
+                    counts[g] = np.zeros(SLOTS, np.int64)
+                counts[g] += np.bincount(_slots(_plain(t)), minlength=SLOTS)
+        for g, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([c.astype("<u4").tobytes()], pa.binary())], ["g", "c"])
+
+    sample = _sampled(docs, lang, text, key)
+    total: dict[str, np.ndarray] = {}
+    dealt = sample.repartition(partitions(docs.sparkSession), "g")  # so a language's counts come from one task
+    for r in dealt.mapInArrow(counted, "g string, c binary").toLocalIterator():
+        total[r["g"]] = total.get(r["g"], 0) + np.frombuffer(bytes(r["c"]), "<u4").astype(np.float64)
+    languages = sorted(total)
+    counts = np.array([total[g] for g in languages]).reshape(len(languages), SLOTS) + 0.5
+    return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
 def declared_language(page: Column) -> Column:
@@ -121,7 +137,7 @@ def _vector(column: str, n: int) -> list[Column]:
 def identify_languages(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: key, language, probability, text_language, declared, suffix, host.
 
-    docs (doc_id, text, lang) trains the text model on a bounded sample; a page's evidence from its
+    docs (doc_id, text, lang) trains the text model on a bounded sample of every language; a page's evidence from its
     text is tempered to that of MOST trigrams, all of which count. A page without text has the posterior of its
     other evidence; one without any has the corpus's most frequent language. Ties go to the first
     language in order of name. Null addresses have null host and suffix and the corpus prior. Without
@@ -129,7 +145,7 @@ def identify_languages(pages: DataFrame, docs: DataFrame, key: str = "page_id",
     ignored.
     """
     scratch = Scratch(pages.sparkSession, "language-id")
-    languages, table = train(training_texts(docs))
+    languages, table = train(docs)
     if not languages:
         none = F.lit(None).cast("string")
         return pages.select(F.col(key).alias(key), none.alias("language"), F.lit(None).cast("double").alias("probability"), none.alias("text_language"), declared_language(F.col(html)).alias("declared"), none.alias("suffix"), host_of(F.col(url)).alias("host"))
@@ -165,7 +181,13 @@ def identify_languages(pages: DataFrame, docs: DataFrame, key: str = "page_id",
     hosts = seen.where("host is not null").groupBy("host", "domain").agg(F.count(F.lit(1)).alias("n"), *_vector("p", n)).select("host", "domain", "n", F.array(*[f"s{i}" for i in range(n)]).alias("sums"))
     hosts = hosts.join(domains, "domain").select("host", F.transform(F.arrays_zip(F.col("sums").alias("s"), F.col("above").alias("b")), lambda x: (x["s"] + STRENGTH * x["b"]) / (F.col("n") + STRENGTH)).alias("prior"))
     hosts = scratch.keep(hosts, "hosts")
-    out = seen.join(F.broadcast(likelihood("kind")), "kind", "left").join(likelihood("suffix"), "suffix", "left").join(hosts, "host", "left")
+    suffixes = scratch.keep(likelihood("suffix"), "suffixes")
+    if suffixes.count() <= FEW_SUFFIXES:
+        suffixes = F.broadcast(suffixes)
+    # Pages without a host match none, and are dealt by their own key.
+    alone = F.coalesce("host", F.concat(F.lit("\0"), F.xxhash64("page").cast("string")))
+    out = seen.join(F.broadcast(likelihood("kind")), "kind", "left").join(suffixes, "suffix", "left")
+    out = out.withColumn("_host", alone).join(hosts.withColumnRenamed("host", "_host"), "_host", "left")
     zero = F.array(*[F.lit(0.0)] * n)
     z = F.transform(
         F.arrays_zip(F.col("ll").alias("t"), F.coalesce("kind_log", zero).alias("d"), F.coalesce("suffix_log", zero).alias("s"), F.transform(F.coalesce("prior", base), lambda x: F.log(x)).alias("h")),

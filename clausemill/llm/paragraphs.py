@@ -345,6 +345,32 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return whole.select(*columns("paragraph")).unionByName(parts.select(*columns("stretch")))
 
 
+def short_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 8, least: int = LEAST_WORDS) -> DataFrame:
+    """One row per occurrence of a repeated short line: key, text_hash, start, end, words, copies, kept_id, kept_start, removed.
+
+    Short lines have `shortest` to `least` - 1 words; two are equal when their words are. They are
+    counted apart from the passages of repeated_paragraphs(), as a line that many documents share says
+    little about them; whoever wants them gone can cut what is marked removed. The first occurrence
+    stays, as there. Equality is exact, so there are no bands. Rows with equal key and text have equal
+    rows; null and empty texts have none; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "short-lines")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, base, words in _blocks(batches, 2):
+            units = lines(words, shortest)
+            units = units.take(np.flatnonzero(units.end - units.first < least))
+            if len(units):
+                yield pa.RecordBatch.from_arrays(units.columns(base, batch), NAMES)
+
+    rows = scratch.keep(_texts(docs, key, text).mapInArrow(found, UNIT), "lines")
+    firsts = rows.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(_order()).alias("first")).where("copies > 1")
+    removed = ~F.struct("id", "text_hash", "start").eqNullSafe(F.struct("first.id", "first.text_hash", "first.start"))
+    placed = rows.join(firsts, "class").withColumn("removed", removed)
+    return placed.select(F.col("id").alias(key), "text_hash", "start", "end", "words", "copies", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"), "removed")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with what repeated_paragraphs() removes cut out of their texts; other columns as they were, whatever their names.
 
