@@ -111,6 +111,35 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(flip.alias("flip")).agg(F.count(F.lit(1)).alias("items"))
 
 
+def compare_metrics(a: DataFrame, b: DataFrame, samples: int = 1000) -> DataFrame:
+    """Items (task, item, metric, value) of two runs -> (task, metric, a, b, delta, low, high, mark).
+
+    low and high bound 95 % of the differences of the means under the same draws of items, where both
+    runs have the same items of a task, else they are null; mark is up or down where they exclude zero.
+    Items are drawn as in bootstrap_ci(), by a hash of `replicate:item`. Missing values count as 0.
+    """
+    side = lambda df, name: df.select("task", "item", "metric", F.coalesce("value", F.lit(0.0)).alias(name), F.lit(True).alias(f"has_{name}"))
+    both = keep(side(a, "a").join(side(b, "b"), ["task", "item", "metric"], "full"))
+    means = both.groupBy("task", "metric").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).where("a is not null and b is not null")
+    alike = both.groupBy("task").agg(F.bool_and(F.col("has_a").isNotNull() & F.col("has_b").isNotNull()).alias("alike")).where("alike").select("task")
+    pairs = both.join(alike, "task", "left_semi").select("task", "metric", "item", (F.col("b") - F.col("a")).alias("v"))
+    each = pairs.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.col("r").cast("string"), F.lit(":"), F.col("item").cast("string"))), 1, 8), 16, 10).cast("long") % 1_000_000
+    drawn = each.select("task", "metric", "v", "r", F.explode(F.array(hashed)).alias("x")).select("task", "metric", "v", "r", _times(F.col("x")).alias("times")).where("times > 0")
+    spread = drawn.groupBy("task", "metric", "r").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    ends = spread.groupBy("task", "metric").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    out = means.join(ends, ["task", "metric"], "left").withColumn("delta", F.col("b") - F.col("a"))
+    mark = F.when((F.col("low") > 0) | (F.col("high") < 0), F.when(F.col("delta") > 0, "up").otherwise("down"))
+    return out.select("task", "metric", "a", "b", "delta", "low", "high", mark.alias("mark"))
+
+
+def item_flips(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Details (task, item, detail) of two runs -> (task, item, detail, flip): gained where only b has one, lost where only a has."""
+    keys = ["task", "item", "detail"]
+    one, two = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return two.join(one, keys, "left_anti").withColumn("flip", F.lit("gained")).unionByName(one.join(two, keys, "left_anti").withColumn("flip", F.lit("lost")))
+
+
 def training_set(rows: DataFrame, share: int = 20) -> DataFrame:
     """(id, text) -> the first row of each normalised text, held out by a hash of it for share percent."""
     norm = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))

@@ -195,3 +195,31 @@ def catalogue(standards: DataFrame, edges: DataFrame) -> DataFrame:
     """Each standard with how many others it is related to, either way."""
     both = edges.select(F.col("src").alias("standard"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
     return standards.join(both.groupBy("standard").agg(F.count(F.lit(1)).alias("related")), "standard", "left").select("standard", F.coalesce("related", F.lit(0)).alias("related"))
+
+
+def related_standards(standards: DataFrame, edges: DataFrame) -> DataFrame:
+    """The catalogue: standards (standard, number, …) with the numbers of those they are related to, either way, in the order of the edges (edge_no, src, dst), each once."""
+    ends = edges.select("edge_no", F.col("src").alias("standard"), F.col("dst").alias("other")).unionByName(edges.select("edge_no", F.col("dst").alias("standard"), F.col("src").alias("other"))).where("standard <> other")
+    first = ends.groupBy("standard", "other").agg(F.min("edge_no").alias("edge_no")).join(standards.select(F.col("standard").alias("other"), F.col("number").alias("_number")), "other")
+    listed = first.groupBy("standard").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_no", "_number"))), lambda x: x["_number"]).alias("related"))
+    return standards.join(listed, "standard", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+
+
+def standard_details(standards: DataFrame, clauses: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
+    """One row a standard: its columns, clauses, relationships with direction and the other's number, and events, each an array in its order.
+
+    clauses (standard, clause_no, section, text), edges (edge_no, type, src, dst, confidence), events
+    (standard, date, kind, summary). An edge to a standard that is not there has a null number.
+    """
+    other = standards.select(F.col("standard").alias("other"), F.col("number").alias("other_number"))
+    way = lambda here, there, name: edges.select(F.col(here).alias("standard"), F.col(there).alias("other"), "edge_no", "type", F.lit(name).alias("direction"), "confidence")
+    ends = way("src", "dst", "out").unionByName(way("dst", "src", "in").where("standard <> other")).join(other, "other", "left")
+    lists = {
+        "clauses": clauses.groupBy("standard").agg(F.array_sort(F.collect_list(F.struct("clause_no", "section", "text"))).alias("clauses")),
+        "relationships": ends.groupBy("standard").agg(F.array_sort(F.collect_list(F.struct("edge_no", "type", "direction", "other", "other_number", "confidence"))).alias("relationships")),
+        "events": events.groupBy("standard").agg(F.array_sort(F.collect_list(F.struct("date", "kind", "summary"))).alias("events")),
+    }
+    out = standards
+    for name, table in lists.items():
+        out = out.join(table, "standard", "left").withColumn(name, F.coalesce(name, F.array().cast(table.schema[name].dataType)))
+    return out

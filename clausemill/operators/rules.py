@@ -181,6 +181,89 @@ def result_nonconformity(observed: DataFrame, limits: DataFrame) -> DataFrame:
     return bad.groupBy("doc", "parameter", "value").agg(F.min_by("severity", F.struct("low", "high")).alias("severity"))
 
 
+# Which side of a bare declared value is acceptable, parameters of safety, and those accepted within a tolerance.
+POLARITY = {
+    "efficiency": "min", "pump_head": "min", "flow_rate": "min", "short_circuit_rating": "min", "compressive_strength": "min", "noise_level": "max", "earth_resistance": "max", "conductor_temperature": "max",
+    "turbidity": "max", "tds": "max", "fluoride": "max", "nitrate": "max", "chloride": "max", "arsenic": "max", "total_hardness": "max",
+}
+SAFETY = ("earth_resistance", "turbidity", "tds", "fluoride", "nitrate", "chloride", "arsenic", "total_hardness")
+TOLERATED = ("flow_rate", "pump_head")
+
+
+def limit_bounds(limits: DataFrame) -> DataFrame:
+    """(…, parameter, comparator, value, lo, hi) with what a limit admits as low and high: a bare value is a minimum or maximum by the parameter's polarity; bare values without one go."""
+    side = F.create_map(*[F.lit(x) for kv in POLARITY.items() for x in kv])[F.col("parameter")]
+    bare = F.coalesce(F.col("comparator").isin("eq", "tolerance"), F.lit(False)) & F.col("value").isNotNull()
+    infinite = F.lit(float("inf"))
+    low = F.when(~bare, F.coalesce("lo", -infinite)).when(side == "min", F.col("value")).when(side == "max", -infinite)
+    high = F.when(~bare, F.coalesce("hi", infinite)).when(side == "min", infinite).when(side == "max", F.col("value"))
+    return limits.withColumn("low", low).withColumn("high", high).where("low is not null")
+
+
+def report_nonconformity(observed: DataFrame, limits: DataFrame) -> DataFrame:
+    """Results of a report outside a limit that it states: (doc, req, parameter, value, side, bound, severity).
+
+    observed and limits: (doc, req, ord, parameter, dimension, comparator, value, lo, hi), ord the place
+    in the requirement. A result is held against the limits of its own requirement if that has any of
+    its parameter and dimension, else against those of the whole report; the first that it breaks
+    counts, and of equal results of a parameter the first. Severity is high for parameters of safety
+    and deviations over 10 %, low for those accepted within a tolerance up to 2 %, else medium.
+
+    Of a report's limits only those are looked at that are tighter than all before them: the first
+    broken one is always among these, so results don't meet every limit.
+    """
+    keys = ["doc", "parameter", "dimension"]
+    place = F.struct(F.col("req").alias("l_req"), F.col("ord").alias("l_ord"))
+    bounds = limit_bounds(limits).select(*keys, "req", "ord", "low", "high")
+    rows = observed.select(*keys, "req", "ord", "value", F.coalesce("lo", "value").alias("v_lo"), F.coalesce("hi", "value").alias("v_hi"))
+    own = bounds.select(*keys, "req").distinct()
+    inside = rows.join(own, [*keys, "req"], "left_semi").join(bounds.select(*keys, "req", "low", "high", place.alias("place")), [*keys, "req"])
+    before = Window.partitionBy(*keys).orderBy("req", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    tighter = (F.col("high") < F.coalesce(F.min("high").over(before), F.lit(float("inf")))) | (F.col("low") > F.coalesce(F.max("low").over(before), F.lit(float("-inf"))))
+    records = bounds.withColumn("_t", tighter).where("_t").select(*keys, "low", "high", place.alias("place"))
+    across = rows.join(own, [*keys, "req"], "left_anti").join(records, keys)
+    columns = ["doc", "req", "ord", "parameter", "value", "v_lo", "v_hi", "low", "high", "place"]
+    over, under = F.col("v_hi") > F.col("high") + 1e-9, F.col("v_lo") < F.col("low") - 1e-9
+    broken = inside.select(*columns).unionByName(across.select(*columns)).where(over | under)
+    first = broken.groupBy("doc", "req", "ord", "parameter", "value", "v_lo", "v_hi").agg(F.min_by(F.struct("low", "high"), "place").alias("limit"))
+    once = first.withColumn("_n", F.row_number().over(Window.partitionBy("doc", "parameter", "value").orderBy("req", "ord", "v_lo", "v_hi"))).where("_n = 1")
+    above = F.col("v_hi") > F.col("limit.high") + 1e-9
+    bound = F.when(above, F.col("limit.high")).otherwise(F.col("limit.low"))
+    out = once.select("doc", "req", "parameter", "value", F.when(above, "above").otherwise("below").alias("side"), bound.alias("bound"), F.when(above, F.col("v_hi")).otherwise(F.col("v_lo")).alias("_v"))
+    deviation = F.when(F.col("bound") != 0, F.abs(F.col("_v") - F.col("bound")) / F.abs("bound")).otherwise(1.0)
+    severity = F.when(F.col("parameter").isin(*SAFETY) | (deviation > 0.1), "high").when(F.col("parameter").isin(*TOLERATED) & (deviation <= 0.02), "low").otherwise("medium")
+    return out.withColumn("severity", severity).drop("_v")
+
+
+def qualified_checks(checks: DataFrame, qualifiers: DataFrame) -> DataFrame:
+    """checks (doc, …, qualifier) whose limit applies: it has no qualifier `key=value`, or the document states that value, in any case; qualifiers (doc, key, value)."""
+    key, value = F.substring_index("qualifier", "=", 1), F.lower(F.substring(F.col("qualifier"), F.length(F.substring_index("qualifier", "=", 1)) + 2, F.length("qualifier")))
+    stated = qualifiers.select("doc", F.col("key").alias("_key"), F.lower("value").alias("_value")).where("_key is not null").distinct().withColumn("_stated", F.lit(True))
+    marked = checks.withColumn("_key", key).withColumn("_value", value).join(stated, ["doc", "_key", "_value"], "left")
+    return marked.where("qualifier is null or qualifier = '' or _stated").select(*checks.columns)
+
+
+def replaced_certification_gaps(applicable: DataFrame, standards: DataFrame, replacements: DataFrame, evidence: DataFrame) -> DataFrame:
+    """certification_gaps() where a superseded standard (standard, status, kind, scheme) stands for what replaced it (node, latest); only product standards with a scheme need evidence."""
+    status = standards.select("standard", F.col("status").isin("superseded", "withdrawn").alias("_old"))
+    latest = replacements.select(F.col("node").alias("standard"), "latest")
+    now = applicable.join(status, "standard").join(latest, "standard", "left").where("not _old or latest is not null")
+    current = now.select("doc", F.when(F.col("_old"), F.col("latest")).otherwise(F.col("standard")).alias("standard")).distinct()
+    return certification_gaps(current, standards.where("kind = 'product' and scheme is not null").select("standard"), evidence)
+
+
+def verified_references(resolved: DataFrame, standards: DataFrame, taken: DataFrame, least: float = 0.9) -> DataFrame:
+    """(doc, req, standard, edition, confidence): of requirements not yet flagged or verified (doc, req) the first reference to a standard in force, of its current edition or none.
+
+    resolved (doc, req, c_no, standard, edition, confidence) of at least `least`; the finding is 0.9
+    times as sure.
+    """
+    live = standards.where("status not in ('superseded', 'withdrawn')").select("standard")
+    rows = resolved.where(F.col("edition").isin("current", "unspecified") & (F.col("confidence") >= least)).join(live, "standard", "left_semi").join(taken.select("doc", "req").distinct(), ["doc", "req"], "left_anti")
+    first = rows.groupBy("doc", "req").agg(F.min_by(F.struct("standard", "edition", "confidence"), F.struct("c_no", "standard")).alias("r"))
+    return first.select("doc", "req", "r.standard", "r.edition", F.round(F.col("r.confidence") * 0.9, 6).alias("confidence"))
+
+
 def verified_constraints(checks: DataFrame) -> DataFrame:
     """Satisfied checks of requirements without any violation, once a requirement."""
     bad = checks.where("overlap <> 'none'").select("doc", "req").distinct()

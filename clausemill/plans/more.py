@@ -34,7 +34,27 @@ def _labelled(s, d):
     return read(s, d, "documents").join(read(s, d, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
 
 
+def _numbered(s, d):
+    return read(s, d, "part").select(F.col("p_partkey").alias("standard"), F.concat(F.lit("S "), "p_partkey").alias("number"), F.col("p_type").alias("category"))
+
+
+def _edge_rows(s, d):
+    return _edges(s, d).withColumn("edge_no", F.col("src")).withColumn("confidence", F.lit(0.8))
+
+
+def _details(s, d):
+    """Clauses from the suppliers of a part, events from its orders' dates, relationships from the tree of parts."""
+    li = read(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("day"))
+    clauses = li.select(F.col("l_partkey").alias("standard"), F.col("l_suppkey").alias("clause_no"), F.concat(F.lit("c"), "l_suppkey").alias("section"), F.lit("text").alias("text")).distinct()
+    events = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("standard"), F.col("day").cast("string").alias("date"), F.lit("amended").alias("kind"), F.lit("").alias("summary")).distinct()
+    rows = k.standard_details(_numbered(s, d), clauses, _edge_rows(s, d), events)
+    joined = lambda name, of: F.array_join(F.transform(name, of), ";").alias(name)
+    return rows.select("standard", "number", joined("clauses", lambda x: x["section"]), joined("relationships", lambda x: F.concat_ws(" ", x["type"], x["direction"], x["other_number"])), joined("events", lambda x: x["date"]))
+
+
 QUERIES = {
+    "r23_related_standards": lambda s, d: k.related_standards(_numbered(s, d), _edge_rows(s, d)).select("standard", "number", "category", F.array_join("related", ";").alias("related")),
+    "r23_standard_details": _details,
     "a3_in_scope": lambda s, d: r.in_scope(_cited(s, d), _li(s, d).where("l_quantity > 40").join(_terms(s, d), "standard").select("doc", "term").distinct(), _terms(s, d).select("standard", "term")),
     "a4_qualifiers": lambda s, d: r.qualifiers(_li(s, d).select("doc", F.concat(F.lit("p"), F.col("req") % 3).alias("parameter"), (F.col("l_suppkey") % 5).cast("string").alias("text")), ["p0", "p2"]),
     "a5_candidate_standards": lambda s, d: r.candidate_standards(_li(s, d).where("l_tax >= 0.06"), _li(s, d).withColumn("scope", F.col("l_suppkey") % 2 == 0)),
@@ -60,7 +80,10 @@ _LI = "li AS (SELECT l_orderkey AS doc, l_linenumber AS req, l_partkey AS standa
 _T = "t AS (SELECT p_partkey AS standard, string_split(p_name, ' ')[2] AS term, CASE WHEN p_size % 3 = 0 THEN 'code_of_practice' ELSE 'product' END AS kind FROM part)"
 _C = "c AS (SELECT DISTINCT doc, standard FROM li WHERE l_tax >= 0.06)"
 _W = f"WITH {_LI}, {_T}, {_C}"
+_REL = "rel AS (SELECT p_partkey AS standard, p_partkey // 2 AS other, p_partkey AS edge_no, CASE WHEN p_size % 2 = 0 THEN 'REQUIRES' ELSE 'TESTED_BY' END AS type, 'out' AS direction FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey // 2, p_partkey, p_partkey, CASE WHEN p_size % 2 = 0 THEN 'REQUIRES' ELSE 'TESTED_BY' END, 'in' FROM part WHERE p_partkey > 1)"
 SQL = {
+    "r23_related_standards": f"WITH {_REL} SELECT p_partkey AS standard, 'S ' || p_partkey AS number, p_type AS category, coalesce((SELECT string_agg('S ' || other, ';' ORDER BY edge_no, 'S ' || other) FROM (SELECT standard, other, min(edge_no) AS edge_no FROM rel GROUP BY 1, 2) x WHERE x.standard = p_partkey), '') AS related FROM part",
+    "r23_standard_details": f"WITH {_REL}, c AS (SELECT standard, string_agg('c' || n, ';' ORDER BY n) AS t FROM (SELECT DISTINCT l_partkey AS standard, l_suppkey AS n FROM lineitem) GROUP BY 1), r AS (SELECT standard, string_agg(concat_ws(' ', type, direction, 'S ' || other), ';' ORDER BY edge_no, type, direction) AS t FROM rel GROUP BY 1), v AS (SELECT standard, string_agg(day, ';' ORDER BY day) AS t FROM (SELECT DISTINCT l_partkey AS standard, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1) SELECT p_partkey AS standard, 'S ' || p_partkey AS number, coalesce(c.t, '') AS clauses, coalesce(r.t, '') AS relationships, coalesce(v.t, '') AS events FROM part LEFT JOIN c ON c.standard = p_partkey LEFT JOIN r ON r.standard = p_partkey LEFT JOIN v ON v.standard = p_partkey",
     "a3_in_scope": _W + ", dt AS (SELECT DISTINCT doc, term FROM li JOIN t USING (standard) WHERE l_quantity > 40) SELECT doc, standard, EXISTS (SELECT 1 FROM dt JOIN t USING (term) WHERE dt.doc = c.doc AND t.standard = c.standard) OR NOT EXISTS (SELECT 1 FROM dt WHERE dt.doc = c.doc) AS scope FROM c",
     "a4_qualifiers": f"WITH {_LI} SELECT doc, concat('p', req % 3) AS parameter, string_agg(DISTINCT CAST(l_suppkey % 5 AS VARCHAR), ',' ORDER BY CAST(l_suppkey % 5 AS VARCHAR)) AS stated FROM li WHERE req % 3 IN (0, 2) GROUP BY 1, 2",
     "a5_candidate_standards": f"WITH {_LI} SELECT doc, req, standard, min(ord) AS ord FROM (SELECT doc, req, standard, 0 AS ord FROM li WHERE l_tax >= 0.06 UNION ALL SELECT doc, req, standard, 1 FROM li WHERE confidence >= 0.5 AND l_suppkey % 2 = 0) GROUP BY 1, 2, 3",

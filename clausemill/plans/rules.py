@@ -99,7 +99,85 @@ def _matches(s, d):
     return e.text_match_candidates(_tokens(s, d, "gid"), _tokens(s, d, "pid"))
 
 
+#: Parameters with a polarity, of safety, accepted within a tolerance, and without any.
+JUDGED = ["turbidity", "flow_rate", "efficiency", "noise_level", "voltage"]
+
+
+def _judged(s, d, role):
+    """Line items as values of reports: an order is a report, a line a requirement; every third value is a limit."""
+    n = F.col("l_linenumber") + F.col("l_suppkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in JUDGED]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("eq"), F.lit("min"), F.lit("max")), (n % 3 + 1).cast("int"))
+    rows = _li(s, d).where((F.col("l_suppkey") % 3 == 0) == (role == "limit")).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("req"), F.concat_ws("/", "l_partkey", "l_suppkey", "l_quantity").alias("ord"), name.alias("parameter"), F.lit("x").alias("dimension"), kind.alias("comparator"), F.col("l_quantity").alias("value"))
+    low, high = F.when(F.col("comparator") != "max", F.col("value")), F.when(F.col("comparator") != "min", F.col("value"))
+    return rows.withColumn("lo", low).withColumn("hi", high).distinct()
+
+
+def _qualified(s, d):
+    checks = _checks(s, d).withColumn("qualifier", F.when(F.col("standard") % 3 == 0, F.concat(F.lit("exposure="), F.element_at(F.array(F.lit("Severe"), F.lit("mild")), (F.col("standard") % 2 + 1).cast("int")))))
+    stated = read(s, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("doc"), F.lit("exposure").alias("key"), F.element_at(F.array(F.lit("severe"), F.lit("MILD")), (F.col("o_custkey") % 2 + 1).cast("int")).alias("value"))
+    return r.qualified_checks(checks, stated).select("doc", "req", "standard", "parameter", "lo", "hi", "cmin", "cmax", "overlap", "side", "qualifier")
+
+
+def _replaced(s, d):
+    p = read(s, d, "part")
+    standards = p.select(F.col("p_partkey").alias("standard"), F.when(F.col("p_partkey") % 7 == 0, "superseded").otherwise("current").alias("status"), F.when(F.col("p_size") % 2 == 0, "product").otherwise("test_method").alias("kind"), F.when(F.col("p_size") % 3 == 0, "mark").alias("scheme"))
+    latest = p.where("p_partkey % 14 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") - 1).alias("latest"))
+    evidence = _li(s, d).where("l_tax > 0.05").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("standard")).distinct()
+    return r.replaced_certification_gaps(_li(s, d).select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("standard")).distinct(), standards, latest, evidence)
+
+
+def _verified_references(s, d):
+    li = _li(s, d)
+    edition = F.element_at(F.array(F.lit("current"), F.lit("older"), F.lit("unspecified")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    resolved = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("req"), F.col("l_suppkey").alias("c_no"), F.col("l_partkey").alias("standard"), edition.alias("edition"), F.when(F.col("l_tax") > 0.03, 0.98).otherwise(0.7).alias("confidence"))
+    standards = read(s, d, "part").select(F.col("p_partkey").alias("standard"), F.when(F.col("p_partkey") % 7 == 0, "superseded").otherwise("current").alias("status"))
+    taken = li.where("l_discount > 0.07").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("req"))
+    return r.verified_references(resolved, standards, taken)
+
+
+def _scored(s, d, run):
+    """Two runs over orders as items: tasks by priority, of which the first has other items in the second run."""
+    o = read(s, d, "orders").where("o_orderpriority is not null")
+    o = o if run == "a" else o.where("not startswith(o_orderpriority, '1') or o_orderkey % 5 <> 0")
+    ok = F.col("o_custkey") % (3 if run == "a" else 4) == 0
+    return o.select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("item"), F.lit("ok").alias("metric"), ok.cast("double").alias("value"))
+
+
+def _deltas(s, d):
+    got = e.compare_metrics(_scored(s, d, "a"), _scored(s, d, "b"), samples=100)
+    return got.select("task", "metric", *[F.round(c, 5).alias(c) for c in ("a", "b", "delta", "low", "high")], "mark")
+
+
+def _flips(s, d):
+    details = lambda run: _scored(s, d, run).where("value = 1").select("task", "item", F.concat(F.lit("found "), "item").alias("detail"))
+    return e.item_flips(details("a"), details("b"))
+
+
+_JUDGED_SQL = "jd AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS req, concat_ws('/', l_partkey, l_suppkey, l_quantity) AS ord, ['" + "','".join(JUDGED) + """'][CAST(l_partkey % 5 + 1 AS INTEGER)] AS parameter, ['eq','min','max'][CAST((l_linenumber + l_suppkey) % 3 + 1 AS INTEGER)] AS comparator, l_quantity AS value, l_suppkey % 3 = 0 AS is_limit FROM lineitem),
+  lim AS (SELECT doc, req, ord, parameter, CASE WHEN comparator = 'min' OR comparator = 'eq' AND parameter IN ('flow_rate', 'efficiency') THEN value ELSE '-inf'::DOUBLE END AS low, CASE WHEN comparator = 'max' OR comparator = 'eq' AND parameter IN ('turbidity', 'noise_level') THEN value ELSE 'inf'::DOUBLE END AS high FROM jd WHERE is_limit AND NOT (comparator = 'eq' AND parameter = 'voltage')),
+  ob AS (SELECT doc, req, ord, parameter, value FROM jd WHERE NOT is_limit),
+  br AS (SELECT ob.*, low, high, row_number() OVER (PARTITION BY ob.doc, ob.req, ob.ord, ob.parameter ORDER BY lim.req, lim.ord) AS n FROM ob JOIN lim ON ob.doc = lim.doc AND ob.parameter = lim.parameter AND (lim.req = ob.req OR NOT EXISTS (SELECT 1 FROM lim x WHERE x.doc = ob.doc AND x.parameter = ob.parameter AND x.req = ob.req)) WHERE value > high + 1e-9 OR value < low - 1e-9),
+  on_ AS (SELECT *, row_number() OVER (PARTITION BY doc, parameter, value ORDER BY req, ord) AS k, CASE WHEN value > high + 1e-9 THEN high ELSE low END AS bound FROM br WHERE n = 1),
+  dv AS (SELECT *, CASE WHEN bound <> 0 THEN abs(value - bound) / abs(bound) ELSE 1.0 END AS dev FROM on_ WHERE k = 1)"""
+_SCORED = "sa AS (SELECT o_orderpriority AS task, o_orderkey AS item, (o_custkey % 3 = 0)::INTEGER::DOUBLE AS value FROM orders), sb AS (SELECT o_orderpriority AS task, o_orderkey AS item, (o_custkey % 4 = 0)::INTEGER::DOUBLE AS value FROM orders WHERE NOT starts_with(o_orderpriority, '1') OR o_orderkey % 5 <> 0)"
+_POISSON = " + ".join(f"CASE WHEN x >= {limit} THEN 1 ELSE 0 END" for limit in e.TIMES)
+FURTHER_SQL = {
+    "a24_report_nonconformity": f"WITH {_JUDGED_SQL} SELECT doc, req, parameter, value, CASE WHEN value > high + 1e-9 THEN 'above' ELSE 'below' END AS side, bound, CASE WHEN parameter = 'turbidity' OR dev > 0.1 THEN 'high' WHEN parameter = 'flow_rate' AND dev <= 0.02 THEN 'low' ELSE 'medium' END AS severity FROM dv",
+    "a7_qualified_checks": "WITH {V}, {L}, {C}, c AS (SELECT *, CASE WHEN standard % 3 = 0 THEN 'exposure=' || ['Severe', 'mild'][CAST(standard % 2 + 1 AS INTEGER)] END AS qualifier FROM checks), q AS (SELECT o_orderkey AS doc, ['severe', 'MILD'][CAST(o_custkey % 2 + 1 AS INTEGER)] AS value FROM orders WHERE o_orderkey % 4 <> 0) SELECT doc, req, standard, parameter, lo, hi, cmin, cmax, overlap, side, qualifier FROM c WHERE qualifier IS NULL OR EXISTS (SELECT 1 FROM q WHERE q.doc = c.doc AND lower(q.value) = lower(split_part(qualifier, '=', 2)))".replace("{V}", VALUES).replace("{L}", LIMITS).replace("{C}", CHECKS),
+    "a21_replaced_certification": "WITH a AS (SELECT DISTINCT l_orderkey AS doc, CASE WHEN l_partkey % 14 = 0 THEN l_partkey - 1 ELSE l_partkey END AS standard FROM lineitem WHERE l_partkey % 7 <> 0 OR l_partkey % 14 = 0), ev AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS standard FROM lineitem WHERE l_tax > 0.05) SELECT doc, string_agg(CAST(standard AS VARCHAR), ',' ORDER BY CAST(standard AS VARCHAR)) AS standards, count(*) AS n FROM a JOIN part ON p_partkey = standard AND p_size % 6 = 0 ANTI JOIN ev USING (doc, standard) GROUP BY 1",
+    "a27_verified_references": "SELECT doc, req, standard, edition, round(confidence * 0.9, 6) AS confidence FROM (SELECT l_orderkey AS doc, l_linenumber AS req, l_partkey AS standard, ['current', 'older', 'unspecified'][CAST(l_suppkey % 3 + 1 AS INTEGER)] AS edition, 0.98::DOUBLE AS confidence, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey) AS n FROM lineitem l WHERE l_tax > 0.03 AND l_suppkey % 3 <> 1 AND l_partkey % 7 <> 0 AND l_partkey IN (SELECT p_partkey FROM part) AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_linenumber = l.l_linenumber AND x.l_discount > 0.07)) WHERE n = 1",
+    "v18_run_deltas": f"WITH {_SCORED}, m AS (SELECT task, (SELECT avg(value) FROM sa x WHERE x.task = t.task) AS a, (SELECT avg(value) FROM sb x WHERE x.task = t.task) AS b FROM (SELECT DISTINCT task FROM sa) t), p AS (SELECT task, item, sb.value - sa.value AS v FROM sa JOIN sb USING (task, item) WHERE task NOT IN (SELECT task FROM sa WHERE NOT EXISTS (SELECT 1 FROM sb WHERE sb.task = sa.task AND sb.item = sa.item))), h AS (SELECT task, v, r, CAST('0x' || substr(md5(concat(r, ':', item)), 1, 8) AS BIGINT) % 1000000 AS x FROM p, (SELECT unnest(range(100)) AS r)), w AS (SELECT task, r, v, {_POISSON} AS times FROM h), g AS (SELECT task, r, sum(v * times) / sum(times) AS m FROM w GROUP BY 1, 2), c AS (SELECT task, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM g GROUP BY 1) SELECT task, 'ok' AS metric, round(a, 5) AS a, round(b, 5) AS b, round(b - a, 5) AS delta, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN low > 0 OR high < 0 THEN CASE WHEN b > a THEN 'up' ELSE 'down' END END AS mark FROM m LEFT JOIN c USING (task)",
+    "v18_item_flips": f"WITH {_SCORED}, x AS (SELECT task, item, 'found ' || item AS detail FROM sa WHERE value = 1), y AS (SELECT task, item, 'found ' || item AS detail FROM sb WHERE value = 1) SELECT *, 'gained' AS flip FROM (SELECT * FROM y EXCEPT SELECT * FROM x) UNION ALL SELECT *, 'lost' FROM (SELECT * FROM x EXCEPT SELECT * FROM y)",
+}
+
 QUERIES = {
+    "a24_report_nonconformity": lambda s, d: r.report_nonconformity(_judged(s, d, "observed"), _judged(s, d, "limit")),
+    "a7_qualified_checks": _qualified,
+    "a21_replaced_certification": _replaced,
+    "a27_verified_references": _verified_references,
+    "v18_run_deltas": _deltas,
+    "v18_item_flips": _flips,
     "a1_applicability": lambda s, d: r.applicability(_hits(s, d)),
     "a2_strong_applicable": lambda s, d: r.strong_applicable(r.applicability(_hits(s, d)), _hits(s, d).where("standard % 2 = 0").select("doc", "standard").distinct(), _hits(s, d).where("req = 3").select("doc", "standard").distinct()).select("doc", "standard", "confidence", "explicit"),
     "a7_check_constraints": lambda s, d: _checks(s, d),
@@ -171,3 +249,5 @@ SQL = {
     "v21_tune_gate": "SELECT round(t / 20.0::DOUBLE, 4) AS threshold, round(avg((CASE WHEN l_discount * 10 >= t / 20.0::DOUBLE THEN l_suppkey & 3 ELSE l_linenumber % 4 END = l_partkey & 3)::INT), 6) AS accuracy FROM lineitem, range(21) r(t) GROUP BY t",
     "v22_quality_gate": "SELECT dataset, 'f1' AS metric, value, 0.05::DOUBLE AS floor FROM (SELECT l_suppkey AS dataset, round(avg(l_discount), 6) AS value FROM lineitem GROUP BY 1) WHERE value < 0.05",
 }
+
+SQL |= FURTHER_SQL
