@@ -163,6 +163,7 @@ _JUDGED_SQL = "jd AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS req, co
 _SCORED = "sa AS (SELECT o_orderpriority AS task, o_orderkey AS item, (o_custkey % 3 = 0)::INTEGER::DOUBLE AS value FROM orders), sb AS (SELECT o_orderpriority AS task, o_orderkey AS item, (o_custkey % 4 = 0)::INTEGER::DOUBLE AS value FROM orders WHERE NOT starts_with(o_orderpriority, '1') OR o_orderkey % 5 <> 0)"
 _POISSON = " + ".join(f"CASE WHEN x >= {limit} THEN 1 ELSE 0 END" for limit in e.TIMES)
 FURTHER_SQL = {
+    "v7_per_class": "WITH p AS (SELECT CAST(quality AS VARCHAR) AS g, CASE WHEN length(text) > 600 THEN '1' WHEN length(text) > 200 THEN '0' ELSE '2' END AS p FROM labels JOIN documents USING (doc_id)), l AS (SELECT g AS label FROM p UNION SELECT p FROM p), c AS (SELECT label, count(*) FILTER (g = label AND p = label) AS tp, count(*) FILTER (g <> label AND p = label) AS fp, count(*) FILTER (g = label AND p <> label) AS fn FROM l, p GROUP BY 1), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END::DOUBLE AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END::DOUBLE AS re FROM c) SELECT label, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM r",
     "a24_report_nonconformity": f"WITH {_JUDGED_SQL} SELECT doc, req, parameter, value, CASE WHEN value > high + 1e-9 THEN 'above' ELSE 'below' END AS side, bound, CASE WHEN parameter = 'turbidity' OR dev > 0.1 THEN 'high' WHEN parameter = 'flow_rate' AND dev <= 0.02 THEN 'low' ELSE 'medium' END AS severity FROM dv",
     "a7_qualified_checks": "WITH {V}, {L}, {C}, c AS (SELECT *, CASE WHEN standard % 3 = 0 THEN 'exposure=' || ['Severe', 'mild'][CAST(standard % 2 + 1 AS INTEGER)] END AS qualifier FROM checks), q AS (SELECT o_orderkey AS doc, ['severe', 'MILD'][CAST(o_custkey % 2 + 1 AS INTEGER)] AS value FROM orders WHERE o_orderkey % 4 <> 0) SELECT doc, req, standard, parameter, lo, hi, cmin, cmax, overlap, side, qualifier FROM c WHERE qualifier IS NULL OR EXISTS (SELECT 1 FROM q WHERE q.doc = c.doc AND lower(q.value) = lower(split_part(qualifier, '=', 2)))".replace("{V}", VALUES).replace("{L}", LIMITS).replace("{C}", CHECKS),
     "a21_replaced_certification": "WITH a AS (SELECT DISTINCT l_orderkey AS doc, CASE WHEN l_partkey % 14 = 0 THEN l_partkey - 1 ELSE l_partkey END AS standard FROM lineitem WHERE l_partkey % 7 <> 0 OR l_partkey % 14 = 0), ev AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS standard FROM lineitem WHERE l_tax > 0.05) SELECT doc, string_agg(CAST(standard AS VARCHAR), ',' ORDER BY CAST(standard AS VARCHAR)) AS standards, count(*) AS n FROM a JOIN part ON p_partkey = standard AND p_size % 6 = 0 ANTI JOIN ev USING (doc, standard) GROUP BY 1",
@@ -199,6 +200,7 @@ QUERIES = {
     "v2_greedy_match": lambda s, d: e.greedy_match(_matches(s, d).select("doc", F.col("gid").alias("gold"), F.col("pid").alias("predicted"))),
     "v3_score_attributes": lambda s, d: e.score_attributes(_li(s, d).where("l_linenumber % 2 = 0").groupBy(F.col("l_orderkey").alias("req"), (F.col("l_suppkey") % 5).alias("parameter")).agg(F.max("l_quantity").alias("value")), _li(s, d).where("l_linenumber % 3 <> 0").select(F.col("l_orderkey").alias("req"), (F.col("l_suppkey") % 5).alias("parameter"), F.col("l_quantity").alias("value"))),
     "v6_micro_prf": lambda s, d: e.micro_prf(_li(s, d).select("l_returnflag", (F.col("l_linenumber") % 3).alias("tp"), (F.col("l_partkey") % 2).alias("fp"), (F.col("l_suppkey") % 2).alias("fn")), ["l_returnflag"]),
+    "v7_per_class": lambda s, d: e.confusion(_labels(s, d).select(F.col("quality").cast("string").alias("gold"), F.when(F.col("n") > 600, "1").when(F.col("n") > 200, "0").otherwise("2").alias("predicted"))).select("label", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
     "v7_classification_metrics": lambda s, d: e.classification_metrics(_labels(s, d).select(F.col("quality").cast("string").alias("gold"), F.when(F.col("n") > 600, "1").when(F.col("n") > 200, "0").otherwise("2").alias("predicted"))).select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1")),
     "v8_mean_fields": lambda s, d: e.mean_fields(_values(s, d), ["lo", "hi"]).select(F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi")),
     "v9_bootstrap_ci": lambda s, d: e.bootstrap_ci(_items(s, d), "value").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high")),

@@ -118,7 +118,55 @@ def _ingested_bad(s, d):
     return done.select("doc_id", "lines", F.lit(None).cast("string").alias("code")).unionByName(errors.select(F.col("key").cast("long").alias("doc_id"), F.lit(None).cast("int").alias("lines"), "code"))
 
 
+def _children(s, d):
+    """What a run has stored, from its line items: mappings, findings, evidence, repairs."""
+    f = findings(s, d)
+    own = _unique_findings(s, d)
+    reviews = f.groupBy("run_id", "finding_no").agg(F.min("review").alias("review"))
+    told = own.join(reviews, ["run_id", "finding_no"]).withColumn("reason", F.concat(F.lit("line "), "finding_no"))
+    proof = f.select("run_id", "finding_no", F.col("standard").alias("ordinal"), F.lit("clause").alias("kind"), F.concat(F.lit("part "), "standard").alias("excerpt")).distinct()
+    decision = F.when(F.col("review") == "accepted", "accepted").when(F.col("review") == "dismissed", "rejected")
+    mend = told.where("kind = 'conflicting'").select("run_id", F.col("finding_no").alias("repair_no"), decision.alias("decision"), "reason", F.concat(F.lit("as "), "standard").alias("proposed"))
+    mend = mend.select("run_id", "repair_no", "decision", F.col("reason").alias("original"), "proposed", F.when(F.col("repair_no") % 2 == 0, "own words").alias("final"))
+    mapped = f.groupBy("run_id", "requirement", "standard").agg(F.max("confidence").alias("confidence")).withColumn("basis", F.when(F.col("standard") % 2 == 0, "cited | read").otherwise("retrieval"))
+    return told, proof, mend, mapped
+
+
+def _reassembled(s, d):
+    told, proof, mend, mapped = _children(s, d)
+    requirements = mapped.select("run_id", "requirement").distinct()
+    children = {
+        "requirements": (requirements, ["requirement"]),
+        "mappings": (mapped.select("run_id", "requirement", "standard"), ["requirement", "standard"]),
+        "findings": (told.select("run_id", "finding_no", "kind"), ["finding_no"]),
+        "evidence": (proof.select("run_id", "finding_no", "ordinal", "excerpt"), ["finding_no", "ordinal"]),
+        "repairs": (mend.select("run_id", "repair_no", "proposed"), ["repair_no"]),
+    }
+    whole = results.reassemble(w.latest_run(runs(s, d)).select("doc_id", "run_id"), children)
+    shown = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ";").alias(name)
+    return whole.select("doc_id", "run_id", shown("requirements", "requirement"), shown("mappings", "requirement", "standard"), shown("findings", "finding_no", "kind"), shown("evidence", "finding_no", "ordinal", "excerpt"), shown("repairs", "repair_no", "proposed"))
+
+
+def _reviewed(s, d):
+    return results.review_report(w.document_view(runs(s, d), findings(s, d)), *_children(s, d))
+
+
+_CHILDREN = """told AS (SELECT run_id, finding_no, min(kind) AS kind, min(severity) AS severity, min(standard) AS standard, min(review) AS review, concat('line ', finding_no) AS reason FROM findings GROUP BY 1, 2),
+  proof AS (SELECT DISTINCT run_id, finding_no, standard AS ordinal, concat('part ', standard) AS excerpt FROM findings),
+  mend AS (SELECT run_id, finding_no AS repair_no, CASE review WHEN 'accepted' THEN 'accepted' WHEN 'dismissed' THEN 'rejected' END AS decision, reason AS original, concat('as ', standard) AS proposed, CASE WHEN finding_no % 2 = 0 THEN 'own words' END AS final FROM told WHERE kind = 'conflicting'),
+  mapped AS (SELECT run_id, requirement, standard, max(confidence) AS confidence, CASE WHEN standard % 2 = 0 THEN 'cited | read' ELSE 'retrieval' END AS basis FROM findings GROUP BY 1, 2, 3)"""
+_NL = "chr(10)"
+_REPORT = f"""pr AS (SELECT run_id, finding_no, string_agg(concat('  - clause: ', excerpt), {_NL} ORDER BY ordinal) AS t FROM proof GROUP BY 1, 2),
+  tx AS (SELECT run_id, string_agg(concat('### ', finding_no, '. ', kind, ' (', severity, ', ', review, ')', {_NL}, '- Standard: ', standard, {_NL}, '- Reason: ', reason, coalesce({_NL} || '- Evidence:' || {_NL} || t, '')), {_NL} || {_NL} ORDER BY finding_no) AS t FROM told LEFT JOIN pr USING (run_id, finding_no) GROUP BY 1),
+  cx AS (SELECT run_id, string_agg(concat('- ', kind, ': ', n), {_NL} ORDER BY kind) AS t FROM (SELECT run_id, kind, count(*) AS n FROM told GROUP BY 1, 2) GROUP BY 1),
+  mx AS (SELECT run_id, string_agg(concat('### Repair ', repair_no, ' (', coalesce(decision, 'pending'), ')', {_NL}, '- Original: ', original, {_NL}, '- Proposed: ', proposed, CASE WHEN decision = 'accepted' THEN concat({_NL}, '- Adopted: ', coalesce(final, proposed)) ELSE '' END), {_NL} || {_NL} ORDER BY repair_no) AS t FROM mend GROUP BY 1),
+  px AS (SELECT run_id, string_agg(concat('| ', requirement, ' | ', standard, ' | ', replace(basis, '|', '\\|'), ' | ', format('{{:.2f}}', confidence), ' |'), {_NL} ORDER BY requirement, standard) AS t FROM mapped GROUP BY 1)
+  SELECT doc_id, concat('# Review of document ', doc_id, {_NL}, {_NL}, 'Requirements: ', requirements, {_NL}, 'Standards: ', standards, {_NL}, {_NL}, '## Summary', {_NL}, {_NL}, coalesce(cx.t, 'No findings.'), {_NL}, {_NL}, '## Findings', {_NL}, {_NL}, coalesce(tx.t, 'None.'), {_NL}, {_NL}, '## Repairs', {_NL}, {_NL}, coalesce(mx.t, 'None.'), {_NL}, {_NL}, '## Requirement mapping', {_NL}, {_NL}, '| Requirement | Standard | Basis | Confidence |', {_NL}, '| --- | --- | --- | --- |', {_NL}, coalesce(px.t, '')) AS report
+  FROM view_ v LEFT JOIN tx ON v.run_id = tx.run_id LEFT JOIN cx ON v.run_id = cx.run_id LEFT JOIN mx ON v.run_id = mx.run_id LEFT JOIN px ON v.run_id = px.run_id"""
+
 QUERIES = {
+    "s10_reassembled_runs": _reassembled,
+    "s13_review_report": _reviewed,
     "st1_ingest_bad_rows": _ingested_bad,
     "st2_stalled_runs": _stalled,
     "s4_read_corpus": lambda s, d: _corpus(s, d)["clauses"].select("standard_id", "clause_no", "id", "heading", "text"),
@@ -154,6 +202,11 @@ SQL = {
     "s13_compliance_report": ctes("runs", "findings", "latest", "open", "status", "view") + f", {_UF} SELECT doc_id, concat('# Document ', doc_id, chr(10), chr(10), 'Open issues: ', open_issues, chr(10), chr(10), '| No | Kind | Severity |', chr(10), '| --- | --- | --- |', chr(10), coalesce(t, '')) AS report FROM view_ v LEFT JOIN (SELECT run_id, string_agg(concat('| ', finding_no, ' | ', kind, ' | ', severity, ' |'), chr(10) ORDER BY finding_no) AS t FROM uf GROUP BY 1) u ON v.run_id = u.run_id",
     "s14_verify_dataset": "WITH m AS (SELECT concat('d/', doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000 ELSE 0 END) AS path, CASE WHEN doc_id % 10 = 0 THEN '0' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 7 <> 0), f AS (SELECT concat('d/', doc_id) AS path, sha256(text) AS own FROM documents) SELECT path, state FROM (SELECT path, CASE WHEN own IS NULL THEN 'missing' WHEN sha IS NULL THEN 'unlisted' WHEN sha <> own THEN 'changed' END AS state FROM m FULL JOIN f USING (path)) WHERE state IS NOT NULL",
     "s16_wire_view": ctes("runs") + "SELECT CASE WHEN status = 'failed' THEN concat('{\"runId\":', run_id, ',\"docId\":', doc_id, '}') ELSE concat('{\"runId\":', run_id, ',\"docId\":', doc_id, ',\"status\":\"', status, '\"}') END AS json FROM runs",
+    "s13_review_report": ctes("runs", "findings", "latest", "open", "status", "view") + ", " + _CHILDREN + ", " + _REPORT,
+    "s10_reassembled_runs": ctes("runs", "findings", "latest") + f""", {_CHILDREN},
+      a AS (SELECT run_id, string_agg(CAST(requirement AS VARCHAR), ';' ORDER BY requirement) AS t FROM (SELECT DISTINCT run_id, requirement FROM mapped) GROUP BY 1), b AS (SELECT run_id, string_agg(concat_ws(':', requirement, standard), ';' ORDER BY requirement, standard) AS t FROM mapped GROUP BY 1),
+      c AS (SELECT run_id, string_agg(concat_ws(':', finding_no, kind), ';' ORDER BY finding_no) AS t FROM told GROUP BY 1), e AS (SELECT run_id, string_agg(concat_ws(':', finding_no, ordinal, excerpt), ';' ORDER BY finding_no, ordinal) AS t FROM proof GROUP BY 1), m AS (SELECT run_id, string_agg(concat_ws(':', repair_no, proposed), ';' ORDER BY repair_no) AS t FROM mend GROUP BY 1)
+      SELECT doc_id, l.run_id, coalesce(a.t, '') AS requirements, coalesce(b.t, '') AS mappings, coalesce(c.t, '') AS findings, coalesce(e.t, '') AS evidence, coalesce(m.t, '') AS repairs FROM latest l LEFT JOIN a ON a.run_id = l.run_id LEFT JOIN b ON b.run_id = l.run_id LEFT JOIN c ON c.run_id = l.run_id LEFT JOIN e ON e.run_id = l.run_id LEFT JOIN m ON m.run_id = l.run_id""",
     "st1_ingest_bad_rows": "SELECT doc_id, CASE WHEN doc_id % 5 <> 4 AND doc_id NOT IN (21, 42) THEN CAST(len(string_split(text, chr(10))) AS INTEGER) END AS lines, CASE WHEN doc_id % 5 = 4 THEN 'other_source' WHEN doc_id IN (21, 42) THEN 'USER_RAISED_EXCEPTION' END AS code FROM documents",
     "st2_stalled_runs": """WITH e AS (SELECT user_id AS run_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts IS NOT NULL), w AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS now FROM events),
       g AS (SELECT run_id, ms, lead(ms) OVER (PARTITION BY run_id ORDER BY ms) AS next FROM e),

@@ -43,7 +43,7 @@ def _impact(spark, d):
 def _decisions(spark, d):
     n = F.col("turn") % 4
     decision = F.when(n == 0, "pending").when(n == 1, "accepted").when(n == 2, "edited").otherwise("rejected")
-    return read(spark, d, "conversations").select(F.col("conv_id").alias("entity"), F.col("turn").alias("event_id"), F.col("turn").alias("at"), decision.alias("decision"), F.substring("text", 1, 40).alias("edited"), F.col("role").alias("recommended"))
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("entity"), F.col("turn").alias("event_id"), F.col("turn").alias("at"), decision.alias("decision"), F.col("text").alias("edited"), F.col("role").alias("recommended"))
 
 
 def _heartbeats(spark, d):
@@ -69,6 +69,7 @@ QUERIES = {
     "w10_domain_rollup": lambda s, d: w.domain_rollup(w.standard_usage(findings(s, d)), _standards(s, d)),
     "w11_readiness_bands": lambda s, d: w.readiness_bands(w.readiness(findings(s, d))),
     "w13_organisation_rollup": lambda s, d: w.organisation_rollup(w.readiness(findings(s, d)), _owners(s, d)),
+    "w14_usage_network_report": lambda s, d: w.usage_network(findings(s, d), 6, 8),
     "w14_usage_network": lambda s, d: w.usage_network(findings(s, d), 300, 200),
     "w15_status_counts": lambda s, d: w.status_counts(findings(s, d)),
     "w16_count_by": lambda s, d: w.count_by(_standards(s, d), "category"),
@@ -111,6 +112,7 @@ SQL = {
     "w10_domain_rollup": "SELECT p_type AS category, CAST(sum(coalesce(n, 0)) AS BIGINT) AS requirements, count(n) AS standards_used, count(*) AS standards FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey GROUP BY 1",
     "w11_readiness_bands": ctes("findings", "scores") + "SELECT band, count(run_id) AS documents FROM (VALUES ('strong', 80, 100), ('fair', 50, 79), ('weak', 0, 49)) b(band, low, high) LEFT JOIN scores ON score BETWEEN low AND high GROUP BY band",
     "w13_organisation_rollup": ctes("findings", "scores") + "SELECT n_name AS organisation, count(*) AS documents, CAST(floor(sum(score) / count(*) + 0.5) AS INTEGER) AS readiness FROM scores JOIN orders ON run_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    "w14_usage_network_report": ctes("findings") + ", d AS (SELECT run_id FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), t AS (SELECT standard FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8) SELECT run_id, standard, count(*) AS weight, ['ok','gap','conflict'][max(CASE kind WHEN 'conflicting' THEN 2 WHEN 'missing' THEN 1 ELSE 0 END) + 1] AS tone FROM findings SEMI JOIN d USING (run_id) SEMI JOIN t USING (standard) GROUP BY 1, 2",
     "w14_usage_network": ctes("findings") + ", d AS (SELECT run_id FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 300), t AS (SELECT standard FROM findings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200) SELECT run_id, standard, count(*) AS weight, ['ok','gap','conflict'][max(CASE kind WHEN 'conflicting' THEN 2 WHEN 'missing' THEN 1 ELSE 0 END) + 1] AS tone FROM findings SEMI JOIN d USING (run_id) SEMI JOIN t USING (standard) GROUP BY 1, 2",
     "w15_status_counts": ctes("findings") + "SELECT k.kind, count(f.kind) AS findings FROM (VALUES ('conflicting'), ('missing'), ('outdated'), ('certification'), ('verified')) k(kind) LEFT JOIN findings f USING (kind) GROUP BY 1",
     "w16_count_by": "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1",
@@ -121,7 +123,7 @@ SQL = {
     "w21_text_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'widget') AND p_size = 10",
     "w22_distinct_values": "SELECT DISTINCT p_brand FROM part",
     "w23_corpus_status": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
-    "w25_current_decision": "SELECT conv_id AS entity, d AS decision, CASE d WHEN 'edited' THEN e WHEN 'accepted' THEN r END AS applied FROM (SELECT conv_id, ['pending','accepted','edited','rejected'][CAST(turn % 4 + 1 AS INTEGER)] AS d, substr(text, 1, 40) AS e, role AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
+    "w25_current_decision": "SELECT conv_id AS entity, d AS decision, CASE d WHEN 'edited' THEN e WHEN 'accepted' THEN r END AS applied FROM (SELECT conv_id, ['pending','accepted','edited','rejected'][CAST(turn % 4 + 1 AS INTEGER)] AS d, text AS e, role AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
     "w26_stalled_runs": f"SELECT run_id, CASE WHEN attempt >= 3 THEN 'fail' ELSE 'requeue' END AS action FROM (SELECT user_id AS run_id, max(ts) AS heartbeat, count(*) AS attempt FROM events GROUP BY 1) WHERE run_id % 3 = 0 AND (heartbeat IS NULL OR heartbeat < TIMESTAMP '{NOW}' - INTERVAL 90 SECOND)",
     "w27_needs_rerun": "SELECT p_partkey AS doc_id, p_size % 4 AS old_type, CAST(p_partkey % 4 AS INTEGER) AS new_type FROM part WHERE (p_size % 4 < 2) <> (p_partkey % 4 < 2)",
     "w28_eval_headline": "SELECT l_suppkey AS run, round(avg(l_discount), 6) AS f1, round(avg(l_tax), 6) AS recall FROM lineitem GROUP BY 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -151,6 +151,63 @@ def compliance_report(view: DataFrame, findings: DataFrame) -> DataFrame:
     return view.join(table, "run_id", "left").select("doc_id", F.concat(head, F.coalesce("rows", F.lit(""))).alias("report"))
 
 
+def reassemble(latest: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """latest (doc_id, run_id, …) with an array for each kind of child: its rows of the run (run_id, …), in the order of its columns named; without any, an empty array.
+
+    So a stored run comes back whole: requirements by place, mappings by rank, findings and repairs by
+    number, evidence by finding and ordinal.
+    """
+    out = latest
+    for name, (table, order) in children.items():
+        rest = [c for c in table.columns if c not in ("run_id", *order)]
+        grouped = table.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+        out = out.join(grouped, "run_id", "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+    return out
+
+
+def _cell(text: Column) -> Column:
+    """A text as a cell of a table: bars are escaped, line ends are spaces."""
+    return F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("—")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def _section(rows: DataFrame, by: list[str], order: list[str], line: Column, name: str, between: str = "\n") -> DataFrame:
+    """The lines of each group, in order, as one text."""
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).alias("_x"))
+    return listed.select(*by, F.array_join(F.transform("_x", lambda x: x["_line"]), between).alias(name))
+
+
+def review_report(view: DataFrame, findings: DataFrame, evidence: DataFrame, repairs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """One markdown text per document of view (doc_id, run_id, requirements, standards): summary, findings with their evidence, repairs with their decision, mapping table.
+
+    findings (run_id, finding_no, kind, severity, review, standard, reason), evidence (run_id,
+    finding_no, ordinal, kind, excerpt), repairs (run_id, repair_no, decision, original, proposed,
+    final), mappings (run_id, requirement, standard, basis, confidence). An accepted or edited repair
+    shows the text that was adopted: the final one, else the proposed one.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    proofs = _section(evidence, ["run_id", "finding_no"], ["ordinal"], F.concat(F.lit("  - "), text("kind"), F.lit(": "), text("excerpt")), "proofs")
+    shown = findings.join(proofs, ["run_id", "finding_no"], "left")
+    body = F.concat(
+        F.lit("### "), text("finding_no"), F.lit(". "), text("kind"), F.lit(" ("), text("severity"), F.lit(", "), text("review"), F.lit(")\n- Standard: "), text("standard"), F.lit("\n- Reason: "), text("reason"),
+        F.coalesce(F.concat(F.lit("\n- Evidence:\n"), "proofs"), F.lit("")),
+    )
+    told = _section(shown, ["run_id"], ["finding_no"], body, "told", "\n\n")
+    counts = _section(findings.groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("n")), ["run_id"], ["kind"], F.concat(F.lit("- "), text("kind"), F.lit(": "), text("n")), "counts")
+    adopted = F.when(F.col("decision").isin("accepted", "edited"), F.concat(F.lit("\n- Adopted: "), F.coalesce("final", text("proposed")))).otherwise("")
+    mended = _section(repairs, ["run_id"], ["repair_no"], F.concat(F.lit("### Repair "), text("repair_no"), F.lit(" ("), F.coalesce("decision", F.lit("pending")), F.lit(")\n- Original: "), text("original"), F.lit("\n- Proposed: "), text("proposed"), adopted), "mended", "\n\n")
+    row = F.concat(F.lit("| "), _cell(F.col("requirement")), F.lit(" | "), _cell(F.col("standard")), F.lit(" | "), _cell(F.col("basis")), F.lit(" | "), F.coalesce(F.format_string("%.2f", "confidence"), F.lit("—")), F.lit(" |"))
+    mapped = _section(mappings, ["run_id"], ["requirement", "standard"], row, "mapped")
+    out = view.select("doc_id", "run_id", "requirements", "standards")
+    for part in (counts, told, mended, mapped):
+        out = out.join(part, "run_id", "left")
+    report = F.concat(
+        F.lit("# Review of document "), text("doc_id"), F.lit("\n\nRequirements: "), text("requirements"), F.lit("\nStandards: "), text("standards"),
+        F.lit("\n\n## Summary\n\n"), F.coalesce("counts", F.lit("No findings.")), F.lit("\n\n## Findings\n\n"), F.coalesce("told", F.lit("None.")), F.lit("\n\n## Repairs\n\n"), F.coalesce("mended", F.lit("None.")),
+        F.lit("\n\n## Requirement mapping\n\n| Requirement | Standard | Basis | Confidence |\n| --- | --- | --- | --- |\n"), F.coalesce("mapped", F.lit("")),
+    )
+    return out.select("doc_id", report.alias("report"))
+
+
 def wire_view(df: DataFrame) -> DataFrame:
     """One JSON text per row: camel case, nulls left out."""
 
