@@ -51,6 +51,25 @@ def tokens(text: Column) -> Column:
     return F.transform(kept, stem)
 
 
+def any_of(phrases: list[str]) -> str:
+    """A pattern of any of the phrases, the longest first; a space in them stands for white space or a hyphen, * at an end for more letters."""
+    parts = []
+    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
+        words = "".join(c if c.isalnum() or c in " *" else "\\" + c for c in phrase)
+        parts.append(words.replace(" ", r"[\s-]+").replace("*", r"\w*"))
+    return "(?:" + "|".join(parts) + ")"
+
+
+def has_any(text: Column, phrases: list[str]) -> Column:
+    """Whether a lower-case text has one of the phrases as words."""
+    return text.rlike(rf"(?<!\w){any_of(phrases)}(?!\w)")
+
+
+def ends_with_any(text: Column, phrases: list[str]) -> Column:
+    """Whether a lower-case text ends with one of the phrases."""
+    return text.rlike(rf"(?<!\w){any_of(phrases)}\s*$")
+
+
 def spans(text: Column, pattern: str) -> Column:
     """The matches of a pattern (with no groups that capture) as structs (start, end, raw), 0-based half-open."""
     marked = F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002")
