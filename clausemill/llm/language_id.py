@@ -25,6 +25,8 @@ SLOTS = 1 << 16
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
 #: Suffixes up to which their table is sent to the tasks; more are joined.
 FEW_SUFFIXES = 20_000
+#: Rows of the sample up to which its keys are sent to the tasks: those of 250 languages.
+FEW_KEYS = 100_000
 #: A trigram counts as this much of an independent observation, and a text as at most so many trigrams.
 WEIGHT, MOST = 0.25, 400.0
 #: Pages that a parent's prior weighs as.
@@ -53,8 +55,12 @@ def _sampled(docs: DataFrame, lang: str, text: str, key: str) -> DataFrame:
     """(g, t): of each language the SAMPLE_TEXTS texts of least hash of their key; texts of 20 to SAMPLE_CHARS characters count."""
     rows = docs.select(F.col(lang).alias("g"), F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("g").isNotNull() & F.col("k").isNotNull() & F.length("t").between(20, SAMPLE_CHARS))
     # Ranks are limited before the shuffle too, so that each task sends SAMPLE_TEXTS keys of a language at most.
-    picked = rows.select("g", "k", F.xxhash64("t").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("k"), "k", "h"))).where(f"n <= {SAMPLE_TEXTS}")
-    return rows.withColumn("h", F.xxhash64("t")).join(picked.select("g", "k", "h").distinct(), ["g", "k", "h"], "left_semi").select("g", "t")
+    order = Window.partitionBy("g").orderBy(F.xxhash64("k"), "k", "h")
+    picked = rows.select("g", "k", F.xxhash64("t").alias("h")).withColumn("n", F.row_number().over(order)).where(f"n <= {SAMPLE_TEXTS}").select("g", "k", "h").distinct()
+    picked = Scratch(docs.sparkSession, "language-sample").keep(picked, "picked")
+    if picked.count() <= FEW_KEYS:
+        picked = F.broadcast(picked)
+    return rows.withColumn("h", F.xxhash64("t")).join(picked, ["g", "k", "h"], "left_semi").select("g", "t")
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
