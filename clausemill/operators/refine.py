@@ -98,8 +98,23 @@ def page_of(pages: DataFrame, offsets: DataFrame) -> DataFrame:
     return starts.unionByName(probes).withColumn("page", F.last("page", ignorenulls=True).over(asof)).where("probe = 1").drop("probe")
 
 
-def detect_sections(rows: DataFrame) -> DataFrame:
-    """(doc, line_no, line, start) -> headings: numbered (level = dots + 1), labelled, or in capitals."""
+#: Words that a title writes small; words that make a line a statement.
+SMALL_WORDS = "and or of the for to in on with a an".split()
+MODAL_WORDS = "shall must should will may required".split()
+
+
+def _titled(line: Column) -> Column:
+    """Whether a line is written like a title: at most twelve words, all but small ones with a capital, no value, no statement."""
+    words = F.split(line, r"\s+")
+    states = F.lower(line).rlike(r"(^|[^a-z0-9_])(" + "|".join(MODAL_WORDS) + r")([^a-z0-9_]|$)") | line.rlike(r":\s*\S") | line.rlike(r"[.;]$")
+    valued = line.rlike(r"[0-9]([.,][0-9]+)?\s*([A-Za-z°%µ]|$)")
+    small = F.filter(words, lambda w: w.rlike("^[a-z]") & ~w.isin(SMALL_WORDS))
+    letters = F.length(F.regexp_replace(line, "[^A-Za-z]", ""))
+    return F.length(line).between(3, 80) & (F.size(words) <= 12) & line.rlike("^[A-Z0-9]") & (letters >= 3) & ~states & ~valued & (F.size(small) == 0)
+
+
+def detect_sections(rows: DataFrame, titles: bool = False) -> DataFrame:
+    """(doc, line_no, line, start) -> headings: numbered (level = dots + 1), labelled, or in capitals; with titles also lines written like a title."""
     line = F.trim("line")
     number = F.regexp_extract(line, r"^([0-9]{1,2}(\.[0-9]{1,3}){0,4})[.)]?\s+[A-Z]", 1)
     labelled = F.lower(line).rlike(r"^(section|chapter|part|annex|appendix|schedule)\s+[0-9a-z]{1,4}\b")
@@ -108,7 +123,8 @@ def detect_sections(rows: DataFrame) -> DataFrame:
     short = F.length(line) <= 100
     numbered = (number != "") & short & ~line.rlike(r"[.;]$")
     level = F.when(numbered, F.length(F.regexp_replace(number, r"[^.]", "")) + 1).otherwise(F.lit(1))
-    found = rows.where(numbered | (labelled & short) | shouted).select("doc", "line_no", "start", F.nullif(number, F.lit("")).alias("number"), line.alias("heading"), level.cast("int").alias("level"))
+    more = _titled(line) if titles else F.lit(False)
+    found = rows.where(numbered | (labelled & short) | shouted | more).select("doc", "line_no", "start", F.nullif(number, F.lit("")).alias("number"), line.alias("heading"), level.cast("int").alias("level"))
     return found.withColumn("section_no", F.row_number().over(Window.partitionBy("doc").orderBy("line_no")))
 
 
@@ -125,9 +141,14 @@ ABBREVIATIONS = "No Nos approx min max Cl cl Fig Sr Rs sq Pt Sec deg hr Ltd Co S
 
 
 def segment(rows: DataFrame) -> DataFrame:
-    """(doc, line_no, line) -> (doc, line_no, seg_no, segment): list marks stripped, sentences split except after abbreviations."""
+    """(doc, line_no, line) -> (doc, line_no, seg_no, segment): list marks stripped, sentences split except after abbreviations and initials.
+
+    A capital after a number is its unit and no initial ("at 90 deg C. Next").
+    """
     body = F.regexp_replace(F.trim("line"), r"^([0-9]{1,2}(\.[0-9]{1,3}){0,4}[.)]?|\(?[a-z]\)|•|-|\*|–)\s+", "")
-    guarded = F.regexp_replace(body, r"(?<![A-Za-z])(" + "|".join(ABBREVIATIONS) + r"|[A-Z])\. ", "$1.\u0002")
+    ended = F.regexp_replace(body, r"([0-9]\s*(?:[°º]\s*)?(?:deg\.?\s*)?[A-Za-z/]*[A-Z])\. ", "$1.\u0003")
+    guarded = F.regexp_replace(ended, r"(?<![A-Za-z])(" + "|".join(ABBREVIATIONS) + r"|[A-Z])\. ", "$1.\u0002")
+    guarded = F.regexp_replace(guarded, "\u0003", " ")
     cut = F.split(F.regexp_replace(guarded, r"([.!?])\s+(?=[A-Z0-9\"'(•])", "$1\u0001"), "\u0001")
     out = rows.select("doc", "line_no", F.posexplode(cut).alias("seg_no", "segment"))
     return out.select("doc", "line_no", "seg_no", F.trim(F.regexp_replace("segment", "\u0002", " ")).alias("segment")).where("segment <> ''")
@@ -164,12 +185,13 @@ def dedupe_requirements(rows: DataFrame) -> DataFrame:
 
 #: Words of quality without a measure.
 VAGUE_WORDS = "suitable adequate appropriate sufficient proper reliable robust efficient".split()
+VAGUE_PHRASES = ["good quality", "best quality", "high quality", "standard make", "reputed make", "as required", "as per requirement", "energy[ -]efficient", "latest technology", "state[ -]of[ -]the[ -]art", "heavy duty", "relevant (is|standard|standards|code|codes)"]
 
 
 def flag_vague(rows: DataFrame) -> DataFrame:
     """(…, segment, has_value, has_reference) with vague: a word of quality, and nothing measurable stated."""
     s = F.lower("segment")
-    says = s.rlike(r"(^|[^a-z0-9_])(" + "|".join(VAGUE_WORDS) + r"|good quality|best quality|as required|heavy duty)([^a-z0-9_]|$)") | s.rlike(r"as (low|high|far|much) as possible")
+    says = s.rlike(r"(^|[^a-z0-9_])(" + "|".join(VAGUE_WORDS + VAGUE_PHRASES) + r")([^a-z0-9_]|$)") | s.rlike(r"as (low|high|far|much) as possible")
     exempt = s.rlike(r"suitable for ") | s.rlike(r"approved make")
     return rows.withColumn("vague", says & ~exempt & ~F.col("has_value") & ~F.col("has_reference"))
 

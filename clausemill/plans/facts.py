@@ -84,7 +84,15 @@ def _features(s, d):
 TERMS = {"fastener": ["bolt", "ring"], "drive": ["gear"], "device": ["widget"], "red fastener": ["red bolt", "red-ring"]}
 WEIGHTS = {"bm25": 0.45, "clause_parameter": 0.2, "product": 0.2}
 
+def _prior(s, d):
+    """Citations of older editions that their record lists with what replaced them."""
+    cited = _citations(s, d).select(F.concat_ws("/", "key", "c_no").alias("cid"), "designation", "year")
+    editions = read(s, d, "part").select(F.col("p_partkey").alias("sid"), (1970 + F.col("p_size")).alias("year"), (F.col("p_partkey") + 1).alias("replaced_by"))
+    return k.prior_replacements(_resolved(s, d), cited, editions).select("cid", "sid", "edition", "replaced_by")
+
+
 QUERIES = {
+    "r4_prior_replacements": _prior,
     "x1_extract_quantities": lambda s, d: _quantities(s, d).drop("segment"),
     "x2_canonicalise_units": lambda s, d: _canonical(s, d).select(*KEYS, "form", "unit", "dimension", F.round("canonical", 6).alias("canonical")),
     "x3_comparator": lambda s, d: x.comparator(_canonical(s, d), "segment").select(*KEYS, "comparator", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi")),
@@ -155,3 +163,5 @@ SQL = {
     "r16_context_terms": "WITH c AS (SELECT l_orderkey AS doc, p_type AS term, count(DISTINCT l_linenumber) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), r AS (SELECT *, max(n) OVER (PARTITION BY doc) AS top, row_number() OVER (PARTITION BY doc ORDER BY n DESC, term) AS rank FROM c) SELECT doc, term, n FROM r WHERE (top >= 2 AND n >= 2 AND rank <= 4) OR (top < 2 AND rank <= 2)",
     "r21_extract_relations": f"WITH {CITE_TEXT}, {CITED} SELECT c.key, c.c_no, CASE form WHEN 0 THEN 'REQUIRES' WHEN 1 THEN 'REFERENCES' ELSE CASE c.c_no WHEN 0 THEN 'SUPERSEDES' ELSE 'TESTED_BY' END END AS type, designation, CASE WHEN form <> 1 THEN 0.8 WHEN c.c_no = 0 THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM cited c JOIN cite USING (key)",
 }
+
+SQL["r4_prior_replacements"] = f"SELECT r.cid, r.sid, r.edition, CASE WHEN r.edition = 'older' AND p_partkey IS NOT NULL THEN p_partkey + 1 END AS replaced_by FROM ({SQL['r2_resolve_citations']}) r LEFT JOIN (WITH {CITE_TEXT}, {CITED} SELECT concat_ws('/', key, c_no) AS cid, year FROM cited) c USING (cid) LEFT JOIN part ON p_partkey = r.sid AND 1970 + p_size = c.year"

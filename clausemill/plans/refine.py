@@ -43,7 +43,24 @@ def _flagged(s, d):
     return rendered(s, d).withColumn("has_value", F.col("doc") % 3 != 0).withColumn("has_reference", F.col("part") % 5 == 0)
 
 
+def _headed(s, d):
+    """Lines of contracts by line item: titles, statements, values and plain words."""
+    li = read(s, d, "lineitem")
+    n = F.col("l_partkey") % 5
+    line = F.when(n == 0, F.concat(F.lit("Cables and Wires of Type "), F.col("l_linestatus"))).when(n == 1, F.lit("The panel shall be Tested")).when(n == 2, F.concat(F.lit("Rated Voltage "), F.col("l_suppkey"), F.lit(" V"))).when(n == 3, F.lit("Scope Of supply")).otherwise(F.concat(F.lit("Earthing System "), F.col("l_returnflag")))
+    return li.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("line_no"), line.alias("line")).withColumn("start", F.col("line_no")).distinct()
+
+
+def _sentence_lines(s, d):
+    text = F.concat(F.lit("a) Test at "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, " deg C. The pump shall run. ").otherwise(" bar. Mr. A. Smith shall run it. "), F.lit("Cl. No. 5 holds."))
+    return read(s, d, "orders").join(read(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("doc"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("line_no"), text.alias("line"))
+
+
+_HEADED = """hd AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber * 10000000 + l_partkey * 100 + l_suppkey % 100 AS line_no, CASE l_partkey % 5 WHEN 0 THEN 'Cables and Wires of Type ' || l_linestatus WHEN 4 THEN 'Earthing System ' || l_returnflag END AS heading FROM lineitem WHERE l_partkey % 5 IN (0, 4))"""
+
 QUERIES = {
+    "t9_title_headings": lambda s, d: r.detect_sections(_headed(s, d), titles=True).select("doc", "line_no", "heading", "section_no"),
+    "t11_segment": lambda s, d: r.segment(_sentence_lines(s, d)),
     "t1_normalize_text": lambda s, d: r.normalize_text(_docs(s, d), nfkc=False),
     "t1_normalize_nfkc": lambda s, d: r.normalize_text(_docs(s, d)),
     "t2_drop_page_counters": lambda s, d: r.drop_page_counters(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Page "), "l_linenumber", F.lit(" of 9"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("- page "), "l_linenumber", F.lit(" -"))).otherwise(F.concat(F.lit("Item "), "l_linenumber")).alias("line"))),
@@ -75,6 +92,8 @@ _W = lambda a: rf"regexp_matches(lower(segment), '(^|[^a-z0-9_])({a})([^a-z0-9_]
 _FLAGGED = f"WITH {RENDERED}, f AS (SELECT *, doc % 3 <> 0 AS has_value, part % 5 = 0 AS has_reference FROM rendered) "
 _ENUM = r.ENUMERATOR
 SQL = {
+    "t9_title_headings": f"WITH {_HEADED} SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS section_no FROM hd",
+    "t11_segment": "WITH l AS (SELECT l_orderkey AS doc, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS line_no, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, l_linenumber % 2 = 0 AS even FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey) SELECT doc, line_no, 0 AS seg_no, CASE WHEN even THEN 'Test at ' || q || ' deg C.' ELSE 'Test at ' || q || ' bar.' END AS segment FROM l UNION ALL SELECT doc, line_no, 1, CASE WHEN even THEN 'The pump shall run.' ELSE 'Mr.' END FROM l UNION ALL SELECT doc, line_no, 2, CASE WHEN even THEN 'Cl. No. 5 holds.' ELSE 'A. Smith shall run it.' END FROM l UNION ALL SELECT doc, line_no, 3, 'Cl. No. 5 holds.' FROM l WHERE NOT even",
     "t1_normalize_text": f"SELECT doc_id AS doc, translate(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '{_Q(_FROM)}', '{_Q(_TO)}') AS text FROM documents",
     "t2_drop_page_counters": "SELECT l_orderkey, l_linenumber, concat('Item ', l_linenumber) AS line FROM lineitem WHERE l_linenumber % 3 = 2",
     "t3_strip_repeated_lines": f"WITH {_PLINES}, sh AS (SELECT *, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS shape FROM plines), rep AS (SELECT doc, shape FROM (SELECT doc, shape, count(DISTINCT page) AS n FROM sh WHERE shape <> '' GROUP BY 1, 2) JOIN (SELECT doc, count(DISTINCT page) AS pages FROM sh GROUP BY 1) USING (doc) WHERE pages >= 3 AND n >= ceil(pages * 0.3::DOUBLE) AND length(shape) < 120) SELECT doc, page, line_no, line FROM sh ANTI JOIN rep USING (doc, shape)",
@@ -90,7 +109,7 @@ SQL = {
     "t14_identify": _FLAGGED + rf"""SELECT * FROM (SELECT *, CASE WHEN {_W('shall|must|is required to|are required to|required|mandatory')} THEN 'mandatory' WHEN {_W('is to be|are to be|will be')} THEN 'mandatory' WHEN {_W('should|recommended|preferably|desirable')} THEN 'recommended' WHEN has_value OR has_reference THEN CASE WHEN regexp_matches(segment, '^[A-Za-z][A-Za-z0-9 ()/&.,''-]{{1,60}}\s*(:|=|–)\s+\S') THEN 'declarative' WHEN has_reference AND {_W('as per|according to')} THEN 'declarative' WHEN {_W('may|optional')} AND has_value THEN 'permitted' WHEN has_value AND len(string_split_regex(trim(segment), '\s+')) <= 16 THEN 'declarative' END END AS modality,
  CASE WHEN {_W('shall|must|is required to|are required to|required|mandatory')} THEN CASE WHEN has_value OR has_reference THEN 0.95 ELSE 0.85 END WHEN {_W('is to be|are to be|will be')} THEN CASE WHEN has_value OR has_reference THEN 0.9 ELSE 0.8 END WHEN {_W('should|recommended|preferably|desirable')} THEN 0.75 WHEN (has_value OR has_reference) AND regexp_matches(segment, '^[A-Za-z][A-Za-z0-9 ()/&.,''-]{{1,60}}\s*(:|=|–)\s+\S') THEN 0.8 WHEN has_reference AND {_W('as per|according to')} THEN 0.75 WHEN {_W('may|optional')} AND has_value THEN 0.55 ELSE 0.6 END::DOUBLE AS confidence FROM f) WHERE modality IS NOT NULL""",
     "t15_dedupe_requirements": f"WITH {RENDERED}, n AS (SELECT doc, \"at\" * 1000000 + part AS \"at\", segment FROM rendered), o AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(trim(segment)) ORDER BY \"at\", segment) AS k FROM n) SELECT doc, \"at\", segment, row_number() OVER (PARTITION BY doc ORDER BY \"at\", segment) AS req_no FROM o WHERE k = 1",
-    "t17_flag_vague": _FLAGGED + f"SELECT *, ({_W('|'.join(r.VAGUE_WORDS) + '|good quality|best quality|as required|heavy duty')} AND NOT contains(lower(segment), 'suitable for ') AND NOT contains(lower(segment), 'approved make') AND NOT has_value AND NOT has_reference) AS vague FROM f",
+    "t17_flag_vague": _FLAGGED + f"SELECT *, ({_W('|'.join(r.VAGUE_WORDS + r.VAGUE_PHRASES))} AND NOT contains(lower(segment), 'suitable for ') AND NOT contains(lower(segment), 'approved make') AND NOT has_value AND NOT has_reference) AS vague FROM f",
     "t19_validate_types": "SELECT p_partkey AS doc, replace(lower(trim(p_name)), ' ', '_') AS key, CASE WHEN replace(lower(trim(p_name)), ' ', '_') NOT IN ('red_bolt','blue_bolt','hot_gear','red_widget') THEN 'unknown' END AS code FROM part",
     "s2_decode_text": "SELECT doc_id AS doc, text FROM documents",
     "s3_html_to_lines": r"""WITH a AS (SELECT page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis') AS h FROM pages), b AS (SELECT page_id, regexp_replace(h, '<!--.*?-->', ' ', 'gs') AS h FROM a), c AS (SELECT page_id, regexp_replace(h, '<li[^>]*>', chr(10) || '• ', 'gi') AS h FROM b), d AS (SELECT page_id, regexp_replace(h, '</t[dh]>\s*<t[dh][^>]*>', ' | ', 'gi') AS h FROM c), e AS (SELECT page_id, regexp_replace(h, '<br[^>]*>|</(p|div|tr|li|h[1-6]|table|ul|ol|article|title|nav)>', chr(10), 'gi') AS h FROM d), f AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS h FROM e), g AS (SELECT page_id, generate_subscripts(x, 1) - 1 AS line_no, trim(regexp_replace(unnest(x), '[ \t]+', ' ', 'g'), ' ') AS line FROM (SELECT page_id, string_split(h, chr(10)) AS x FROM f))
