@@ -253,3 +253,13 @@ SQL = {
 }
 
 SQL |= FURTHER_SQL
+
+#: Golds one after the other, each with the list of predictions taken before.
+SQL["v2_greedy_match"] = f"""WITH RECURSIVE c AS ({SQL["v1_text_match_candidates"]}),
+  g AS (SELECT doc, gid, list_sort(list(pid)) AS ps, row_number() OVER (PARTITION BY doc ORDER BY gid) AS n FROM c GROUP BY doc, gid),
+  m(doc, n, used, gid, pid) AS (
+    SELECT DISTINCT doc, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM g
+    UNION ALL
+    SELECT doc, n, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, gid, p
+    FROM (SELECT m.doc, g.n, m.used, g.gid, list_filter(g.ps, lambda x: NOT list_contains(m.used, x))[1] AS p FROM m JOIN g ON g.doc = m.doc AND g.n = m.n + 1))
+  SELECT doc, gid AS gold, pid AS predicted FROM m WHERE pid IS NOT NULL"""

@@ -69,4 +69,4 @@ def test_iterative_query_equals_sql(spark, few, name):
 
 def test_every_query_has_sql_or_a_reason():
     without = set(plans.queries()) - set(plans.oracle_sql())
-    assert without == {"t1_normalize_nfkc", "s15_content_fingerprint", "v2_greedy_match", "x17_symbolic_features", "x18_text_classifier", "x19_embedding_classifier"}
+    assert without == {"t1_normalize_nfkc", "s15_content_fingerprint", "x17_symbolic_features", "x18_text_classifier", "x19_embedding_classifier"}
