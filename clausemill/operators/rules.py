@@ -112,13 +112,19 @@ def internal_inconsistency(values: DataFrame) -> DataFrame:
     """(doc, req, parameter, lo, hi) -> (doc, parameter, req, other): a requirement and the first later one whose interval of the parameter does not overlap; open bounds are infinite.
 
     A group can only hold such a pair if its largest lower bound exceeds its least upper bound; other
-    groups are left out. Rows without document, parameter or number disagree with nothing.
+    groups are left out. Groups of a block's size at most are searched in an array each, larger ones
+    as _first_later() does. Rows without document, parameter or number disagree with nothing.
     """
-    open_ = values.withColumn("lo", F.coalesce("lo", F.lit(float("-inf")))).withColumn("hi", F.coalesce("hi", F.lit(float("inf"))))
-    torn = open_.groupBy("doc", "parameter").agg(F.max("lo").alias("a"), F.min("hi").alias("b")).where("a > b").select("doc", "parameter")
-    rows = open_.where("req is not null").join(torn, ["doc", "parameter"], "left_semi")
+    keys = ["doc", "parameter"]
+    open_ = values.where("req is not null").withColumn("lo", F.coalesce("lo", F.lit(float("-inf")))).withColumn("hi", F.coalesce("hi", F.lit(float("inf"))))
     # Two requirements disagree by some values of theirs if and only if these extremes do.
-    return _first_later(rows.groupBy("doc", "parameter", "req").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")), ["doc", "parameter"])
+    each = open_.groupBy(*keys, "req").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    torn = keep(each.groupBy(*keys).agg(F.max("lo").alias("a"), F.min("hi").alias("b"), F.count(F.lit(1)).alias("n")).where("a > b and doc is not null and parameter is not null").select(*keys, "n"))
+    small = each.join(torn.where(F.col("n") <= 1 << BLOCK_BITS), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("req", "lo", "hi"))).alias("all"))
+    later = lambda x: F.get(F.filter("all", lambda y: (y["req"] > x["req"]) & ((y["lo"] > x["hi"]) | (y["hi"] < x["lo"]))), F.lit(0))["req"]
+    found = small.select(*keys, F.inline(F.transform("all", lambda x: F.struct(x["req"].alias("req"), later(x).alias("other"))))).where("other is not null")
+    large = torn.where(F.col("n") > 1 << BLOCK_BITS).select(*keys)
+    return found if none_left(large) else found.unionByName(_first_later(each.join(large, keys, "left_semi"), keys))
 
 
 def edition_conflicts(citations: DataFrame) -> DataFrame:
