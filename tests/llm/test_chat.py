@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -76,6 +77,12 @@ def test_query_equals_plain_texts(spark, tmp_path):
     spark.createDataFrame([(*r, 1, "y") for r in rows], "conv_id long, turn long, role string, text string, message int, `a.b` string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op12_chat(spark, str(tmp_path)).collect()}
     assert got == brute(rows)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(queries.oracle_sql()["op12_chat"])
+    names = [c[0] for c in found.description]
+    order = lambda r: (r[0] is None, r)
+    assert sorted(found.fetchall(), key=order) == sorted((tuple(r[c] for c in names) for r in queries.op12_chat(spark, str(tmp_path)).collect()), key=order)
 
 
 def test_long_conversations_are_several_parts(spark):
