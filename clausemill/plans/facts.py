@@ -91,7 +91,18 @@ def _prior(s, d):
     return k.prior_replacements(_resolved(s, d), cited, editions).select("cid", "sid", "edition", "replaced_by")
 
 
+#: Weights of all fields of a clause and its standard.
+SIX_FIELDS = {"text": 1.0, "heading": 1.5, "title": 1.2, "keywords": 1.5, "scope": 0.6, "designation": 2.0}
+
+
+def _six(s, d):
+    """Clauses with all fields, from the parts."""
+    word = F.element_at(F.split("p_name", " "), 2)
+    return read(s, d, "part").select(F.col("p_partkey").alias("did"), F.col("p_name").alias("text"), F.col("p_type").alias("heading"), F.col("p_brand").alias("title"), word.alias("keywords"), F.concat_ws(" ", "p_type", "p_brand").alias("scope"), F.concat(F.lit("IS "), 100 + F.col("p_size")).alias("designation"))
+
+
 QUERIES = {
+    "r5_six_fields": lambda s, d: k.build_index(_six(s, d), SIX_FIELDS).select("did", "token", F.round("tf", 6).alias("tf"), F.round("length", 6).alias("length")),
     "r4_prior_replacements": _prior,
     "x1_extract_quantities": lambda s, d: _quantities(s, d).drop("segment"),
     "x2_canonicalise_units": lambda s, d: _canonical(s, d).select(*KEYS, "form", "unit", "dimension", F.round("canonical", 6).alias("canonical")),
@@ -165,3 +176,7 @@ SQL = {
 }
 
 SQL["r4_prior_replacements"] = f"SELECT r.cid, r.sid, r.edition, CASE WHEN r.edition = 'older' AND p_partkey IS NOT NULL THEN p_partkey + 1 END AS replaced_by FROM ({SQL['r2_resolve_citations']}) r LEFT JOIN (WITH {CITE_TEXT}, {CITED} SELECT concat_ws('/', key, c_no) AS cid, year FROM cited) c USING (cid) LEFT JOIN part ON p_partkey = r.sid AND 1970 + p_size = c.year"
+
+_SIX = "cl AS (SELECT p_partkey AS did, p_name AS text, p_type AS heading, p_brand AS title, string_split(p_name, ' ')[2] AS keywords, concat_ws(' ', p_type, p_brand) AS scope, concat('IS ', 100 + p_size) AS designation FROM part)"
+_SIX_WORDS = " UNION ALL ".join(f"SELECT did, unnest({_TOK(f)}) AS token, {w}::DOUBLE AS w FROM cl" for f, w in SIX_FIELDS.items())
+SQL["r5_six_fields"] = f"WITH {_SIX}, w AS ({_SIX_WORDS}), tf AS (SELECT did, token, sum(w) AS tf FROM w GROUP BY 1, 2) SELECT did, token, round(tf, 6) AS tf, round(sum(tf) OVER (PARTITION BY did), 6) AS length FROM tf"
