@@ -346,8 +346,12 @@ def readiness_score(total: Column, mapped: Column, high: Column, medium: Column,
 
 
 def in_scope(pairs: DataFrame, doc_terms: DataFrame, standard_terms: DataFrame) -> DataFrame:
-    """(doc, standard) with scope: a term of the document matches the standard; documents without terms are in scope."""
-    match = doc_terms.join(standard_terms, "term").select("doc", "standard", F.lit(True).alias("hit")).distinct()
+    """(doc, standard) with scope: a term of the document matches the standard; documents without terms are in scope.
+
+    Only the terms of the pairs' own standards are looked up: a term of many standards costs no more than another.
+    """
+    own = pairs.select("doc", "standard").distinct().join(standard_terms.select("standard", "term").distinct(), "standard")
+    match = own.join(doc_terms.select("doc", "term"), ["doc", "term"], "left_semi").select("doc", "standard", F.lit(True).alias("hit")).distinct()
     some = doc_terms.select("doc", F.lit(True).alias("has_terms")).distinct()
     rows = pairs.join(match, ["doc", "standard"], "left").join(some, "doc", "left")
     return rows.select("doc", "standard", (F.coalesce("hit", F.lit(False)) | F.col("has_terms").isNull()).alias("scope"))
