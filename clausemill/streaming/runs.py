@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 STALE_MS, ATTEMPTS = 90_000, 3
-#: Halvings of a batch that fails; rows that still fail together then go to the side table together.
-HALVINGS = 16
+#: Halvings of a batch that fails, by bits of a 64-bit hash of the key: enough for any batch, as a part with one key is halved no more.
+HALVINGS = 63
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
