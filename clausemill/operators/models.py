@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import vocabulary as v
-from clausemill.functions.scratch import keep, shared_folder
+from clausemill.functions.scratch import each_text, keep, shared_folder
 from clausemill.operators import facts, quantities
 
 
@@ -63,8 +63,12 @@ def symbolic_features(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, features): shares of the category scores, then one-hots of dimensions, entity kinds and parameters, then whether a standard is cited.
 
     Names come from the vocabularies, in their order, so vectors of all tables fit together.
+    Each text is read once.
     """
-    one = rows.select(*keys, text)
+    return each_text(rows.select(*keys, text), text, lambda texts, key: _features(texts, [key], text)).drop(text)
+
+
+def _features(one: DataFrame, keys: list[str], text: str) -> DataFrame:
     values = facts.infer_parameter(quantities.all_quantities(one, keys, text), keys, text)
     sets = [
         ("dimension", values.select(*keys, F.col("dimension").alias("x")), sorted({d for _, d in v.UNITS} | {"ph", "ratio"})),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.functions.scratch import each_text
 from clausemill.operators import analysis
 from clausemill.operators import facts as x
 from clausemill.operators import rules as r
@@ -28,8 +29,12 @@ def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """segment -> quantity -> unit -> comparator -> parameter -> limit -> conflict."""
     sentences = rendered(spark, sf_dir).groupBy(*KEYS).agg(F.min("segment").alias("segment"))
-    stated = x.comparator(x.canonicalise_units(x.extract_quantities(sentences, KEYS, "segment")), "segment")
-    named = x.infer_parameter(stated, KEYS, "segment")
+
+    def read_values(texts, key):
+        stated = x.comparator(x.canonicalise_units(x.extract_quantities(texts, [key], "segment")), "segment")
+        return x.infer_parameter(stated, [key], "segment").select(key, "parameter", "lo", "hi")
+
+    named = each_text(sentences, "segment", read_values)
     values = named.select("doc", (F.col("at") * 1000000 + F.col("part")).alias("req"), F.col("part").alias("standard"), "parameter", "lo", "hi")
     return r.constraint_conflicts(r.check_constraints(values, limits(spark, sf_dir)))
 
