@@ -71,7 +71,10 @@ def write_index(documents: DataFrame, fields: dict[str, float], buckets: int | N
         gains = gains.join(F.broadcast(frequent.select("token", F.lit(True).alias("_dealt"))), "token", "left")  # one row for over SLICE postings
         slice_ = F.when(F.col("_dealt"), F.pmod(F.hash("did"), F.lit(slices))).otherwise(0)
     lists = gains.groupBy("token", slice_.cast("int").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("gain", "did")), asc=False).alias("all"))
-    cut = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("all") - 1, BLOCK_BITS)), lambda i: F.slice("all", F.shiftleft(i, BLOCK_BITS) + 1, 1 << BLOCK_BITS))
+    last = F.size("all") - 1
+    # By element: slice() would copy the whole list for each block.
+    block = lambda i: F.sequence(F.shiftleft(i, BLOCK_BITS), F.least(F.shiftleft(i + 1, BLOCK_BITS) - 1, last))
+    cut = F.transform(F.sequence(F.lit(0), F.shiftright(last, BLOCK_BITS)), lambda i: F.transform(block(i), lambda j: F.get("all", j)))
     blocks = lists.select("token", "slice", F.posexplode(cut).alias("block", "postings"))
     # The first two blocks of a token, in its first slice, make the threshold of a search.
     blocks = blocks.select("token", "slice", F.col("postings")[0]["gain"].alias("bound"), ((F.col("slice") == 0) & (F.col("block") < 2)).alias("head"), F.size("postings").alias("n"), "postings")
