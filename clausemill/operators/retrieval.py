@@ -94,7 +94,7 @@ def search(query: DataFrame, postings: DataFrame, documents: DataFrame, domains:
     scores = knowledge.bm25(query, postings)
     best = scores.withColumn("confidence", F.col("score") / F.max("score").over(Window.partitionBy("qid"))).where(F.col("confidence") >= threshold)
     best = best.join(documents, "did")
-    order = [F.round("score", 9).desc(), F.col("did")]
+    order = knowledge.best_first()
     one = best.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "standard").orderBy(*order))).where("_n = 1")
     kept = one.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_n") <= top)
     if domains is not None:
@@ -106,7 +106,7 @@ def search(query: DataFrame, postings: DataFrame, documents: DataFrame, domains:
 
 def rank_clauses(query: DataFrame, postings: DataFrame) -> DataFrame:
     """(qid, did, rank) of every clause that shares a token with the query."""
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "did")
+    order = Window.partitionBy("qid").orderBy(*knowledge.best_first())
     return knowledge.bm25(query, postings).select("qid", "did", F.row_number().over(order).alias("rank"))
 
 
