@@ -19,24 +19,21 @@ def rerank_features(hits: DataFrame, parameters: DataFrame, clause_parameters: D
     that clauses govern; terms and context (qid, term), products (standard, term); explicit and cited
     (qid, standard). Parameter features count in full only near the best lexical score.
     """
-    best = Window.partitionBy("qid")
-    out = hits.withColumn("bm25", F.col("score") / F.greatest(F.max("score").over(best), F.lit(1e-12)))
-    # Every flag starts from the hits: a parameter or a term alone would pair each query with each clause that has it.
-    pairs = hits.select("qid", "standard").distinct()
-    stated = parameters.select("qid", "parameter").distinct()
-    own = hits.select("qid", "did").distinct().join(clause_parameters.select("did", "parameter").distinct(), "did").join(stated, ["qid", "parameter"], "left_semi").groupBy("qid", "did").agg(F.array_sort(F.collect_set("parameter")).alias("governed"))
-    wide = pairs.join(clause_parameters.select("standard", "parameter").distinct(), "standard").join(stated, ["qid", "parameter"], "left_semi").select("qid", "standard", F.lit(1.0).alias("standard_parameter")).distinct()
-    covered = pairs.join(products.select("standard", "term").distinct(), "standard")
-    product = covered.join(terms.select("qid", "term").distinct(), ["qid", "term"], "left_semi").groupBy("qid", "standard").agg(F.min("term").alias("product_term"))
-    about = covered.join(context.select("qid", "term").distinct(), ["qid", "term"], "left_semi").select("qid", "standard", F.lit(1.0).alias("context_product")).distinct()
-    out = out.join(own, ["qid", "did"], "left").join(wide, ["qid", "standard"], "left").join(product, ["qid", "standard"], "left").join(about, ["qid", "standard"], "left")
-    out = out.join(explicit.select("qid", "standard").distinct().withColumn("explicit", F.lit(True)), ["qid", "standard"], "left").join(cited.select("qid", "standard").distinct().withColumn("_cited", F.lit(True)), ["qid", "standard"], "left")
+    # What clauses and standards have comes to the hits as sets, then the hits go to their queries: three shuffles, each of one row a hit.
+    gathered = lambda df, key, c, name: df.where(F.col(c).isNotNull()).groupBy(key).agg(F.collect_set(c).alias(name))
+    out = hits.join(gathered(clause_parameters, "did", "parameter", "_own"), "did", "left")
+    for had in (gathered(clause_parameters, "standard", "parameter", "_wide"), gathered(products, "standard", "term", "_products")):
+        out = out.join(had, "standard", "left")
+    for said in (gathered(parameters, "qid", "parameter", "_stated"), gathered(terms, "qid", "term", "_terms"), gathered(context, "qid", "term", "_context"), gathered(explicit, "qid", "standard", "_explicit"), gathered(cited, "qid", "standard", "_cited")):
+        out = out.join(said, "qid", "left")
+    out = out.withColumn("bm25", F.col("score") / F.greatest(F.max("score").over(Window.partitionBy("qid")), F.lit(1e-12)))
     gate = F.least(F.lit(1.0), F.col("bm25") / GATE)
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-    sure = F.coalesce("explicit", F.lit(False))
+    governed, product = F.array_sort(F.array_intersect("_own", "_stated")), F.array_min(F.array_intersect("_products", "_terms"))
+    sure, told = (F.coalesce(F.array_contains(name, F.col("standard")), F.lit(False)) for name in ("_explicit", "_cited"))
     return out.select(
-        "qid", "did", "standard", "score", "bm25", (gate * yes(F.col("governed").isNotNull())).alias("clause_parameter"), (gate * F.coalesce("standard_parameter", F.lit(0.0))).alias("standard_parameter"), yes(F.col("product_term").isNotNull()).alias("product"),
-        F.coalesce("context_product", F.lit(0.0)).alias("context_product"), yes(~sure & F.col("_cited").isNotNull()).alias("document_cited"), sure.alias("explicit"), F.coalesce("governed", F.array().cast("array<string>")).alias("governed"), "product_term",
+        "qid", "did", "standard", "score", "bm25", (gate * yes(F.size(governed) > 0)).alias("clause_parameter"), (gate * yes(F.arrays_overlap("_wide", "_stated"))).alias("standard_parameter"), yes(product.isNotNull()).alias("product"),
+        yes(F.arrays_overlap("_products", "_context")).alias("context_product"), yes(~sure & told).alias("document_cited"), sure.alias("explicit"), F.coalesce(governed, F.array().cast("array<string>")).alias("governed"), product.alias("product_term"),
     )
 
 
@@ -46,18 +43,23 @@ def rerank_full(features: DataFrame, standards: DataFrame, queries: DataFrame, c
     standards (standard, status, kind), queries (qid, testing, known_products: whether it or its
     document names products), competitors (qid, standard). Explicit citations take no reduction.
     """
-    rivals = competitors.select("qid", "standard").distinct().withColumn("_rival", F.lit(True))
-    out = features.join(standards.select("standard", "status", "kind"), "standard", "left").join(queries, "qid", "left").join(rivals, ["qid", "standard"], "left")
-    raw = sum((F.col(f) * w for f, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values()) + F.when(F.col("explicit"), EXPLICIT).otherwise(0.0)
-    free, test = ~F.col("explicit"), F.coalesce(F.col("kind") == "test_method", F.lit(False))
-    testing = F.coalesce("testing", F.lit(False))
+    rivals = competitors.groupBy("qid").agg(F.collect_set("standard").alias("_rivals"))
+    # All that is known by query is settled where the features lie, then a hit goes to its standard.
+    rival = F.coalesce(F.array_contains("_rivals", F.col("standard")), F.lit(False))
+    base = sum((F.col(f) * w for f, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values()) + F.when(F.col("explicit"), EXPLICIT).otherwise(0.0)
     unknown = (F.col("product") == 0) & (F.col("context_product") == 0) & (F.col("document_cited") == 0)
+    out = features.join(queries, "qid", "left").join(rivals, "qid", "left")
+    out = out.select(*features.columns, base.alias("_base"), F.coalesce("testing", F.lit(False)).alias("_testing"), ((F.col("document_cited") == 0) & rival).alias("_rival"), (unknown & F.coalesce("known_products", F.lit(False))).alias("_foreign"))
+    out = out.join(standards.select("standard", "status", "kind"), "standard", "left")
+    raw = F.col("_base")
+    free, test = ~F.col("explicit"), F.coalesce(F.col("kind") == "test_method", F.lit(False))
+    testing = F.col("_testing")
     for condition, change in (
         (free & F.coalesce(F.col("status") == "superseded", F.lit(False)), lambda r: r * 0.5),
         (free & test & ~testing, lambda r: r * 0.6),
         (free & test & testing, lambda r: r + 0.08),
-        (free & (F.col("document_cited") == 0) & F.col("_rival").isNotNull(), lambda r: r * 0.75),
-        (free & unknown & F.coalesce("known_products", F.lit(False)), lambda r: r * 0.6),
+        (free & F.col("_rival"), lambda r: r * 0.75),
+        (free & F.col("_foreign"), lambda r: r * 0.6),
     ):
         raw = F.when(condition, change(raw)).otherwise(raw)
     return out.withColumn("raw", F.round(raw, 9)).withColumn("confidence", F.least(F.greatest(F.col("raw"), F.lit(0.0)), F.lit(1.0))).select(*features.columns, "raw", "confidence")
